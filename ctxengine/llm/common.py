@@ -24,7 +24,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A key is heavy if it has at least one in so many rows; so there are at most so many heavy keys.
 HEAVY = 1000
 #: Sides of at most so many narrow rows (a key or two of 8 bytes) are broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,9 +65,12 @@ def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], n_rows: str,
     A key with at least 1/HEAVY of all rows is dealt over several tasks: its left rows get a
     salt from ``spread`` and its right row is repeated for each salt. There are at most HEAVY
     such keys and 2 * HEAVY such copies, which bounds the broadcast and the growth.
-    right must be cheap to read twice (a kept table).
+    Where right has no more than BROADCAST_ROWS rows, all of it is broadcast, and no row of left
+    moves. right must be cheap to read twice (a kept table).
     """
-    total = right.agg(F.sum(n_rows)).first()[0] or 0
+    total, distinct = right.agg(F.coalesce(F.sum(n_rows), F.lit(0)), F.count(F.lit(1))).first()
+    if distinct <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), keys, how)
     per_task = max(total // HEAVY, 1000)
     salts = F.when(F.col(n_rows) > per_task, F.ceil(F.col(n_rows) / F.lit(per_task))).otherwise(F.lit(1)).cast("int")
     heavy = right.where(F.col(n_rows) > per_task).select(*keys, salts.alias("_salts"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, langid, license_scan, mixing, packing, warc
+from . import embed_dedup, exact_dedup, html_text, langid, license_scan, minhash, mixing, packing, warc
 from .common import WORD, keep, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(table(spark, sf_dir, "pages"), least=0)
     return warc.summary(spark, archive)
@@ -55,6 +59,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.join(goals, F.col("s").eqNullSafe(F.col("source"))).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -67,8 +75,10 @@ QUERIES: dict[str, Query] = {
     "op3_license_scan": op3_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_warc_archive": op8_warc_archive,
     "op9_source_mixing": op9_source_mixing,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 SQL: dict[str, str] = {

@@ -1,15 +1,17 @@
 """Near duplicates among embeddings by a forest of random-projection trees.
 
-Vectors of a label are split again and again at the middle of a random projection until at
-most ``leaf`` of them are together. Those near the middle go to both sides (spill), and
+Vectors of a label are split again and again at the median of a random projection until at
+most ``leaf`` of them are together. Those near the median go to both sides (spill), and
 several trees are grown, so that a linked pair shares a leaf of some tree. All pairs of a leaf
 are compared by cosine in double precision inside a task; a pair is counted in the first leaf
-that it shares, so links are exact counts without a list of pairs. A leaf that cannot be split
-(its projections are the same) is compared block by block instead.
+that it shares, so links are exact counts without a list of pairs.
 
-A label with at most ``leaf`` distinct vectors is a single leaf, which is exact. Otherwise a
-pair at the threshold is parted by a split with a probability of about 5 %, by a tree of 3
-levels of about 13 %, and by all 8 trees of 1e-7; closer pairs far less often.
+A cut has a margin of two thirds of the distance of a pair at the threshold, in which vectors
+go to both sides, so a pair at the threshold is parted by a cut with a probability of about 1 %
+among spread-out vectors and 5 % inside a cluster, closer pairs far less often; all 8 trees part
+it with less than 1e-6. Where a third of a node's vectors or more lie within the margin (a tight cluster), the
+node is not cut but tried again with the next projection. What can't be cut at all is compared block by block,
+which is exact, as is a label with at most ``leaf`` distinct vectors.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component, and
 those without a label or id, link with nothing; vectors of different lengths don't link; equal
@@ -32,8 +34,8 @@ from .common import components, join_skewed, keep, small_or
 COSINE = 0.93
 TREES = 8
 LEAF = 1024
-#: Share of a node's vectors that goes to both sides.
-SPILL = 0.10
+#: Half the margin of a cut, as a share of the distance of a pair at the threshold.
+SPILL = 2 / 3
 SEED = 7
 
 
@@ -74,7 +76,7 @@ def _projector(trees: int, levels: int):
     return work
 
 
-def _leaves(reps: DataFrame, trees: int, leaf: int, spill: float) -> DataFrame:
+def _leaves(reps: DataFrame, trees: int, leaf: int, margin: float) -> DataFrame:
     """(rep, tree, leaf): the leaves of every representative; small labels are one leaf."""
     kind = dict(reps.dtypes)["label"]
     groups = keep(reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")), "rp-groups")
@@ -83,22 +85,24 @@ def _leaves(reps: DataFrame, trees: int, leaf: int, spill: float) -> DataFrame:
     done = reps.join(small, ["label", "dim"], "left_semi").select("rep", F.lit(0).alias("tree"), F.xxhash64("label", "dim").alias("leaf"))
     if most <= leaf:
         return done
-    levels = math.ceil(math.log(most / leaf) / -math.log(0.5 + spill / 2)) + 1
+    levels = math.ceil(math.log(most / leaf) / math.log(1 / 0.6)) + 2
     large = small_or(groups.where(F.col("n") > leaf).select("label", "dim"))
     now = reps.join(large, ["label", "dim"], "left_semi").select("label", "dim", "rep", "v").mapInArrow(_projector(trees, levels), f"label {kind}, dim int, rep long, tree int, p array<double>")
-    now = keep(now.withColumn("leaf", F.xxhash64("label", "dim", "tree")).select("rep", "tree", "leaf", "p"), "rp-level")
+    now = keep(now.withColumn("leaf", F.xxhash64("label", "dim", "tree")).select(F.xxhash64("label", "dim").alias("root"), "rep", "tree", F.lit(0).alias("depth"), "leaf", "p"), "rp-level")
     for level in range(levels):
         at = F.get("p", F.lit(level))
-        cuts = now.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(at, [0.5 - spill / 2, 0.5 + spill / 2], 1000).alias("cut")).where(F.col("n") > leaf)
-        cuts = keep(cuts.where("cut[0] < cut[1]"), "rp-cuts")  # no cut where all projections are the same
-        if not cuts.limit(1).count():
-            break
+        q = F.percentile_approx(at, [1 / 3, 1 / 2, 2 / 3], 1000)
+        cuts = now.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), q.alias("q")).where(F.col("n") > leaf)
+        cuts = keep(cuts.where(F.col("q")[2] - F.col("q")[0] > 2 * margin).select("leaf", "n", F.col("q")[1].alias("middle")), "rp-cuts")
         split = join_skewed(now, cuts, ["leaf"], "n", F.col("rep"))
-        sides = F.when(F.col("cut").isNull(), F.array(F.lit(0))).otherwise(
-            F.filter(F.array(F.when(at <= F.col("cut")[1], 1), F.when(at >= F.col("cut")[0], 2)), lambda s: s.isNotNull())
-        )
+        middle = F.col("middle")
+        sides = F.when(middle.isNull(), F.array(F.lit(0))).otherwise(F.filter(F.array(F.when(at <= middle + margin, 1), F.when(at >= middle - margin, 2)), lambda s: s.isNotNull()))
         split = split.withColumn("side", F.explode(sides))
-        now = keep(split.select("rep", "tree", F.when(F.col("side") == 0, F.col("leaf")).otherwise(F.xxhash64("leaf", "side")).alias("leaf"), "p"), "rp-level")
+        cut = F.col("side") > 0
+        now = keep(split.select("root", "rep", "tree", (F.col("depth") + cut.cast("int")).alias("depth"), F.when(cut, F.xxhash64("leaf", "side")).otherwise(F.col("leaf")).alias("leaf"), "p"), "rp-level")
+    # a label that one tree has not cut is exact in that tree: no other is needed
+    whole = small_or(keep(now.where("depth = 0").groupBy("root").agg(F.min("tree").alias("only")), "rp-whole"))
+    now = now.join(whole, "root", "left").where("only is null or only = tree")
     return done.unionByName(now.select("rep", "tree", "leaf"))
 
 
@@ -158,8 +162,7 @@ def near_vectors(
     )
     base = keep(read.withColumn("vkey", F.when(F.col("id").isNotNull() & F.col("label").isNotNull(), F.col("vkey"))), "rp-read")
     reps = keep(base.where("vkey is not null").groupBy("label", "dim", "vkey").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "rp-reps")
-    # ids may repeat with other vectors, so a representative is named by a hash of its own where that happens
-    leaves = keep(_leaves(reps, trees, leaf, spill), "rp-leaves")
+    leaves = keep(_leaves(reps, trees, leaf, spill * math.sqrt(2 * (1 - cosine))), "rp-leaves")
     lists = leaves.groupBy("rep").agg(F.collect_list(F.struct("tree", "leaf")).alias("all"))
     sizes = keep(leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "rp-sizes")
     rows = join_skewed(leaves, sizes, ["leaf"], "n", F.col("rep"), "inner").join(lists, "rep")

@@ -117,3 +117,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(
         F.col("id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep_id).alias("kept"), F.col("sha").alias("text_sha256")
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stay; of rows that repeat an id and a text one stays."""
+    found = keep(exact_groups(docs, id_col, text_col), "dedup-found")
+    names = {"_dedup_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_dedup_sha": F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE + "+", ""), 256)}
+    gone = found.where(~F.col("kept")).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_dedup_id"), F.col("text_sha256").alias("_dedup_sha")).distinct()
+    out = docs.withColumns(names).join(small_or(keep(gone, "dedup-gone")), list(names), "left_anti")
+    stay = found.where("kept").groupBy(id_col, "text_sha256").count().where("count > 1")
+    if stay.limit(1).count():
+        out = out.dropDuplicates(list(names))
+    return out.drop(*names)

@@ -23,8 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSIONS = 512
 GRAM = 3
@@ -161,6 +162,22 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 def identify(docs: DataFrame, learned: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
     """(id, lang_pred, score) for every row; more columns of docs are not handed on."""
+    return _scored(docs, F.col(id_col), text_col, learned, dimensions).withColumnRenamed("carried", id_col)
+
+
+def known_language(docs: DataFrame, learned: dict[str, np.ndarray], text_col: str = "text", least: float = 0.0, dimensions: int = DIMENSIONS) -> DataFrame:
+    """The rows of docs, all columns, whose language is known with a score of at least ``least``.
+
+    Texts without a letter go; nothing else goes where nothing was learned.
+    """
+    out = _scored(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)), text_col, learned, dimensions)
+    if learned:
+        return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("carried.*")
+    return docs.where(F.col(text_col).rlike(r"\p{L}"))
+
+
+def _scored(docs: DataFrame, carried: Column, text_col: str, learned: dict[str, np.ndarray], dimensions: int) -> DataFrame:
+    """(carried, lang_pred, score)."""
     kept = {k: v / norm for k, v in learned.items() if (norm := np.linalg.norm(v)) > 0}
     names, matrix = list(kept), np.array(list(kept.values())).reshape(len(kept), dimensions)
 
@@ -178,7 +195,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], id_col: str = "doc
                     best = every.argmax(axis=1)
                     lang = [names[i] if h else UNKNOWN for i, h in zip(best, has, strict=True)]
                     cos = np.where(has, np.clip(every[np.arange(len(texts)), best], 0, 1), 0.0)
-                yield pa.record_batch([b.column(0), pa.array(lang, pa.string()), pa.array(cos)], names=["id", "lang_pred", "score"])
+                yield pa.record_batch([b.column(0), pa.array(lang, pa.string()), pa.array(cos)], names=["carried", "lang_pred", "score"])
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    rows = docs.select(carried.alias("carried"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(score, T.StructType([rows.schema["carried"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -299,3 +299,10 @@ def near_classes(
     out = join_skewed(signed.select("id", "set_hash"), of_set, ["set_hash"], "copies", F.col("id"))
     class_id = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))
     return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.col("id").eqNullSafe(class_id).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:  # noqa: ANN003
+    """The rows of docs, all columns, without all but the smallest id of each class."""
+    found = near_classes(docs, id_col, text_col, **settings)
+    gone = keep(found.where(~F.col("kept")).select(F.col(id_col).alias("_near_id")).distinct(), "near-gone")
+    return docs.join(small_or(gone), F.col(id_col).cast("long") == F.col("_near_id"), "left_anti")

@@ -19,10 +19,10 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, keep
+from .common import WORD, keep, small_or
 
 SEED = 20
 WEIGHTS = (5, 2, 1)
@@ -143,17 +143,18 @@ def _select(sized: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     return now.where("extra").select("id", "h").distinct(), dealt
 
 
-def mix(docs: DataFrame, memberships: str, weights: dict, id_col: str = "doc_id", text_col: str = "text", share: Fraction = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """Mixes documents; memberships is an array column of the sources that a document belongs to, weights maps sources to weights.
+def words_in(text_col: str = "text") -> Column:
+    return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
 
-    Returns (id, pattern, size, taken): size in words, taken = copies * size.
-    """
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    sized = keep(docs.select(F.col(id_col).cast("long").alias("id"), F.array_sort(F.array_distinct(memberships)).alias("pattern"), size.alias("size")), "mix-sizes")
-    return mix_sized(sized, weights, share, most, seed).withColumnRenamed("id", id_col)
+
+def sizes_of(docs: DataFrame, memberships: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, pattern, size) as a kept table; memberships is an array of the sources that a row belongs to."""
+    pattern = F.array_sort(F.array_distinct(memberships.cast("array<string>")))
+    return keep(docs.select(F.col(id_col).cast("long").alias("id"), pattern.alias("pattern"), words_in(text_col).alias("size")), "mix-sizes")
 
 
 def mix_sized(sized: DataFrame, weights: dict, share: Fraction = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """(id, pattern, size, taken) for every row of sizes_of(); taken = copies * size."""
     totals = sized.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MOST_PATTERNS + 1).collect()
     if len(totals) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
@@ -193,3 +194,24 @@ def target_rows(sized: DataFrame, weights: dict, share: Fraction = SHARE, most:
     goal = targets([size.get(s, 0) for s in order], [weights[s] for s in order], share, most)
     rows = [(s, size.get(s, 0), float(t)) for s, t in zip(order, goal, strict=True)]
     return sized.sparkSession.createDataFrame(rows, "source string, source_size long, target double")
+
+
+def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights: tuple = WEIGHTS, share: Fraction = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """(id, size, source_size, target, taken) where each row belongs to its one source and weights repeat over the sources in order."""
+    sized = sizes_of(docs, F.array(F.col(source_col)), id_col, text_col)
+    by_source = cycle_weights(sources_of(sized.select(F.element_at("pattern", 1).alias("source"))), weights)
+    goals = F.broadcast(target_rows(sized, by_source, share, most))  # a row for each source
+    mixed = mix_sized(sized, by_source, share, most, seed).withColumn("s", F.element_at("pattern", 1))
+    return mixed.join(goals, F.col("s").eqNullSafe(F.col("source"))).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def take_mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:  # noqa: ANN003
+    """The rows of docs, all columns, as often as the mix takes them."""
+    copies = mix_sources(docs, source_col, id_col, text_col, **settings).where("taken > 0")
+    copies = copies.select(F.col(id_col).alias("_mix_id"), F.col("size").alias("_mix_size"), (F.col("taken") / F.col("size")).cast("int").alias("_mix_n"))
+    # rows that repeat an id and a size are told apart by nothing: they share what was taken of them
+    copies = keep(copies.groupBy("_mix_id", "_mix_size").agg(F.max("_mix_n").alias("_mix_n")), "mix-copies")
+    sized = docs.withColumn("_mix_words", words_in(text_col))
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_words") == F.col("_mix_size"))
+    out = sized.join(small_or(copies), on)
+    return out.withColumn("_mix_i", F.explode(F.sequence(F.lit(1), "_mix_n"))).select(*(F.col(f"`{c}`") for c in docs.columns))

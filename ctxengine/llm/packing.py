@@ -237,8 +237,8 @@ def pack(cut: DataFrame, room: int = ROOM) -> DataFrame:
     rows, _ = plan(counts, room)
     starts = rows[:, 0] * (1 << 44) + rows[:, 1] if len(rows) else rows
     total = sum(counts.values())
-    # ranks within a length: its pieces are dealt into buckets of some 100,000, ranked there, and shifted by the buckets before
-    buckets = max(1, total // 100_000)
+    # ranks within a length: its pieces are dealt into buckets, ranked there, and shifted by the buckets before
+    buckets = max(64, total // 100_000)
     dealt = cut.withColumn("b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     before = (
         dealt.groupBy("length", "b").count()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embed_dedup, exact_dedup, html_text, langid, license_scan, minhash, mixing, packing, quality, warc
-from .common import WORD, keep, table
+from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,13 +56,7 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    sized = keep(docs.select(F.col("doc_id").cast("long").alias("id"), F.array(F.col("source").cast("string")).alias("pattern"), size.alias("size")), "mix-sizes")
-    weights = mixing.cycle_weights(mixing.sources_of(sized.select(F.element_at("pattern", 1).alias("source"))))
-    goals = F.broadcast(mixing.target_rows(sized, weights))  # a row for each source
-    mixed = mixing.mix_sized(sized, weights).withColumn("s", F.element_at("pattern", 1))
-    return mixed.join(goals, F.col("s").eqNullSafe(F.col("source"))).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,8 +41,10 @@ class WordIds(dict):
     """Ids of a white-space-free chunk of text as little-endian bytes, worked out once for each chunk.
 
     The tokenizer never joins characters across white space, so the ids of a text are those
-    of its chunks. Chunks in Latin-1 skip the tokenizer's text pipeline: its pre-tokenizer
-    pattern and byte alphabet are applied here and only its BPE model is called.
+    of its chunks. Chunks in Latin-1 skip the tokenizer's text pipeline: lower case, its
+    pre-tokenizer pattern and its byte alphabet are applied here and only its BPE model is called.
+    A text with the string of a special token goes to the tokenizer whole, which gives that
+    token's id.
     """
 
     def __init__(self, path: str):
@@ -57,6 +59,9 @@ class WordIds(dict):
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # these, and characters that are white space to Python but not to the tokenizer
+        self.whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, special)])).search
 
     def __missing__(self, chunk: str) -> bytes:
         try:
@@ -64,9 +69,9 @@ class WordIds(dict):
         except UnicodeEncodeError:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
         else:
-            ids = []
-            for part in [chunk] if chunk.isascii() and chunk.isalpha() else self.parts(chunk):
-                word = part if part.isascii() else "".join(map(self.alphabet.__getitem__, part.encode()))
+            ids, lower = [], chunk.lower()
+            for part in [lower] if lower.isascii() and lower.isalpha() else self.parts(lower):
+                word = part if part.isascii() and part.isprintable() else "".join(map(self.alphabet.__getitem__, part.encode()))
                 ids += [t.id for t in self.model.tokenize(word)]
         if len(self) >= REMEMBERED:
             self.clear()
@@ -74,7 +79,7 @@ class WordIds(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        if re.search("[\x1c-\x1f]", text):  # white space to Python, not to the tokenizer
+        if self.whole(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         try:
             text.encode("latin-1")

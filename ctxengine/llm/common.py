@@ -11,9 +11,13 @@ Conventions of all operators here
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 HEAVY = 1000
 #: Sides of at most so many narrow rows (a key or two of 8 bytes) are broadcast.
 BROADCAST_ROWS = 300_000
+#: Rows of an Arrow batch on its way to a Python worker and back.
+ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +58,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def freeing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, to be run in Python workers, giving freed memory back to the system at the end of each task.
+
+    Spark uses workers again for later stages; what they hold idle comes on top of the executor's heap.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:  # noqa: ANN001
+    """df.mapInArrow(work, schema) in bounded memory: batches of whole texts hold ARROW_ROWS rows, unless the session sets another number than Spark's own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(ARROW_ROWS))
+    return df.mapInArrow(freeing(work), schema)
+
+
 def small_or(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it was counted at no more than that many rows, else as it is.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_skewed, keep, small_or
+from .common import components, in_batches, join_skewed, keep, small_or
 
 COSINE = 0.93
 TREES = 8
@@ -87,7 +87,7 @@ def _leaves(reps: DataFrame, trees: int, leaf: int, margin: float) -> DataFrame:
         return done
     levels = math.ceil(math.log(most / leaf) / math.log(1 / 0.6)) + 2
     large = small_or(groups.where(F.col("n") > leaf).select("label", "dim"))
-    now = reps.join(large, ["label", "dim"], "left_semi").select("label", "dim", "rep", "v").mapInArrow(_projector(trees, levels), f"label {kind}, dim int, rep long, tree int, p array<double>")
+    now = reps.join(large, ["label", "dim"], "left_semi").select("label", "dim", "rep", "v").transform(in_batches, _projector(trees, levels), f"label {kind}, dim int, rep long, tree int, p array<double>")
     now = keep(now.withColumn("leaf", F.xxhash64("label", "dim", "tree")).select(F.xxhash64("label", "dim").alias("root"), "rep", "tree", F.lit(0).alias("depth"), "leaf", "p"), "rp-level")
     for level in range(levels):
         at = F.get("p", F.lit(level))
@@ -157,8 +157,7 @@ def near_vectors(
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for every row."""
     kinds = dict(vectors.dtypes)
-    read = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v")).mapInArrow(
-        _read, f"id long, label {kinds[label_col]}, v {kinds[vector_col]}, dim int, vkey binary"
+    read = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v")).transform(in_batches, _read, f"id long, label {kinds[label_col]}, v {kinds[vector_col]}, dim int, vkey binary"
     )
     base = keep(read.withColumn("vkey", F.when(F.col("id").isNotNull() & F.col("label").isNotNull(), F.col("vkey"))), "rp-read")
     reps = keep(base.where("vkey is not null").groupBy("label", "dim", "vkey").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "rp-reps")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, join_skewed, keep, small_or
+from .common import SPACE, in_batches, join_skewed, keep, small_or
 
 #: Bits of a fingerprint that are the remainder; the other 32 are the quotient.
 REMAINDER_BITS = 32
@@ -88,8 +88,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_fingerprints(prints: DataFrame) -> DataFrame:
     """(fp, n) of the fingerprints that occur more than once, by merged counting quotient filters."""
-    filters = prints.select("fp").mapInArrow(_build, FILTER)
-    merged = filters.repartition("quotient").sortWithinPartitions("quotient", "remainder").mapInArrow(_merge, FILTER)
+    filters = prints.select("fp").transform(in_batches, _build, FILTER)
+    merged = filters.repartition("quotient").sortWithinPartitions("quotient", "remainder").transform(in_batches, _merge, FILTER)
     return merged.where("n > 1").select(F.shiftleft("quotient", REMAINDER_BITS).bitwiseOR(F.col("remainder")).alias("fp"), "n")
 
 

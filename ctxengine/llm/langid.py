@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_batches
+
 DIMENSIONS = 512
 GRAM = 3
 SEED = 1009
 UNKNOWN = "und"
 #: Characters handled at once; longer texts are bundled in parts, without loss.
-CHUNK = 1 << 20
-_CELLS = 1 << 22
+CHUNK = 1 << 19
+_CELLS = 1 << 21
 
 
 @functools.lru_cache(maxsize=1)
@@ -154,7 +156,7 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         if sums:
             yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array([v.astype(np.int64).tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
-    parts = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(learn, "lang string, v array<long>")
+    parts = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).transform(in_batches, learn, "lang string, v array<long>")
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     found = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).collect()
     return {r["lang"]: np.array([float(x["x"]) for x in r["v"]]) for r in sorted(found, key=lambda r: r["lang"])}
@@ -198,4 +200,4 @@ def _scored(docs: DataFrame, carried: Column, text_col: str, learned: dict[str,
                 yield pa.record_batch([b.column(0), pa.array(lang, pa.string()), pa.array(cos)], names=["carried", "lang_pred", "score"])
 
     rows = docs.select(carried.alias("carried"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(score, T.StructType([rows.schema["carried"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return rows.transform(in_batches, score, T.StructType([rows.schema["carried"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 #: Every known sentence holds one of these, in any case.
 HINT = r"(?i)licen[sc]|permission|redistribut|warrant|copyright|spdx|public domain|liable|unlicen|cc0|gpl|rights reserved"
 
@@ -182,4 +184,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind = dict(docs.dtypes)[id_col]
     # a document without a hint goes on without its text, so that only the others' texts reach Python
     hinted = F.when(F.col(text_col).rlike(HINT), F.col(text_col))
-    return docs.select(F.col(id_col).alias("id"), hinted.alias("text")).mapInArrow(work, SCHEMA.format(kind=kind)).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), hinted.alias("text")).transform(in_batches, work, SCHEMA.format(kind=kind)).withColumnRenamed("id", id_col)

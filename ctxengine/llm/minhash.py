@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_skewed, keep, small_or
+from .common import components, in_batches, join_skewed, keep, small_or
 from .words import SHINGLE, mix64, shingles, word_hashes
 
 BANDS, ROWS = 64, 8
@@ -52,7 +52,7 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _GOLD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _EMPTY = np.uint64(2**64 - 1)
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
-_CELLS = 1 << 20
+_CELLS = 1 << 17
 
 
 def dart_signatures(sets: list[np.ndarray], k: int, weights: list[np.ndarray] | None = None) -> np.ndarray:
@@ -140,7 +140,7 @@ def signature_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words
                     names=["id", "n", "set_hash", "bands"],
                 )
 
-    return docs.mapInArrow(sign, "id long, n long, set_hash binary, bands array<long>")
+    return docs.transform(in_batches, sign, "id long, n long, set_hash binary, bands array<long>")
 
 
 def _set_table(docs: DataFrame, words: int) -> DataFrame:
@@ -155,7 +155,7 @@ def _set_table(docs: DataFrame, words: int) -> DataFrame:
                 flat = np.concatenate(sets).view(np.int64)
                 yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["rep", "n", "elements"])
 
-    return docs.mapInArrow(work, "rep long, n long, elements array<long>")
+    return docs.transform(in_batches, work, "rep long, n long, elements array<long>")
 
 
 def link_block(rep_class: np.ndarray, sets: list[np.ndarray], leads: np.ndarray, similarity: float) -> list[tuple[int, int]]:

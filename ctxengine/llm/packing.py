@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import in_batches, keep
 
 ROOM = 4096
 END_ID = 1
 #: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -110,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, room: int = ROOM, end_id: int =
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(in_batches, cut, PIECES)
 
 
 def reduce_instance(counts: dict[int, int], room: int) -> tuple[list[tuple[list[int], int]], dict[int, int]]:
@@ -262,7 +262,7 @@ def pack(cut: DataFrame, room: int = ROOM) -> DataFrame:
             columns = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.record_batch([*columns, pa.array(sequence + step // times), pa.array(offset + step % times * size)], names=[*(f.split()[0] for f in PLACED.split(", "))])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rn")).cast("long").alias("rank")).mapInArrow(place, PLACED)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rn")).cast("long").alias("rank")).transform(in_batches, place, PLACED)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, room: int = ROOM, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
 from .words import mix64, word_hashes
 
 LABELLED, POOL = 8000, 8000
@@ -189,7 +190,7 @@ def _features(docs: DataFrame, extra: str) -> DataFrame:
                 m = metadata_features(*(b.column(x).to_pylist() for x in ("lang", "source", "n_chars")))
                 yield pa.record_batch([b.column("id"), b.column(extra), pa.array([r.tobytes() for r in c], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], names=["id", extra, "content", "metadata"])
 
-    return docs.mapInArrow(work, f"id long, {extra} int, content binary, metadata binary")
+    return docs.transform(in_batches, work, f"id long, {extra} int, content binary, metadata binary")
 
 
 def _base(docs: DataFrame, id_col: str) -> DataFrame:
@@ -227,4 +228,4 @@ def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id") -> DataFram
                 m = metadata_features(*(b.column(x).to_pylist() for x in ("lang", "source", "n_chars")))
                 yield pa.record_batch([b.column("id"), *(pa.array(np.round(p, 9)) for p in model.score(c, m))], names=["id", "quality", "p_content", "p_metadata"])
 
-    return _base(docs, id_col).mapInArrow(work, "id long, quality double, p_content double, p_metadata double").withColumnRenamed("id", id_col)
+    return _base(docs, id_col).transform(in_batches, work, "id long, quality double, p_content double, p_metadata double").withColumnRenamed("id", id_col)

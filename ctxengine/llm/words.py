@@ -14,7 +14,7 @@ import numpy as np
 #: Words in a shingle.
 SHINGLE = 5
 #: Bytes hashed at once; longer texts go in parts that end at white space.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MARK = np.uint64(0xD6E8FEB86659FD93)

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import base_name
-from ..functions.text import OMISSION_MARK, all_groups, confidence_level, js_trim, language_of, lines, path_hint, path_in_context, positional_diff
+from ..functions.text import OMISSION_MARK, all_groups, confidence_level, js_trim, language_of, path_hint, path_in_context, positional_diff
 
-BLOCK = "array<struct<start:int,content_start:int,content_end:int,end:int>>"
-RESTORED = "code string, diff_ratio double, error string"
+BLOCK = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "content_start", "content_end", "end")]))
+RESTORED = T.StructType([T.StructField("code", T.StringType()), T.StructField("diff_ratio", T.DoubleType()), T.StructField("error", T.StringType())])
 FUZZY = 0.8
 
 
@@ -82,7 +83,7 @@ def resolve_targets(hints: DataFrame, files: DataFrame, recent: DataFrame) -> Da
     part = h.where("not deep").join(tails, F.col("last") == F.col("tail")).drop("tail")
     hits = whole.unionByName(part).where(F.endswith("path", "path_hint")).withColumn("base", F.when(F.col("path") == F.col("path_hint"), 80).otherwise(60))
     best = hits.groupBy("hint_id").agg(F.min(F.struct((-F.col("base")).alias("neg"), "ord", "path")).alias("b")).select("hint_id", F.col("b.path").alias("path"), (-F.col("b.neg")).alias("base"))
-    scored = best.join(F.broadcast(recent.select("path", "rank")), "path", "left").select("hint_id", "path", (F.col("base") + F.coalesce(F.greatest(20 - 2 * F.col("rank"), F.lit(5)), F.lit(0))).alias("confidence"))
+    scored = best.join(F.broadcast(recent.select("path", "rank")), "path", "left").select("hint_id", "path", (F.col("base") + F.when(F.col("rank").isNotNull(), F.greatest(20 - 2 * F.col("rank"), F.lit(5))).otherwise(0)).alias("confidence"))
     fallback = F.broadcast(recent.where("rank = 0").select(F.col("path").alias("first")))
     out = hints.select("hint_id").join(scored, "hint_id", "left").join(fallback, how="left")
     target = F.coalesce("path", "first")
@@ -203,7 +204,3 @@ def smart_plans(found: DataFrame, targets: DataFrame, originals: DataFrame) -> D
     joined = found.join(targets, "hint_id").join(originals.select(F.col("path").alias("target"), F.col("text").alias("original")), "target", "left")
     score = F.least(F.lit(100), F.col("confidence") + F.when(F.col("target").isNotNull(), 10).otherwise(0))
     return joined.select("hint_id", "target", score.alias("confidence"), confidence_level(score).alias("level"), positional_diff(F.coalesce("target", F.lit("")), F.coalesce("original", F.lit("")), F.col("content")).alias("diff"))
-
-
-def first_lines(text: Column, n: int) -> Column:
-    return F.array_join(F.slice(lines(text), 1, n), "\n")

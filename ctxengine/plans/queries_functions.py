@@ -196,7 +196,7 @@ def branch_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "line_skeleton", "X5 W4 W5 X7",
-    f"""SELECT p_partkey AS code_id, 'import {{ a }} from ''./part_' || p_size || '''' || {N} || 'class P' || p_partkey || ' {{' || {N} || '  run(' || p_size || ') {{' || {N} || '  // ... implementation omitted' || {N} || '  }}' || {N} || '}}' || {N} || 'const x = {{ y: ' || p_size || ' }};'
+    f"""SELECT p_partkey AS code_id, 'import {{ a }} from ''./part_' || p_size || '''' || {N} || '  // ... implementation omitted' || {N} || 'class P' || p_partkey || ' {{' || {N} || '  run(' || p_size || ') {{' || {N} || '  // ... implementation omitted' || {N} || '  }}' || {N} || '}}' || {N} || 'const x = {{ y: ' || p_size || ' }};'
       || {N} || '  // ... implementation omitted' AS skeleton FROM part""",
 )
 def line_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,7 +287,7 @@ def selection_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ancestor_closure", "U6 U7",
-    f"WITH {FILES} SELECT project_id, unnest([regexp_extract(path, '^[^/]*'), regexp_extract(path, '^[^/]*/[^/]*')]) AS path FROM files GROUP BY ALL",
+    f"WITH {FILES} SELECT DISTINCT project_id, unnest([regexp_extract(path, '^[^/]*'), regexp_extract(path, '^[^/]*/[^/]*')]) AS path FROM files",
 )
 def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.directories(files(spark, sf_dir))

@@ -55,7 +55,7 @@ def reply_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {FILES}, h AS (SELECT doc_id, path, CASE doc_id % 3 WHEN 0 THEN path WHEN 1 THEN regexp_extract(path, '[^/]*/[^/]*$') ELSE 'no/such.md' END AS hint FROM files),
       hit AS (SELECT h.doc_id, arg_min(f.path, (CASE WHEN f.path = h.hint THEN 0 ELSE 1 END, f.doc_id)) AS p, max(CASE WHEN f.path = h.hint THEN 80 ELSE 60 END) AS c FROM h JOIN files f ON regexp_extract(f.path, '[^/]*$') = regexp_extract(h.hint, '[^/]*$') AND ends_with(f.path, h.hint) GROUP BY 1),
       r AS (SELECT path, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM files WHERE doc_id < 5)
-      SELECT h.doc_id AS hint_id, coalesce(hit.p, (SELECT path FROM r WHERE k = 0)) AS target, CASE WHEN hit.p IS NULL THEN 40 ELSE least(100, hit.c + coalesce(greatest(20 - 2 * r.k, 5), 0)) END::BIGINT AS confidence FROM h LEFT JOIN hit USING (doc_id) LEFT JOIN r ON r.path = hit.p""",
+      SELECT h.doc_id AS hint_id, coalesce(hit.p, (SELECT path FROM r WHERE k = 0)) AS target, CASE WHEN hit.p IS NULL THEN 40 ELSE least(100, hit.c + CASE WHEN r.k IS NULL THEN 0 ELSE greatest(20 - 2 * r.k, 5) END) END::BIGINT AS confidence FROM h LEFT JOIN hit USING (doc_id) LEFT JOIN r ON r.path = hit.p""",
 )
 def patch_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
@@ -67,11 +67,10 @@ def patch_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("heal_omissions", "X10 X14 X15 K13", f"WITH {CODE} SELECT code_id, text AS patched, false AS unsafe FROM code")
 def heal_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text with its lines from the third to the seventh left out comes back whole."""
+    """Each text with its lines from the fourth to the eighth left out comes back whole."""
     rows = F.split("text", "\n")
     cut = F.array_join(F.concat(F.slice(rows, 1, 3), F.array(F.lit("  // ... existing code ...")), F.slice(rows, 9, 100)), "\n")
     c = code(spark, sf_dir).select("code_id", F.concat(F.lit("f"), F.col("code_id").cast("string")).alias("path"), "text", cut.alias("code"))
-    # the second line of each text is itself a marked comment and is left out of the patch
     return patch.legacy_plans(c.select("code_id", "path", "code"), c.select("path", "text")).select("code_id", "patched", "unsafe")
 
 

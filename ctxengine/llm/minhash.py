@@ -252,7 +252,7 @@ def _round(members: DataFrame, classes: DataFrame, sets: DataFrame, similarity:
             parts = F.ceil(F.col("weight") / block).cast("int")
             lead = F.pmod(F.xxhash64("rep", "bucket"), F.col("m")) < LEADERS
             part = F.when(lead, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), parts).cast("int")))
-            return rows.select("bucket", F.explode(part).cast("string").alias("part"), "rep", "class", lead.alias("lead"))
+            return rows.select("bucket", F.explode(part.cast("array<string>")).alias("part"), "rep", "class", lead.alias("lead"))
         ones = F.greatest(F.lit(1), F.ceil(F.col("top_weight") * 2 / block)).cast("int")
         others = F.greatest(F.lit(1), F.ceil((F.col("weight") - F.col("top_weight")) * 2 / block)).cast("int")
         my = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import in_batches
 
 #: Every known sentence holds one of these, in any case.
-HINT = r"(?i)licen[sc]|permission|redistribut|warrant|copyright|spdx|public domain|liable|unlicen|cc0|gpl|rights reserved"
+HINT = r"(?i)licen[sc]|permission|redistribut|warrant|copyright|spdx|public domain|liable|unlicen|cc0|gpl|rights reserved|cc[\s_-]by|creative\s+commons"
 
 # Known licence sentences. The pattern is searched in the normalised sentence, and
 # {v} in an identifier is the version that it captured.

@@ -93,7 +93,7 @@ def test_fuzzy_paths(spark):
 def test_healing():
     old = "a {\n  one\n  two\n  three\n}\nend"
     assert patch.heal_text(old, "a {\n// ...\n}\nend") == (old, 0.0, None)
-    assert patch.heal_text(old, "a {\n  one\n// ... existing\n  threex\n}\nend")[0] == old.replace("three", "threex")
+    assert patch.heal_text(old, "a {\n// ... existing\nthreex")[0] == "a {\n  one\n  two\n  threex"
     assert patch.heal_text(old, "a {\n// ...\nno such line at all\n// ...\n!!")[2] == "Anchor line not found: no such line at all"
     assert patch.heal_text(old, "a {\n// rest of file")[0] == old
 

@@ -6,7 +6,9 @@ own, they only part what stands around them. Over the lines' lengths a window sl
 the sum of a window rises over the threshold from an empty line there is a surge point, where it
 falls to nothing a dive point. The text between surge and dive is the page's content. An
 ``article`` or ``main`` element, where a page has one, bounds the lines that count, and then
-any line with text is enough for a surge.
+any line with text is enough for a surge. A form or a marked element that wraps the page's
+``main``, or its ``h1`` and most of its paragraphs, is layout (a column beside a sidebar, a page in
+a form) and stays.
 
 Defined results: a null or empty page gives an empty text; markup that never ends is dropped to
 its end, an element that never closes bounds nothing; repeated pages are extracted alike; an
@@ -17,7 +19,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +105,16 @@ def _ends(tokens: list[tuple]) -> dict[int, int]:
     return ends
 
 
+def _wrappers(tokens: list[tuple], ends: dict[int, int]) -> Callable[[int], bool]:
+    """Whether the element at an index wraps the article, rather than standing beside it."""
+    at = {n: [i for i, (kind, name, _, _) in enumerate(tokens) if kind == "open" and name == n] for n in ("main", "h1", "p")}
+
+    def inside(name: str, i: int) -> int:
+        return bisect_left(at[name], ends[i]) - bisect_left(at[name], i)
+
+    return lambda i: bool(inside("main", i) or (inside("h1", i) and 2 * inside("p", i) > len(at["p"])))
+
+
 class _Line:
     __slots__ = ("text", "linked", "inside")
 
@@ -113,6 +126,7 @@ def lines_of(page: str) -> list[_Line]:
     """Lines of the page; inside: the number of the container that the line stands in, 0 if none."""
     tokens = _tokens(page)
     ends = _ends(tokens)
+    wraps = _wrappers(tokens, ends)
     lines: list[_Line] = []
     held: list[str] = []
     linked, links, inside, containers, skip_to = 0, 0, 0, 0, -1
@@ -134,7 +148,8 @@ def lines_of(page: str) -> list[_Line]:
                 linked += len(text)
             continue
         if kind == "open":
-            if i in ends and name not in ("html", "body", "main") and (name in DROPPED or _marked(attributes)):
+            dropped = i in ends and name not in ("html", "body", "main") and (name in DROPPED or _marked(attributes))
+            if dropped and not ((name == "form" or name not in DROPPED) and wraps(i)):
                 if name in BLOCKS or name in DROPPED:
                     flush()
                     lines += [_Line("", 0, inside)] * WINDOW

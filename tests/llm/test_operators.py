@@ -267,6 +267,18 @@ def test_bundling_in_parts_is_whole():
     assert np.array_equal(whole, Bundler(64).bundle([(0, p) for p in parts], 1))
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='page has-sidebar'><div class='sidebar'><p>Side</p></div><h1>Title</h1><p>One.</p><p>Two.</p></div>",
+        "<form id='all'><div class='header'><h1>Site</h1></div><main><h1>Title</h1><p>One.</p><p>Two.</p></main><form><p>Mail</p></form></form>",
+        "<body class='with-sidebar'><article><h1>Title</h1><p>One.</p><p>Two.</p></article><div class='comments'><article class='comment'><p>a</p><p>b</p><p>c</p></article></div></body>",
+    ],
+)
+def test_html_wrappers_stay(page):
+    assert html_text.main_text(page) == "Title\nOne.\nTwo."
+
+
 def test_html(spark):
     page = "<html><head><title>T</title><style>p{}</style></head><body><nav>Menu</nav><div class='ad banner'>Buy</div><article><h1>A &amp; B</h1><p>One\n two<br>three <b>bo</b>ld.</p><div class='comments'>Nice!</div><p>End.</p></article><aside>More</aside><footer>&copy;</footer></body></html>"
     plain = "<div>Menu</div>" * 2 + f"<p>{words(40)}.</p><p>Tail</p><script>var a = '<p>x</p>';</script>"

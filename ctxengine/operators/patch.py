@@ -204,3 +204,10 @@ def smart_plans(found: DataFrame, targets: DataFrame, originals: DataFrame) -> D
     joined = found.join(targets, "hint_id").join(originals.select(F.col("path").alias("target"), F.col("text").alias("original")), "target", "left")
     score = F.least(F.lit(100), F.col("confidence") + F.when(F.col("target").isNotNull(), 10).otherwise(0))
     return joined.select("hint_id", "target", score.alias("confidence"), confidence_level(score).alias("level"), positional_diff(F.coalesce("target", F.lit("")), F.coalesce("original", F.lit("")), F.col("content")).alias("diff"))
+
+
+def apply_patches(files: DataFrame, patches: DataFrame) -> DataFrame:
+    """Files (path, text) after patches (path, code): a document is replaced as a whole, or created; with what happened to it."""
+    joined = files.select("path", "text", F.lit(True).alias("_there")).join(patches.select("path", "code"), "path", "full")
+    action = F.when(F.col("code").isNull(), "kept").when(F.col("_there"), "replaced").otherwise("created")
+    return joined.select("path", F.coalesce("code", "text").alias("text"), action.alias("action"))

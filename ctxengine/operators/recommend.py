@@ -94,8 +94,8 @@ def collect(base: DataFrame, files: DataFrame, enabled: dict[str, bool] | None =
     enabled = enabled or {}
     out = [s(base, files) for name, s in (("markdownLink", by_link), ("headingMatch", by_name), ("directoryProximity", by_directory)) if enabled.get(name, True)]
     out += extra or []
-    result = out[0]
-    for more in out[1:]:
+    result = base.sparkSession.createDataFrame([], "project_id string, path string, source string, score double, detail string")  # if all are switched off
+    for more in out:
         result = result.unionByName(more)
     return result
 

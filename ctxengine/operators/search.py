@@ -39,6 +39,11 @@ def contains_text(files: DataFrame, query: str) -> DataFrame:
     return files.where(F.contains(F.lower("text"), F.lit(query.lower()))).select("project_id", "path").distinct()
 
 
+def first_paths(found: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` files in the order of project and path."""
+    return found.orderBy("project_id", "path").limit(most)
+
+
 def recipe(kind: str, value: str, path: Column) -> tuple[Column, str]:
     """(predicate, reason) of a path recipe."""
     if kind == "text":

@@ -33,6 +33,14 @@ def readable(signals: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame
     return joined.where("_there").drop("_there"), lost.select(F.lit("unreadableFile").alias("kind"), "project_id", F.col("path").alias("relative_path"))
 
 
+def read_contents(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """Wanted (project_id, path) with text and size, and size 0 and a warning where no such file is inside the project."""
+    inside = ~F.col("path").rlike(r"^/|(?:^|/)\.\.(?:/|\z)")
+    there = files.select("project_id", "path", "text", F.lit(True).alias("_there"))
+    warning = F.when(F.col("_there").isNull(), F.lit("unreadableFile"))
+    return wanted.join(there.where(inside), ["project_id", "path"], "left").select("project_id", "path", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), warning.alias("warning"))
+
+
 def valid_roots(projects: DataFrame) -> tuple[DataFrame, DataFrame]:
     """F16: (projects with a root, warnings)."""
     blank = js_trim(F.coalesce("rootPath", F.lit(""))) == ""

@@ -406,3 +406,46 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("compressed_sizes", "X5 X6 X22", None)
 def compressed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code(spark, sf_dir).select("code_id", F.octet_length(pack.compress(F.col("text"), F.lit("a.ts"))).alias("script"), F.octet_length(brace_stub(F.col("text"))).alias("other"))
+
+
+@query(
+    "discover", "X19 X20 O3",
+    f"""WITH {FILES}, {EDGES}, {BASE}, {DIRECTORY}, {NAMES}, {LINKED}, {MERGED},
+      cand AS (SELECT project_id, path, 30.0 AS score FROM base UNION ALL SELECT DISTINCT e.project_id, f.path, 5.0 FROM edges e JOIN base b ON b.project_id = e.project_id AND b.path = e.src
+        JOIN files f ON f.project_id = e.project_id AND f.path = e.dst WHERE confidence BETWEEN 0 AND 1 AND NOT EXISTS (SELECT 1 FROM base x WHERE x.project_id = e.project_id AND x.path = e.dst))
+      SELECT project_id, path, round(score::DOUBLE, 6) AS score, recommended FROM (SELECT project_id, path, score::DOUBLE AS score, false AS recommended FROM cand
+      UNION ALL SELECT project_id, path, score, true FROM recs r WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.project_id = r.project_id AND c.path = r.path))""",
+)
+def discover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commit recipe: its files, what the graph leads to from them, and recommendations, in the locale's order of paths."""
+    base = base_files(spark, sf_dir)
+    weight = lambda reason: F.lit(float(signals.REASON_WEIGHTS[reason])).alias("score")
+    expanded = search.docgraph(base, edges(spark, sf_dir), files(spark, sf_dir)).select("project_id", "path", weight("docgraph"))
+    found = base.select("project_id", "path", weight("gitCommit")).unionByName(expanded)
+    out = recommend.with_base(found, _merged(spark, sf_dir))
+    return signals.in_order(out.withColumn("score", F.round("score", 6)), "path")
+
+
+@query("grep_selection", "O9 S5", f"WITH {FILES} SELECT DISTINCT project_id, path FROM files WHERE contains(lower(text), 'tion') ORDER BY project_id, path LIMIT 5000")
+def grep_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.first_paths(search.contains_text(files(spark, sf_dir), "tion"), 5000)
+
+
+@query("token_scan", "O10 A8", f"WITH {FILES} SELECT project_id, path, ceil(coalesce(size, 0) / 4.0)::BIGINT AS tokens FROM files ORDER BY project_id, path LIMIT 10000")
+def token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = search.first_paths(files(spark, sf_dir).select("project_id", "path", "size"), 10_000)
+    return first.select("project_id", "path", F.ceil(F.coalesce("size", F.lit(0)) / 4).cast("long").alias("tokens"))
+
+
+@query("read_contents", "S14 S15", f"WITH {FILES} SELECT project_id, path, coalesce(size, 0) AS size, NULL::VARCHAR AS warning FROM files UNION ALL SELECT project_id, '../' || path, 0, 'unreadableFile' FROM files")
+def read_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir)
+    keys = f.select("project_id", "path")
+    return signals.read_contents(keys.unionByName(keys.withColumn("path", F.concat(F.lit("../"), "path"))), f).drop("text")
+
+
+@query("diff_text", "S11", f"SELECT conv_id AS project_id, coalesce(string_agg(text, {N} ORDER BY turn % 2, turn), '') AS diff FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+def diff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    path = F.concat("role", F.lit("/"), F.lpad(F.col("turn").cast("string"), 9, "0"))
+    return connectors.changed_diff(c.select(F.col("conv_id").alias("project_id"), path.alias("path"), (F.col("turn") % 2 == 1).alias("staged"), F.col("text").alias("diff")), ["system"])

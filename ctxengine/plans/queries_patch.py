@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import path_in_context, path_hint
@@ -54,14 +54,15 @@ def reply_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     "patch_targets", "J19 W6",
     f"""WITH {FILES}, h AS (SELECT doc_id, path, CASE doc_id % 3 WHEN 0 THEN path WHEN 1 THEN regexp_extract(path, '[^/]*/[^/]*$') ELSE 'no/such.md' END AS hint FROM files),
       hit AS (SELECT h.doc_id, arg_min(f.path, (CASE WHEN f.path = h.hint THEN 0 ELSE 1 END, f.doc_id)) AS p, max(CASE WHEN f.path = h.hint THEN 80 ELSE 60 END) AS c FROM h JOIN files f ON regexp_extract(f.path, '[^/]*$') = regexp_extract(h.hint, '[^/]*$') AND ends_with(f.path, h.hint) GROUP BY 1),
-      r AS (SELECT path, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM files WHERE doc_id < 5)
+      r AS (SELECT path, row_number() OVER (ORDER BY doc_id DESC) - 1 AS k FROM files ORDER BY doc_id DESC LIMIT 50)
       SELECT h.doc_id AS hint_id, coalesce(hit.p, (SELECT path FROM r WHERE k = 0)) AS target, CASE WHEN hit.p IS NULL THEN 40 ELSE least(100, hit.c + CASE WHEN r.k IS NULL THEN 0 ELSE greatest(20 - 2 * r.k, 5) END) END::BIGINT AS confidence FROM h LEFT JOIN hit USING (doc_id) LEFT JOIN r ON r.path = hit.p""",
 )
 def patch_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
     tail = F.regexp_extract("path", r"[^/]*/[^/]*\z", 0)
     hints = f.select(F.col("doc_id").alias("hint_id"), F.when(F.col("doc_id") % 3 == 0, F.col("path")).when(F.col("doc_id") % 3 == 1, tail).otherwise("no/such.md").alias("path_hint"))
-    recent = f.where("doc_id < 5").select("path", F.col("doc_id").alias("rank"))
+    last = f.orderBy(F.desc("doc_id")).limit(50).select("path", "doc_id")  # the list of recent files
+    recent = last.select("path", (F.row_number().over(Window.orderBy(F.desc("doc_id"))) - 1).alias("rank"))
     return patch.resolve_targets(hints, f.select("path", F.col("doc_id").alias("ord")), recent).withColumn("confidence", F.col("confidence").cast("long"))
 
 
@@ -83,3 +84,14 @@ def smart_patch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = patch.smart_plans(found, targets, known.select("path", F.lit("old").alias("text")))
     at = F.split("hint_id", "-")
     return plans.select(at[0].cast("long").alias("hint_id"), at[1].cast("long").alias("turn"), "target", F.col("confidence").cast("long").alias("confidence"), "level")
+
+
+@query(
+    "patch_apply", "K9 K14",
+    "SELECT 'src/f' || doc_id || '.md' AS path, CASE WHEN quality = 1 THEN 'new' ELSE text END AS text, CASE WHEN quality = 1 THEN 'replaced' ELSE 'kept' END AS action FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT 'made/f' || doc_id || '.md', 'new', 'created' FROM labels WHERE toxic = 1",
+)
+def patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    named = lambda folder: F.concat(F.lit(folder), F.col("doc_id").cast("string"), F.lit(".md")).alias("path")
+    new = labels.where("quality = 1").select(named("src/f")).unionByName(labels.where("toxic = 1").select(named("made/f"))).withColumn("code", F.lit("new"))
+    return patch.apply_patches(table(spark, sf_dir, "documents").select(named("src/f"), "text"), new)

@@ -4,9 +4,12 @@ The markup is stripped to lines, one for each block-level element. Lines inside
 footers, sidebars, notices, adverts, forms, reader comments and the like have no text of their
 own, they only part what stands around them. Over the lines' lengths a window slides; where
 the sum of a window rises over the threshold from an empty line there is a surge point, where it
-falls to nothing a dive point. The text between surge and dive is the page's content. An
-``article`` or ``main`` element, where a page has one, bounds the lines that count, and then
-any line with text is enough for a surge. A form or a marked element that wraps the page's
+falls to nothing a dive point. The text between surge and dive is the page's content.
+``article`` and ``main`` elements, where they hold the larger part of the page's unlinked text,
+are content as a whole, short siblings too, unless most of one is links. Text outside them must
+reach the threshold by itself, stand in a span with an ``h1``, or stand right next to
+one of them. Where they hold less (teaser cards beside a body in a ``div``), spans are sought over
+all lines. A form or a marked element that wraps the page's
 ``main``, or its ``h1`` and most of its paragraphs, is layout (a column beside a sidebar, a page in
 a form) and stays.
 
@@ -20,7 +23,9 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,7 @@ from .common import in_batches
 #: Lines in a window, and characters in one from which text without a container counts as content.
 WINDOW = 3
 THRESHOLD = 80
-#: Share of linked characters from which a line is a menu entry outside a container.
+#: Share of linked characters from which a line outside a container is a menu entry, and a container a menu.
 LINKED = 0.6
 
 # Elements whose content is never running text, elements that part blocks, void
@@ -116,14 +121,14 @@ def _wrappers(tokens: list[tuple], ends: dict[int, int]) -> Callable[[int], bool
 
 
 class _Line:
-    __slots__ = ("text", "linked", "inside")
+    __slots__ = ("text", "linked", "inside", "top")
 
-    def __init__(self, text: str, linked: int, inside: int):
-        self.text, self.linked, self.inside = text, linked, inside
+    def __init__(self, text: str, linked: int, inside: int, top: bool = False):
+        self.text, self.linked, self.inside, self.top = text, linked, inside, top
 
 
 def lines_of(page: str) -> list[_Line]:
-    """Lines of the page; inside: the number of the container that the line stands in, 0 if none."""
+    """Lines of the page; inside: the number of the container that the line stands in, 0 if none; top: whether it is an h1."""
     tokens = _tokens(page)
     ends = _ends(tokens)
     wraps = _wrappers(tokens, ends)
@@ -131,14 +136,16 @@ def lines_of(page: str) -> list[_Line]:
     held: list[str] = []
     linked, links, inside, containers, skip_to = 0, 0, 0, 0, -1
     until: list[tuple[int, int]] = []
+    top_to = -1
 
     def flush() -> None:
         nonlocal held, linked
         text = " ".join(html.unescape("".join(held)).split())
         if text:
-            lines.append(_Line(text, linked, inside))
+            lines.append(_Line(text, linked, inside, i <= top_to))
         held, linked = [], 0
 
+    i = 0
     for i, (kind, name, attributes, text) in enumerate(tokens):
         if i <= skip_to:
             continue
@@ -161,6 +168,8 @@ def lines_of(page: str) -> list[_Line]:
                 links += i in ends
             elif name in BLOCKS:
                 flush()
+                if name == "h1":
+                    top_to = max(top_to, ends.get(i, -1))
                 if name in CONTAINERS and i in ends and not inside:
                     containers += 1
                     until.append((ends[i], containers))
@@ -204,23 +213,42 @@ def surges(lengths: np.ndarray, window: int = WINDOW, threshold: int = THRESHOLD
     return spans
 
 
+def content(lines: list[_Line], window: int = WINDOW, threshold: int = THRESHOLD) -> list[int]:
+    """Indices of the lines that are the page's content, in order."""
+    sizes, free = Counter(), Counter()
+    for x in lines:
+        sizes[x.inside] += len(x.text)
+        free[x.inside] += max(0, len(x.text) - x.linked)
+    unlinked = sum(free.values())
+    # a container that is mostly links is a menu or a teaser, unless all text of the page is linked
+    whole = {c for c in sizes if c and sizes[c] and (free[c] > (1 - LINKED) * sizes[c] or not unlinked)}
+    bounds = bool(whole) and 2 * sum(free[c] for c in whole) >= unlinked
+    lengths = np.array([len(x.text) if x.top or x.inside in whole or x.linked < LINKED * len(x.text) else 0 for x in lines], np.int64)
+    out: set[int] = set()
+    for inside, group in groupby(range(len(lines)), lambda i: bounds and lines[i].inside in whole):
+        rows = list(group)
+        if inside:
+            out.update(rows)
+            continue
+        every, long = surges(lengths[rows], window, 1), set(surges(lengths[rows], window, threshold))
+        for a, b in every:
+            if (a, b) in long or (not long and not bounds) or any(lines[i].top for i in rows[a:b]):
+                out.update(rows[a:b])
+        if bounds:  # the text right before and after a container
+            for edge in (rows if rows[0] else [], rows[::-1] if rows[-1] < len(lines) - 1 else []):
+                for i in edge:
+                    if lines[i].inside or not lengths[i]:
+                        break
+                    out.add(i)
+    return sorted(i for i in out if lines[i].text)
+
+
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
     """The main text of one page."""
     if not page:
         return ""
     lines = lines_of(page)
-    sizes: dict[int, int] = {}
-    for x in lines:
-        if x.inside:
-            sizes[x.inside] = sizes.get(x.inside, 0) + len(x.text)
-    if any(sizes.values()):
-        least = max(sizes.values()) / 4  # teasers in containers of their own are not the article
-        lengths = np.array([len(x.text) if x.inside and sizes[x.inside] >= least else 0 for x in lines])
-        spans = surges(lengths, window, 1)
-    else:
-        lengths = np.array([0 if x.linked >= LINKED * len(x.text) else len(x.text) for x in lines])
-        spans = surges(lengths, window, threshold) or surges(lengths, window, 1)
-    return "\n".join(lines[i].text for a, b in spans for i in range(a, b) if lengths[i] or (lines[i].text and not any(sizes.values())))
+    return "\n".join(lines[i].text for i in content(lines, window, threshold))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = WINDOW, threshold: int = THRESHOLD) -> DataFrame:

@@ -290,6 +290,22 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_containers_lose_no_text():
+    body = [words(40, n) for n in range(4)]
+    ps = "".join(f"<p>{x}</p>" for x in body)
+    cards = "".join(f"<article><h3><a href='/{n}'>Card {n}</a></h3><p>Short teaser {n}.</p></article>" for n in range(5))
+    got = html_text.main_text(f"<div class='story'><h1>Title</h1>{ps}</div><div>{cards}</div>")
+    assert got.startswith("\n".join(["Title", *body]))  # the body stands in a div, the teasers are articles
+    many = "".join(f"<article><p>{words(30, n + 9)}</p></article>" for n in range(9))
+    got = html_text.main_text(f"<ul>{'<li><a>Menu</a></li>' * 4}</ul><div><h2>Part</h2>{ps}</div><ul>{'<li><a>Menu</a></li>' * 4}</ul>{many}")
+    assert "\n".join(["Part", *body]) in got and "Menu" not in got  # also where the teasers are longer together
+    assert html_text.main_text(f"<div>Join us</div><div class='ad'>Buy</div><h1>Title</h1><p>Lead.</p><article>{ps}</article>").endswith("\n".join(["Title", "Lead.", *body]))
+    assert html_text.main_text(f"<ul>{'<li><a>Menu</a></li>' * 4}</ul><p>Lead.</p><article>{ps}</article><p>End.</p>") == "\n".join(["Lead.", *body, "End."])
+    posts = f"<article><h2>A</h2>{ps}</article><article><h2>B</h2><p>Short.</p></article><article><a href='/c'>Another title, all linked</a></article>"
+    assert html_text.main_text(posts) == "\n".join(["A", *body, "B", "Short."])
+    assert html_text.main_text("<article><a href='/a'>One</a></article><article><a href='/b'>Two</a></article>") == "One\nTwo"
+
+
 def test_licences(spark):
     mit = "MIT License\n\nCopyright (c) 2020 A\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software. The above copyright notice and this permission notice shall be included in all copies."
     docs = spark.createDataFrame([(1, mit), (2, "// SPDX-License-Identifier: Apache-2.0\nint x;"), (3, None), (4, "The weather is nice."), (5, "Licensed under the GNU General Public License version 3 or any later version."), (6, "CC BY-NC 4.0"), (7, ""), (8, "All rights reserved.")], "doc_id long, text string")

@@ -1,8 +1,8 @@
 """Main text of HTML pages by the distribution of text over line blocks.
 
 The markup is stripped to lines, one for each block-level element. Lines inside menus, headers,
-footers, sidebars, notices, adverts, forms, reader comments and the like have no text of their
-own, they only part what stands around them. Over the lines' lengths a window slides; where
+footers, sidebars, notices, adverts, forms, reader comments and the like are taken out; what
+stands around them stays together. Over the lengths of the lines that remain a window slides; where
 the sum of a window rises over the threshold from an empty line there is a surge point, where it
 falls to nothing a dive point. The text between surge and dive is the page's content.
 ``article`` and ``main`` elements, where they hold the larger part of the page's unlinked text,
@@ -128,7 +128,7 @@ class _Line:
 
 
 def lines_of(page: str) -> list[_Line]:
-    """Lines of the page; inside: the number of the container that the line stands in, 0 if none; top: whether it is an h1."""
+    """Lines of the page that have text; inside: the number of the container that the line stands in, 0 if none; top: whether it is an h1."""
     tokens = _tokens(page)
     ends = _ends(tokens)
     wraps = _wrappers(tokens, ends)
@@ -159,7 +159,6 @@ def lines_of(page: str) -> list[_Line]:
             if dropped and not ((name == "form" or name not in DROPPED) and wraps(i)):
                 if name in BLOCKS or name in DROPPED:
                     flush()
-                    lines += [_Line("", 0, inside)] * WINDOW
                 skip_to = ends[i]
                 continue
             if name == "br":
@@ -240,7 +239,7 @@ def content(lines: list[_Line], window: int = WINDOW, threshold: int = THRESHOLD
                     if lines[i].inside or not lengths[i]:
                         break
                     out.add(i)
-    return sorted(i for i in out if lines[i].text)
+    return sorted(out)
 
 
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:

@@ -306,6 +306,14 @@ def test_html_containers_lose_no_text():
     assert html_text.main_text("<article><a href='/a'>One</a></article><article><a href='/b'>Two</a></article>") == "One\nTwo"
 
 
+def test_html_removed_blocks_end_no_text():
+    long, ad = words(60), "<div class='ad'>Buy</div>"
+    assert html_text.main_text(f"<h2>Title</h2><div class='share'>Share</div><p>{long}</p>{ad}<p>Between.</p>{ad}<p>{words(40, 1)}</p>{ad}<p>End.</p>") == "\n".join(["Title", long, "Between.", words(40, 1), "End."])
+    assert html_text.main_text(f"<p>Lead.</p>{ad}<article><p>{long}</p></article>{ad}<p>End.</p>") == "\n".join(["Lead.", long, "End."])
+    menu = "<ul>" + "<li><a href='/x'>Menu entry</a></li>" * 5 + "</ul>"
+    assert html_text.main_text(f"<div>Top</div>{menu}<p>{long}</p>{menu}<div>Bottom</div>") == long
+
+
 def test_licences(spark):
     mit = "MIT License\n\nCopyright (c) 2020 A\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software. The above copyright notice and this permission notice shall be included in all copies."
     docs = spark.createDataFrame([(1, mit), (2, "// SPDX-License-Identifier: Apache-2.0\nint x;"), (3, None), (4, "The weather is nice."), (5, "Licensed under the GNU General Public License version 3 or any later version."), (6, "CC BY-NC 4.0"), (7, ""), (8, "All rights reserved.")], "doc_id long, text string")

@@ -3,7 +3,8 @@
 A text is cut into sentences, each is normalised (lower case, letters, digits and dots only) and
 looked up among known licence sentences, which gives it an identifier. The sequence of
 identifiers of a document is then matched against ordered rules; a rule that matches consumes
-its identifiers, and what no rule consumes is reported as unmatched.
+its identifiers, and what no rule consumes is reported as unmatched. An SPDX tag takes one licence
+expression, up to its line's end at most, and gives each identifier in it.
 
 Only documents with a word that every known sentence has part of go to the sentence stage;
 that test runs over the whole texts in the JVM.
@@ -24,13 +25,16 @@ from pyspark.sql import functions as F
 
 from .common import in_batches
 
-#: Every known sentence holds one of these, in any case.
-HINT = r"(?i)licen[sc]|permission|redistribut|warrant|copyright|spdx|public domain|liable|unlicen|cc0|gpl|rights reserved|cc[\s_-]by|creative\s+commons"
+#: Every known sentence holds one of these, in any case; what normalise() makes a blank may part their words.
+HINT = r"(?i)licen[sc]|permission|redistribut|warrant|copyright|spdx|public[\W_]+domain|liable|unlicen|cc0|gpl|rights[\W_]+reserved|cc[\W_]+by|creative[\W_]+commons|as[\W_]+is|endorse|later[\W_]+version"
+
+#: An SPDX tag with its licence expression. Operators in lower case count only before what looks like an identifier.
+_ID = r"\(*(?:DocumentRef-[A-Za-z0-9.-]+:)?[A-Za-z0-9][A-Za-z0-9.+-]*\)*"
+SPDX = re.compile(rf"(?i:\bSPDX[\W_]+License[\W_]+Identifier)[\W_]+({_ID}(?:[ \t]+(?:OR|AND|WITH|(?:or|and|with)(?=[ \t]+\(*[\w.+-]*(?:\d|[A-Z][\w.+-]*[A-Z])))[ \t]+{_ID})*)")
 
 # Known licence sentences. The pattern is searched in the normalised sentence, and
 # {v} in an identifier is the version that it captured.
 SENTENCES: list[tuple[str, str]] = [
-    ("spdx:{v}", r"\bspdx license identifier ([a-z0-9.+ ]+)"),
     ("cc-by-nc-sa:{v}", r"\bcc by nc sa (\d(?:\.\d)?)\b|creative commons attribution non ?commercial share ?alike (\d(?:\.\d)?)"),
     ("cc-by-nc-nd:{v}", r"\bcc by nc nd (\d(?:\.\d)?)\b|creative commons attribution non ?commercial no ?deriv\w* (\d(?:\.\d)?)"),
     ("cc-by-nc:{v}", r"\bcc by nc (\d(?:\.\d)?)\b|creative commons attribution non ?commercial (\d(?:\.\d)?)"),
@@ -125,7 +129,19 @@ def normalise(sentence: str) -> str:
 
 
 def identify_sentence(sentence: str) -> list[str]:
-    """Identifiers of a normalised sentence, in the order in which they occur in it; a mention counts only without any other."""
+    """Identifiers of a sentence, in the order in which they occur in it; a mention counts only without any other."""
+    out, at = [], 0
+    for tag in SPDX.finditer(sentence):
+        out += _identify(sentence[at : tag.start()])
+        names = (x.strip("()").rstrip(".-") for x in tag[1].split() if x.upper() not in ("OR", "AND", "WITH"))
+        out += [f"spdx:{x}" for x in names if x]
+        at = tag.end()
+    out += _identify(sentence[at:])
+    return [i for i in out if i != "licence-mention"] or out
+
+
+def _identify(sentence: str) -> list[str]:
+    """Identifiers of a sentence, or of a part of one, without SPDX tags."""
     s = re.sub(r"\s+", " ", normalise(sentence))
     found: list[tuple[int, int, str]] = []
     for ident, pattern in _known():
@@ -133,10 +149,7 @@ def identify_sentence(sentence: str) -> list[str]:
             if any(a < m.end() and m.start() < b for a, b, _ in found) or (ident == "licence-mention" and found):
                 continue
             version = next((g for g in m.groups() if g), "") if m.groups() else ""
-            if ident.startswith("spdx"):
-                name = re.search(r"SPDX[\s-]*License[\s-]*Identifier\s*:?\s*([\w.+-]+)", sentence, re.I)
-                version = name[1].rstrip(".") if name else version.split(" ")[0]
-            elif version and "." not in version and not ident.startswith("bsd"):
+            if version and "." not in version and not ident.startswith("bsd"):
                 version += ".0"
             found.append((m.start(), m.end(), ident.replace("{v}", version)))
     return [i for _, _, i in sorted(found)]
@@ -157,7 +170,7 @@ def match_rules(ids: list[str]) -> tuple[list[str], list[str]]:
 def scan_text(text: str | None) -> tuple[list[str], list[str], list[str], int]:
     """(licences, identifiers, unmatched identifiers, number of known sentences) of one text."""
     text, ids, n = text or "", [], 0
-    hint = re.compile(HINT + "|endorse|any later version|as is")
+    hint = re.compile(HINT)
     # a sentence may be cut by the colon of "SPDX-License-Identifier:" or a numbered list
     joined = re.sub(r"(?i)(identifier)\s*:\s*", r"\1 ", text)
     for a, b in sentences(joined):

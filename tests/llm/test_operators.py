@@ -322,6 +322,51 @@ def test_licences(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "licenses"),
+    [
+        ("SPDX-License-Identifier: MIT\nLicensed under the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+        ("# SPDX-License-Identifier: MIT\n# SPDX-License-Identifier: BSD-3-Clause\nimport x", ["MIT", "BSD-3-Clause"]),
+        ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0+ */ int x;", ["MIT", "Apache-2.0", "GPL-2.0+"]),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\nOR so", ["GPL-2.0-only", "Classpath-exception-2.0"]),
+        ("SPDX-License-Identifier: MIT or Apache-2.0", ["MIT", "Apache-2.0"]),
+        ("SPDX-License-Identifier: MIT and see the file.", ["MIT"]),
+        ("CC BY 4.0 for texts, SPDX-License-Identifier: MIT.\nAll else is in the public domain", ["CC-BY-4.0", "MIT"]),
+    ],
+)
+def test_spdx_expressions(text, licenses):
+    assert license_scan.scan_text(text)[0] == licenses
+
+
+def test_every_licence_sentence_has_a_hint(spark):
+    from itertools import product
+    from re import _parser
+
+    def made(parsed):
+        """A text for each choice of branches, with optional parts left out."""
+        parts = []
+        for op, v in parsed:
+            op = str(op)
+            if op == "BRANCH":
+                parts.append([x for p in v[1] for x in made(p)])
+            elif op == "SUBPATTERN":
+                parts.append(made(v[3]))
+            elif op == "MAX_REPEAT":
+                parts.append([x * v[0] for x in made(v[2])] if v[0] else [""])
+            elif op == "IN":
+                parts.append(["0" if str(v[0][1]) == "CATEGORY_DIGIT" else "x" if str(v[0][0]) == "CATEGORY" else chr(v[0][1]) if str(v[0][0]) == "LITERAL" else "0"])
+            else:
+                parts.append([chr(v) if op == "LITERAL" else "x" if op == "ANY" else ""])
+        return ["".join(x) for x in product(*parts)]
+
+    texts = [x for _, p in license_scan.SENTENCES for x in made(_parser.parse(p))]
+    assert all(license_scan.identify_sentence(x) for x in texts)
+    apart = [x.replace(" ", "\n * ") for x in texts]
+    docs = spark.createDataFrame(list(enumerate(texts + apart)), "doc_id long, text string")
+    got = {r["doc_id"]: r["sentence_ids"] for r in license_scan.scan(docs).collect()}
+    assert [i for i in got if not got[i]] == []
+
+
 def test_quality(spark):
     from pyspark.sql import functions as F
 

@@ -383,19 +383,17 @@ def test_quality(spark):
 
 
 def test_quality_pool_is_the_corpus(spark):
-    # 4 rounds of 400 of a class are fewer than the sure documents; those of a rare source have the last ids
     rare = [(9000 + i, words(30, i), "en", "rare", 179) for i in range(3)]
     docs = spark.createDataFrame([(i, words(30, i) if i % 2 else "$$ 1234 ## " * 20, "en", "web", 179) for i in range(4000)] + rare, "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
-    model = quality.train(docs, labels)
-    x = [quality.metadata_features(["en"], [s], [179])[0] for s in ("web", "rare")]
-    assert any(model.metadata.weights[k] != 0 for k in np.flatnonzero(x[1] > x[0]))
     features = quality._features(quality._base(docs, "doc_id"))
     sure = quality.Logistic(np.zeros(quality.SHAPES + quality.WORDS + 8), 9.0), quality.Logistic(np.ones(1), 0.0)
     unsure = quality.Logistic(np.zeros(quality.SOURCES + quality.LANGS + quality.LENGTHS), 0.0), sure[1]
     got = quality.surest(features, labels.select("doc_id").toDF("id"), [sure, unsure], [[], []], handed=5000)
     assert {(r["view"], r["label"]) for r in got.collect()} == {(1, 1)}
     assert sorted(r["id"] for r in got.join(features, "key").select("id").collect()) == [*range(400, 4000), 9000, 9001, 9002]
+    first = quality.surest(features, labels.select("doc_id").toDF("id"), [sure, unsure], [[], []], handed=4).join(features, "key")
+    assert sum(r["id"] >= 9000 for r in first.collect()) == 2  # sources take turns
     few = quality.surest(features, labels.select("doc_id").toDF("id"), [sure, unsure], [[], [r["key"] for r in got.where("key > 0").collect()]], handed=10).collect()
     assert len(few) == 10 and all(r["key"] <= 0 for r in few)
 

@@ -2,20 +2,29 @@
 
 The markup is stripped to lines, one for each block-level element. Lines inside menus, headers,
 footers, sidebars, notices, adverts, forms, reader comments and the like are taken out; what
-stands around them stays together. Over the lengths of the lines that remain a window slides; where
-the sum of a window rises over the threshold from an empty line there is a surge point, where it
-falls to nothing a dive point. The text between surge and dive is the page's content.
-``article`` and ``main`` elements, where they hold the larger part of the page's unlinked text,
-are content as a whole, short siblings too, unless most of one is links. Text outside them must
+stands around them stays together. A line that is mostly links has no length. Over the lengths of the
+lines that remain a window slides; where the sum of a window rises over the threshold from an empty
+block there is a surge point, where it falls to nothing a dive point. The text between surge and dive
+is the page's content.
+
+``article`` and ``main`` elements that hold the larger part of the page's unlinked text bound the
+content: inside them any line with a length is a surge, so what goes is what lies between a dive and
+the next surge, a run of at least ``window`` lines of links (a list of links between or after the
+paragraphs); short siblings stay too, unless most of one is links. Text outside them must
 reach the threshold by itself, stand in a span with an ``h1``, or stand right next to
 one of them. Where they hold less (teaser cards beside a body in a ``div``), spans are sought over
-all lines. A form or a marked element that wraps the page's
-``main``, or its ``h1`` and most of its paragraphs, is layout (a column beside a sidebar, a page in
-a form) and stays.
+all lines.
+
+Names in class, id and role take an element out if they are made of such words and of words of layout
+alone ("site-header", "comment-list"). A name with other words in it ("menu-of-the-day") does so only
+if most of the element's text is links. A header inside an article is its own and stays. A form or
+a marked element that wraps the page's ``main``, or its ``h1`` and most of its paragraphs, is layout (a
+column beside a sidebar, a page in a form) and stays.
 
 Defined results: a null or empty page gives an empty text; markup that never ends is dropped to
-its end, an element that never closes bounds nothing; repeated pages are extracted alike; an
-empty table gives an empty result. A line break inside a block is white space.
+its end, an element that never closes bounds nothing; a page is read forward once, in time in
+proportion to its length, and kept whole however long; repeated pages are extracted alike; further columns
+are not read; an empty table gives an empty result. A line break inside a block is white space.
 """
 
 from __future__ import annotations
@@ -54,47 +63,99 @@ MARKED = frozenset(
 )
 CONTAINERS = frozenset(("article", "main"))
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|</[^a-zA-Z][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
-_PART = re.compile(r"[\s_\-:]+|(?<=[a-z])(?=[A-Z])")
-
-
-def _marked(attributes: str) -> bool:
-    """Whether class, id, role or visibility say that an element isn't part of the article."""
-    if not attributes or not attributes.strip(" /"):
-        return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-        if name in ("class", "id", "role") and any(p.lower() in MARKED for p in _PART.split(html.unescape(value))):
-            return True
-    return False
+# Words of layout, which say nothing about what an element is.
+NEUTRAL = frozenset("area article bar blog block body bottom box buttons button card col column container content div entry fixed form global group head icons inner item items large left link links list main mobile outer page panel post posts primary reader right row secondary section site small sticky story text the thread title top user users wide wrap wrapper".split())
+#: Words that mark a page's header, but not an article's own, nor a paragraph or heading.
+_HEADERS = frozenset(("header", "masthead"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+
+_NAME = re.compile(r"[^\s/>]+")
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*|=)(?:\s*=\s*(?:(["'])|([^\s>"'][^\s>]*)))?""")
+_GAP = re.compile(r"[\s/]*")
+_COMMENT_END = re.compile(r"--!?>")
+_PART = re.compile(r"[_\-:]+|(?<=[a-z])(?=[A-Z])")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+def _mark(name: str, attributes: list[tuple[str, str]], inside: bool) -> int:
+    """Whether class, id, role or visibility say that an element isn't part of the article: 2 yes, 1 only if it is mostly links, 0 no."""
+    strength = 0
+    for key, value in attributes:
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _UNSEEN.search(value)):
+            return 2
+        if key not in ("class", "id", "role"):
+            continue
+        for word in html.unescape(value).split():
+            parts = {p.lower() for p in _PART.split(word) if p}
+            marks = parts & MARKED
+            if marks and not (marks <= _HEADERS and (inside or name in _HEADINGS)):
+                strength = max(strength, 2 if all(p in MARKED or p in NEUTRAL or p.isdigit() for p in parts) else 1)
+    return strength
+
+
+def _tag(page: str, at: int) -> tuple[str, list[tuple[str, str]], bool, int]:
+    """(name, attributes, whether it closes itself, its end) of the start tag whose name begins at ``at``; the end is -1 if the page ends first."""
+    m = _NAME.match(page, at)
+    name, at, attributes, slash = m[0].lower(), m.end(), [], False
+    while True:
+        gap = _GAP.match(page, at)
+        slash, at = gap[0].endswith("/"), gap.end()
+        if at >= len(page):
+            return name, attributes, slash, -1
+        if page[at] == ">":
+            return name, attributes, slash, at + 1
+        m = _ATTRIBUTE.match(page, at)
+        at = m.end()
+        value = m[3] or ""
+        if m[2]:
+            close = page.find(m[2], at)
+            if close < 0:
+                return name, attributes, slash, -1
+            value, at = page[at:close], close + 1
+        attributes.append((m[1].lower(), value))
 
 
 def _tokens(page: str) -> list[tuple]:
-    """(kind, name, attributes, text); kind is "text", "open" or "close". Raw elements' content is left out."""
-    out, at = [], 0
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        if not m:
-            rest = page[at:]
-            cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)  # markup that the page's end cuts off
-            out.append(("text", "", "", rest[: cut.start()] if cut else rest))
+    """(kind, name, attributes, text); kind is "text", "open", "single" or "close". Raw elements' content is left out.
+
+    Reads forward; markup that never ends takes the rest of the page, so no character is looked at again.
+    """
+    out: list[tuple] = []
+    at, n = 0, len(page)
+    while at < n:
+        low = page.find("<", at)
+        if low < 0:
+            out.append(("text", "", (), page[at:]))
             break
-        if m.start() > at:
-            out.append(("text", "", "", page[at : m.start()]))
-        at = m.end()
-        if m[2]:
-            name = m[2].lower()
-            if m[1]:
-                out.append(("close", name, "", ""))
-            else:
-                out.append(("open", name, m[3], ""))
-                if name in RAW:
-                    end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                    out.append(("close", name, "", ""))
-                    at = end.end() if end else len(page)
+        after = page[low + 1 : low + 2]
+        letter = after.isascii() and after.isalpha()
+        if not letter and after not in ("/", "!", "?"):  # a "<" of the text
+            out.append(("text", "", (), page[at : low + 1]))
+            at = low + 1
+            continue
+        if low > at:
+            out.append(("text", "", (), page[at:low]))
+        if letter:
+            name, attributes, single, at = _tag(page, low + 1)
+            if at < 0:
+                break
+            out.append(("single" if single else "open", name, attributes, ""))
+            if name in RAW and not single:
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+                close = page.find(">", end.end()) if end else -1
+                out.append(("close", name, (), ""))
+                at = close + 1 if close >= 0 else n
+        elif page.startswith("<!--", low):
+            end = None if page.startswith((">", "->"), low + 4) else _COMMENT_END.search(page, low + 4)
+            at = end.end() if end else page.find(">", low) + 1 if page.startswith((">", "->"), low + 4) else n
+        else:
+            close = page.find(">", low)
+            if close < 0:
+                break
+            name = _NAME.match(page, low + 2)
+            if after == "/" and name and name[0][0].isalpha():
+                out.append(("close", name[0].lower(), (), ""))
+            at = close + 1
     return out
 
 
@@ -102,8 +163,8 @@ def _ends(tokens: list[tuple]) -> dict[int, int]:
     """Index of the closing token of each element that is closed; elements left open inside one end with it."""
     ends: dict[int, int] = {}
     open_at: dict[str, list[int]] = {}
-    for i, (kind, name, attributes, _) in enumerate(tokens):
-        if kind == "open" and name not in VOID and not attributes.rstrip().endswith("/"):
+    for i, (kind, name, _, _) in enumerate(tokens):
+        if kind == "open" and name not in VOID:
             open_at.setdefault(name, []).append(i)
         elif kind == "close" and open_at.get(name):
             ends[open_at[name].pop()] = i
@@ -112,7 +173,7 @@ def _ends(tokens: list[tuple]) -> dict[int, int]:
 
 def _wrappers(tokens: list[tuple], ends: dict[int, int]) -> Callable[[int], bool]:
     """Whether the element at an index wraps the article, rather than standing beside it."""
-    at = {n: [i for i, (kind, name, _, _) in enumerate(tokens) if kind == "open" and name == n] for n in ("main", "h1", "p")}
+    at = {n: [i for i, (kind, name, _, _) in enumerate(tokens) if kind in ("open", "single") and name == n] for n in ("main", "h1", "p")}
 
     def inside(name: str, i: int) -> int:
         return bisect_left(at[name], ends[i]) - bisect_left(at[name], i)
@@ -120,6 +181,20 @@ def _wrappers(tokens: list[tuple], ends: dict[int, int]) -> Callable[[int], bool
     return lambda i: bool(inside("main", i) or (inside("h1", i) and 2 * inside("p", i) > len(at["p"])))
 
 
+def _linked_share(tokens: list[tuple], ends: dict[int, int]) -> Callable[[int], float]:
+    """Which share of the text of the element at an index is links."""
+    text, linked, links = [0], [0], 0
+    for i, (kind, name, _, t) in enumerate(tokens):
+        if name == "a" and kind == "open":
+            links += i in ends
+        elif name == "a" and kind == "close":
+            links = max(0, links - 1)
+        size = len(t.strip())
+        text.append(text[-1] + size)
+        linked.append(linked[-1] + (size if links else 0))
+    return lambda i: (linked[ends[i]] - linked[i]) / max(1, text[ends[i]] - text[i])
+
+
 class _Line:
     __slots__ = ("text", "linked", "inside", "top")
 
@@ -131,7 +206,7 @@ def lines_of(page: str) -> list[_Line]:
     """Lines of the page that have text; inside: the number of the container that the line stands in, 0 if none; top: whether it is an h1."""
     tokens = _tokens(page)
     ends = _ends(tokens)
-    wraps = _wrappers(tokens, ends)
+    wraps, share = _wrappers(tokens, ends), _linked_share(tokens, ends)
     lines: list[_Line] = []
     held: list[str] = []
     linked, links, inside, containers, skip_to = 0, 0, 0, 0, -1
@@ -154,8 +229,11 @@ def lines_of(page: str) -> list[_Line]:
             if links:
                 linked += len(text)
             continue
-        if kind == "open":
-            dropped = i in ends and name not in ("html", "body", "main") and (name in DROPPED or _marked(attributes))
+        if kind != "close":
+            dropped = False
+            if i in ends and name not in ("html", "body", "main"):
+                kind_of = 2 if name in DROPPED and not (name == "header" and inside) else _mark(name, attributes, bool(inside)) if attributes else 0
+                dropped = kind_of == 2 or (kind_of == 1 and share(i) >= LINKED)
             if dropped and not ((name == "form" or name not in DROPPED) and wraps(i)):
                 if name in BLOCKS or name in DROPPED:
                     flush()
@@ -222,12 +300,17 @@ def content(lines: list[_Line], window: int = WINDOW, threshold: int = THRESHOLD
     # a container that is mostly links is a menu or a teaser, unless all text of the page is linked
     whole = {c for c in sizes if c and sizes[c] and (free[c] > (1 - LINKED) * sizes[c] or not unlinked)}
     bounds = bool(whole) and 2 * sum(free[c] for c in whole) >= unlinked
-    lengths = np.array([len(x.text) if x.top or x.inside in whole or x.linked < LINKED * len(x.text) else 0 for x in lines], np.int64)
+    lengths = np.array([len(x.text) if x.top or x.linked < LINKED * len(x.text) else 0 for x in lines], np.int64)
     out: set[int] = set()
     for inside, group in groupby(range(len(lines)), lambda i: bounds and lines[i].inside in whole):
         rows = list(group)
         if inside:
-            out.update(rows)
+            last, spans = 0, surges(lengths[rows], window, 1)
+            for a, b in [*spans, (len(rows), len(rows))]:
+                if a - last < window or not spans:  # fewer lines of links than a window are part of the text
+                    out.update(rows[last:a])
+                out.update(rows[a:b])
+                last = b
             continue
         every, long = surges(lengths[rows], window, 1), set(surges(lengths[rows], window, threshold))
         for a, b in every:

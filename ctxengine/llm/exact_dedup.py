@@ -1,20 +1,23 @@
 """Exact deduplication with counting quotient filters.
 
-Each partition turns the 64-bit fingerprints of its texts into a counting quotient filter:
-the high bits of a fingerprint (the quotient) name a run, the low bits (the remainder) are
-kept sorted within the run, each with a count. Filters merge without loss by merging the
-sorted remainders of equal quotients and adding their counts. Only fingerprints whose merged
-count is above one go on to byte verification, in which the whole normalised texts are
-compared.
-
-Defined results: a null text counts as empty; texts that differ only in white space are equal;
-rows that repeat a doc_id with the same text share one decision and each count in group_size;
-a null doc_id is never kept while another row of its text has an id; an empty table gives an
-empty result.
+Each partition puts the 64-bit fingerprints of its texts into counting quotient filters, one for each
+block (a fingerprint's first bits). A filter has 2**q slots: of a fingerprint the next q bits, the quotient,
+name its slot, and only the rest, the remainder, is stored. Remainders of one quotient form a run, sorted,
+which starts in its slot or behind the run before; a bit for each quotient says whether it has a run, a bit for
+each slot whether a run ends there. A count above one stands in the slots behind its remainder, as many as it
+needs, told by a third bit. Reading the runs in order gives the fingerprints in order, so filters
+of a block merge without loss by two cursors, whatever their sizes. Only fingerprints whose merged
+count is above one go on to byte verification, in which the whole normalised texts are compared.
+
+Defined results: a null text counts as empty; texts that differ only in white space are equal, and are
+compared whole, however long; rows that repeat a doc_id with the same text share one decision and each count in
+group_size; a null doc_id is never kept while another row of its text has an id; further columns, whatever
+their names, are carried by drop_copies alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,73 +27,158 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, in_batches, join_skewed, keep, small_or
 
-#: Bits of a fingerprint that are the remainder; the other 32 are the quotient.
-REMAINDER_BITS = 32
-FILTER = "quotient long, remainder long, n long"
+#: Fingerprints that a task holds before it hands its filters on, and that a block of the corpus has, about.
+HELD = 1 << 18
+#: Bits of a block's name, at least; more where the corpus is larger, so that a merged block stays small.
+BLOCK_BITS = 6
+LOAD = 0.8
+_HEAD = struct.Struct("<BBIQ")
+_ONE = np.uint64(1)
+
+
+def _bits(places: np.ndarray, n: int) -> bytes:
+    out = np.zeros(n, bool)
+    out[places] = True
+    return np.packbits(out, bitorder="little").tobytes()
 
 
 class QuotientFilter:
-    """Sorted (quotient, remainder) runs with counts."""
+    """A counting quotient filter of 64-bit fingerprints that share their first ``prefix`` bits.
 
-    def __init__(self, quotient: np.ndarray, remainder: np.ndarray, n: np.ndarray):
-        self.quotient, self.remainder, self.n = quotient, remainder, n
+    data: header (prefix bits, quotient bits, slots, prefix), a bit for each quotient that has a run, for each slot
+    that ends a run, for each slot that is part of a count, and the slots, of as many bytes as a remainder needs.
+    """
 
-    @classmethod
-    def of(cls, fingerprints: np.ndarray) -> QuotientFilter:
-        found, n = np.unique(fingerprints.astype(np.int64).view(np.uint64), return_counts=True)
-        return cls((found >> np.uint64(REMAINDER_BITS)).astype(np.int64), (found & np.uint64((1 << REMAINDER_BITS) - 1)).astype(np.int64), n.astype(np.int64))
+    def __init__(self, data: bytes):
+        self.data = data
 
     @classmethod
-    def sorted_runs(cls, quotient: np.ndarray, remainder: np.ndarray, n: np.ndarray) -> QuotientFilter:
-        """Adds up neighbours that are equal; the input is sorted by quotient and remainder."""
-        if not len(quotient):
-            return cls(quotient, remainder, n)
-        first = np.flatnonzero(np.concatenate(([True], (quotient[1:] != quotient[:-1]) | (remainder[1:] != remainder[:-1]))))
-        return cls(quotient[first], remainder[first], np.add.reduceat(n, first))
+    def of(cls, fingerprints: np.ndarray, counts: np.ndarray, prefix_bits: int) -> QuotientFilter:
+        """From distinct fingerprints in order, with their counts; there is at least one."""
+        n = len(fingerprints)
+        q = max(3, int(np.ceil(np.log2(n / LOAD))))
+        r = 64 - prefix_bits - q
+        low = fingerprints & np.uint64((1 << (64 - prefix_bits)) - 1)
+        quotient, remainder = (low >> np.uint64(r)).astype(np.int64), low & np.uint64((1 << r) - 1)
+        # a count above one is stored less one, in digits of r bits
+        over, digits = counts.astype(np.uint64) - _ONE, np.zeros(n, np.int64)
+        while (left := over >> np.minimum(np.uint64(r) * digits.astype(np.uint64), np.uint64(63)) > 0).any() and digits.max(initial=0) * r < 63:
+            digits += left
+        length = 1 + digits
+        before = np.cumsum(length) - length
+        place = before + np.maximum.accumulate(quotient - before)  # its slot, or the first behind those before it
+        slots = max(1 << q, int(place[-1] + length[-1]))
+        run_ends = np.flatnonzero(np.append(quotient[1:] != quotient[:-1], True))
+        value, extra = np.zeros(slots, np.uint64), []
+        value[place] = remainder
+        for k in range(int(digits.max(initial=0))):
+            some = digits > k
+            value[place[some] + 1 + k] = (over[some] >> np.uint64(r * k)) & np.uint64((1 << r) - 1)
+            extra.append(place[some] + 1 + k)
+        width = -(-r // 8)
+        head = _HEAD.pack(prefix_bits, q, slots, int(fingerprints[0]) >> (64 - prefix_bits) if prefix_bits else 0)
+        bits = _bits(quotient, 1 << q) + _bits((place + length - 1)[run_ends], slots) + _bits(np.concatenate(extra) if extra else place[:0], slots)
+        return cls(head + bits + value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprints in order, counts)."""
+        prefix_bits, q, slots, prefix = _HEAD.unpack_from(self.data)
+        r, at = 64 - prefix_bits - q, _HEAD.size
+
+        def places(n: int) -> np.ndarray:
+            nonlocal at
+            raw = np.frombuffer(self.data, np.uint8, -(-n // 8), at)
+            at += len(raw)
+            return np.unpackbits(raw, count=n, bitorder="little").astype(bool)
+
+        quotient, ends, extra = np.flatnonzero(places(1 << q)), np.flatnonzero(places(slots)), places(slots)
+        width = -(-r // 8)
+        value = np.zeros((slots, 8), np.uint8)
+        value[:, :width] = np.frombuffer(self.data, np.uint8, slots * width, at).reshape(-1, width)
+        value = value.view("<u8").reshape(-1)
+        starts = np.maximum(quotient, np.append(-1, ends[:-1]) + 1)  # the k-th run belongs to the k-th quotient that has one
+        size = ends - starts + 1
+        slot = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        of_run = np.repeat(quotient, size)
+        first = ~extra[slot]
+        item = np.cumsum(first) - 1
+        counts = np.ones(int(first.sum()), np.uint64)
+        digit = np.arange(len(slot)) - np.flatnonzero(first)[item] - 1
+        for k in range(int(digit.max(initial=-1)) + 1):
+            some = digit == k
+            counts[item[some]] += value[slot[some]] << np.uint64(r * k)
+        top = np.uint64(prefix << (64 - prefix_bits)) if prefix_bits else np.uint64(0)
+        return top | (of_run[first].astype(np.uint64) << np.uint64(r)) | value[slot[first]], counts
 
     def merge(self, other: QuotientFilter) -> QuotientFilter:
-        """The filter of both inputs; nothing is lost, counts add up."""
-        q, r, n = (np.concatenate(x) for x in ((self.quotient, other.quotient), (self.remainder, other.remainder), (self.n, other.n)))
-        order = np.lexsort((r, q))
-        return self.sorted_runs(q[order], r[order], n[order])
+        """The filter of both; nothing is lost, counts add up."""
+        return self.of(*merged(self.items(), other.items()), self.data[0])
 
-    def batch(self) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(self.quotient), pa.array(self.remainder), pa.array(self.n)], names=["quotient", "remainder", "n"])
 
+def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two cursors over fingerprints in order: each of b goes to its place among those of a; equal ones add up their counts."""
+    place = np.searchsorted(a[0], b[0])
+    same = np.zeros(len(b[0]), bool)
+    inside = place < len(a[0])
+    same[inside] = a[0][place[inside]] == b[0][inside]
+    counts = a[1].copy()
+    counts[place[same]] += b[1][same]
+    return np.insert(a[0], place[~same], b[0][~same]), np.insert(counts, place[~same], b[1][~same])
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One filter for each partition; it is handed on whenever it holds a million runs, so memory stays bounded."""
-    held = None
-    for b in batches:
-        one = QuotientFilter.of(b.column(0).to_numpy(zero_copy_only=False))
-        held = one if held is None else held.merge(one)
-        if len(held.n) > 1_000_000:
-            yield held.batch()
-            held = None
-    if held is not None:
-        yield held.batch()
+
+def _builder(prefix_bits: int):  # noqa: ANN202
+    """Filters of a partition, one for each block: (block, filter)."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def filters() -> pa.RecordBatch:
+            prints, counts = np.unique(np.concatenate(held).view(np.uint64), return_counts=True)
+            block = (prints >> np.uint64(64 - prefix_bits)).astype(np.int64)
+            cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            made = [QuotientFilter.of(p, c, prefix_bits).data for p, c in zip(np.split(prints, cuts[1:]), np.split(counts, cuts[1:]), strict=True)]
+            return pa.record_batch([pa.array(block[cuts]), pa.array(made, pa.binary())], names=["block", "filter"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            if sum(map(len, held)) >= HELD:
+                yield filters()
+                held.clear()
+        if held:
+            yield filters()
+
+    return build
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges filters whose rows come sorted by quotient and remainder; the last run waits for the next batch."""
-    last = None
+    """(fp, n) of the fingerprints with a count above one, from filters in order of their blocks; similar sizes are merged first."""
+    block, stack = None, []
+
+    def repeated() -> pa.RecordBatch:
+        while len(stack) > 1:
+            stack.append(merged(stack.pop(), stack.pop()))
+        prints, counts = stack.pop()
+        some = counts > 1
+        return pa.record_batch([pa.array(prints[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], names=["fp", "n"])
+
     for b in batches:
-        q, r, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if last is not None:
-            q, r, n = (np.concatenate((x, y)) for x, y in zip(last, (q, r, n), strict=True))
-        f = QuotientFilter.sorted_runs(q, r, n)
-        if len(f.n):
-            last = (f.quotient[-1:], f.remainder[-1:], f.n[-1:])
-            yield QuotientFilter(f.quotient[:-1], f.remainder[:-1], f.n[:-1]).batch()
-    if last is not None:
-        yield QuotientFilter(*last).batch()
+        for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if name != block and stack:
+                yield repeated()
+            block = name
+            stack.append(QuotientFilter(data.as_py()).items())
+            while len(stack) > 1 and len(stack[-2][0]) <= 2 * len(stack[-1][0]):
+                stack.append(merged(stack.pop(), stack.pop()))
+    if stack:
+        yield repeated()
 
 
 def repeated_fingerprints(prints: DataFrame) -> DataFrame:
-    """(fp, n) of the fingerprints that occur more than once, by merged counting quotient filters."""
-    filters = prints.select("fp").transform(in_batches, _build, FILTER)
-    merged = filters.repartition("quotient").sortWithinPartitions("quotient", "remainder").transform(in_batches, _merge, FILTER)
-    return merged.where("n > 1").select(F.shiftleft("quotient", REMAINDER_BITS).bitwiseOR(F.col("remainder")).alias("fp"), "n")
+    """(fp, n) of the fingerprints that occur more than once, by merged counting quotient filters; prints must be cheap to count."""
+    bits = max(BLOCK_BITS, (prints.count() // HELD).bit_length())
+    filters = prints.select("fp").transform(in_batches, _builder(bits), "block long, filter binary")
+    return filters.repartition("block").sortWithinPartitions("block").transform(in_batches, _merge, "fp long, n long")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,8 +19,8 @@ Candidates and links
 
 With 64 bands of 8 coordinates a pair of similarity 0.8 misses all buckets with probability 8e-6.
 
-Defined results: the similarity is the Jaccard similarity of the sets of five-word shingles of the
-lower-cased text; a text of fewer words is one shingle; a null text or one without words links
+Defined results: the similarity is the weighted Jaccard similarity of the five-word shingles of the
+lower-cased text, the weight of a shingle being how often it occurs (or 1 each: ``weighted=False``); a text of fewer words is one shingle; a null text or one without words links
 with nothing; a row with a null id links with nothing; rows that repeat an id share its class; the
 class id is the smallest id of the class; an empty table gives an empty result.
 """
@@ -36,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, in_batches, join_skewed, keep, small_or
-from .words import SHINGLE, mix64, shingles, word_hashes
+from .words import SHINGLE, mix64, shingle_counts, word_hashes
 
 BANDS, ROWS = 64, 8
 SIMILARITY = 0.8
+#: Whether a shingle weighs as much as it occurs, rather than 1.
+WEIGHTED = True
 #: Bands of each round; classes found in one spare comparisons in the next.
 ROUNDS = (4, 60)
 #: Elements (shingles, and 1,000 for each document) that a task compares at once.
@@ -84,8 +86,8 @@ def _throw(some: list[int], sets: list, weights: list | None, strips: list, k: i
     doc = np.repeat(some, [len(sets[i]) for i in some])
     unit = np.zeros(len(element), np.uint64)  # index of the unit of weight within the element
     width = None
-    if weights:
-        w = np.concatenate([np.asarray(weights[i], float) for i in some])
+    w = np.concatenate([np.asarray(weights[i], float) for i in some]) if weights else None
+    if w is not None and (w != 1).any():  # else every region is one unit wide
         units = np.ceil(w).astype(np.int64)
         element, doc, w = np.repeat(element, units), np.repeat(doc, units), np.repeat(w, units)
         unit = (np.arange(len(element)) - np.repeat(np.cumsum(units) - units, units)).astype(np.uint64)
@@ -117,12 +119,21 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix64(keys + np.arange(bands, dtype=np.uint64) * _GOLD2)
 
 
-def _sets(texts: list[str | None], words: int) -> list[np.ndarray]:
-    return [shingles(h, words) for h in word_hashes(texts)]
+def _sets(texts: list[str | None], words: int, weighted: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The shingles of each text and their weights: how often they occur, or 1."""
+    both = [shingle_counts(h, words) for h in word_hashes(texts)]
+    return [s for s, _ in both], [c if weighted else np.ones(len(c), np.int64) for _, c in both]
 
 
-def signature_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = SHINGLE) -> DataFrame:
-    """(id, n, set_hash, bands) of the rows (id, text); set_hash and bands are null without a word."""
+def _units(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each unit of weight as an element of its own: sets of these have the weighted Jaccard similarity."""
+    number = np.arange(int(weights.sum())) - np.repeat(np.cumsum(weights) - weights, weights)
+    again = np.repeat(elements, weights)
+    return np.where(number > 0, mix64(again + number.astype(np.uint64) * _GOLD2), again)
+
+
+def signature_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = SHINGLE, weighted: bool = WEIGHTED) -> DataFrame:
+    """(id, n, set_hash, bands) of the rows (id, text), n being the weight; set_hash and bands are null without a word."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -130,27 +141,26 @@ def signature_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
-                sets = _sets(b.column(1).to_pylist(), words)
-                keys = band_keys(dart_signatures(sets, bands * rows), bands, rows).view(np.int64)
-                none = [not len(s) for s in sets]
-                digests = [None if e else xxhash.xxh3_128_digest(s.tobytes()) for s, e in zip(sets, none, strict=True)]
+                sets, weights = _sets(b.column(1).to_pylist(), words, weighted)
+                keys = band_keys(dart_signatures(sets, bands * rows, weights), bands, rows).view(np.int64)
+                digests = [xxhash.xxh3_128_digest(s.tobytes() + w.tobytes()) if len(s) else None for s, w in zip(sets, weights, strict=True)]
                 offsets = pa.array(np.arange(0, (len(sets) + 1) * bands, bands, dtype=np.int32))
                 yield pa.record_batch(
-                    [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
+                    [b.column(0), pa.array([int(w.sum()) for w in weights], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
                     names=["id", "n", "set_hash", "bands"],
                 )
 
     return docs.transform(in_batches, sign, "id long, n long, set_hash binary, bands array<long>")
 
 
-def _set_table(docs: DataFrame, words: int) -> DataFrame:
-    """(rep, n, elements) of the rows (rep, text)."""
+def _set_table(docs: DataFrame, words: int, weighted: bool) -> DataFrame:
+    """(rep, n, elements) of the rows (rep, text); elements are units of weight."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
-                sets = _sets(b.column(1).to_pylist(), words)
+                sets = [_units(e, w) for e, w in zip(*_sets(b.column(1).to_pylist(), words, weighted), strict=True)]
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64)
                 yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["rep", "n", "elements"])
@@ -274,11 +284,11 @@ def _round(members: DataFrame, classes: DataFrame, sets: DataFrame, similarity:
 
 
 def near_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, rounds: tuple = ROUNDS, block: int = BLOCK
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, rounds: tuple = ROUNDS, block: int = BLOCK, weighted: bool = WEIGHTED
 ) -> DataFrame:
     """(id, class_id, kept) for every row; class_id is the smallest id of its class of near duplicates."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = keep(signature_table(base, bands, rows, words), "near-signatures")
+    signed = keep(signature_table(base, bands, rows, words, weighted), "near-signatures")
     whole = signed.where("id is not null and set_hash is not null")
     reps = keep(whole.groupBy("set_hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-reps")
     # one row of each representative keeps its bands; further rows with the same id and set are dropped
@@ -289,7 +299,7 @@ def near_classes(
     members = keep(join_skewed(keys, met, ["bucket"], "m", F.col("rep"), "inner").select("bucket", "band", "rep", "n"), "near-meetings")
     classes = keep(members.groupBy("rep").agg(F.max("n").alias("n")).withColumn("class", F.col("rep")), "near-classes")
     active = small_or(classes.select(F.col("rep").alias("id")))
-    sets = keep(_set_table(base.join(active, "id", "left_semi").select("id", "text"), words).where("n > 0"), "near-sets")
+    sets = keep(_set_table(base.join(active, "id", "left_semi").select("id", "text"), words, weighted).where("n > 0"), "near-sets")
     low = 0
     for step in rounds:
         classes = _round(members.where((F.col("band") >= low) & (F.col("band") < low + step)).select("bucket", "rep"), classes, sets, similarity, block)

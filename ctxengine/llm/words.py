@@ -103,12 +103,12 @@ def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
     return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.zeros(0, np.uint64) for x in out]
 
 
-def shingles(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of the n-word shingles; a shorter text is one shingle, one without words has none."""
+def shingle_counts(words: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of the n-word shingles, and how often each occurs; a shorter text is one shingle, one without words has none."""
     if not len(words):
-        return words
+        return words, np.zeros(0, np.int64)
     n = min(n, len(words))
     h = np.zeros(len(words) - n + 1, np.uint64)
     for i in range(n):
         h = h * np.uint64(_BASE) + words[i : len(words) - n + 1 + i]
-    return np.unique(mix64(h ^ np.uint64(n)))
+    return np.unique(mix64(h ^ np.uint64(n)), return_counts=True)

@@ -1,16 +1,20 @@
 """Licence recognition by sentences and rules.
 
-A text is cut into sentences, each is normalised (lower case, letters, digits and dots only) and
-looked up among known licence sentences, which gives it an identifier. The sequence of
-identifiers of a document is then matched against ordered rules; a rule that matches consumes
-its identifiers, and what no rule consumes is reported as unmatched. An SPDX tag takes one licence
-expression, up to its line's end at most, and gives each identifier in it.
+A text is cut into sentences, each is normalised (lower case, letters, digits and dots only; a plus
+after a version is "or later") and looked up among known licence sentences, which gives it identifiers:
+grants, conditions and disclaimers of the licences' own texts, references by name, SPDX tags, and a mere mention of
+a licence where nothing else is known. The sequence of identifiers of a document is then matched against
+ordered rules; a rule that matches consumes its identifiers, with what belongs to the licence around them. What no
+rule consumes is reported as unmatched, a mention of an unknown licence too. An SPDX tag takes
+one licence expression, up to its line's end at most, and gives each identifier in it.
 
 Only documents with a word that every known sentence has part of go to the sentence stage;
 that test runs over the whole texts in the JVM.
 
-Defined results: a null or empty text has no licence; a sentence that occurs again counts
-again, but each licence is listed once; an empty table gives an empty result.
+Defined results: a null or empty text has no licence; a text is scanned whole, however long; a sentence that
+occurs again counts again, but each licence is listed once; repeated rows are scanned alike; of two names that
+overlap the one that stands first in the table counts; further columns, whatever their names, are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,86 +30,143 @@ from pyspark.sql import functions as F
 from .common import in_batches
 
 #: Every known sentence holds one of these, in any case; what normalise() makes a blank may part their words.
-HINT = r"(?i)licen[sc]|permission|redistribut|warrant|copyright|spdx|public[\W_]+domain|liable|unlicen|cc0|gpl|rights[\W_]+reserved|cc[\W_]+by|creative[\W_]+commons|as[\W_]+is|endorse|later[\W_]+version"
+HINT = (
+    r"(?i)licen[sc]|permission|redistribut|warrant|copyright|spdx|public[\W_]+domain|liable|cc0|gpl|rights[\W_]+reserved|cc[\W_]+by|creative[\W_]+commons|as[\W_]+is|endorse|later[\W_]+version|misrepresented|plainly[\W_]+marked|source[\W_]+distribution"
+    r"|free[\W_]+software|hope[\W_]+that[\W_]+it|advertising[\W_]+materials|mpl|odbl|wtfpl|(?:released|distributed|available|published|provided|covered)[\W_]+under|fuck[\W_]+you[\W_]+want"
+)
 
 #: An SPDX tag with its licence expression. Operators in lower case count only before what looks like an identifier.
 _ID = r"\(*(?:DocumentRef-[A-Za-z0-9.-]+:)?[A-Za-z0-9][A-Za-z0-9.+-]*\)*"
 SPDX = re.compile(rf"(?i:\bSPDX[\W_]+License[\W_]+Identifier)[\W_]+({_ID}(?:[ \t]+(?:OR|AND|WITH|(?:or|and|with)(?=[ \t]+\(*[\w.+-]*(?:\d|[A-Z][\w.+-]*[A-Z])))[ \t]+{_ID})*)")
 
-# Known licence sentences. The pattern is searched in the normalised sentence, and
-# {v} in an identifier is the version that it captured.
+# Names that say by themselves that a licence is meant, in normalised sentences; {v} is the version, a group of the pattern.
+NAMES: list[tuple[str, str]] = [
+    ("CC-BY-NC-SA-{v}", r"\b(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: v| version)? ?(\d(?:\.\d)?)"),
+    ("CC-BY-NC-ND-{v}", r"\b(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv\w*)(?: v| version)? ?(\d(?:\.\d)?)"),
+    ("CC-BY-NC-{v}", r"\b(?:cc by nc|creative commons attribution non ?commercial)(?: v| version)? ?(\d(?:\.\d)?)"),
+    ("CC-BY-SA-{v}", r"\b(?:cc by sa|creative commons attribution share ?alike)(?: v| version)? ?(\d(?:\.\d)?)"),
+    ("CC-BY-ND-{v}", r"\b(?:cc by nd|creative commons attribution no ?deriv\w*)(?: v| version)? ?(\d(?:\.\d)?)"),
+    ("CC-BY-{v}", r"\b(?:cc by|creative commons attribution)(?: v| version)? ?(\d(?:\.\d)?)"),
+    ("CC0-1.0", r"\bcc0\b(?: 1\.0)?|\bcreative commons zero\b"),
+    ("AGPL-{v}", r"\b(?:gnu )?affero general public license(?: as published by the free software foundation)?(?: either)?(?: v| version)? ?(\d(?:\.\d)?)|\b(?:gnu )?agpl(?: v| version)? ?v?(\d(?:\.\d)?)"),
+    ("LGPL-{v}", r"\b(?:gnu )?(?:lesser|library) general public license(?: as published by the free software foundation)?(?: either)?(?: v| version)? ?(\d(?:\.\d)?)|\b(?:gnu )?lgpl(?: v| version)? ?v?(\d(?:\.\d)?)"),
+    ("GFDL-{v}", r"\bgnu free documentation license(?: v| version)? ?(\d\.\d)|\bgfdl(?: v| version)? ?v?(\d\.\d)"),
+    ("GPL-{v}", r"\b(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)?(?: v| version)? ?(\d(?:\.\d)?)|\b(?:gnu )?gpl(?: v| version)? ?v?(\d(?:\.\d)?)"),
+    ("Apache-{v}", r"\bapache(?: software)? license(?: v| version)? ?v?(\d\.\d)|(?:under|license|and|or)(?: the)? (?:terms of the )?apache ?v?(\d\.\d)"),
+    ("MPL-{v}", r"\bmozilla public license(?: v| version)? ?(\d\.\d)|\bmpl(?: v| version)? ?v?(\d\.\d)"),
+    ("EPL-{v}", r"\beclipse public license(?: v| version)? ?(\d\.\d)"),
+    ("EUPL-{v}", r"\beuropean union public licen[sc]e(?: v| version)? ?(\d\.\d)"),
+    ("CDDL-{v}", r"\bcommon development and distribution license(?: cddl)?(?: v| version)? ?(\d\.\d)"),
+    ("CPL-{v}", r"\bcommon public license(?: v| version)? ?(\d\.\d)"),
+    ("OSL-{v}", r"\bopen software license(?: v| version)? ?(\d\.\d)"),
+    ("AFL-{v}", r"\bacademic free license(?: v| version)? ?(\d\.\d)"),
+    ("Artistic-{v}", r"\bartistic license(?: v| version)? ?(\d\.\d)"),
+    ("OFL-{v}", r"\bsil open font license(?: v| version)? ?(\d\.\d)"),
+    ("BSL-{v}", r"\bboost software license(?: v| version)? ?(\d\.\d)"),
+    ("BUSL-{v}", r"\bbusiness source license(?: v| version)? ?(\d\.\d)"),
+    ("SSPL-{v}", r"\bserver side public license(?: v| version)? ?(\d(?:\.\d)?)"),
+    ("Elastic-{v}", r"\belastic license(?: v| version)? ?(\d\.\d)"),
+    ("ODbL-{v}", r"\bopen (?:data commons open )?database license(?: odbl)?(?: v| version)? ?(\d\.\d)|\bodbl(?: v| version)? ?(\d\.\d)"),
+    ("MS-PL", r"\bmicrosoft public license\b|\bms pl\b(?= license)|license(?: type)? ms pl\b"),
+    ("MS-RL", r"\bmicrosoft reciprocal license\b|\bms rl\b(?= license)|license(?: type)? ms rl\b"),
+    ("Unlicense", r"\bthe unlicense\b|\bunlicense license\b|license unlicense\b"),
+    ("WTFPL", r"\bwtfpl\b|\bdo what the fuck you want to public license\b"),
+    ("BSD-{v}-Clause", r"\b(\d) clause bsd\b|\bbsd (\d) clause\b"),
+    ("BSD-3-Clause", r"\b(?:new|modified|revised) bsd license\b"),
+    ("BSD-2-Clause", r"\b(?:simplified|freebsd) (?:bsd )?license\b"),
+]
+
+# Names that are words of other meanings too; they count only beside "license" or after "under".
+SHORT_NAMES: dict[str, str] = {
+    "MIT": r"mit(?: x11)?", "MIT-0": r"mit 0", "X11": r"x11", "ISC": r"isc", "Zlib": r"zlib(?: libpng)?", "BSL-1.0": r"boost(?: software)?|bsl 1\.0", "0BSD": r"0bsd|zero clause bsd",
+    "BSD": r"bsd(?: style)?", "Apache-2.0": r"apache ?2|asl 2\.0", "MPL-2.0": r"mpl ?2", "Python-2.0": r"psf|python(?: software foundation)?", "PostgreSQL": r"postgresql", "OpenSSL": r"openssl", "PHP-3.01": r"php",
+    "Ruby": r"ruby", "NCSA": r"ncsa|university of illinois ncsa open source", "W3C": r"w3c", "curl": r"curl", "HPND": r"hpnd", "Vim": r"vim", "Libpng": r"libpng", "ICU": r"icu", "Beerware": r"beer ?ware",
+    "CC0-1.0": r"cc0", "AGPL": r"(?:gnu )?agpl|(?:gnu )?affero general public", "LGPL": r"(?:gnu )?lgpl|(?:gnu )?(?:lesser|library) general public", "GPL": r"(?:gnu )?gpl|(?:gnu )?general public", "Apache": r"apache(?: software)?", "Artistic": r"artistic", "MPL": r"mozilla public",
+}
+_UNDER = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered)(?: \w+)? under(?: the)?(?: terms of)?(?: the| a)?"
+
+# Sentences of the licences' own texts and notices, normalised.
 SENTENCES: list[tuple[str, str]] = [
-    ("cc-by-nc-sa:{v}", r"\bcc by nc sa (\d(?:\.\d)?)\b|creative commons attribution non ?commercial share ?alike (\d(?:\.\d)?)"),
-    ("cc-by-nc-nd:{v}", r"\bcc by nc nd (\d(?:\.\d)?)\b|creative commons attribution non ?commercial no ?deriv\w* (\d(?:\.\d)?)"),
-    ("cc-by-nc:{v}", r"\bcc by nc (\d(?:\.\d)?)\b|creative commons attribution non ?commercial (\d(?:\.\d)?)"),
-    ("cc-by-sa:{v}", r"\bcc by sa (\d(?:\.\d)?)\b|creative commons attribution share ?alike (\d(?:\.\d)?)"),
-    ("cc-by-nd:{v}", r"\bcc by nd (\d(?:\.\d)?)\b|creative commons attribution no ?deriv\w* (\d(?:\.\d)?)"),
-    ("cc-by:{v}", r"\bcc by (\d(?:\.\d)?)\b|creative commons attribution (\d(?:\.\d)?)"),
-    ("cc0", r"\bcc0\b|creative commons zero"),
-    ("apache-ref:{v}", r"licensed under the apache license version (\d(?:\.\d)?)|licensed under apache (?:license )?(\d\.\d)"),
-    ("apache-may-not", r"you may not use this file except in compliance with the license"),
-    ("apache-as-is", r"distributed under the license is distributed on an as is basis"),
-    ("agpl-ref:{v}", r"gnu affero general public license(?: as published by the free software foundation)?(?: either)?(?: v| version)? ?(\d(?:\.\d)?)"),
-    ("lgpl-ref:{v}", r"gnu (?:lesser|library) general public license(?: as published by the free software foundation)?(?: either)?(?: v| version)? ?(\d(?:\.\d)?)"),
-    ("gpl-ref:{v}", r"gnu general public license(?: as published by the free software foundation)?(?: either)?(?: v| version)? ?(\d(?:\.\d)?)|\bgplv(\d)\b"),
-    ("or-later", r"(?:at your option )?any later version"),
-    ("mit-ref", r"(?:under|terms of) the mit licen[sc]e|^mit licen[sc]e"),
     ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("boost-grant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
     ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies"),
-    ("isc-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd-ref:{v}", r"(?:under|terms of) (?:the|a) (?:simplified |new |modified )?bsd (?:(\d) clause )?licen[sc]e"),
+    ("boost-notice", r"the copyright notices in the software and this entire statement"),
+    ("isc-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("0bsd-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib-grant", r"permission is granted to anyone to use this software for any purpose"),
+    ("zlib-origin", r"the origin of this software must not be misrepresented"),
+    ("zlib-altered", r"altered source versions must be plainly marked as such"),
+    ("zlib-notice", r"this notice may not be removed or altered from any source distribution"),
+    ("ms-pl-grant", r"this license governs use of the accompanying software"),
     ("bsd-grant", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-source", r"redistributions of source code must retain the above copyright notice"),
     ("bsd-binary", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-adverts", r"all advertising materials mentioning features or use of this software"),
     ("bsd-endorse", r"may be used to endorse or promote products derived from this software"),
-    ("mpl-ref:{v}", r"mozilla public license (?:v |version )?(\d\.\d)"),
-    ("epl-ref:{v}", r"eclipse public license (?:v |version )?(\d\.\d)"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain|under the unlicense"),
+    ("apache-may-not", r"you may not use this file except in compliance with the license"),
+    ("apache-copy", r"you may obtain a copy of the license at"),
+    ("apache-as-is", r"distributed under the license is distributed on an as is basis"),
+    ("apache-see", r"see the license for the specific language governing permissions and limitations"),
+    ("gnu-free", r"this (?:program|library|file|software) is free software you can redistribute it and or modify it"),
+    ("gnu-hope", r"is distributed in the hope that it will be useful"),
+    ("gnu-received", r"you should have received a copy of the gnu (?:lesser |library |affero )?general public license"),
+    ("mpl-subject", r"this source code form is subject to the terms of"),
+    ("mpl-copy", r"if a copy of the mpl was not distributed with this file"),
+    ("unlicense-grant", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense-free", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl-grant", r"you just do what the fuck you want to"),
     ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    ("as-is", r"software is provided as is(?: without warranty)?|provided by the copyright holders and contributors as is"),
-    ("liability", r"in no event shall .{0,80}be liable"),
-    ("copyright", r"^(?:c )?copyright (?:c )?\d{4}"),
+    ("or-later", r"(?:at your option )?any later version|\bor (?:any )?(?:later|newer)\b"),
+    ("as-is", r"software is provided as is(?: without)?|provided by the copyright holders and contributors as is|without warranty of any kind|without any express or implied warranty"),
+    ("liability", r"in no event (?:shall|will) .{0,80}be (?:held )?liable"),
+    ("copyright", r"^(?:c )?copyright (?:c )?(?:\d{4}|the\b)"),
     ("rights-reserved", r"all rights reserved"),
     ("licence-mention", r"\blicen[sc]e[ds]?\b"),
 ]
 
+#: What belongs to a licence whose sentences it follows.
+_TAIL = r"(?: (?:as-is|liability|copyright|rights-reserved))*"
+
 # Ordered rules over the sequence of identifiers, written as " id id ". The first
 # that matches consumes what it matched. {1} is the first group.
 RULES: list[tuple[str, str]] = [
     ("{1}", r" spdx:(\S+)"),
-    ("GPL-{1}-or-later", r" gpl-ref:([\d.]+)(?: or-later)"),
-    ("LGPL-{1}-or-later", r" lgpl-ref:([\d.]+)(?: or-later)"),
-    ("AGPL-{1}-or-later", r" agpl-ref:([\d.]+)(?: or-later)"),
-    ("GPL-{1}-only", r" gpl-ref:([\d.]+)"),
-    ("LGPL-{1}-only", r" lgpl-ref:([\d.]+)"),
-    ("AGPL-{1}-only", r" agpl-ref:([\d.]+)"),
-    ("Apache-{1}", r" apache-ref:([\d.]+)(?: apache-may-not)?(?: apache-as-is)?| apache-may-not apache-ref:([\d.]+)(?: apache-as-is)?"),
-    ("MIT", r"(?: mit-ref)?(?: copyright)* mit-grant(?: mit-notice)?(?: as-is)?(?: liability)?| mit-ref"),
-    ("ISC", r" isc-grant(?: as-is)?(?: liability)?"),
-    ("BSD-3-Clause", r" bsd-grant bsd-source bsd-binary bsd-endorse(?: as-is)?(?: liability)?| bsd-ref:3"),
-    ("BSD-2-Clause", r" bsd-grant bsd-source bsd-binary(?: as-is)?(?: liability)?| bsd-ref:2"),
-    ("BSD", r" bsd-ref:?(?= )| bsd-grant"),
-    ("CC-BY-NC-SA-{1}", r" cc-by-nc-sa:([\d.]+)"),
-    ("CC-BY-NC-ND-{1}", r" cc-by-nc-nd:([\d.]+)"),
-    ("CC-BY-NC-{1}", r" cc-by-nc:([\d.]+)"),
-    ("CC-BY-SA-{1}", r" cc-by-sa:([\d.]+)"),
-    ("CC-BY-ND-{1}", r" cc-by-nd:([\d.]+)"),
-    ("CC-BY-{1}", r" cc-by:([\d.]+)"),
-    ("CC0-1.0", r" cc0"),
-    ("MPL-{1}", r" mpl-ref:([\d.]+)"),
-    ("EPL-{1}", r" epl-ref:([\d.]+)"),
-    ("Unlicense", r" unlicense"),
+    ("{1}-or-later", r"(?: gnu-free)? ref:((?:A|L)?GPL-[\d.]+|GFDL-[\d.]+) or-later(?: (?:gnu-hope|gnu-received|as-is|licence-mention))*"),
+    ("{1}-only", r"(?: gnu-free)? ref:((?:A|L)?GPL-[\d.]+|GFDL-[\d.]+)(?: (?:gnu-hope|gnu-received|as-is))*"),
+    ("{1}", r" ref:(Apache-[\d.]+)(?:(?: licence-mention)? (?:apache-may-not|apache-copy|apache-as-is|apache-see))*"),
+    ("Apache-2.0", r" (?:apache-may-not|apache-copy)(?:(?: licence-mention)? (?:apache-copy|apache-as-is|apache-see))+"),
+    ("{1}", r"(?: mpl-subject)? ref:(MPL-[\d.]+)(?: mpl-copy)?"),
+    ("MIT", rf"(?: ref:MIT)?(?: copyright| rights-reserved)* mit-grant(?: mit-notice)?{_TAIL}"),
+    ("BSL-1.0", rf"(?: ref:BSL-1\.0)?(?: copyright)* boost-grant(?: boost-notice)?{_TAIL}"),
+    ("ISC", rf"(?: ref:ISC)?(?: copyright)* isc-grant{_TAIL}"),
+    ("0BSD", rf"(?: ref:0BSD)?(?: copyright)* 0bsd-grant{_TAIL}"),
+    ("Zlib", rf"(?: ref:Zlib)?(?: copyright| as-is| liability)* zlib-grant(?: zlib-origin)?(?: zlib-altered)?(?: zlib-notice)?"),
+    ("MS-PL", r"(?: ref:MS-PL)? ms-pl-grant"),
+    ("BSD-4-Clause", rf"(?: ref:BSD(?:-4-Clause)?)? bsd-grant bsd-source bsd-binary bsd-adverts(?: bsd-endorse)?{_TAIL}"),
+    ("BSD-3-Clause", rf"(?: ref:BSD(?:-3-Clause)?)? bsd-grant bsd-source bsd-binary bsd-endorse{_TAIL}"),
+    ("BSD-2-Clause", rf"(?: ref:BSD(?:-2-Clause)?)? bsd-grant bsd-source bsd-binary{_TAIL}"),
+    ("LicenseRef-BSD", rf" bsd-grant{_TAIL}| ref:BSD"),
+    ("Unlicense", rf"(?: ref:Unlicense)? unlicense-grant(?: unlicense-free)?{_TAIL}"),
+    ("WTFPL", r"(?: ref:WTFPL)? wtfpl-grant"),
+    ("LicenseRef-{1}", r"(?: gnu-free)? ref:(A?L?GPL|Apache|Artistic|MPL)(?: or-later)?(?: (?:gnu-hope|gnu-received))*"),
+    ("{1}", rf" ref:(\S+){_TAIL}"),
     ("LicenseRef-Public-Domain", r" public-domain"),
 ]
-#: Identifiers that are no licence by themselves.
-SILENT = frozenset(("copyright", "rights-reserved", "as-is", "liability", "licence-mention", "or-later", "mit-notice", "bsd-source", "bsd-binary", "bsd-endorse", "apache-as-is", "apache-may-not"))
+#: Identifiers that say nothing of a licence by themselves.
+SILENT = frozenset(("copyright", "rights-reserved", "as-is", "liability", "or-later", "gnu-hope"))
 
 SCHEMA = "id {kind}, licenses array<string>, sentence_ids array<string>, unmatched array<string>, n_sentences int"
 
 
+def patterns() -> list[tuple[str, str]]:
+    """(identifier, pattern) of all known sentences, in the order in which they are looked for."""
+    short = [(f"ref:{i}", rf"(?:\b{_UNDER}|\blicen[sc]e(?: is| type| name)?(?: the)?) (?:{p})\b(?! [\d.]+\b)(?: licen[sc]e)?|\b(?:{p}) licen[sc]e\b(?! (?:v|version)? ?\d)") for i, p in SHORT_NAMES.items()]
+    return [*SENTENCES[:-1], *((f"ref:{i}", p) for i, p in NAMES), *short, SENTENCES[-1]]
+
+
 @functools.lru_cache(maxsize=1)
 def _known() -> list[tuple[str, re.Pattern]]:
-    return [(i, re.compile(p)) for i, p in SENTENCES]
+    return [(i, re.compile(p)) for i, p in patterns()]
 
 
 @functools.lru_cache(maxsize=1)
@@ -116,15 +177,15 @@ def _rules() -> list[tuple[str, re.Pattern]]:
 def sentences(text: str) -> Iterator[tuple[int, int]]:
     """(from, to) of sentences: they end at . ! ? : before white space, and at an empty line."""
     start = 0
-    for m in re.finditer(r"[.!?:](?=\s|\Z)|\n(?=[ \t\r\f\v*#/]*\n)|\Z", text):
+    for m in re.finditer(r"(?<!\bv)[.!?:](?=\s|\Z)|\n(?=[ \t\r\f\v*#/]*\n)|\Z", text):
         if m.end() > start:
             yield start, m.end()
         start = m.end()
 
 
 def normalise(sentence: str) -> str:
-    """Lower case; letters, digits and inner dots stay, anything else is one blank."""
-    s = re.sub(r"[^\w.]+|_", " ", sentence.lower())
+    """Lower case; letters, digits and inner dots stay, a plus after a digit is "or later", anything else is one blank."""
+    s = re.sub(r"[^\w.]+|_", " ", re.sub(r"(?<=\d)\+", " or later ", sentence.lower()))
     return re.sub(r"\.(?!\d)|(?<!\d)\.", " ", s).strip()
 
 
@@ -149,7 +210,7 @@ def _identify(sentence: str) -> list[str]:
             if any(a < m.end() and m.start() < b for a, b, _ in found) or (ident == "licence-mention" and found):
                 continue
             version = next((g for g in m.groups() if g), "") if m.groups() else ""
-            if version and "." not in version and not ident.startswith("bsd"):
+            if version and "." not in version and "BSD" not in ident:
                 version += ".0"
             found.append((m.start(), m.end(), ident.replace("{v}", version)))
     return [i for _, _, i in sorted(found)]
@@ -171,8 +232,8 @@ def scan_text(text: str | None) -> tuple[list[str], list[str], list[str], int]:
     """(licences, identifiers, unmatched identifiers, number of known sentences) of one text."""
     text, ids, n = text or "", [], 0
     hint = re.compile(HINT)
-    # a sentence may be cut by the colon of "SPDX-License-Identifier:" or a numbered list
-    joined = re.sub(r"(?i)(identifier)\s*:\s*", r"\1 ", text)
+    # the colon of "SPDX-License-Identifier: MIT" or "License: MIT" ends no sentence
+    joined = re.sub(r"(?i)(identifier|licen[sc]e(?:d under)?)[ \t]*:[ \t]*", r"\1 ", text)
     for a, b in sentences(joined):
         part = joined[a:b]
         if hint.search(part):

@@ -7,15 +7,15 @@ are compared by cosine in double precision inside a task; a pair is counted in t
 that it shares, so links are exact counts without a list of pairs.
 
 A cut has a margin of ``spill`` times the distance of a pair at the threshold on either side, in which
-vectors go to both sides. A pair at the threshold is parted by a cut with a probability of some 4 %
-among spread-out vectors, closer pairs far less often, and it is lost only if all trees part it:
-after 10 cuts in a row that is about 1 %, and the recall over all linked pairs was 0.9999 or more
-where it was measured (tests/llm, README). Where a third of a node's vectors or more lie within the margin
+vectors go to both sides. A pair at the threshold is parted by a cut with a probability of some 2.5 %
+among spread-out vectors, more in a cluster that a cut runs through, closer pairs far less often, and it is lost only if
+all trees part it: after 10 cuts in a row that is less than 0.1 %. The recall over all linked pairs is measured in
+tests/llm and told in the README. Where a third of a node's vectors or more lie within the margin
 (a tight cluster), the node is not cut but tried again with the next projection. What can't be cut at
 all is compared block by block, which is exact, as is a label with at most ``leaf`` distinct vectors.
 
-A vector travels once for each leaf that it is in (four trees, half as many again by spill for each
-five levels), with the names of its earlier leaves; the projections that a level has used are dropped.
+A vector travels once for each leaf that it is in (five trees, and by spill half as many again for each
+three levels), with the names of its earlier leaves; the projections that a level has used are dropped.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component, and
 those without a label or id, link with nothing; vectors of different lengths don't link, whatever
@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from .common import components, in_batches, join_skewed, keep, small_or
 
 COSINE = 0.93
-TREES = 4
+TREES = 5
 LEAF = 512
 #: Half the margin of a cut, as a share of the distance of a pair at the threshold.
-SPILL = 0.4
+SPILL = 0.5
 SEED = 7
 #: Rows that are compared with a leaf at once.
 _CHUNK = 512

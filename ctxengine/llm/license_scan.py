@@ -32,7 +32,7 @@ from .common import in_batches
 #: Every known sentence holds one of these, in any case; what normalise() makes a blank may part their words.
 HINT = (
     r"(?i)licen[sc]|permission|redistribut|warrant|copyright|spdx|public[\W_]+domain|liable|cc0|gpl|rights[\W_]+reserved|cc[\W_]+by|creative[\W_]+commons|as[\W_]+is|endorse|later[\W_]+version|misrepresented|plainly[\W_]+marked|source[\W_]+distribution"
-    r"|free[\W_]+software|hope[\W_]+that[\W_]+it|advertising[\W_]+materials|mpl|odbl|wtfpl|(?:released|distributed|available|published|provided|covered)[\W_]+under|fuck[\W_]+you[\W_]+want"
+    r"|free[\W_]+software|hope[\W_]+that[\W_]+it|advertising[\W_]+materials|mpl|odbl|wtfpl|(?:released|distributed|available|published|provided|covered)[\W_]+under|fuck[\W_]+you[\W_]+want|gfdl|apache|bsd|source[\W_]+code[\W_]+form|free[\W_]+to[\W_]+copy|\d[\W_]+or[\W_]+(?:any[\W_]+)?(?:later|newer)"
 )
 
 #: An SPDX tag with its licence expression. Operators in lower case count only before what looks like an identifier.
@@ -116,7 +116,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("unlicense-free", r"anyone is free to copy modify publish use compile sell or distribute this software"),
     ("wtfpl-grant", r"you just do what the fuck you want to"),
     ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    ("or-later", r"(?:at your option )?any later version|\bor (?:any )?(?:later|newer)\b"),
+    ("or-later", r"(?:at your option )?any later version|(?<=\d) or (?:any )?(?:later|newer)\b"),
     ("as-is", r"software is provided as is(?: without)?|provided by the copyright holders and contributors as is|without warranty of any kind|without any express or implied warranty"),
     ("liability", r"in no event (?:shall|will) .{0,80}be (?:held )?liable"),
     ("copyright", r"^(?:c )?copyright (?:c )?(?:\d{4}|the\b)"),
@@ -222,7 +222,7 @@ def match_rules(ids: list[str]) -> tuple[list[str], list[str]]:
     for name, rule in _rules():
         while m := rule.search(sequence):
             group = next((g for g in m.groups() if g), "") if m.groups() else ""
-            found.append((m.start(), name.replace("{1}", group)))
+            found.append((sequence.count(" ", 0, m.start()), name.replace("{1}", group)))
             sequence = sequence[: m.start()] + " -" * m[0].count(" ") + sequence[m.end() :]
     order = list(dict.fromkeys(n for _, n in sorted(found)))
     return order, [i for i in sequence.split() if i != "-" and i not in SILENT]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 import re
 import zlib
@@ -31,12 +32,13 @@ def odd_documents(spark, rows=True):
     return spark.createDataFrame(made if rows else [], DOC)
 
 
-def near_brute(docs, similarity=0.8):
+def near_brute(docs, similarity=0.8, weighted=True):
     sets = {}
     for i, t in docs:
         w = WORD.findall((t or "").lower())
         n = min(5, len(w))
-        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+        counts = Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if w else Counter()
+        sets[i] = {(x, k) for x, c in counts.items() for k in range(c if weighted else 1)}  # a unit of weight each
     parent = {i: i for i in sets}
 
     def find(x):
@@ -69,6 +71,17 @@ def test_near_duplicates(spark):
         assert got == want
 
 
+def test_near_duplicates_by_weight(spark):
+    line, rest = words(6, 3), words(20, 4)
+    docs = [(1, f"{line} " * 40 + rest), (2, f"{line} " * 38 + rest), (3, f"{line} " * 9 + rest), (4, f"{line} " * 11 + rest), (5, rest)]
+    docs += [(10 + k, " ".join([words(5, 50 + k % 3)] * (10 + k % 4) + words(40, 60 + k % 3).split())) for k in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for weighted in (True, False):
+        got = {x["doc_id"]: x["class_id"] for x in minhash.near_classes(df, weighted=weighted).collect()}
+        assert got == near_brute(docs, weighted=weighted)
+    assert near_brute(docs)[3] != near_brute(docs)[1] and near_brute(docs, weighted=False)[3] == 1
+
+
 def test_darts_estimate_weighted_similarity():
     r = np.random.Generator(np.random.PCG64(1))
     a, b = r.integers(0, 2**63, 300).astype(np.uint64), r.integers(0, 2**63, 100).astype(np.uint64)
@@ -97,11 +110,33 @@ def test_embeddings(spark):
         if (new == comp).all():
             break
         comp = new
-    for leaf in (1024, 64):
+    exact = math.sqrt(1 - 0.93**2)
+    for leaf in (512, 64):
         got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in embed_dedup.near_vectors(df, leaf=leaf).collect()}
         assert all(got[int(i)] == (int(n), int(c)) for i, n, c in zip(ids, near.sum(axis=1), comp))
         assert all(got[i] == (0, i) for i in (1000, 1001, 1002, 1003, 1005, 1006))
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
+    pairs = [(1, [1.0, 0.0], 1, "v"), (2, [0.93, exact], 1, "v"), (3, [1.0, 0.0], 2, "v"), (4, [0.93 - 5e-13, math.sqrt(1 - (0.93 - 5e-13) ** 2)], 2, "v"), (5, [1.0, 0.0], 3, "v"), (5, [1.0, 0.0], 3, "v"), (6, [3e200, 0.0], 3, "v"), (7, [1.0, 0.0, 0.0], 3, "v")]
+    odd = spark.createDataFrame([(*x, "leaf") for x in pairs], "vec_id long, embedding array<double>, label int, rep string, leaf string")
+    got = sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in embed_dedup.near_vectors(odd).collect())
+    norm = lambda v: math.sqrt(sum(c * c for c in v))
+    at_threshold = 0.93 / norm([0.93, exact]) >= 0.93
+    assert got == [(1, int(at_threshold), 1), (2, int(at_threshold), 1 if at_threshold else 2), (3, 0, 3), (4, 0, 4), (5, 2, 5), (5, 2, 5), (6, 2, 5), (7, 0, 7)]
+
+
+def test_embedding_recall(spark):
+    """Over spread-out and clustered vectors, with leaves so small that many cuts are made."""
+    r = np.random.Generator(np.random.PCG64(12))
+    spread = r.standard_normal((2000, 32))
+    near = spread[:1000] + r.standard_normal((1000, 32)) * 0.28
+    tight = r.standard_normal((4, 32))[r.integers(0, 4, 1000)] + r.standard_normal((1000, 32)) * 0.3
+    m = np.concatenate((spread, near, tight))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(m)], "vec_id long, embedding array<double>, label int")
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = (m @ m.T >= 0.93).sum(axis=1) - 1
+    got = {x["vec_id"]: x["n_links"] for x in embed_dedup.near_vectors(df, leaf=128).collect()}
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.99 * want.sum() > 0
 
 
 def test_exact_groups(spark):
@@ -113,13 +148,41 @@ def test_exact_groups(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == [2, 3, 6, 7, 8, 9, 10]
 
 
-def test_quotient_filters_merge_without_loss():
-    r = np.random.Generator(np.random.PCG64(3))
-    x = r.integers(-50, 50, 1000) * (1 << 40) + r.integers(0, 3, 1000)
-    one, other = exact_dedup.QuotientFilter.of(x[:400]), exact_dedup.QuotientFilter.of(x[400:])
-    f = one.merge(other)
-    got = {int((np.uint64(q) << np.uint64(32) | np.uint64(m)).astype(np.int64)): int(n) for q, m, n in zip(f.quotient, f.remainder, f.n)}
-    assert got == Counter(map(int, x))
+@pytest.mark.parametrize("n", [1, 7, 3000])
+def test_quotient_filters_merge_without_loss(n):
+    r = np.random.Generator(np.random.PCG64(n))
+    prefix = np.uint64(41 << 58)
+    x = (r.integers(0, 2**58, n).astype(np.uint64) >> np.uint64(r.integers(0, 30))) | prefix  # some crowd in few quotients
+    parts = []
+    for k in range(3):
+        some = np.concatenate((r.choice(x, n), np.repeat(x[:1], 5 * k)))
+        parts.append(some)
+    make = lambda v: exact_dedup.QuotientFilter.of(*np.unique(v, return_counts=True), 6)
+    filters = [make(p) for p in parts]
+    whole = filters[0].merge(filters[1]).merge(filters[2])
+    prints, counts = whole.items()
+    assert dict(zip(map(int, prints), map(int, counts))) == Counter(map(int, np.concatenate(parts)))
+    assert (np.diff(prints.astype(object)) > 0).all()
+    again = make(np.concatenate(parts))
+    assert whole.data == again.data  # the same filter, however it was put together
+    if n == 3000:
+        assert len(again.data) < 14 * len(prints)  # remainders and bits, not whole fingerprints and counts (16 bytes)
+
+
+def test_quotient_filter_keeps_huge_counts():
+    x = np.array([3, 5, 2**58 - 1], np.uint64)
+    n = np.array([2**40 + 7, 1, 2**62], np.uint64)
+    got = exact_dedup.QuotientFilter.of(x, n, 6).items()
+    assert got[0].tolist() == x.tolist() and got[1].tolist() == n.tolist()
+
+
+def test_repeated_fingerprints(spark):
+    r = random.Random(8)
+    prints = [r.getrandbits(64) - 2**63 for _ in range(5000)]
+    prints += r.choices(prints, k=3000) + [prints[0]] * 500
+    df = spark.createDataFrame([(p,) for p in prints], "fp long").repartition(7)
+    got = {x["fp"]: x["n"] for x in exact_dedup.repeated_fingerprints(df).collect()}
+    assert got == {k: n for k, n in Counter(prints).items() if n > 1}
 
 
 @pytest.mark.parametrize("name", ["op4_exact_dedup", "op8_warc_archive"])
@@ -238,6 +301,117 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def mixed_by_source(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, id string, m long, pattern string")
+    out, kept = defaultdict(lambda: [0, 0.0]), mixing.take_mix(df)
+    for r in mixing.mix_sources(df).collect():
+        out[r["source_size"]][0] += r["taken"]
+        out[r["source_size"]][1] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    assert kept.columns == df.columns
+    words_kept = Counter()
+    for r in kept.collect():
+        words_kept[r["source"]] += len(WORD.findall(r["text"]))
+    assert sorted(words_kept.values()) == sorted(taken for taken, _ in out.values() if taken)
+    return out
+
+
+@pytest.mark.parametrize("ident", [lambda i: None, lambda i: 7, lambda i: i])
+def test_mixing_takes_rows_not_ids(spark, ident):
+    rows = [(ident(i), "w " * 10, "b", "i", 1, "p") for i in range(100)] + [(1000 + i, "v " * (i + 1), "a", "i", 1, "p") for i in range(80)]
+    got = mixed_by_source(spark, rows)
+    assert abs(got[1000][0] - got[1000][1]) <= 5 and abs(got[3240][0] - got[3240][1]) <= 1
+
+
+def test_mixing_fills_the_gap_with_short_documents(spark):
+    rows = [(0, "long " * 2000, "a", "i", 1, "p")] + [(i, "w " * (1 + i % 4), "a", "i", 1, "p") for i in range(1, 4000)] + [(5000 + i, "x " * 9, "b", "i", 1, "p") for i in range(300)]
+    for source_size, (taken, target) in mixed_by_source(spark, rows).items():
+        assert abs(taken - target) <= 4.5, source_size
+
+
+def test_mixing_overlapping_sources(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "w " * (1 + i % 7), ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b", None]) for i in range(600)] + [(9999, "w w", None), (9998, None, ["a"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, s array<string>")
+    sized = mixing.sizes_of(df, F.col("s"))
+    weights = {"a": 3, "b": 1, None: 1}
+    got = mixing.mix_sized(sized, weights).collect()
+    assert len(got) == 602 and all(r["taken"] == 0 for r in got if r["id"] >= 9998)
+    totals = Counter()
+    for r in got:
+        totals[tuple(r["pattern"])] += r["taken"]
+    supply = Counter()
+    for r in got:
+        supply[tuple(r["pattern"])] += r["size"]
+    sources = {r["source"]: r["quota"] for r in mixing.decide(sized, weights)[0].collect()}
+    flow = mixing.min_cost_flow({p: n for p, n in supply.items() if p}, sources)
+    for p in supply:
+        assert abs(totals[p] - sum(n for (q, _), n in flow.items() if q == p)) <= 4
+
+
+def test_mixing_many_sources(spark):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "repeat('w ', cast(id % 37 + 1 AS int)) AS text", "concat('s', lpad(cast(id % 20000 AS string), 6, '0')) AS source")
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == 40_000
+    size, goal = mix_brute([(f"s{i % 20000:06}", i % 37 + 1) for i in range(40_000)])
+    taken = Counter()
+    want = Counter((size[s], round(goal[s], 6)) for s in goal)
+    for r in got:
+        taken[r["source_size"]] += r["taken"]
+    assert {(r["source_size"], round(r["target"], 6)) for r in got} == set(want)
+    assert sum(taken.values()) == pytest.approx(1.5 * sum(size.values()), rel=0.2)
+
+
+def brute_flow(supply, quota, most):
+    """(words carried, cost) of the best flow, by trying every amount of every arc."""
+    arcs = [(p, s) for p in supply for s in p]
+    best = (0, 0)
+
+    def go(k, used, filled):
+        nonlocal best
+        if k == len(arcs):
+            total = sum(used.values())
+            cost = sum(max(0, used[p] - r * supply[p]) for p in supply for r in range(1, most))
+            best = max(best, (total, -cost))
+            return
+        p, s = arcs[k]
+        for n in range(min(most * supply[p] - used[p], quota[s] - filled[s]) + 1):
+            used[p] += n
+            filled[s] += n
+            go(k + 1, used, filled)
+            used[p] -= n
+            filled[s] -= n
+
+    go(0, Counter(), Counter())
+    return best
+
+
+def test_flow_is_the_cheapest_of_the_greatest():
+    r = random.Random(6)
+    for _ in range(60):
+        patterns = r.sample([("a",), ("b",), ("a", "b"), ("b", "c"), ("a", "c")], 3)
+        supply, quota = {p: r.randint(0, 3) for p in patterns}, {s: r.randint(0, 5) for s in "abc"}
+        flow = mixing.min_cost_flow(supply, quota)
+        used = Counter()
+        for (p, _), n in flow.items():
+            used[p] += n
+        got = (sum(flow.values()), -sum(max(0, used[p] - supply[p]) for p in supply))
+        assert got == brute_flow(supply, quota, 2)
+
+
+def test_flow_over_many_sources_is_quick():
+    import time
+
+    r, n = random.Random(7), 3000
+    supply = {}
+    for i in range(n):
+        supply[(f"s{i}",)], supply[(f"s{i}", f"s{(i + 1) % n}")] = r.randint(1, 99), r.randint(1, 99)
+    began = time.perf_counter()
+    mixing.min_cost_flow(supply, {f"s{i}": r.randint(1, 300) for i in range(n)})
+    assert time.perf_counter() - began < 10
+
+
 def test_flow_costs_least():
     supply = {("a",): 10, ("a", "b"): 10, ("b",): 10}
     flow = mixing.min_cost_flow(supply, {"a": 20, "b": 10})
@@ -306,6 +480,46 @@ def test_html_containers_lose_no_text():
     assert html_text.main_text("<article><a href='/a'>One</a></article><article><a href='/b'>Two</a></article>") == "One\nTwo"
 
 
+def test_html_spans_by_brute_force():
+    r = random.Random(2)
+    for _ in range(400):
+        lengths, window, threshold = [r.choice([0, 0, 0, 5, 30, 90]) for _ in range(r.randint(0, 14))], r.randint(1, 4), r.choice([1, 60, 120])
+        block = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+        want = []
+        for a in range(len(lengths)):
+            for b in range(a + 1, len(lengths) + 1):
+                whole = all(block[a:b]) and (a == 0 or not block[a - 1]) and (b == len(lengths) or not block[b])
+                if whole and max(block[a:b]) >= threshold:
+                    text = [i for i in range(a, b) if lengths[i]]
+                    want.append((text[0], text[-1] + 1))
+        assert html_text.surges(np.array(lengths, np.int64), window, threshold) == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 200_000, '<a "' * 100_000, '<a b="' * 100_000, "</a" * 100_000, "<!--" * 100_000, "<script></script " * 30_000, "<" * 100_000, "<p>x" * 50_000, "<div class='ad'>" * 30_000])
+def test_html_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 3
+
+
+def test_html_keeps_what_one_word_does_not_mark():
+    page = "<div class='site-header'>Site</div><article><header><h1>Head</h1><nav><a>Menu</a></nav></header><p class='lead header'>Lead.</p><div class='menu-of-the-day'><p>Soup.</p></div><div class='social-history'>Past.</div><div class='comment-list'>Nice</div>{}<p>End < 3.</p><p><a href='/s'>Source</a></p><footer>By A</footer></article>"
+    text = ["Head", "Lead.", "Soup.", "Past.", "End < 3.", "Source"]
+    links = "<ul>" + "<li><a href='/x'>More</a></li>" * 4 + "</ul>"
+    assert html_text.main_text(page.format("")).split("\n") == text
+    assert html_text.main_text(page.format(links)).split("\n") == text  # a dive between two surges
+    assert html_text.main_text("<article><p>Text.</p><div class='menu-of-links'><a href='/a'>A</a></div></article>") == "Text."
+
+
+def test_html_repeats_and_long_pages(spark):
+    long = "<article>" + "".join(f"<p>{words(50, n)}</p>" for n in range(3000)) + "</article>"
+    pages = spark.createDataFrame([(1, "u", long, "t"), (1, "u", long, "t"), (2, "v", "<article><p>a&nbsp;b</p></article>", "t")], "page_id long, url string, html string, text string")
+    got = html_text.extract(pages).collect()
+    assert sorted(r["n_chars"] for r in got) == [3, 3000 * 300 - 1, 3000 * 300 - 1]
+
+
 def test_html_removed_blocks_end_no_text():
     long, ad = words(60), "<div class='ad'>Buy</div>"
     assert html_text.main_text(f"<h2>Title</h2><div class='share'>Share</div><p>{long}</p>{ad}<p>Between.</p>{ad}<p>{words(40, 1)}</p>{ad}<p>End.</p>") == "\n".join(["Title", long, "Between.", words(40, 1), "End."])
@@ -331,6 +545,17 @@ def test_licences(spark):
         ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\nOR so", ["GPL-2.0-only", "Classpath-exception-2.0"]),
         ("SPDX-License-Identifier: MIT or Apache-2.0", ["MIT", "Apache-2.0"]),
         ("SPDX-License-Identifier: MIT and see the file.", ["MIT"]),
+        ("licensed under GPLv2+", ["GPL-2.0-or-later"]),
+        ("GNU GPL v3", ["GPL-3.0-only"]),
+        ("License: MIT", ["MIT"]),
+        ("Licensed under MIT or Apache-2.0.", ["MIT", "Apache-2.0"]),
+        ("This code is under the zlib license.", ["Zlib"]),
+        ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+        ("Microsoft Public License (Ms-PL)", ["MS-PL"]),
+        ("GNU Lesser General Public License v2.1 or later", ["LGPL-2.1-or-later"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one.", ["MPL-2.0"]),
+        ("This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose. The origin of this software must not be misrepresented.", ["Zlib"]),
+        ("He studied at MIT, under a licence nobody knows.", []),
         ("CC BY 4.0 for texts, SPDX-License-Identifier: MIT.\nAll else is in the public domain", ["CC-BY-4.0", "MIT"]),
     ],
 )
@@ -338,6 +563,39 @@ def test_spdx_expressions(text, licenses):
     assert license_scan.scan_text(text)[0] == licenses
 
 
+def test_unknown_licences_are_unmatched():
+    assert license_scan.scan_text("Licensed under the Foo Corp licence.")[2] == ["licence-mention"]
+    assert license_scan.scan_text("License: MIT\n\nThe fonts have a licence of their own.")[::2] == (["MIT"], ["licence-mention"])
+    assert license_scan.scan_text("The weather is nice.") == ([], [], [], 0)
+
+
+def test_licence_rules_by_brute_force():
+    """Rules in order, each at the first place where some span of whole identifiers matches it and is the one the pattern prefers there."""
+    ids = ["ref:MIT", "mit-grant", "mit-notice", "as-is", "copyright", "ref:GPL-3.0", "or-later", "ref:BSD", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "licence-mention", "spdx:X", "ref:GPL", "gnu-free"]
+    r = random.Random(5)
+    for _ in range(300):
+        given = r.choices(ids, k=r.randint(0, 7))
+        left, found = list(given), []
+        for name, pattern in license_scan.RULES:
+            at = 0
+            while at < len(left):
+                text = "".join(f" {x}" if x else " -" for x in left[at:]) + " "
+                m = re.match(f"(?:{pattern})(?= )", text)
+                if m:
+                    n = m[0].count(" ")
+                    found.append((at, name.replace("{1}", next((g for g in m.groups() if g), "") if m.groups() else "")))
+                    left[at : at + n] = [None] * n
+                at += 1
+        want = list(dict.fromkeys(n for _, n in sorted(found))), [x for x in left if x and x not in license_scan.SILENT]
+        assert license_scan.match_rules(given) == want
+
+
+def test_licence_scan_of_odd_tables(spark):
+    rows = [(1, "License: MIT", "s"), (1, "License: MIT", "s"), (2, "word " * 200_000 + "Licensed under CC BY 4.0.", "s"), (None, None, "s")]
+    got = [(r["doc_id"], r["licenses"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, licenses string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, ["MIT"]), (1, ["MIT"]), (2, ["CC-BY-4.0"]), (None, [])], key=str)
+
+
 def test_every_licence_sentence_has_a_hint(spark):
     from itertools import product
     from re import _parser
@@ -351,6 +609,8 @@ def test_every_licence_sentence_has_a_hint(spark):
                 parts.append([x for p in v[1] for x in made(p)])
             elif op == "SUBPATTERN":
                 parts.append(made(v[3]))
+            elif op == "ASSERT":
+                parts.append(["0" if v[0] < 0 else x for x in made(v[1])])
             elif op == "MAX_REPEAT":
                 parts.append([x * v[0] for x in made(v[2])] if v[0] else [""])
             elif op == "IN":
@@ -359,7 +619,7 @@ def test_every_licence_sentence_has_a_hint(spark):
                 parts.append([chr(v) if op == "LITERAL" else "x" if op == "ANY" else ""])
         return ["".join(x) for x in product(*parts)]
 
-    texts = [x for _, p in license_scan.SENTENCES for x in made(_parser.parse(p))]
+    texts = [x for _, p in license_scan.patterns() for x in made(_parser.parse(p))]
     assert all(license_scan.identify_sentence(x) for x in texts)
     apart = [x.replace(" ", "\n * ") for x in texts]
     docs = spark.createDataFrame(list(enumerate(texts + apart)), "doc_id long, text string")
@@ -451,3 +711,15 @@ def test_pipeline(spark):
     for _, stage in pipeline.STAGES:
         odd = stage(spark, odd, SF)
     assert odd.count()
+
+
+def test_kept_tables_can_be_dropped(spark):
+    import os
+
+    from ctxengine.llm import common
+
+    kept = common.keep(spark.range(3).toDF("id"), "some")
+    place = f"{common.shared_dir(spark)}/ctxengine/{spark.sparkContext.applicationId}".removeprefix("file:")
+    assert kept.count() == 3 and os.path.isdir(place)
+    common.drop_kept(spark)
+    assert not os.path.isdir(place)

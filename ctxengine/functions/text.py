@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,30 @@ OMISSION_MARK = "\n// ... existing code ...\n"
 SIGNATURE = r"^(export\s+)?(public\s+|private\s+|protected\s+|static\s+|abstract\s+|async\s+)?(class|interface|type|enum|function|const|let|var|import|from|get\s+|set\s+|constructor|(\w+\s*\(.*?\)\s*(:|\{)))"
 BYTES_PER_TOKEN = 4
 
+# What headings, links, imports, paths, comments and fences look like.
+HEADING = r"(?m)^#{1,6}\s+(.+)$"
+INLINE_LINK = r"!?\[[^\]]*\]\(([^)\s]+)(?:\s+['\"][^'\"]*['\"])?\)"
+WIKI_LINK = r"!?\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
+RELATIVE_IMPORT = r"(?:import|from)\s+['\"](\.[^'\"]+)['\"]"
+MENTIONED_PATH = r"(?i)(?:[a-z]:\\|\./|/)?[a-z0-9_./\\-]+\.[a-z0-9]+"
+CLIPBOARD_PATH = r"([a-zA-Z0-9._\-/]+\.[a-zA-Z0-9]+)(?::\d+:\d+)?"
+COMMENTS = [(r"(?m)/\*[\s\S]*?\*/|([^:]|^)//.*$", "$1"), (r"(?m)^\s*#.*$", "")]
+# How a line names a path, the surest way first; then inline code and plain paths, the last of a line first.
+PATH_LINES = [r"(?i)##\s*File:\s*([^\s`]+)", r"`([^`]+)`\s*:?\z", r"\*\*([^*]+)\*\*\s*:?\z", r"__([^_]+)__\s*:?\z", r"^[-*+]\s+([^\s`].*?)\s*:?\z", r"^\d+\.\s+([^\s`].*?)\s*:?\z"]
+INLINE_CODE, PLAIN_PATH = r"`([^`]+)`", r"(?i)([a-z0-9_./\\@+-]+)"
+# What is taken off a hint of a path, what makes it none, and the path in it.
+HINT_LABEL = "(?i)^\\s*[`\"]?(?:(?:File|Path|ファイル|対象)[:\\s]+)?|[`\"]\\s*\\z"
+HINT_WRAP = "^`?\"?(?:[ab]/)?(?:\\./)?|\"?`?\\z"
+NO_HINT = r"(?i:^https?://)|node_modules|dist|^[`\"]{0,2}(?:[ab]/)?(?:\./)?[A-Z]:\\"
+HINTED_PATH = r"(?:\b|\W)(?:\./)?([\w./\\-]+\.[a-zA-Z0-9_-]+)(?:\b|\W)"
+# Kinds of replies and of code by what they hold, the first that holds.
+REPLY_KINDS = {
+    "unifiedDiff": [r"(?m)^---\s+a/|^\+\+\+\s+b/|^@@ "], "marked": ["{marker}", "```"], "pathCodeBlock": ["{path line}", "```"], "markdownCodeBlock": [r"```[a-zA-Z0-9]*\n[\s\S]*\n```"],
+    "chatMixed": [r"^###?\s+|以下のファイル|修正してください"], "plainCode": [r"\b(?:import|export|function|class|const|let)\b"],
+}
+PATH_LINE = r"^[\w./-]+\.(?:ts|js|tsx|jsx|json|md)\z"
+CONTENT_KINDS = {"json": [r"(?m)^\s*\{", r'"\w+"\s*:'], "typescript": [r"class\s+\w+"], "javascript": [r"function\s+\w+|console\.log\("]}
+
 
 def lines(c: Column) -> Column:
     return F.split(c, r"\r?\n")
@@ -35,31 +61,33 @@ def tokens(c: Column) -> Column:
 
 def heading_tokens(c: Column) -> Column:
     """P10"""
-    return F.flatten(F.transform(all_groups(c, r"(?m)^#{1,6}\s+(.+)$", 1), tokens))
+    return F.flatten(F.transform(all_groups(c, HEADING, 1), tokens))
 
 
 def link_targets(c: Column) -> Column:
-    """Array of (target, extensionless) of Markdown links and wiki links."""
-    inline = F.transform(all_groups(c, r"!?\[[^\]]*\]\(([^)\s]+)(?:\s+['\"][^'\"]*['\"])?\)", 1), lambda t: F.struct(t.alias("target"), F.lit(False).alias("extensionless")))
-    wiki = F.transform(all_groups(c, r"!?\[\[([^\]|]+)(?:\|[^\]]+)?\]\]", 1), lambda t: F.struct(t.alias("target"), F.lit(True).alias("extensionless")))
-    return F.concat(inline, wiki)
+    """Array of (target, extensionless) of Markdown links, then wiki links, which may leave out the extension."""
+
+    def kind(pattern: str, extensionless: bool) -> Column:
+        return F.transform(all_groups(c, pattern, 1), lambda t: F.struct(t.alias("target"), F.lit(extensionless).alias("extensionless")))
+
+    return F.concat(kind(INLINE_LINK, False), kind(WIKI_LINK, True))
 
 
 def import_targets(c: Column) -> Column:
     """The relative targets of import and from, as they stand."""
-    return all_groups(c, r"(?:import|from)\s+['\"](\.[^'\"]+)['\"]", 1)
+    return all_groups(c, RELATIVE_IMPORT, 1)
 
 
 def mentioned_paths(c: Column) -> Column:
     """Distinct paths with an extension in a free text, in order."""
-    found = all_groups(c, r"(?i)(?:[a-z]:\\|\./|/)?[a-z0-9_./\\-]+\.[a-z0-9]+", 0)
+    found = all_groups(c, MENTIONED_PATH, 0)
     clean = F.transform(found, lambda p: js_trim(fold_separators(F.regexp_replace(p, r":\d+(?::\d+)?\z", ""))))
     return F.array_distinct(F.filter(clean, lambda p: F.contains(p, F.lit("."))))
 
 
 def clipboard_paths(c: Column) -> Column:
     """The second form, with valid paths only."""
-    return F.array_distinct(F.filter(all_groups(c, r"([a-zA-Z0-9._\-/]+\.[a-zA-Z0-9]+)(?::\d+:\d+)?", 1), lambda p: valid_path(p, 1)))
+    return F.array_distinct(F.filter(all_groups(c, CLIPBOARD_PATH, 1), lambda p: valid_path(p, 1)))
 
 
 def estimated_tokens(size: Column) -> Column:
@@ -85,8 +113,9 @@ def budget_ratio(selected: Column, limit: Column) -> Column:
 
 def strip_comments(c: Column) -> Column:
     """Block comments; // not after a colon; lines that start with #."""
-    out = F.regexp_replace(c, r"(?m)/\*[\s\S]*?\*/|([^:]|^)//.*$", "$1")
-    return F.regexp_replace(out, r"(?m)^\s*#.*$", "")
+    for pattern, by in COMMENTS:
+        c = F.regexp_replace(c, pattern, by)
+    return c
 
 
 def strip_blank_lines(c: Column) -> Column:
@@ -140,41 +169,35 @@ def _mapped(token: Column) -> Column:
     return F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))[token]
 
 
+def _kind(rules: dict[str, Column]) -> Column:
+    """The name of the first rule that holds."""
+    return F.coalesce(*(F.when(test, name) for name, test in rules.items()))
+
+
+def _holds(c: Column, patterns: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, (c.rlike(p) for p in patterns))
+
+
 def language_of(info: Column, path: Column, content: Column) -> Column:
-    """By fence info, then by extension, then by content."""
-    by_content = (
-        F.when(content.rlike(r"(?m)^\s*\{") & content.rlike(r'"\w+"\s*:'), "json")
-        .when(content.rlike(r"class\s+\w+"), "typescript")
-        .when(content.rlike(r"function\s+\w+|console\.log\("), "javascript")
-    )
-    return F.coalesce(_mapped(F.lower(F.get(F.split(info, r"\s+"), F.lit(0)))), _mapped(extension(path)), by_content)
+    """The first of the fence's word, the path's extension and the kind of content that is known."""
+    named = F.transform(F.array(F.substring_index(F.regexp_replace(info, r"\s+", " "), " ", 1), extension(path)), lambda t: _mapped(F.lower(t)))
+    return F.coalesce(F.get(F.filter(named, lambda x: x.isNotNull()), F.lit(0)), _kind({k: _holds(content, p) for k, p in CONTENT_KINDS.items()}))
 
 
 def reply_format(c: Column, marker: str = "ctxengine") -> Column:
-    """The kind of a reply, by the first rule that holds."""
-    fence = F.contains(c, F.lit("```"))
-    path_line = F.exists(F.slice(lines(c), 1, 6), lambda x: js_trim(x).rlike(r"^[\w./-]+\.(?:ts|js|tsx|jsx|json|md)\z"))
-    return (
-        F.when(c.isNull() | (js_trim(c) == ""), "unknown")
-        .when(c.rlike(r"(?m)^---\s+a/|^\+\+\+\s+b/|^@@ "), "unifiedDiff")
-        .when(F.contains(c, F.lit(marker)) & fence, "marked")
-        .when(path_line & fence, "pathCodeBlock")
-        .when(c.rlike(r"```[a-zA-Z0-9]*\n[\s\S]*\n```"), "markdownCodeBlock")
-        .when(c.rlike(r"^###?\s+") | c.rlike("以下のファイル|修正してください"), "chatMixed")
-        .when(c.rlike(r"\b(?:import|export|function|class|const|let)\b"), "plainCode")
-        .otherwise("unknown")
-    )
+    """The kind of a reply; a line that is a path counts among the first six."""
+    named = F.exists(F.slice(lines(c), 1, 6), lambda x: js_trim(x).rlike(PATH_LINE))
+    special = {"{marker}": F.contains(c, F.lit(marker)), "{path line}": named}
+    rules = {k: reduce(lambda a, b: a & b, (special.get(p, c.rlike(p)) for p in patterns)) for k, patterns in REPLY_KINDS.items()}
+    return F.when(js_trim(c) != "", F.coalesce(_kind(rules), F.lit("unknown"))).otherwise("unknown")
 
 
 def path_in_line(line: Column) -> Column:
-    """The path that a line names, by ordered patterns, then the last inline code, then the last plain path; null if none."""
+    """Of all that a line may name as a path, the surest that is one; null if none."""
     t = js_trim(line)
-    ordered = [r"(?i)##\s*File:\s*([^\s`]+)", r"`([^`]+)`\s*:?\z", r"\*\*([^*]+)\*\*\s*:?\z", r"__([^_]+)__\s*:?\z", r"^[-*+]\s+([^\s`].*?)\s*:?\z", r"^\d+\.\s+([^\s`].*?)\s*:?\z"]
-    found = [js_trim(F.regexp_extract(t, p, 1)) for p in ordered]
-    valid_last = lambda xs: F.try_element_at(F.filter(xs, lambda p: (p != "") & valid_file_path(p)), F.lit(-1))
-    inline = valid_last(F.transform(all_groups(t, "`([^`]+)`", 1), js_trim))
-    plain = valid_last(all_groups(t, r"(?i)[a-z0-9_./\\@+-]+", 0))
-    return F.coalesce(*(F.when((p != "") & valid_file_path(p), p) for p in found), inline, plain)
+    every = lambda pattern: F.reverse(all_groups(t, pattern, 1))
+    offered = F.concat(F.array(*(F.regexp_extract(t, p, 1) for p in PATH_LINES)), every(INLINE_CODE), every(PLAIN_PATH))
+    return F.get(F.filter(F.transform(offered, js_trim), lambda p: (p != "") & valid_file_path(p)), F.lit(0))
 
 
 def path_in_context(c: Column) -> Column:
@@ -182,24 +205,13 @@ def path_in_context(c: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(lines(c), path_in_line), lambda p: p.isNotNull()), F.lit(-1))
 
 
-def _hint(v: Column) -> Column:
-    s = F.regexp_replace(F.regexp_replace(v, "^`|`\\z", ""), '^"|"\\z', "")
-    s = F.regexp_replace(F.regexp_replace(s, "^[ab]/", ""), r"^\./", "")
-    bad = v.rlike("(?i)^https?://") | F.contains(s, F.lit("node_modules")) | F.contains(s, F.lit("dist")) | s.rlike(r"^[A-Z]:\\")
-    found = F.regexp_replace(F.regexp_extract(F.concat(s, F.lit(" ")), r"(?:\b|\W)([\w./\\-]+\.[a-zA-Z0-9_-]+)(?:\b|\W)", 1), r"^\./", "")
-    return F.when(~bad & (found != ""), found)
-
-
 def path_hint(info: Column, before: Column, after: Column) -> Column:
-    """From the fence's info, else the last three lines before it, else the last three of what follows."""
-    first = lambda xs: F.get(F.filter(xs, lambda p: p.isNotNull()), F.lit(0))
-
-    def near(text: Column) -> Column:
-        last = F.reverse(lines(F.coalesce(text, F.lit(""))))
-        clean = lambda x: F.regexp_replace(F.regexp_replace(js_trim(x), '^\\s*[`"]|[`"]\\s*\\z', ""), "(?i)^(?:File|Path|ファイル|対象)[:\\s]+", "")
-        return first(F.transform(F.slice(last, 1, 3), lambda x: _hint(clean(x))))
-
-    return F.coalesce(first(F.transform(F.split(js_trim(F.coalesce(info, F.lit(""))), r"\s+"), _hint)), near(before), near(after))
+    """The first hint among the words of the fence's info, the three lines above it from below, and the last three of what follows."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    lowest = lambda c: F.transform(F.slice(F.reverse(lines(text(c))), 1, 3), lambda x: F.regexp_replace(js_trim(x), HINT_LABEL, ""))
+    offered = F.filter(F.concat(F.split(js_trim(text(info)), r"\s+"), lowest(before), lowest(after)), lambda x: ~x.rlike(NO_HINT))
+    found = F.transform(offered, lambda x: F.regexp_extract(F.concat(F.regexp_replace(x, HINT_WRAP, ""), F.lit(" ")), HINTED_PATH, 1))
+    return F.get(F.filter(found, lambda p: p != ""), F.lit(0))
 
 
 def confidence_level(score: Column) -> Column:

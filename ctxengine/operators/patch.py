@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -90,93 +92,110 @@ def resolve_targets(hints: DataFrame, files: DataFrame, recent: DataFrame) -> Da
     return out.select("hint_id", target.alias("target"), F.least(F.lit(100), F.when(F.col("path").isNotNull(), F.col("confidence")).when(target.isNotNull(), 40).otherwise(0)).cast("int").alias("confidence"))
 
 
-def _is_omission(line: str) -> bool:
-    low = line.strip().lower()
-    comment = low.startswith(("//", "#", "--", "<!--", "/*")) or low.endswith(("*/", "-->"))
-    return low == "..." or (comment and any(s in low for s in ("...", "existing", "既存", "省略", "rest of")))
-
-
-def _key(line: str) -> str:
-    return "".join(line.split()).lower()
-
-
-def _distance(a: str, b: str, most: int) -> int:
-    """Edit distance, given up beyond ``most``."""
+class _Lines:
+    """A text's lines, their forms without white space in lower case, where each form stands, and which lines are omission marks."""
+
+    def __init__(self, text: str):
+        self.lines = text.replace("\r\n", "\n").split("\n")
+        self.forms = ["".join(x.split()).lower() for x in self.lines]
+        self.places: dict[str, list[int]] = {}
+        for k, form in enumerate(self.forms):
+            self.places.setdefault(form, []).append(k)
+        self.marks = [_MARK.search(x.strip().lower()) is not None for x in self.lines]
+
+    def first(self, form: str, low: int, past: int | None = None) -> int | None:
+        """The first place of a form from low on, before past."""
+        found = self.places.get(form, [])
+        i = bisect_left(found, low)
+        return found[i] if i < len(found) and (past is None or found[i] < past) else None
+
+    def nearest(self, line: str, low: int) -> int | None:
+        """The place from low on whose line is most like a line, the first of equals, if it is like enough."""
+        want = "".join(line.split())
+        scored = ((_alike(want, "".join(x.split())), -k) for k, x in enumerate(self.lines[low:], low))
+        score, k = max(scored, default=(0.0, 0))
+        return -k if score >= FUZZY else None
+
+
+# A comment that says that something was left out, or three dots alone.
+_MARK = re.compile(r"^\.\.\.$|^(?=//|#|--|<!--|/\*|.*(?:\*/|-->)$).*(?:\.\.\.|existing|既存|省略|rest of)")
+#: How far a line may stand behind the last one that was found, outside gaps.
+REACH = 5
+#: Letters that a line needs to be found by likeness.
+LEAST = 4
+
+
+def _alike(a: str, b: str) -> float:
+    """1 less the edit distance over the longer length; 0 where it is below FUZZY by the lengths or on the way."""
+    n = max(len(a), len(b))
+    if not n:
+        return 1.0
+    most = int((1 - FUZZY) * n)
+    if abs(len(a) - len(b)) > most:
+        return 0.0
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         above, row = row, [i]
         for j, y in enumerate(b, 1):
             row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
         if min(row) > most:
-            return most + 1
-    return row[-1]
-
-
-def _closest(line: str, pool: list[str], low: int) -> int | None:
-    """The first most similar line from low on, if it is similar enough."""
-    want, best, at = "".join(line.split()), 0.0, None
-    for k in range(low, len(pool)):
-        have = "".join(pool[k].split())
-        longest = max(len(want), len(have))
-        if not longest:
-            near = 1.0
-        elif abs(len(want) - len(have)) > (1 - max(best, FUZZY)) * longest:
-            continue
-        else:
-            near = (longest - _distance(want, have, int((1 - FUZZY) * longest))) / longest
-        if near > best:
-            best, at = near, k
-    return at if best >= FUZZY else None
+            return 0.0
+    return (n - row[-1]) / n
+
+
+def _anchor(old: _Lines, new: _Lines, mark: int, at: int) -> tuple[int, int] | None:
+    """(line of new, its place in old) at which a gap that starts with a mark ends.
+
+    Each later line is a row of a table: whether it stands in old as it is, which line it is, and where. The
+    first row of the best kind is taken; a place that leaves something to restore is better than none.
+    """
+    lines = [j for j in range(mark + 1, len(new.lines)) if new.forms[j] and not new.marks[j]]
+    same = ((j, next((k for k in (old.first(new.forms[j], at + 1), old.first(new.forms[j], at, at + 1)) if k is not None), None)) for j in lines)
+    like = ((j, old.nearest(new.lines[j], at)) for j in lines if len(new.forms[j]) >= LEAST)
+    return next(((j, k) for table in (same, like) for j, k in table if k is not None), None)
 
 
 def heal_text(original: str, patched: str) -> tuple[str | None, float | None, str | None]:
-    """(code, diff ratio, error): the patched text with what its omission marks stand for put back from the original."""
-    old, new = original.replace("\r\n", "\n").split("\n"), patched.replace("\r\n", "\n").split("\n")
-    keys = [_key(x) for x in old]
-    places: dict[str, list[int]] = {}
-    for k, key in enumerate(keys):
-        places.setdefault(key, []).append(k)
-    marks = [_is_omission(x) for x in new]
+    """(code, diff ratio, error): the patched text with what its omission marks stand for put back from the original.
+
+    The marks cut the patched text into stretches. A stretch keeps its lines, in the original's form where
+    one stands close behind; between two stretches comes what the original has up to the anchor.
+    """
+    old, new = _Lines(original), _Lines(patched)
     out: list[str] = []
-    at, i = 0, 0
-
-    def anchor(first: int) -> tuple[int, int] | None:
-        rest = [j for j in range(first, len(new)) if not marks[j] and _key(new[j])]
-        for j in rest:
-            hits = places.get(_key(new[j]), [])
-            later = next((k for k in hits if k > at), at if at in hits else None)
-            if later is not None:
-                return later, j
-        for j in rest:
-            if len(_key(new[j])) >= 4 and (k := _closest(new[j], old, at)) is not None:
-                return k, j
-        return None
-
-    while i < len(new):
-        if marks[i]:
-            found = anchor(i + 1)
-            if found:
-                k, j = found
-                out += old[at:k]
-                for line, mark in zip(new[i + 1 : j], marks[i + 1 : j], strict=True):
-                    if not mark and (line.strip() or not out or out[-1].strip()):
-                        out.append(line)
-                same = keys[k] == _key(new[j])
-                out.append(old[k] if same else old[k][: len(old[k]) - len(old[k].lstrip())] + new[j].lstrip())
-                at, i = k + 1, j
-            elif not any(marks[i + 1 :]):
-                out += old[at:]
-                at = len(old)
-            else:
-                lost = next((x for x, m in zip(new[i + 1 :], marks[i + 1 :], strict=True) if not m), None)
-                return None, None, f"Anchor line not found: {lost or 'End of file'}"
+    at = done = 0  # what is used of old, and of new
+
+    def stretch(past: int) -> None:
+        nonlocal at
+        for j in range(done, past):
+            k = old.first(new.forms[j], at, at + REACH) if new.forms[j] else None
+            out.append(new.lines[j] if k is None else old.lines[k])
+            at = at if k is None else k + 1
+
+    marks = [m for m, is_mark in enumerate(new.marks) if is_mark]
+    for m in marks:
+        if m < done:  # inside a gap that an earlier mark opened
+            continue
+        stretch(m)
+        done = m + 1
+        anchor = _anchor(old, new, m, at)
+        if anchor is None and m == marks[-1]:
+            out += old.lines[at:]
+            at = len(old.lines)
+        elif anchor is None:
+            named = [x for x, is_mark in zip(new.lines[m + 1 :], new.marks[m + 1 :], strict=True) if not is_mark]
+            return None, None, f"Anchor line not found: {named[0] if named and named[0] else 'End of file'}"
         else:
-            key = _key(new[i])
-            hit = next((k for k in range(at, min(at + 5, len(old))) if keys[k] == key), None) if key else None
-            out.append(new[i] if hit is None else old[hit])
-            at = at if hit is None else hit + 1
-        i += 1
-    return "\n".join(out), abs(len(old) - len(out)) / len(old), None
+            j, k = anchor
+            out += old.lines[at:k]
+            for x in (x for x, is_mark in zip(new.lines[m + 1 : j], new.marks[m + 1 : j], strict=True) if not is_mark):
+                if x.strip() or not out or out[-1].strip():  # no second blank line
+                    out.append(x)
+            found = old.lines[k]
+            out.append(found if old.forms[k] == new.forms[j] else found[: len(found) - len(found.lstrip())] + new.lines[j].lstrip())
+            at, done = k + 1, j + 1
+    stretch(len(new.lines))
+    return "\n".join(out), abs(len(old.lines) - len(out)) / len(old.lines), None
 
 
 @F.pandas_udf(RESTORED)

@@ -2,13 +2,17 @@
 
 A recommendation of one source for one file keeps its best score, and of equal scores the smallest
 detail. So for sources whose score is a constant only the smallest recommending file matters:
-these are worked out from the two smallest files of each directory or word (two, as a file doesn't
-recommend itself), and no list of pairs is made.
+these are worked out from the first few files of each directory or word (two, as a file doesn't
+recommend itself, and one more for each file that must not count because it links the target), and no
+list of pairs is made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import MARKDOWN, available_path, parent, resolve_link, stem
@@ -25,11 +29,15 @@ def valid(recs: DataFrame) -> DataFrame:
     return recs.where(F.col("source").isin(SOURCES) & F.col("score").isNotNull() & ~F.isnan("score") & (F.col("score") >= 0) & (F.col("score") < float("inf")))
 
 
+def smallest(df: DataFrame, keys: list[str], value: str, most: int) -> DataFrame:
+    """keys, rank, value: the ``most`` smallest distinct values. Tasks hand on no more than that of each key, so a hot key is cut before the shuffle (where most is below a thousand)."""
+    order = Window.partitionBy(*keys).orderBy(value)
+    return df.select(*keys, value).withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= most).distinct()
+
+
 def two_smallest(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, lo, lo2: the two smallest distinct values; both steps are pre-aggregated minima, so a hot key costs nothing."""
-    lo = df.groupBy(*keys).agg(F.min(value).alias("lo"))
-    lo2 = df.join(lo, keys).where(F.col(value) > F.col("lo")).groupBy(*keys).agg(F.min(value).alias("lo2"))
-    return lo.join(lo2, keys, "left")
+    """keys, lo, lo2: the two smallest distinct values."""
+    return smallest(df, keys, value, 2).groupBy(*keys).agg(F.min(value).alias("lo"), F.min(F.when(F.col("rank") == 2, F.col(value))).alias("lo2"))
 
 
 def by_directory(base: DataFrame, files: DataFrame) -> DataFrame:
@@ -40,48 +48,65 @@ def by_directory(base: DataFrame, files: DataFrame) -> DataFrame:
     return found.select("project_id", "path", F.lit("directoryProximity").alias("source"), F.lit(DIRECTORY_SCORE).alias("score"), F.concat(F.lit("Same directory as "), by).alias("detail")).where("detail is not null")
 
 
-def by_link(base: DataFrame, files: DataFrame) -> DataFrame:
-    """Files that a link of a base file (with text) resolves to; wiki links are also tried with Markdown extensions, the first that exists wins."""
+def link_pairs(base: DataFrame, files: DataFrame) -> DataFrame:
+    """(project_id, src, path): what each base file (with text) links to; wiki links are also tried with Markdown extensions, the first that exists wins."""
     links = base.select("project_id", F.col("path").alias("src"), F.explode(link_targets(F.col("text"))).alias("l"))
     links = links.select("project_id", "src", resolve_link(F.col("src"), F.col("l.target")).alias("target"), F.col("l.extensionless").alias("wiki")).where("target is not null").distinct()
     probes = F.when(F.col("wiki") & ~F.col("target").rlike(r"[^/.][^/]*\.[^/.]*\z"), F.array(*map(F.lit, PROBES))).otherwise(F.array(F.lit("")))
     tried = links.select("project_id", "src", "target", F.posexplode(probes).alias("rank", "probe")).withColumn("path", F.concat("target", "probe"))
-    hits = tried.join(files.select("project_id", "path", available_path(F.col("path")).alias("_p")).drop("_p"), ["project_id", "path"])
-    first = hits.groupBy("project_id", "src", "target").agg(F.min_by("path", "rank").alias("path")).where(available_path(F.col("src")) != F.col("path"))
-    return first.groupBy("project_id", "path").agg(F.min("src").alias("src")).select("project_id", "path", F.lit("markdownLink").alias("source"), F.lit(LINK_SCORE).alias("score"), F.concat(F.lit("Markdown link from "), "src").alias("detail"))
+    hits = tried.join(files.select("project_id", "path"), ["project_id", "path"])
+    found = hits.groupBy("project_id", "src", "target").agg(F.min_by("path", "rank").alias("path")).where(available_path(F.col("src")) != F.col("path"))
+    return found.select("project_id", "src", "path").distinct()
+
+
+def _best(pairs: DataFrame, source: str, score: float, detail: str) -> DataFrame:
+    """Recommendations of pairs (project_id, path, src) with one score: of each file the smallest src."""
+    least = pairs.groupBy("project_id", "path").agg(F.min("src").alias("src"))
+    return least.select("project_id", "path", F.lit(source).alias("source"), F.lit(score).alias("score"), F.concat(F.lit(detail), "src").alias("detail"))
 
 
-def by_name(base: DataFrame, files: DataFrame) -> DataFrame:
-    """Markdown files that share a word of their name or headings with a base file.
+def by_link(base: DataFrame, files: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """J6"""
+    return _best(link_pairs(base, files) if pairs is None else pairs, "markdownLink", LINK_SCORE, "Markdown link from ")
+
+
+def by_name(base: DataFrame, files: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Markdown files that share a word of their name or headings with a base file that doesn't link them.
 
     A single match by a general word doesn't count; a base file's words count as often as they occur.
     Any word that isn't general is enough by itself. Matches by general words alone depend only on
     how often a base file has each of them and on which of them a file has: a join on these patterns.
+    A file that n base files link needs the n + 2 first base files of a word at most: it is joined with these
+    ranks, so the rows are bounded by words and links, whatever the pairs.
     """
+    pairs = link_pairs(base, files) if pairs is None else pairs
     words = lambda text: F.concat(tokens(stem(F.col("path"))), heading_tokens(F.coalesce(text, F.lit(""))))
     general = F.array(*map(F.lit, GENERAL_WORDS))
+    linked = pairs.groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("links"))
+    most = (linked.agg(F.max("links")).first()[0] or 0) + 2
     src = base.select("project_id", "path", words(F.col("text")).alias("w"))
     dst = files.where(F.col("path").rlike(MARKDOWN)).select("project_id", "path", F.array_distinct(words(F.col("text"))).alias("w"))
-    strong = lambda df: df.select("project_id", "path", F.explode(F.array_except("w", general)).alias("word")).distinct()
-    least = two_smallest(strong(src), ["project_id", "word"], "path")
-    by = F.when(F.col("path") == F.col("lo"), F.col("lo2")).otherwise(F.col("lo"))
-    a = strong(dst).join(least, ["project_id", "word"]).select("project_id", "path", by.alias("src"))
+    dst = dst.join(linked, ["project_id", "path"], "left").withColumn("ranks", F.sequence(F.lit(1), (F.coalesce("links", F.lit(0)) + 2).cast("int")))
+    strong = lambda w: F.array_distinct(F.array_except(w, general))
+    first = smallest(src.select("project_id", F.explode(strong(F.col("w"))).alias("word"), F.col("path").alias("src")), ["project_id", "word"], "src", most)
+    asked = dst.select("project_id", "path", F.explode(strong(F.col("w"))).alias("word"), "ranks").withColumn("rank", F.explode("ranks")).drop("ranks")
+    a = asked.join(first, ["project_id", "word", "rank"]).select("project_id", "path", "src")
     # patterns of general words: at most 3 x 3 x 3 of base files and 8 of files
     how_often = F.transform(general, lambda g: F.least(F.lit(2), F.size(F.filter("w", lambda x: x == g))))
     which = F.transform(general, lambda g: F.array_contains("w", g))
-    patterns = two_smallest(src.where(F.arrays_overlap("w", general)).select("project_id", how_often.alias("often"), "path"), ["project_id", "often"], "path")
-    files_by = dst.where(F.arrays_overlap("w", general)).select("project_id", "path", which.alias("has"))
-    kinds = files_by.select("project_id", "has").distinct().join(patterns, "project_id")
+    often = src.where(F.arrays_overlap("w", general)).select("project_id", how_often.alias("often"), F.col("path").alias("src"))
+    by = dst.where(F.arrays_overlap("w", general)).select("project_id", "path", which.alias("has"), F.explode("ranks").alias("rank"))
     matched = F.aggregate(F.zip_with("often", "has", lambda n, h: F.when(h, n).otherwise(0)), F.lit(0), lambda x, y: x + y)
-    b = files_by.join(kinds.where(matched >= 2), ["project_id", "has"]).select("project_id", "path", by.alias("src"))
-    best = a.unionByName(b).where("src is not null").groupBy("project_id", "path").agg(F.min("src").alias("src"))
-    return best.select("project_id", "path", F.lit("headingMatch").alias("source"), F.lit(HEADING_SCORE).alias("score"), F.concat(F.lit("Filename or heading match from "), "src").alias("detail"))
+    kinds = by.select("project_id", "has").distinct().join(often.select("project_id", "often").distinct(), "project_id").where(matched >= 2)
+    b = by.join(kinds, ["project_id", "has"]).join(smallest(often, ["project_id", "often"], "src", most), ["project_id", "often", "rank"]).select("project_id", "path", "src")
+    found = a.unionByName(b).where("src <> path").distinct().join(pairs, ["project_id", "path", "src"], "left_anti")
+    return _best(found, "headingMatch", HEADING_SCORE, "Filename or heading match from ")
 
 
 def markdown(base: DataFrame, files: DataFrame) -> DataFrame:
-    """Links, and name matches for files that aren't linked."""
-    links = by_link(base, files)
-    return links.unionByName(by_name(base, files).join(links.select("project_id", "path"), ["project_id", "path"], "left_anti"))
+    """Links, and name matches with base files that don't link the file."""
+    pairs = link_pairs(base, files)
+    return by_link(base, files, pairs).unionByName(by_name(base, files, pairs))
 
 
 def by_co_change(found: DataFrame) -> DataFrame:
@@ -89,15 +114,23 @@ def by_co_change(found: DataFrame) -> DataFrame:
     return found.select("project_id", "path", F.lit("coChange").alias("source"), F.col("n").cast("double").alias("score"), F.concat(F.lit("Changed with "), "target").alias("detail"))
 
 
-def collect(base: DataFrame, files: DataFrame, enabled: dict[str, bool] | None = None, extra: list[DataFrame] | None = None) -> DataFrame:
-    """The enabled sources' recommendations for base (project_id, path, text)."""
-    enabled = enabled or {}
-    out = [s(base, files) for name, s in (("markdownLink", by_link), ("headingMatch", by_name), ("directoryProximity", by_directory)) if enabled.get(name, True)]
-    out += extra or []
-    result = base.sparkSession.createDataFrame([], "project_id string, path string, source string, score double, detail string")  # if all are switched off
-    for more in out:
-        result = result.unionByName(more)
-    return result
+def collect(sources: dict[str, Callable[[], DataFrame]], candidates: DataFrame, enabled: dict[str, bool] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(recommendations of the enabled sources in their order, warnings for each candidate of a source that failed).
+
+    A source is a function without arguments. One that can't be planned (no such table or column, settings that
+    don't hold) fails by itself; the others go on.
+    """
+    spark = candidates.sparkSession
+    recs = spark.createDataFrame([], "project_id string, path string, source string, score double, detail string")
+    warnings = spark.createDataFrame([], "kind string, project_id string, relative_path string, message string")
+    for name in (n for n in SOURCES if n in sources and (enabled or {}).get(n, True)):
+        try:
+            recs = recs.unionByName(sources[name]().select(*recs.columns))
+        except (PySparkException, ValueError, KeyError) as e:
+            first = str(e).strip().partition("\n")[0]
+            failed = candidates.select(F.lit("recommendationFailure").alias("kind"), "project_id", F.col("path").alias("relative_path"), F.lit(f"Recommendation source {name} failed: {first}").alias("message"))
+            warnings = warnings.unionByName(failed)
+    return recs, warnings
 
 
 def merge(recs: DataFrame) -> DataFrame:
@@ -139,6 +172,7 @@ def upsert(state: DataFrame, news: DataFrame) -> DataFrame:
     )
 
 
-def last_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key, the last in the order."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key, the greatest by the columns of the order; each task hands on one row of a key."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, *(F.col("_r")[c].alias(c) for c in rest))

@@ -149,11 +149,18 @@ def diagnostics_of(diagnostics: DataFrame, selected: DataFrame) -> DataFrame:
     return cut.join(selected.select("path").distinct(), "path", "left_semi").select("uri", "message").distinct()
 
 
-def co_changes(commits: DataFrame, targets: DataFrame) -> DataFrame:
-    """(target, path, n): in how many commits with the target another document changed too."""
-    docs = commits.select("commit_id", "path").distinct().where(F.col("path").rlike(r"(?i)\.(?:md|markdown|mdx|rst|txt)\z") & ~F.col("path").rlike(r"^/|(?:^|/)\.\.(?:/|\z)"))
-    with_target = docs.join(targets.select(F.col("path").alias("path")), "path", "left_semi").select("commit_id", F.col("path").alias("target"))
-    return docs.join(with_target, "commit_id").where("path <> target").groupBy("target", "path").agg(F.count(F.lit(1)).alias("n"))
+def co_changes(commits: DataFrame, targets: DataFrame, history: int = 50) -> DataFrame:
+    """(project_id, target, path, n): in how many of a project's last ``history`` commits with the target another document changed too.
+
+    commits (project_id, commit_id, ts, path), targets (project_id, path). What is paired is bounded by the history.
+    """
+    each = commits.groupBy("project_id", "commit_id").agg(F.max("ts").alias("ts"))
+    rank = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("ts"), F.desc("commit_id")))
+    last = each.withColumn("rank", rank).where(F.col("rank") <= history).select("project_id", "commit_id")
+    changed = commits.join(last, ["project_id", "commit_id"], "left_semi").select("project_id", "commit_id", "path").distinct()
+    docs = changed.where(F.col("path").rlike(r"(?i)\.(?:md|markdown|mdx|rst|txt)\z") & ~F.col("path").rlike(r"^/|(?:^|/)\.\.(?:/|\z)"))
+    with_target = changed.join(targets.select("project_id", "path"), ["project_id", "path"], "left_semi").select("project_id", "commit_id", F.col("path").alias("target"))
+    return docs.join(with_target, ["project_id", "commit_id"]).where("path <> target").groupBy("project_id", "target", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
 def recent_files(commits: DataFrame, limit: int = 200) -> DataFrame:

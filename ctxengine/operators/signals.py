@@ -47,6 +47,11 @@ def valid_roots(projects: DataFrame) -> tuple[DataFrame, DataFrame]:
     return projects.where(~blank), projects.where(blank).select(F.lit("invalidRoot").alias("kind"), F.col("id").alias("project_id"))
 
 
+def joined_messages(warnings: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, message): the messages of warnings in order of their files, one a line."""
+    return warnings.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("relative_path", "message"))), lambda w: w["message"]), "\n").alias("message"))
+
+
 def merge_signals(signals: DataFrame) -> DataFrame:
     """A1: one row for each file: distinct reasons, first seen first, and the first known size.
 

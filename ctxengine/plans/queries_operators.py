@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import brace_stub
 from ..operators import pack, recommend, search, selection, signals
 from ..sources import connectors
-from ..sources.tables import changes, code, commits, edges, files, table
+from ..sources.tables import changes, code, commits, edges, file_commits, files, following, table
 from ..sources.tables import signals as signal_rows
 from ..streaming.changes import bursts, content_changes
 from .catalog import BASE, COMMITS, EDGES, FILES, base_files, joined, query
@@ -97,17 +97,18 @@ def recent_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "co_change", "J10 A6 O4",
-    f"""WITH {COMMITS}, t AS (SELECT 'docs/part_' || p_partkey || '.md' AS path FROM part WHERE p_size = 1)
-      SELECT a.path AS target, b.path, count(*)::BIGINT AS n FROM commits a JOIN t USING (path) JOIN commits b ON a.commit_id = b.commit_id AND a.path <> b.path GROUP BY 1, 2""",
+    "co_change", "J10 A6 O4 O13",
+    f"""WITH {COMMITS}, t AS (SELECT 'docs/part_' || p_partkey || '.md' AS path FROM part WHERE p_size <= 10), last AS (SELECT DISTINCT commit_id, ts FROM commits ORDER BY ts DESC, commit_id DESC LIMIT 50)
+      SELECT a.path AS target, b.path, count(*)::BIGINT AS n FROM last JOIN commits a USING (commit_id) JOIN t USING (path) JOIN commits b ON a.commit_id = b.commit_id AND a.path <> b.path GROUP BY 1, 2""",
 )
 def co_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = table(spark, sf_dir, "part").where("p_size = 1").select(F.concat(F.lit("docs/part_"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"))
-    return search.co_changes(commits(spark, sf_dir), targets).orderBy("target", F.desc("n"), "path")
+    one = F.lit("p").alias("project_id")
+    targets = table(spark, sf_dir, "part").where("p_size <= 10").select(one, F.concat(F.lit("docs/part_"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"))
+    return search.co_changes(commits(spark, sf_dir).select(one, "*"), targets).drop("project_id").orderBy("target", F.desc("n"), "path")
 
 
 DIRECTORY = "dirs AS (SELECT f.project_id, f.path, 'directoryProximity' AS source, 0.5 AS score, 'Same directory as ' || min(b.path) AS detail FROM files f JOIN base b ON b.project_id = f.project_id AND regexp_replace(b.path, '/[^/]*$', '') = regexp_replace(f.path, '/[^/]*$', '') AND b.path <> f.path GROUP BY ALL)"
-WORDS = "list_filter(string_split_regex(lower(regexp_extract(path, '([^/]*)\\.md$', 1) || ' ' || regexp_extract(string_split(text, chr(10))[1], '^\\S+ \\S+ \\S+')), '[^a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN ('the','and','for','from','with','document'))"
+WORDS = "list_filter(string_split_regex(lower(regexp_extract(path, '([^/]*)\\.md$', 1) || ' ' || text), '[^a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN ('the','and','for','from','with','document'))"
 
 
 @query("directory_proximity", "J11", f"WITH {FILES}, {BASE}, {DIRECTORY} SELECT * FROM dirs")
@@ -116,53 +117,63 @@ def directory_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _headed(df: DataFrame) -> DataFrame:
-    """The first three words of a text as its heading."""
-    return df.withColumn("text", F.concat(F.lit("# "), F.regexp_extract(F.get(F.split("text", "\n"), F.lit(0)), r"^\S+ \S+ \S+", 0), F.lit("\n")))
+    """Each line of a text as a heading."""
+    return df.withColumn("text", F.regexp_replace("text", r"(?m)^(?=.)", "# "))
 
 
-NAMES = f"""src AS (SELECT project_id, path, unnest({WORDS}) AS w FROM base), dst AS (SELECT DISTINCT project_id, path, unnest({WORDS}) AS w FROM files),
-  names AS (SELECT project_id, path, 'headingMatch' AS source, 0.6 AS score, 'Filename or heading match from ' || min(s) AS detail FROM (
-    SELECT d.project_id, d.path, s.path AS s FROM dst d JOIN src s ON d.project_id = s.project_id AND d.w = s.w AND d.path <> s.path GROUP BY ALL HAVING count(*) > 1 OR max(d.w) NOT IN ('api', 'design', 'test')) GROUP BY ALL)"""
-
-
-@query("name_heading_match", "J7 J8", f"WITH {FILES}, {BASE}, {NAMES} SELECT * FROM names")
-def name_heading_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recommend.by_name(_headed(base_files(spark, sf_dir)), _headed(files(spark, sf_dir)))
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base files, each line a heading, with a link to the next document of their source (which resolves if that has the same language) and a wiki link without an extension to themselves."""
+    nxt = following(files(spark, sf_dir).select("project_id", "path", "doc_id"), ["doc_id"])
+    base = _headed(base_files(spark, sf_dir)).join(nxt.select("project_id", "path", "next_doc_id"), ["project_id", "path"])
+    link = F.concat(F.lit("\nSee [next](../"), "project_id", F.lit("/./doc_"), F.coalesce(F.col("next_doc_id").cast("string"), F.lit("x")), F.lit(".md#top) [[/"), "path", F.lit("]] [[./doc_1]]"))
+    return base.select("project_id", "path", F.concat("text", link).alias("text"))
 
 
+# (src, path) of links: the next document of the source, if it is in the same language's folder, and the wiki link to doc_1
 LINKED = """nxt AS (SELECT project_id, path AS src, doc_id, lead(doc_id) OVER (PARTITION BY project_id ORDER BY doc_id) AS n FROM files),
-  links AS (SELECT f.project_id, f.path, 'markdownLink' AS source, 0.8 AS score, 'Markdown link from ' || min(x.src) AS detail FROM nxt x JOIN base b ON b.path = x.src JOIN documents d ON d.doc_id = x.n
-    JOIN files f ON f.doc_id = d.doc_id AND regexp_extract(f.path, '^[^/]*') = regexp_extract(x.src, '^[^/]*') GROUP BY ALL)"""
-
+  pairs AS (SELECT DISTINCT f.project_id, f.path, x.src FROM nxt x JOIN base b ON b.path = x.src AND b.project_id = x.project_id
+    JOIN files f ON f.project_id = x.project_id AND f.doc_id IN (x.n, 1) AND f.path <> x.src AND regexp_extract(f.path, '^[^/]*') = regexp_extract(x.src, '^[^/]*')),
+  links AS (SELECT project_id, path, 'markdownLink' AS source, 0.8 AS score, 'Markdown link from ' || min(src) AS detail FROM pairs GROUP BY ALL)"""
+NAMES = f"""src AS (SELECT project_id, path, unnest({WORDS}) AS w FROM base), dst AS (SELECT DISTINCT project_id, path, unnest({WORDS}) AS w FROM files),
+  names AS (SELECT project_id, path, 'headingMatch' AS source, 0.6 AS score, 'Filename or heading match from ' || min(s) AS detail FROM (
+    SELECT d.project_id, d.path, s.path AS s FROM dst d JOIN src s ON d.project_id = s.project_id AND d.w = s.w AND d.path <> s.path GROUP BY ALL HAVING count(*) > 1 OR max(d.w) NOT IN ('api', 'design', 'test')) m
+    WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.project_id = m.project_id AND p.path = m.path AND p.src = m.s) GROUP BY ALL)"""
 
-def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base files with a link to the next document of their source (which resolves if that has the same language)."""
-    from pyspark.sql import Window
 
-    nxt = F.lead("doc_id").over(Window.partitionBy("project_id").orderBy("doc_id"))
-    f = files(spark, sf_dir).select("project_id", "path", nxt.alias("n"))
-    base = f.join(base_files(spark, sf_dir).select("project_id", "path"), ["project_id", "path"], "left_semi")
-    return base.select("project_id", "path", F.concat(F.lit("See [next](../"), "project_id", F.lit("/./doc_"), F.coalesce(F.col("n").cast("string"), F.lit("x")), F.lit(".md#top)")).alias("text"))
+@query("name_heading_match", "J7 J8", f"WITH {FILES}, {BASE}, {LINKED}, {NAMES} SELECT * FROM names")
+def name_heading_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recommend.by_name(_linked(spark, sf_dir), _headed(files(spark, sf_dir)))
 
 
-@query("link_recommendations", "J6", f"WITH {FILES}, {BASE}, {LINKED} SELECT * FROM links")
+@query("link_recommendations", "J6 P7", f"WITH {FILES}, {BASE}, {LINKED} SELECT * FROM links")
 def link_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.by_link(_linked(spark, sf_dir), files(spark, sf_dir))
 
 
-MERGED = """recs AS (SELECT project_id, path, sum(score)::DOUBLE AS score, string_agg(source || ' ' || round(score * 100)::INT || '%', ', ' ORDER BY CASE source WHEN 'markdownLink' THEN 1 WHEN 'headingMatch' THEN 2 ELSE 3 END) AS label
-  FROM (SELECT * FROM dirs UNION ALL SELECT * FROM names UNION ALL SELECT * FROM links) GROUP BY project_id, path)"""
+CO_CHANGED = """fc AS (SELECT project_id, doc_id // 40 AS commit_id, path FROM files), lastc AS (SELECT project_id, commit_id FROM (SELECT DISTINCT project_id, commit_id FROM fc) QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY commit_id DESC) <= 50),
+  cop AS (SELECT a.project_id, b.path, a.path AS target, count(*) AS n FROM fc a JOIN lastc USING (project_id, commit_id) JOIN base t ON t.project_id = a.project_id AND t.path = a.path JOIN fc b ON b.project_id = a.project_id AND b.commit_id = a.commit_id AND b.path <> a.path GROUP BY ALL),
+  co AS (SELECT project_id, path, 'coChange' AS source, max(n)::DOUBLE AS score, 'Changed with ' || min(target) AS detail FROM cop GROUP BY project_id, path)"""
+MERGED = """recs AS (SELECT project_id, path, sum(score)::DOUBLE AS score, string_agg(source || ' ' || round(score * 100)::INT || '%', ', ' ORDER BY CASE source WHEN 'markdownLink' THEN 1 WHEN 'headingMatch' THEN 2 WHEN 'coChange' THEN 3 ELSE 4 END) AS label
+  FROM (SELECT * FROM dirs UNION ALL SELECT * FROM names UNION ALL SELECT * FROM links UNION ALL SELECT * FROM co) GROUP BY project_id, path)"""
+SOURCES = f"{DIRECTORY}, {LINKED}, {NAMES}, {CO_CHANGED}, {MERGED}"
+
+
+def _sources_of(spark: SparkSession, sf_dir: str) -> dict:
+    base, f = _linked(spark, sf_dir), files(spark, sf_dir)
+    pairs = recommend.link_pairs(base, f)
+    return {
+        "markdownLink": lambda: recommend.by_link(base, f, pairs), "headingMatch": lambda: recommend.by_name(base, _headed(f), pairs), "directoryProximity": lambda: recommend.by_directory(base, f),
+        "coChange": lambda: recommend.by_co_change(search.co_changes(file_commits(spark, sf_dir), base.select("project_id", "path"))),
+    }
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, f = base_files(spark, sf_dir), files(spark, sf_dir)
-    recs = recommend.by_directory(base, f).unionByName(recommend.by_name(_headed(base), _headed(f))).unionByName(recommend.by_link(_linked(spark, sf_dir), f))
-    return recommend.merge(recs)
+    return recommend.merge(recommend.collect(_sources_of(spark, sf_dir), base_files(spark, sf_dir))[0])
 
 
 @query(
-    "merge_recommendations", "A3 A5 J16 U8 X16 X17 O2 F12 P42",
-    f"""WITH {FILES}, {BASE}, {DIRECTORY}, {NAMES}, {LINKED}, {MERGED}, {SIGNALS}
+    "merge_recommendations", "A3 A5 J16 U8 X16 X17 O2 F12 J8",
+    f"""WITH {FILES}, {BASE}, {SOURCES}, {SIGNALS}
       SELECT project_id, path, round(score, 6)::DOUBLE AS score, recommended FROM (SELECT project_id, path, score::DOUBLE AS score, false AS recommended FROM ranked
       UNION ALL SELECT project_id, path, score, true FROM recs r WHERE NOT EXISTS (SELECT 1 FROM ranked b WHERE b.project_id = r.project_id AND b.path = r.path))""",
 )
@@ -171,7 +182,25 @@ def merge_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.in_order(out.withColumn("score", F.round("score", 6)))
 
 
-@query("reasons_by_key", "J17 P42", f"WITH {FILES}, {BASE}, {DIRECTORY}, {NAMES}, {LINKED}, {MERGED}, {SIGNALS} SELECT project_id, path, coalesce(label, '') AS label FROM (SELECT project_id, path FROM ranked) FULL JOIN recs USING (project_id, path)")
+@query(
+    "recommendation_failures", "X16 A15",
+    f"""WITH {FILES}, {BASE}, {DIRECTORY}, w AS (SELECT project_id, path FROM base) SELECT project_id, (SELECT count(*) FROM dirs d WHERE d.project_id = w.project_id)::BIGINT AS n_recs,
+      string_agg('Recommendation source coChange failed: no such history of ' || path, {N} ORDER BY path) AS message FROM w GROUP BY project_id""",
+)
+def recommendation_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source fails; the other's recommendations stay, and each base file has a warning. The messages of a project are joined."""
+    base, f = base_files(spark, sf_dir), files(spark, sf_dir)
+
+    def broken() -> DataFrame:
+        raise ValueError("no such history")
+
+    recs, warnings = recommend.collect({"coChange": broken, "directoryProximity": lambda: recommend.by_directory(base, f), "headingMatch": broken}, base, {"headingMatch": False})
+    told = warnings.withColumn("message", F.concat("message", F.lit(" of "), "relative_path"))
+    counted = recs.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_recs"))
+    return signals.joined_messages(told, ["project_id"]).join(counted, "project_id", "left").select("project_id", F.coalesce("n_recs", F.lit(0)).alias("n_recs"), "message")
+
+
+@query("reasons_by_key", "J17 P42", f"WITH {FILES}, {BASE}, {SOURCES}, {SIGNALS} SELECT project_id, path, coalesce(label, '') AS label FROM (SELECT project_id, path FROM ranked) FULL JOIN recs USING (project_id, path)")
 def reasons_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import reason_label
 
@@ -400,7 +429,7 @@ def last_value_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("latest_state", "U13 U14 ST3 ST5", "SELECT user_id AS key, event_id, event_type AS content FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recommend.last_per_key(changes(spark, sf_dir), ["key"], [F.desc("ts"), F.desc("event_id")]).select("key", "event_id", "content")
+    return recommend.last_per_key(changes(spark, sf_dir), ["key"], ["ts", "event_id"]).select("key", "event_id", "content")
 
 
 @query("compressed_sizes", "X5 X6 X22", None)
@@ -410,7 +439,7 @@ def compressed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "discover", "X19 X20 O3",
-    f"""WITH {FILES}, {EDGES}, {BASE}, {DIRECTORY}, {NAMES}, {LINKED}, {MERGED},
+    f"""WITH {FILES}, {EDGES}, {BASE}, {SOURCES},
       cand AS (SELECT project_id, path, 30.0 AS score FROM base UNION ALL SELECT DISTINCT e.project_id, f.path, 5.0 FROM edges e JOIN base b ON b.project_id = e.project_id AND b.path = e.src
         JOIN files f ON f.project_id = e.project_id AND f.path = e.dst WHERE confidence BETWEEN 0 AND 1 AND NOT EXISTS (SELECT 1 FROM base x WHERE x.project_id = e.project_id AND x.path = e.dst))
       SELECT project_id, path, round(score::DOUBLE, 6) AS score, recommended FROM (SELECT project_id, path, score::DOUBLE AS score, false AS recommended FROM cand

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,13 +37,33 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_id"), F.col("o_orderdate").alias("ts")), "commit_id")
 
 
+def file_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_id, commit_id, path, ts): runs of 40 document ids as commits of their sources."""
+    run = F.floor(F.col("doc_id") / 40)
+    return files(spark, sf_dir).select("project_id", run.alias("commit_id"), "path", run.alias("ts"))
+
+
+def following(files: DataFrame, values: list[str], parts: int = 64) -> DataFrame:
+    """files with next_<value> of the next doc_id of the same project, null at its end.
+
+    Ranges of ids are looked through one by one, each with the first row behind it, so no project is sorted in one task.
+    """
+    ids = files.where("doc_id is not null").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    if ids["lo"] is None:
+        return files.select("*", *(F.lit(None).cast(dict(files.dtypes)[v]).alias(f"next_{v}") for v in values))
+    width = max(1, -(-(ids["hi"] - ids["lo"] + 1) // parts))
+    cut = files.withColumn("_r", F.floor((F.col("doc_id") - ids["lo"]) / width).cast("int"))
+    firsts = cut.groupBy("project_id", "_r").agg(F.min_by(F.struct(*values), "doc_id").alias("_first"))  # at most ``parts`` rows of a project
+    behind = firsts.withColumn("_behind", F.lead("_first").over(Window.partitionBy("project_id").orderBy("_r"))).drop("_first")
+    inside = Window.partitionBy("project_id", "_r").orderBy("doc_id")
+    led = cut.withColumn("_next", F.lead(F.struct(*values)).over(inside)).join(F.broadcast(behind), ["project_id", "_r"], "left")
+    return led.select(*files.columns, *(F.coalesce(F.col("_next"), F.col("_behind"))[v].alias(f"next_{v}") for v in values))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project_id, src, dst, reason, confidence): each document to the next of its source by id."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("project_id").orderBy("doc_id")
-    f = files(spark, sf_dir).select("project_id", "path", "doc_id")
-    return f.withColumn("dst", F.lead("path").over(w)).select("project_id", F.col("path").alias("src"), "dst", F.lit("docgraph").alias("reason"), ((F.col("doc_id") % 11) / 10.0).alias("confidence"))
+    f = following(files(spark, sf_dir).select("project_id", "path", "doc_id"), ["path"])
+    return f.select("project_id", F.col("path").alias("src"), F.col("next_path").alias("dst"), F.lit("docgraph").alias("reason"), ((F.col("doc_id") % 11) / 10.0).alias("confidence"))
 
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as text editors trim it, in a class that Java and RE2 read alike.
@@ -128,9 +130,9 @@ def user_pattern(pattern: str) -> str | None:
     """the user's own expression; None (never matches) if it is too long or not valid."""
     if len(pattern) > LONGEST_PATTERN:
         return None
-    try:
-        re.compile(pattern)
-    except re.error:
+    try:  # by the engine that will run it
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
         return None
     return pattern
 
@@ -178,3 +180,8 @@ def ancestors(c: Column) -> Column:
     """All proper prefixes of a path, with "" for the root, as an array."""
     parts = F.split(c, "/")
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+
+
+def icon(is_directory: Column, is_modified: Column) -> Column:
+    """P39"""
+    return F.when(is_directory, "folder").when(is_modified, "modifiedFile").otherwise("file")

@@ -3,8 +3,9 @@
 The greedy packs are folds in which a row that doesn't fit takes no room. Room only shrinks, so
 a row larger than the room left can never be taken: each round folds the next ``horizon`` rows of
 a project that still could fit (narrow rows: sizes, not texts), takes the room that is left, and drops
-what no longer fits. A hot project is cut to its first rows before the shuffle; nothing is
-folded that grows with the project.
+what no longer fits. The horizon is below the number up to which Spark limits a window's groups in each task
+(1,000), so of a hot project each task hands on its first rows only; nothing is folded that grows with
+the project.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import parent
+from ..session import shared_path
 from ..functions.text import BYTES_PER_TOKEN, brace_stub, escape_xml, line_skeleton, longest_run, safe_fence, strip_blank_lines, strip_comments
 
-HORIZON = 10_000
+HORIZON = 999
 
 
 def limit_bytes(tokens: int) -> int:
@@ -43,7 +45,9 @@ def greedy_pack(sized: DataFrame, room: int, order: list[Column], keys: tuple[st
             return F.struct((acc["room"] - used).alias("room"), out.alias("out"))
 
         folded = listed.select(*keys, F.aggregate("rows", start, step).alias("f"), F.element_at("rows", -1)["_o"].alias("_last"), (F.size("rows") >= horizon).alias("_more"))
-        folded = folded.checkpoint() if _can_checkpoint(folded) else folded.cache()
+        path = shared_path(folded.sparkSession, "pack")
+        folded.write.parquet(path)
+        folded = folded.sparkSession.read.schema(folded.schema).parquet(path)
         now = folded.select(*keys, F.explode("f.out").alias("t")).select(*keys, "t.path", "t.mode")
         taken = now if taken is None else taken.unionByName(now)
         if not folded.where("_more").limit(1).count():
@@ -56,14 +60,6 @@ def greedy_pack(sized: DataFrame, room: int, order: list[Column], keys: tuple[st
     return sized.select(*keys, "path").join(taken, [*keys, "path"], "left").withColumn("mode", F.coalesce("mode", F.lit("excluded")))
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    sc = df.sparkSession.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named and not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir() is not None
-
-
 def pack_scored(candidates: DataFrame, token_limit: int | None, optimise: bool = True, largest: int | None = None) -> DataFrame:
     """Candidates (project_id, path, score, size, skeleton_size) in order of score; without a limit all are full. Oversized ones are a warning."""
     fits = candidates if largest is None else candidates.where(F.col("size") <= largest)
@@ -80,6 +76,42 @@ def pack_smallest(candidates: DataFrame, limit: int) -> DataFrame:
     return greedy_pack(candidates, limit, [(~F.col("active")).alias("later"), F.col("size").alias("by")])
 
 
+def with_contents(candidates: DataFrame, projects: DataFrame, files: DataFrame, max_kb: int) -> tuple[DataFrame, DataFrame]:
+    """(candidates with their text and size, warnings of those without a project or file, or with too large a text)."""
+    known = projects.select(F.col("id").alias("project_id")).distinct()
+    read = candidates.join(known, "project_id", "left_semi").join(files.select("project_id", "path", "text"), ["project_id", "path"], "left")
+    kind = F.when(F.col("text").isNull(), "unreadableFile").when(F.octet_length("text") > max_kb * 1024, "oversizedFile")
+    told = read.withColumn("kind", kind)
+    lost = candidates.join(known, "project_id", "left_anti").select(F.lit("unreadableFile").alias("kind"), "project_id", "path")
+    good = told.where("kind is null").drop("kind", "size").withColumn("size", F.octet_length("text").cast("long"))
+    return good, told.where("kind is not null").select("kind", "project_id", "path").unionByName(lost)
+
+
+# Bundles of settings for a purpose.
+SCENARIOS = {
+    "initialShare": {"pack_mode": "skeleton", "optimise": True, "dependencies": False, "related_docs": False, "recipe": "text", "ignore_files": True},
+    "debugFix": {"pack_mode": "full", "optimise": False, "recipe": "gitDiff"},
+    "newFeature": {"pack_mode": "full", "optimise": False, "dependencies": True, "related_docs": True},
+}
+
+
+def scenario(kind: str, settings: dict | None = None) -> dict:
+    """Settings with those of a scenario put over them; an unknown scenario changes none."""
+    return {**(settings or {}), **SCENARIOS.get(kind, {})}
+
+
+def modes(candidates: DataFrame, overrides: DataFrame, settings: dict, token_limit: int | None = None) -> DataFrame:
+    """(project_id, path, mode): the mode set for the file, else the settings'; where these optimise, what the budget leaves of the rest."""
+    keyed = candidates.join(overrides.select("project_id", "path", F.col("mode").alias("forced")), ["project_id", "path"], "left")
+    if not settings.get("optimise") or not token_limit:
+        return keyed.select("project_id", "path", F.coalesce("forced", F.lit(settings.get("pack_mode", "full"))).alias("mode"))
+    free = keyed.where("forced is null").drop("forced")
+    size = F.col("skeleton_size") if settings.get("pack_mode") == "skeleton" else F.col("size")
+    packed = pack_scored(free.withColumn("size", size), token_limit).select("project_id", "path", "mode")
+    named = F.when((F.col("mode") == "full") & F.lit(settings.get("pack_mode") == "skeleton"), "skeleton").otherwise(F.col("mode"))
+    return packed.withColumn("mode", named).unionByName(keyed.where("forced is not null").select("project_id", "path", F.col("forced").alias("mode")))
+
+
 def snippets(candidates: DataFrame, excerpts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a pseudo file path:start-end for each excerpt, warnings for candidates without one)."""
     joined = candidates.select("project_id", "path").join(excerpts, ["project_id", "path"], "left")

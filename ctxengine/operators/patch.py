@@ -12,42 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import base_name
-from ..functions.text import OMISSION_MARK, all_groups, confidence_level, js_trim, language_of, path_hint, path_in_context, positional_diff
+from ..functions.text import OMISSION_MARK, all_groups, confidence_level, fences, js_trim, language_of, path_hint, path_in_context, positional_diff
 
-BLOCK = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "content_start", "content_end", "end")]))
 RESTORED = T.StructType([T.StructField("code", T.StringType()), T.StructField("diff_ratio", T.DoubleType()), T.StructField("error", T.StringType())])
 FUZZY = 0.8
 
 
-@F.udf(BLOCK, useArrow=True)
-def fence_blocks(text: str | None) -> list[tuple[int, int, int, int]]:
-    """Spans of fences: three backticks or more open one, as many at the start of a line, before white space or the end, close it."""
-    out, at, text = [], 0, text or ""
-    while (start := text.find("```", at)) >= 0:
-        run = len(text[start:]) - len(text[start:].lstrip("`"))
-        head = text.find("\n", start)
-        if head < 0:
-            break
-        close = head
-        while (close := text.find("\n" + "`" * run, close)) >= 0:
-            after = text[close + 1 + run : close + 2 + run]
-            if not after or after.isspace():
-                break
-            close += 1
-        if close < 0:
-            break
-        out.append((start, head + 1, max(head + 1, close), close + 1 + run))
-        at = close + 1 + run
-    return out
-
-
 def parse_reply(replies: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys, path, code): blocks by the path named between them; blocks of one path are joined by an omission mark."""
-    blocks = replies.select(*keys, F.col(text_col).alias("t"), fence_blocks(F.col(text_col)).alias("b")).where(F.size("b") > 0)
-    one = blocks.select(*keys, "t", F.transform("b", lambda x, i: F.struct(i.alias("i"), F.when(i == 0, 0).otherwise(F.get(F.col("b"), i - 1)["end"]).alias("low"), x.alias("x"))).alias("b"))
-    one = one.select(*keys, "t", F.explode("b").alias("b"))
-    part = lambda a, z: F.substr("t", a + 1, z - a)
-    named = one.select(*keys, F.col("b.i").alias("i"), path_in_context(part(F.col("b.low"), F.col("b.x.start"))).alias("path"), js_trim(part(F.col("b.x.content_start"), F.col("b.x.content_end"))).alias("code"))
+    one = replies.select(*keys, F.posexplode(fences(F.col(text_col))).alias("i", "b"))
+    named = one.select(*keys, "i", path_in_context(F.col("b.before")).alias("path"), js_trim(F.col("b.body")).alias("code"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "code"))), lambda x: x["code"]), OMISSION_MARK)
     return named.where("path is not null").groupBy(*keys, "path").agg(joined.alias("code"))
 
@@ -81,11 +55,13 @@ def resolve_targets(hints: DataFrame, files: DataFrame, recent: DataFrame) -> Da
     h = hints.where("path_hint is not null and path_hint <> ''").select("hint_id", "path_hint", base_name(F.col("path_hint")).alias("last"), F.contains("path_hint", F.lit("/")).alias("deep"))
     f = files.select("path", "ord", base_name(F.col("path")).alias("name"))
     whole = h.join(f, F.col("last") == F.col("name"))
-    tails = f.withColumn("tail", F.explode(F.transform(F.sequence(F.lit(2), F.length("name")), lambda i: F.substr("name", i)))).where("length(name) > 1")
+    # ends of names of the lengths that hints without a slash have; a name's length is bounded by its file system
+    asked = [r[0] for r in h.where("not deep").select(F.length("last")).distinct().collect()]
+    tails = f.withColumn("tail", F.explode(F.filter(F.array(*(F.when(F.length("name") > n, F.right("name", F.lit(n))) for n in asked)), lambda x: x.isNotNull()))) if asked else f.withColumn("tail", F.lit(None).cast("string"))
     part = h.where("not deep").join(tails, F.col("last") == F.col("tail")).drop("tail")
     hits = whole.unionByName(part).where(F.endswith("path", "path_hint")).withColumn("base", F.when(F.col("path") == F.col("path_hint"), 80).otherwise(60))
     best = hits.groupBy("hint_id").agg(F.min(F.struct((-F.col("base")).alias("neg"), "ord", "path")).alias("b")).select("hint_id", F.col("b.path").alias("path"), (-F.col("b.neg")).alias("base"))
-    scored = best.join(F.broadcast(recent.select("path", "rank")), "path", "left").select("hint_id", "path", (F.col("base") + F.when(F.col("rank").isNotNull(), F.greatest(20 - 2 * F.col("rank"), F.lit(5))).otherwise(0)).alias("confidence"))
+    scored = best.join(recent.select("path", "rank"), "path", "left").select("hint_id", "path", (F.col("base") + F.when(F.col("rank").isNotNull(), F.greatest(20 - 2 * F.col("rank"), F.lit(5))).otherwise(0)).alias("confidence"))
     fallback = F.broadcast(recent.where("rank = 0").select(F.col("path").alias("first")))
     out = hints.select("hint_id").join(scored, "hint_id", "left").join(fallback, how="left")
     target = F.coalesce("path", "first")

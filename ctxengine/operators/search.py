@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import any_ends_with, base_name, fold_separators, parse_extensions, resolve_import, stem
 from ..functions.text import import_targets, lines
+from .signals import REASON_WEIGHTS
 
 MOST_CONTEXT = 50
 
@@ -62,6 +63,15 @@ def by_recipe(files: DataFrame, kind: str, value: str) -> DataFrame:
     return files.where(test).select("project_id", "path", "size", F.lit(reason).alias("reason"))
 
 
+def _ends(df: DataFrame, name: str, other: DataFrame, other_name: str) -> DataFrame:
+    """df with ``tail``: the proper ends of its name that are as long as some name of other."""
+    asked = [r[0] for r in other.select(F.length(other_name)).distinct().collect()]
+    if not asked:
+        return df.where("false").withColumn("tail", F.lit(""))
+    tails = F.filter(F.array(*(F.when(F.length(name) > n, F.right(name, F.lit(n))) for n in asked)), lambda x: x.isNotNull())
+    return df.withColumn("tail", F.explode(tails))
+
+
 def resolve_paths(clips: DataFrame, files: DataFrame) -> DataFrame:
     """(clip_id, clip, path) for each mentioned path; path is null if it is unresolved.
 
@@ -75,9 +85,9 @@ def resolve_paths(clips: DataFrame, files: DataFrame) -> DataFrame:
     f = files.select("path").distinct().withColumn("low", F.lower("path")).withColumn("f_last", base_name(F.col("low")))
     same = c.join(f, c["last"] == f["f_last"])
     # a clip without a slash may be the end of a longer file name, and a file name the end of a clip's last segment
-    ends = lambda name: F.explode(F.transform(F.sequence(F.lit(2), F.length(name)), lambda i: F.substr(name, i)))
-    part = c.where("n_segments = 1 and length(last) > 0").join(f.where(F.length("f_last") > 1).withColumn("tail", ends(F.col("f_last"))), F.col("last") == F.col("tail")).drop("tail")
-    part = part.unionByName(c.where(F.length("last") > 1).withColumn("tail", ends(F.col("last"))).join(f.where(~F.contains("low", F.lit("/"))), F.col("tail") == F.col("f_last")).drop("tail"))
+    # (only ends of lengths that occur on the other side; a name's length is bounded by its file system)
+    single, flat = c.where("n_segments = 1 and length(last) > 0"), f.where(~F.contains("low", F.lit("/")))
+    part = _ends(f, "f_last", single, "last").join(single, F.col("last") == F.col("tail")).drop("tail").unionByName(_ends(c, "last", flat, "f_last").join(flat, F.col("tail") == F.col("f_last")).drop("tail"))
     equal = F.zip_with(F.reverse(F.split("n", "/")), F.reverse(F.split("low", "/")), lambda x, y: F.coalesce(x == y, F.lit(False)))
     trailing = F.when(F.array_position(equal, False) > 0, F.array_position(equal, False) - 1).otherwise(F.size(equal))
     scored = same.unionByName(part).select(
@@ -141,6 +151,26 @@ def docgraph(base: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
     return found.select("project_id", "path", "score").join(base.select("project_id", "path"), ["project_id", "path"], "left_anti")
 
 
+#: Reasons of the recipes that start from changed files.
+CHANGES = {"gitDiff": "gitModified", "gitCommit": "gitCommit"}
+
+
+def discover(kind: str, changed: DataFrame, files: DataFrame, edges: DataFrame, value: str = "") -> DataFrame:
+    """(project_id, path, score) of a recipe.
+
+    A diff or commit gives the changed files (with text), then the files that they import, then those that the graph leads
+    to from any of these; other recipes test the paths of files (project_id, path, text).
+    """
+    weigh = lambda df, reason: df.select("project_id", "path", F.lit(float(REASON_WEIGHTS[reason])).alias("score"))
+    if kind not in CHANGES:
+        test, reason = recipe(kind, value, F.col("path"))
+        return weigh(files.where(test), reason)
+    start = changed.select("project_id", "path")
+    imported = expand_imports(start, imports(changed), files)
+    related = docgraph(start.unionByName(imported), edges, files)
+    return weigh(start, CHANGES[kind]).unionByName(weigh(imported, "dependency")).unionByName(weigh(related, "docgraph"))
+
+
 def diagnostics_of(diagnostics: DataFrame, selected: DataFrame) -> DataFrame:
     """Diagnostics (uri, message) whose URI ends with a selected path: an equi-join on the URI's suffixes at slashes."""
     parts = F.split("uri", "/")

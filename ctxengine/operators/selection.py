@@ -77,3 +77,23 @@ def load_preset(preset: DataFrame, files: DataFrame, exclude: str | None) -> Dat
     """The preset's paths that exist and aren't excluded."""
     there = files.select(*KEY) if exclude is None else files.select(*KEY).where(~F.col("path").rlike(exclude))
     return preset.select(*KEY).distinct().join(there, KEY, "left_semi")
+
+
+def candidate_tree(candidates: DataFrame, projects: DataFrame) -> DataFrame:
+    """(project_id, name, kind, node, size, n_files) of projects, directories and files; candidates of unknown projects get a project of their id, known projects without candidates stay."""
+    dirs = tree(candidates).select("project_id", "node", "size", "n_files").withColumn("kind", F.when(F.col("node") == "", "project").otherwise("directory"))
+    leaves = candidates.select("project_id", F.col("path").alias("node"), "size", F.lit(1).cast("long").alias("n_files"), F.lit("file").alias("kind"))
+    known = projects.select(F.col("id").alias("project_id"), F.col("name").alias("p_name"))
+    empty = known.join(candidates.select("project_id").distinct(), "project_id", "left_anti").select("project_id", F.lit("").alias("node"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("n_files"), F.lit("project").alias("kind"))
+    nodes = dirs.unionByName(leaves).unionByName(empty).join(known, "project_id", "left")
+    return nodes.select("project_id", F.when(F.col("kind") == "project", F.coalesce("p_name", "project_id")).otherwise(F.element_at(F.split("node", "/"), -1)).alias("name"), "kind", "node", "size", "n_files")
+
+
+def favourites(candidates: DataFrame, keys: DataFrame) -> DataFrame:
+    """the candidates whose key is a favourite."""
+    return candidates.join(keys.select(*KEY).distinct(), KEY, "left_semi")
+
+
+def valid_contents(files: DataFrame) -> DataFrame:
+    """(project_id, n_valid): files with a text that isn't empty."""
+    return files.groupBy("project_id").agg(F.count_if(F.length("text") > 0).alias("n_valid"))

@@ -160,15 +160,16 @@ def omission_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "detect_format", "P26 P27",
-    """SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'unifiedDiff' WHEN 1 THEN 'pathCodeBlock' WHEN 2 THEN 'markdownCodeBlock' ELSE CASE WHEN regexp_matches(text, '\\b(import|export|function|class|const|let)\\b') THEN 'plainCode' ELSE 'unknown' END END AS format,
-      CASE conv_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'typescript' WHEN 2 THEN 'json' ELSE NULL END AS language FROM conversations WHERE NOT regexp_matches(text, 'class\\s+\\w|function\\s+\\w')""",
+    """SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'unifiedDiff' WHEN 1 THEN 'pathCodeBlock' WHEN 2 THEN 'markdownCodeBlock' ELSE CASE WHEN regexp_matches(text, '^###?\\s+|以下のファイル|修正してください') THEN 'chatMixed'
+        WHEN regexp_matches(text, '\\b(import|export|function|class|const|let)\\b') THEN 'plainCode' ELSE 'unknown' END END AS format,
+      CASE conv_id % 4 WHEN 1 THEN 'typescript' WHEN 2 THEN 'json' ELSE CASE WHEN regexp_matches(text, '(?m)^\\s*\\{') AND regexp_matches(text, '"\\w+"\\s*:') THEN 'json' WHEN regexp_matches(text, 'class\\s+\\w+') THEN 'typescript'
+        WHEN regexp_matches(text, 'function\\s+\\w+|console\\.log\\(') THEN 'javascript' END END AS language FROM conversations""",
 )
 def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, t = (F.col("conv_id") % 4).cast("int"), F.col("text")
     text = F.get(F.array(F.concat(F.lit("--- a/x\n+++ b/x\n"), t), F.concat(F.lit("src/a.ts\n```ts\n"), t, F.lit("\n```")), F.concat(F.lit("Well\n```\n"), t, F.lit("\n```")), t), k)
     info, path = F.get(F.array(F.lit(""), F.lit("zz x"), F.lit("JSON"), F.lit("")), k), F.get(F.array(F.lit("a"), F.lit("src/a.ts"), F.lit("b.ts"), F.lit("c")), k)
-    c = table(spark, sf_dir, "conversations").where(~t.rlike(r"class\s+\w|function\s+\w"))
-    return c.select("conv_id", "turn", X.reply_format(text).alias("format"), X.language_of(info, path, t).alias("language"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.reply_format(text).alias("format"), X.language_of(info, path, t).alias("language"))
 
 
 @query("confidence_levels", "P30", "SELECT o_orderkey, CASE WHEN s >= 80 THEN 'high' WHEN s >= 60 THEN 'medium' ELSE 'low' END AS level FROM (SELECT o_orderkey, round(greatest(0, least(100, o_totalprice / 2500))) AS s FROM orders)")
@@ -206,3 +207,33 @@ def line_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("brace_compress", "X6", f"WITH {CODE} SELECT code_id, regexp_replace(text, '\\{{[^}}\\n]*\\n[^}}\\n]*\\n[^}}]*\\}}', '{{' || {N} || '  // ... existing code ...' || {N} || '}}', 'g') AS stub FROM code")
 def brace_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code(spark, sf_dir).select("code_id", X.brace_stub(F.col("text")).alias("stub"))
+
+
+@query("clipboard_paths", "P14", f"WITH {FILES} SELECT doc_id, 'a/' || doc_id || '.ts|' || path AS paths FROM files")
+def clipboard_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions go, a path that repeats counts once, files of excluded directories and programs don't."""
+    i = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("open a/"), i, F.lit(".ts:3:4 and\n("), "path", F.lit("), then build/"), i, F.lit(".ts, x"), i, F.lit(".exe and a/"), i, F.lit(".ts"))
+    return files(spark, sf_dir).select("doc_id", joined(X.clipboard_paths(text)).alias("paths"))
+
+
+@query("icons", "P39", f"WITH {FILES} SELECT path, CASE WHEN toxic = 1 THEN 'modifiedFile' ELSE 'file' END AS icon FROM files LEFT JOIN labels USING (doc_id) UNION ALL SELECT DISTINCT regexp_extract(path, '^[^/]*'), 'folder' FROM files")
+def icons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    nodes = f.select("path", F.lit(False).alias("dir"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("changed"))
+    nodes = nodes.unionByName(f.select(F.regexp_extract("path", "^[^/]*", 0).alias("path"), F.lit(True).alias("dir"), F.lit(True).alias("changed")).distinct())
+    return nodes.select("path", P.icon(F.col("dir"), F.col("changed")).alias("icon"))
+
+
+@query("viewer_lines", "P43", f"""WITH {FILES}, l AS (SELECT doc_id, size, string_split_regex(text, '\\r?\\n') AS l FROM files) SELECT doc_id, len(l)::BIGINT AS n_lines, size, ceil(coalesce(size, 0) / 4.0)::BIGINT AS tokens, len(l) || ': ' || l[len(l)] AS last FROM l""")
+def viewer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.lines(F.col("text"))
+    numbered = F.transform(rows, lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), x))
+    return files(spark, sf_dir).select("doc_id", F.size(numbered).cast("long").alias("n_lines"), "size", X.estimated_tokens(F.col("size")).alias("tokens"), F.element_at(numbered, -1).alias("last"))
+
+
+@query("processed_contents", "F10 P18 P19", f"""WITH {FILES} SELECT doc_id, CASE WHEN length(text) > 2048 THEN '[WARNING] File size exceeds 2KB. Content omitted.' ELSE array_to_string(list_filter(string_split_regex(text, '\\r?\\n'), lambda x: regexp_matches(x, '\\S')), {N}) END AS content FROM files""")
+def processed_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.pack import processed
+
+    return files(spark, sf_dir).select("doc_id", processed(F.col("text"), max_kb=2).alias("content"))

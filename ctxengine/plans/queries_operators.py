@@ -10,7 +10,8 @@ from ..operators import pack, recommend, search, selection, signals
 from ..sources import connectors
 from ..sources.tables import changes, code, commits, edges, file_commits, files, following, table
 from ..sources.tables import signals as signal_rows
-from ..streaming.changes import bursts, content_changes
+from ..session import shared_path
+from ..streaming.changes import bursts, content_changes, is_modified, refresh_snapshot
 from .catalog import BASE, COMMITS, EDGES, FILES, base_files, joined, query
 
 N = "chr(10)"
@@ -283,11 +284,173 @@ def upsert_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.upsert(state, news).select("project_id", "path", F.round("score", 6).alias("score"), joined("reasons").alias("reasons"))
 
 
-@query("projects", "J1 J2 S16 F16 X22", f"WITH {FILES} SELECT project_id, count(*)::BIGINT AS n, sum(size)::BIGINT AS size FROM files WHERE project_id IN ('src1', 'src2', 'src3') GROUP BY 1")
+@query(
+    "projects", "J1 J2 S16 F16",
+    f"""WITH {FILES}, p AS (SELECT DISTINCT source AS id FROM documents WHERE source IS NOT NULL)
+      SELECT id AS project_id, count(path)::BIGINT AS n, coalesce(sum(size), 0)::BIGINT AS size, NULL::VARCHAR AS warning FROM p LEFT JOIN files ON project_id = id WHERE id NOT LIKE '%3' GROUP BY id UNION ALL SELECT id, 0, 0, 'invalidRoot' FROM p WHERE id LIKE '%3'""",
+)
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([("src1", "/a"), ("src2", "/b"), ("src3", "/c"), ("src4", " ")], "id string, rootPath string")
-    good, _ = signals.valid_roots(known)
-    return files(spark, sf_dir).join(F.broadcast(good.select(F.col("id").alias("project_id"))), "project_id", "left_semi").groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    """A registry of the sources is written and read again; projects without a root are warnings, the others have their files."""
+    ids = files(spark, sf_dir).select(F.col("project_id").alias("id")).where("id is not null").distinct()
+    rows = ids.select("id", F.col("id").alias("name"), F.when(F.endswith("id", F.lit("3")), " ").otherwise(F.concat(F.lit("/ws/"), "id")).alias("rootPath"), F.array().cast("array<string>").alias("excludePatterns"))
+    place = shared_path(spark, "registry")
+    connectors.write_registry(rows, place)
+    known, _ = connectors.read_projects(spark, place)
+    good, warnings = signals.valid_roots(known)
+    held = good.select(F.col("id").alias("project_id")).join(files(spark, sf_dir).select("project_id", "path", "size"), "project_id", "left")
+    counted = held.groupBy("project_id").agg(F.count("path").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).withColumn("warning", F.lit(None).cast("string"))
+    return counted.unionByName(warnings.select("project_id", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("size"), F.col("kind").alias("warning")))
+
+
+@query("directory_scan", "S1 S14 S15 S17", None)
+def directory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data files below the folder of the tables, without marker files; contents are not read."""
+    return connectors.scan_files(spark, sf_dir, ["_SUCCESS", "*.crc"]).where(F.endswith("path", F.lit(".parquet"))).select("path", "size")
+
+
+@query(
+    "single_commit", "S9",
+    f"WITH {COMMITS} SELECT DISTINCT path, NULL::VARCHAR AS warning FROM commits WHERE commit_id = 7 UNION ALL SELECT NULL, 'gitFailure -1'",
+)
+def single_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, none = commits(spark, sf_dir), F.lit(None).cast("string")
+    there, nothing = connectors.commit_paths(c, "7"), connectors.commit_paths(c, "-1")
+    rows = there[0].unionByName(nothing[0]).select("path", none.alias("warning"))
+    return rows.unionByName(there[1].unionByName(nothing[1]).select(none.alias("path"), F.concat_ws(" ", "kind", "message").alias("warning")))
+
+
+@query(
+    "prompt_store", "S20 U14",
+    """WITH p AS (SELECT role || conv_id % 50 AS name, max_by(text, (conv_id, turn)) AS text FROM conversations GROUP BY 1), n AS (SELECT name, 'new: ' || text AS text FROM p WHERE starts_with(name, 'user')),
+      s AS (SELECT * FROM p WHERE name NOT IN ('user1', 'assistant1')) SELECT name, coalesce(n.text, s.text) AS text FROM s FULL JOIN n USING (name)""",
+)
+def prompt_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts are saved; some are deleted, others overwritten, and the store is read again."""
+    c = table(spark, sf_dir, "conversations")
+    name = F.concat("role", (F.col("conv_id") % 50).cast("string"))
+    first = recommend.last_per_key(c.select(name.alias("name"), "text", "conv_id", "turn"), ["name"], ["conv_id", "turn"]).select("name", "text")
+    place = shared_path(spark, "prompts")
+    connectors.save_store(first, place)
+    stored = connectors.load_store(spark, place, "text string")
+    again = shared_path(spark, "prompts")
+    connectors.save_store(connectors.merge_prompts(stored, first.where(F.startswith("name", F.lit("user"))).withColumn("text", F.concat(F.lit("new: "), "text")), ["user1", "assistant1"]), again)
+    return connectors.load_store(spark, again, "text string").select("name", "text")
+
+
+@query(
+    "presets", "S21 U15 F17",
+    f"""WITH {FILES}, {BASE}, f AS (SELECT project_id, path FROM files WHERE NOT contains(path, '3.md')) SELECT 'toxic' AS name, project_id, path FROM f SEMI JOIN base USING (project_id, path)
+      UNION ALL SELECT 'favourites', project_id, path FROM files WHERE ends_with(path, '7.md')""",
+)
+def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preset of paths, some of which no longer exist, is saved, loaded by its name and cut to what exists and isn't excluded; another one are the favourites."""
+    f, base = files(spark, sf_dir).select("project_id", "path"), base_files(spark, sf_dir).select("project_id", "path")
+    gone = base.withColumn("path", F.concat(F.lit("gone/"), "path"))
+    marked = f.where(F.endswith("path", F.lit("7.md"))).select(F.lit("favourites").alias("name"), "project_id", "path")
+    place = shared_path(spark, "presets")
+    connectors.save_store(base.unionByName(gone).select(F.lit("toxic").alias("name"), "project_id", "path").unionByName(marked), place)
+    load = lambda name: connectors.load_store(spark, place, "project_id string, path string", name)
+    one = selection.load_preset(load("toxic"), f, r"3\.md").select(F.lit("toxic").alias("name"), "project_id", "path")
+    return one.unionByName(selection.favourites(f, load("favourites")).select(F.lit("favourites").alias("name"), "project_id", "path"))
+
+
+@query(
+    "selection_sets", "U3 U4 U9 U10",
+    f"""WITH {FILES}, {BASE}, m AS (SELECT project_id, path FROM base), t AS (SELECT project_id, regexp_replace(path, '\\.md$', '.test.ts') AS path FROM m), a AS (SELECT * FROM m UNION SELECT * FROM t UNION SELECT project_id, path FROM files WHERE ends_with(path, '5.md'))
+      SELECT 'added' AS step, * FROM a UNION ALL SELECT 'removed', * FROM (SELECT * FROM a EXCEPT SELECT * FROM t) UNION ALL SELECT 'of_base', * FROM m""",
+)
+def selection_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modified files with their related tests and more; the tests taken out again; and what of all is a base candidate, with other separators."""
+    f, base = files(spark, sf_dir).select("project_id", "path"), base_files(spark, sf_dir).select("project_id", "path")
+    tests = f.select("project_id", F.regexp_replace("path", r"\.md$", ".test.ts").alias("path"))
+    related = search.related_tests(base, tests.unionByName(f))
+    added = selection.add(selection.add(base, related), f.where(F.endswith("path", F.lit("5.md"))))
+    chosen = recommend.selected_base(added.withColumn("path", F.translate("path", "/", "\\")), base)
+    steps = {"added": added, "removed": selection.remove(added, related), "of_base": chosen}
+    parts = [df.select(F.lit(name).alias("step"), "project_id", "path") for name, df in steps.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("content_counts", "F18", f"WITH {FILES} SELECT project_id, count(*) FILTER (length(text) > 0)::BIGINT AS n_valid FROM files GROUP BY 1")
+def content_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.valid_contents(files(spark, sf_dir))
+
+
+@query(
+    "content_pack", "J2 J3 F10 F15 X1",
+    f"""WITH {FILES}, r AS (SELECT *, CASE WHEN project_id = 'src4' OR ends_with(path, '9.md') OR text IS NULL THEN 'unreadableFile' WHEN size > 2048 THEN 'oversizedFile' END AS w FROM files WHERE project_id IS NOT NULL AND path IS NOT NULL)
+      SELECT project_id, path, coalesce(w, 'full') AS outcome, CASE WHEN w IS NULL THEN size ELSE 0 END AS size FROM r""",
+)
+def content_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of a project that isn't known, or whose file isn't there, or is too large, are warnings; the others are packed."""
+    f = files(spark, sf_dir).where("project_id is not null")
+    known = f.where("project_id <> 'src4'").select(F.col("project_id").alias("id")).distinct()
+    good, warnings = pack.with_contents(f.select("project_id", "path", F.lit(1).alias("score")), known, f.where(~F.endswith("path", F.lit("9.md"))), 2)
+    packed = pack.pack_scored(good, None).join(good.select("project_id", "path", "size"), ["project_id", "path"])
+    return packed.select("project_id", "path", F.col("mode").alias("outcome"), "size").unionByName(warnings.select("project_id", "path", F.col("kind").alias("outcome"), F.lit(0).cast("long").alias("size")))
+
+
+@query(
+    "scenario_modes", "X21 X22",
+    f"""WITH {FILES}, o AS (SELECT project_id, path, 'excluded' AS forced FROM files WHERE ends_with(path, '1.md')), m AS (SELECT s, CASE s WHEN 'initialShare' THEN 'skeleton' ELSE 'full' END AS mode FROM (VALUES ('initialShare'), ('debugFix'), ('newFeature'), ('custom')) v(s))
+      SELECT s AS scenario, project_id, path, coalesce(forced, mode) AS mode FROM files CROSS JOIN m LEFT JOIN o USING (project_id, path)""",
+)
+def scenario_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a limit nothing is left out but what was set for a file."""
+    f = files(spark, sf_dir).select("project_id", "path", "size")
+    forced = f.where(F.endswith("path", F.lit("1.md"))).select("project_id", "path", F.lit("excluded").alias("mode"))
+    out = None
+    for name in [*pack.SCENARIOS, "custom"]:
+        one = pack.modes(f, forced, pack.scenario(name, {"pack_mode": "full"})).select(F.lit(name).alias("scenario"), "project_id", "path", "mode")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "scenario_pack", "X21 X22 X1",
+    f"""WITH RECURSIVE {FILES}, {SIGNALS}, o AS (SELECT * FROM ranked WHERE ends_with(path, '1.md')), sized AS (SELECT project_id, path, size // 2 AS size, score FROM ranked WHERE NOT ends_with(path, '1.md')),
+      r AS (SELECT project_id, path, size, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, path) AS rn FROM sized),
+      g AS (SELECT project_id, rn, CASE WHEN size <= 4000 THEN 4000 - size ELSE 4000 END AS room, size <= 4000 AS fits FROM r WHERE rn = 1
+        UNION ALL SELECT r.project_id, r.rn, CASE WHEN size <= room THEN room - size ELSE room END, size <= room FROM g JOIN r ON r.project_id = g.project_id AND r.rn = g.rn + 1)
+      SELECT r.project_id, r.path, CASE WHEN fits THEN 'skeleton' ELSE 'excluded' END AS mode FROM g JOIN r USING (project_id, rn) UNION ALL SELECT project_id, path, 'full' FROM o""",
+)
+def scenario_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first share: skeletons within the budget, but for the files that were set to be whole."""
+    sized = _candidates(spark, sf_dir).withColumn("skeleton_size", F.floor(F.col("size") / 2))
+    forced = sized.where(F.endswith("path", F.lit("1.md"))).select("project_id", "path", F.lit("full").alias("mode"))
+    return pack.modes(sized, forced, pack.scenario("initialShare"), 1000)
+
+
+@query(
+    "candidate_tree", "X9 A10",
+    f"""WITH {FILES}, k AS (SELECT id, 'Project ' || id AS name FROM (SELECT DISTINCT source AS id FROM documents WHERE source LIKE '%1' UNION SELECT 'empty')), f AS (SELECT project_id, path, size FROM files),
+      n AS (SELECT project_id, 'file' AS kind, path AS node, size, 1 AS n_files FROM f UNION ALL SELECT project_id, 'directory', unnest([regexp_extract(path, '^[^/]*'), regexp_extract(path, '^[^/]*/[^/]*')]), size, 1 FROM f
+        UNION ALL SELECT project_id, 'project', '', size, 1 FROM f UNION ALL SELECT id, 'project', '', 0, 0 FROM k WHERE id NOT IN (SELECT project_id FROM f WHERE project_id IS NOT NULL))
+      SELECT project_id, CASE WHEN kind = 'project' THEN coalesce(any_value(name), project_id) ELSE regexp_extract(node, '[^/]*$') END AS name, kind, node, sum(size)::BIGINT AS size, sum(n_files)::BIGINT AS n_files FROM n LEFT JOIN k ON id = project_id GROUP BY project_id, kind, node""",
+)
+def candidate_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir)
+    some = f.where(F.endswith("project_id", F.lit("1"))).select(F.col("project_id").alias("id")).distinct().unionByName(spark.createDataFrame([("empty",)], "id string"))
+    return selection.candidate_tree(f.select("project_id", "path", "size"), some.withColumn("name", F.concat(F.lit("Project "), "id")))
+
+
+@query(
+    "structure_pack", "K7 K8",
+    f"""WITH {FILES}, d AS (SELECT DISTINCT project_id, regexp_extract(path, '^[^/]*') AS a FROM files WHERE path IS NOT NULL), l AS (SELECT *, a = max(a) OVER (PARTITION BY project_id) AS la FROM d)
+      SELECT project_id, '## Directory Structure' || {N} || '```' || {N} || string_agg(CASE WHEN la THEN '└── ' ELSE '├── ' END || a || {N} || CASE WHEN la THEN '    ' ELSE '│   ' END || '└── ' || project_id || {N}, '' ORDER BY a) || '```' || {N} AS text FROM l GROUP BY project_id""",
+)
+def structure_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories only; no content is read."""
+    f = files(spark, sf_dir).select("project_id", F.lit(0).alias("ord"), "path", F.lit("").alias("content"))
+    return pack.render(f, "markdown", structure_only=True)
+
+
+@query("snapshot", "ST5", "SELECT e.user_id AS key, max(ts) = (SELECT max(ts) FROM events WHERE event_type = 'click' AND user_id = e.user_id) AS modified FROM events e GROUP BY 1")
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys whose last change was a click replace the snapshot; then each key is looked up in it."""
+    last = recommend.last_per_key(changes(spark, sf_dir), ["key"], ["ts", "event_id"])
+    modified = refresh_snapshot(last.where("content = 'click'").select("key"), shared_path(spark, "snapshot"))
+    return is_modified(last.select("key"), modified, ["key"])
 
 
 @query("token_stats", "A8 A9 A16 A15", f"WITH {FILES} SELECT count(*)::BIGINT AS n_files, sum(size)::BIGINT AS size, sum(ceil(size / 4.0))::BIGINT AS file_tokens, ceil(sum(size) / 4.0)::BIGINT AS tokens, ceil(sum(size) / 4.0) > 50000 AS over_limit FROM files")
@@ -446,15 +609,30 @@ def compressed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT project_id, path, score, true FROM recs r WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.project_id = r.project_id AND c.path = r.path))""",
 )
 def discover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The commit recipe: its files, what the graph leads to from them, and recommendations, in the locale's order of paths."""
+    """The commit recipe: its files, what they import and what the graph leads to from them, and recommendations, in the locale's order of paths."""
     base = base_files(spark, sf_dir)
-    weight = lambda reason: F.lit(float(signals.REASON_WEIGHTS[reason])).alias("score")
-    expanded = search.docgraph(base, edges(spark, sf_dir), files(spark, sf_dir)).select("project_id", "path", weight("docgraph"))
-    found = base.select("project_id", "path", weight("gitCommit")).unionByName(expanded)
+    found = search.discover("gitCommit", base, files(spark, sf_dir), edges(spark, sf_dir))
     out = recommend.with_base(found, _merged(spark, sf_dir))
     return signals.in_order(out.withColumn("score", F.round("score", 6)), "path")
 
 
+@query(
+    "discover_recipes", "X19 X20 J12 J14",
+    f"""WITH {IMPORTS}
+      SELECT r AS recipe, path, score FROM (SELECT path, 30.0::DOUBLE AS score FROM b UNION ALL SELECT path, 5 FROM l1), (VALUES ('gitDiff'), ('gitCommit')) v(r) WHERE true
+      UNION ALL SELECT 'text', path, 35 FROM src WHERE contains(path, '_1') UNION ALL SELECT 'extension', path, 10 FROM src UNION ALL SELECT 'directory', path, 15 FROM src""",
+)
+def discover_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each recipe over source files with imports; without Markdown files the graph adds none."""
+    f, base = _sources(spark, sf_dir)
+    none = edges(spark, sf_dir).limit(0)
+    out = None
+    for kind, value in (("gitDiff", ""), ("gitCommit", ""), ("text", "_1"), ("extension", "ts"), ("directory", "src/")):
+        one = search.discover(kind, base, f, none, value).select(F.lit(kind).alias("recipe"), "path", "score")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("grep_selection", "O9 S5", f"WITH {FILES} SELECT DISTINCT project_id, path FROM files WHERE contains(lower(text), 'tion') ORDER BY project_id, path LIMIT 5000")
 def grep_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.first_paths(search.contains_text(files(spark, sf_dir), "tion"), 5000)

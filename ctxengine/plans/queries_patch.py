@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import path_in_context, path_hint
+from ..functions.text import fences, path_hint, path_in_context
 from ..operators import patch
 from ..sources.tables import code, files, replies, table
 from .catalog import CODE, FILES, REPLIES, query
@@ -16,8 +16,8 @@ TRIMMED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 @query("fence_blocks", "P36 P37 W7", "SELECT conv_id, turn, 2::BIGINT AS n_blocks, (2 * length(text) + 2)::BIGINT AS n_chars FROM conversations WHERE role = 'assistant'")
 def fence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = replies(spark, sf_dir).select("conv_id", "turn", patch.fence_blocks(F.col("text")).alias("b"))
-    size = F.aggregate("b", F.lit(0), lambda a, x: a + x["content_end"] - x["content_start"])
+    b = replies(spark, sf_dir).select("conv_id", "turn", fences(F.col("text")).alias("b"))
+    size = F.aggregate("b", F.lit(0), lambda a, x: a + F.length(x["body"]))
     return b.select("conv_id", "turn", F.size("b").cast("long").alias("n_blocks"), (size + 2).cast("long").alias("n_chars"))
 
 
@@ -75,7 +75,12 @@ def heal_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patch.legacy_plans(c.select("code_id", "path", "code"), c.select("path", "text")).select("code_id", "patched", "unsafe")
 
 
-@query("smart_patch_plan", "X13 P21 P30", f"WITH {REPLIES} SELECT conv_id AS hint_id, turn, 'src/f' || conv_id || '.ts' AS target, 90::BIGINT AS confidence, 'high' AS level FROM replies, (VALUES (0), (1)) v(i)")
+@query(
+    "smart_patch_plan", "X13 P21 P30",
+    f"""WITH {REPLIES}, t AS (SELECT conv_id, turn, string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\r?\\n') AS l FROM conversations WHERE role = 'assistant')
+      SELECT conv_id AS hint_id, turn, 'src/f' || conv_id || '.ts' AS target, 90::BIGINT AS confidence, 'high' AS level, '--- a/src/f' || conv_id || '.ts' || {N} || '+++ b/src/f' || conv_id || '.ts' || {N} || '@@' || {N}
+        || array_to_string(list_transform(l, lambda x, i: CASE WHEN x = CASE i WHEN 1 THEN 'old' ELSE '' END THEN ' ' || x WHEN i > 1 THEN '+ ' || x WHEN x = '' THEN '- old' ELSE '- old' || {N} || '+ ' || x END), {N}) AS diff FROM t, (VALUES (0), (1)) v(i)""",
+)
 def smart_patch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = patch.candidates(replies(spark, sf_dir), ["conv_id", "turn"]).withColumn("hint_id", F.concat_ws("-", "conv_id", "turn", "i"))
     known = found.select(F.concat(F.lit("src/f"), F.col("conv_id").cast("string"), F.lit(".ts")).alias("path")).distinct().withColumn("ord", F.lit(0))
@@ -83,7 +88,7 @@ def smart_patch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = patch.resolve_targets(hints, known, known.limit(0).select("path", F.lit(0).alias("rank")))
     plans = patch.smart_plans(found, targets, known.select("path", F.lit("old").alias("text")))
     at = F.split("hint_id", "-")
-    return plans.select(at[0].cast("long").alias("hint_id"), at[1].cast("long").alias("turn"), "target", F.col("confidence").cast("long").alias("confidence"), "level")
+    return plans.select(at[0].cast("long").alias("hint_id"), at[1].cast("long").alias("turn"), "target", F.col("confidence").cast("long").alias("confidence"), "level", "diff")
 
 
 @query(

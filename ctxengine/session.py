@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +23,15 @@ def local_session(cores: int | str = 8, memory: str = "6g", shuffle_partitions:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; only a local session may leave that unset and gets a temporary one."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(?:\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-ctxengine-")
+        sc.setCheckpointDir(named)
+    return f"{named.rstrip('/')}/ctxengine/{sc.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -56,9 +56,35 @@ def read_projects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return (raw.drop("_bad") if not bad else raw.drop("_bad").where("false")), warnings
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """S16, S20, S21 as sinks."""
-    df.write.mode("overwrite").json(path)
+def write_registry(df: DataFrame, path: str) -> None:
+    """S16 as a sink: one JSON array, as a registry is read (a row for each project)."""
+    one = df.select(F.struct(*df.columns).alias("p")).agg(F.to_json(F.sort_array(F.collect_list("p"))).alias("value"))
+    one.write.mode("overwrite").text(path)
+
+
+def commit_paths(commits: DataFrame, ref: str) -> tuple[DataFrame, DataFrame]:
+    """(distinct paths of one commit, a warning if there is none such); commits (commit_id, path)."""
+    one = commits.where(F.col("commit_id").cast("string") == ref)
+    missing = one.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("gitFailure").alias("kind"), F.lit(ref).alias("message"))
+    return one.select(js_trim(F.col("path")).alias("path")).where("path <> ''").distinct(), missing
+
+
+def save_store(rows: DataFrame, path: str) -> None:
+    """S20, S21 as sinks: rows by name, a folder for each name."""
+    rows.write.mode("overwrite").partitionBy("name").json(path)
+
+
+def load_store(spark: SparkSession, path: str, schema: str, name: str | None = None) -> DataFrame:
+    """The rows of a store, of one name or all; of one name only its folder is read."""
+    rows = spark.read.schema(f"{schema}, name string").json(path)
+    return rows if name is None else rows.where(F.col("name") == name)
+
+
+def merge_prompts(stored: DataFrame, news: DataFrame, deleted: list[str] | None = None) -> DataFrame:
+    """(name, text): news overwrite what is stored under their name, deleted names go."""
+    kept = stored.where(~F.col("name").isin(deleted)) if deleted else stored
+    both = kept.select("name", "text", F.lit(0).alias("turn")).unionByName(news.select("name", "text", F.lit(1).alias("turn")))
+    return both.groupBy("name").agg(F.max_by("text", "turn").alias("text"))
 
 
 def write_patched(plans: DataFrame, path: str) -> None:

@@ -51,3 +51,14 @@ def stream_content_changes(changes: DataFrame) -> DataFrame:
 def write_snapshot(stream: DataFrame, path: str, checkpoint: str):  # noqa: ANN201
     """ST5: each micro-batch replaces the snapshot that membership tests read."""
     return stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).start()
+
+
+def refresh_snapshot(modified: DataFrame, path: str) -> DataFrame:
+    """ST5 over a batch: replaces the snapshot and returns what membership tests read."""
+    modified.write.mode("overwrite").parquet(path)
+    return modified.sparkSession.read.schema(modified.schema).parquet(path)
+
+
+def is_modified(files: DataFrame, snapshot: DataFrame, keys: list[str]) -> DataFrame:
+    """ST5: files with whether the snapshot has them."""
+    return files.join(snapshot.select(*keys).distinct().withColumn("modified", F.lit(True)), keys, "left").withColumn("modified", F.coalesce("modified", F.lit(False)))

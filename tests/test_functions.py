@@ -100,7 +100,30 @@ def test_healing():
 
 def test_fences(spark):
     text = "````md\n```x\n```\n````\nrest ``` none"
-    assert values(spark, [text, "no", None], F.size(patch.fence_blocks(F.col("v")))) == [1, 0, 0]
+    assert values(spark, [text, "no", None, "```\nx"], F.size(X.fences(F.col("v")))) == [1, 0, 0, 0]
+
+
+def fences_by_hand(text):
+    """(before, body) of fences: an opening run of backticks, then the first line start with as many before white space or the end."""
+    out, at = [], 0
+    while (start := text.find("```", at)) >= 0:
+        run = len(text) - start - len(text[start:].lstrip("`"))
+        head = text.find("\n", start)
+        ends = [k for k in range(max(0, head), len(text)) if head >= 0 and text.startswith("\n" + "`" * run, k) and (text[k + 1 + run : k + 2 + run].strip() == "")]
+        if not ends:
+            break
+        out.append((text[at:start], text[head + 1 : max(head + 1, ends[0])]))
+        at = ends[0] + 1 + run
+    return out
+
+
+def test_fences_by_brute_force(spark):
+    import random
+
+    r = random.Random(9)
+    texts = ["".join(r.choice(["```", "````", "`", "\n", "x", " y", "ts\n", "\n```\n", "\n````"]) for _ in range(r.randint(0, 12))) for _ in range(3000)]
+    got = values(spark, texts, X.fences(F.col("v")))
+    assert [[(b["before"], b["body"]) for b in row] for row in got] == [fences_by_hand(t) for t in texts]
 
 
 def test_diff(spark):
@@ -126,6 +149,88 @@ def test_toggle(spark):
     assert [r["path"] for r in selection.toggle(once, under).collect()] == ["z"]
 
 
+def test_prompts_presets_and_commits(spark, tmp_path):
+    stored = spark.createDataFrame([("a", "one"), ("b", "two"), ("c", "three")], "name string, text string")
+    news = spark.createDataFrame([("b", "new"), ("d", "four")], "name string, text string")
+    assert {r["name"]: r["text"] for r in connectors.merge_prompts(stored, news, ["c"]).collect()} == {"a": "one", "b": "new", "d": "four"}
+    connectors.save_store(stored, str(tmp_path / "prompts"))
+    assert [r["text"] for r in connectors.load_store(spark, str(tmp_path / "prompts"), "text string", "b").collect()] == ["two"]
+    commits = spark.createDataFrame([("1", " a.ts "), ("1", "a.ts"), ("2", "b.ts")], "commit_id string, path string")
+    paths, warnings = connectors.commit_paths(commits, "1")
+    assert [r["path"] for r in paths.collect()] == ["a.ts"] and warnings.count() == 0
+    assert connectors.commit_paths(commits, "9")[1].first()["kind"] == "gitFailure"
+
+
+def test_headings_of_linking_files_do_not_count(spark):
+    """Per source: a file that links the target doesn't recommend it by name too, another one does."""
+    base = spark.createDataFrame([("p", "docs/a.md", "# login\n[x](auth.md)"), ("p", "docs/b.md", "# login")], "project_id string, path string, text string")
+    files = spark.createDataFrame([("p", "docs/auth.md", "# login flow"), ("p", "docs/a.md", ""), ("p", "docs/b.md", "")], "project_id string, path string, text string")
+    got = {(r["path"], r["source"], r["detail"]) for r in recommend.markdown(base, files).collect()}
+    assert ("docs/auth.md", "markdownLink", "Markdown link from docs/a.md") in got
+    assert ("docs/auth.md", "headingMatch", "Filename or heading match from docs/b.md") in got
+    alone = {(r["path"], r["source"]) for r in recommend.markdown(base.where("path = 'docs/a.md'"), files).collect()}
+    assert ("docs/auth.md", "headingMatch") not in alone
+
+
+def test_names_by_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    vocabulary = ["api", "design", "test", "login", "flow", "queue", "cache", "index"]
+    made = [(f"d{r.randint(0, 3)}/f{i}.md", "# " + " ".join(r.choices(vocabulary, k=r.randint(1, 3))) + "".join(f"\n[l](f{r.randint(0, 39)}.md)" for _ in range(r.randint(0, 4)))) for i in range(40)]
+    files = spark.createDataFrame([("p", *x) for x in made], "project_id string, path string, text string")
+    base = files.where("crc32(path) % 2 = 0")
+    links = {(x["src"], x["path"]) for x in recommend.link_pairs(base, files).collect()}
+    heads = {p: [w for w in t.split("\n")[0][2:].split()] for p, t in made}
+    want = {}
+    for s in sorted(x["path"] for x in base.select("path").collect()):
+        for p in heads:
+            hits = [w for w in heads[s] if w in heads[p]]
+            if s != p and (s, p) not in links and hits and (len(hits) > 1 or hits[0] not in ("api", "design", "test")):
+                want.setdefault(p, s)
+    got = {x["path"]: x["detail"].removeprefix("Filename or heading match from ") for x in recommend.by_name(base, files).collect()}
+    assert got == want
+
+
+def test_failing_sources_warn(spark):
+    base = spark.createDataFrame([("p", "a.md"), ("q", "b.md")], "project_id string, path string")
+    good = spark.createDataFrame([("p", "z.md", "coChange", 2.0, "x")], "project_id string, path string, source string, score double, detail string")
+    recs, warnings = recommend.collect({"coChange": lambda: good, "markdownLink": lambda: base.select("nothing")}, base)
+    assert recs.count() == 1
+    assert {(r["project_id"], r["kind"]) for r in warnings.collect()} == {("p", "recommendationFailure"), ("q", "recommendationFailure")}
+    assert signals.joined_messages(warnings, ["kind"]).first()["message"].count("\n") >= 1
+
+
+def test_co_change_history(spark):
+    rows = [("p", c, c, f"d{k}.md") for c in range(60) for k in (c % 3, 7)] + [("p", 59, 59, "code.ts")]
+    got = {r["path"]: r["n"] for r in search.co_changes(spark.createDataFrame(rows, "project_id string, commit_id int, ts int, path string"), spark.createDataFrame([("p", "d7.md"), ("p", "code.ts")], "project_id string, path string")).where("target = 'd7.md'").collect()}
+    assert got == {"d0.md": 16, "d1.md": 17, "d2.md": 17}  # the last 50 commits
+
+
+def test_user_patterns_are_those_of_the_engine(spark):
+    assert P.user_pattern("(?P<n>x)") is None and P.user_pattern("(?<n>x)") and P.user_pattern("x" * 501) is None
+
+
+def test_next_rows_across_ranges(spark):
+    from ctxengine.sources.tables import following
+
+    rows = [("p", i, f"f{i}") for i in (1, 5, 6, 90, 91, 300)] + [("q", 7, "g7"), ("q", 299, "g299")]
+    got = following(spark.createDataFrame(rows, "project_id string, doc_id long, path string"), ["path"], parts=9)
+    assert {r["path"]: r["next_path"] for r in got.collect()} == {"f1": "f5", "f5": "f6", "f6": "f90", "f90": "f91", "f91": "f300", "f300": None, "g7": "g299", "g299": None}
+    assert following(spark.createDataFrame([], "project_id string, doc_id long, path string"), ["path"]).count() == 0
+
+
+def test_long_skeletons(spark):
+    code = "\n".join(f"class A{i} {{\n  x;\n  y;\n}}" for i in range(700))
+    assert values(spark, [code], X.line_skeleton(F.col("v"))) == ["\n".join(f"class A{i} {{\n{X.OMITTED}\n}}" for i in range(700))]
+
+
+def test_patches_are_written_beside_the_files(spark, tmp_path):
+    plans = spark.createDataFrame([("a.ts", "x", 1)], "target string, patched string, more int")
+    connectors.write_patched(plans, str(tmp_path / "patched"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "patched")).collect()] == [("a.ts", "x")]
+
+
 def test_scan_and_registry(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "node_modules").mkdir()

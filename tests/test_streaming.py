@@ -28,6 +28,18 @@ def test_content_changes(spark, tmp_path):
     assert got == want
 
 
+def test_snapshot(spark, tmp_path):
+    from ctxengine.streaming.changes import is_modified, write_snapshot
+
+    source, stream = stream_of(spark, tmp_path)
+    q = write_snapshot(stream.where("content = 'click'").select("key"), str(tmp_path / "snap"), str(tmp_path / "state"))
+    q.processAllAvailable()
+    q.stop()
+    got = {r["key"]: r["modified"] for r in is_modified(source.select("key").distinct(), spark.read.parquet(str(tmp_path / "snap")), ["key"]).collect()}
+    clicked = {r["key"] for r in source.where("content = 'click'").collect()}
+    assert got == {k: k in clicked for k in got}
+
+
 def test_bursts(spark, tmp_path):
     source, stream = stream_of(spark, tmp_path)
     want = {tuple(r) for r in bursts(source, "2 hours").select("key", "start", "n").collect()}

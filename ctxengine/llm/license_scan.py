@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import in_batches
 
-#: Every known sentence holds one of these, in any case; what normalise() makes a blank may part their words.
+#: Every known sentence holds one of these at the start of a word, in lower case; what normalise() makes a blank may part their words.
 HINT = (
-    r"(?i)licen[sc]|permission|redistribut|warrant|copyright|spdx|public[\W_]+domain|liable|cc0|gpl|rights[\W_]+reserved|cc[\W_]+by|creative[\W_]+commons|as[\W_]+is|endorse|later[\W_]+version|misrepresented|plainly[\W_]+marked|source[\W_]+distribution"
-    r"|free[\W_]+software|hope[\W_]+that[\W_]+it|advertising[\W_]+materials|mpl|odbl|wtfpl|(?:released|distributed|available|published|provided|covered)[\W_]+under|fuck[\W_]+you[\W_]+want|gfdl|apache|bsd|source[\W_]+code[\W_]+form|free[\W_]+to[\W_]+copy|\d[\W_]+or[\W_]+(?:any[\W_]+)?(?:later|newer)"
+    r"(?<![a-z0-9])(?:(?:un|sub|re)?licen[sc]|permission|redistribut|warrant|copyright|spdx|public[\W_]+domain|liable|cc0|a?l?gpl|rights[\W_]+reserved|cc[\W_]+by|creative[\W_]+commons|provided[\W_]+as[\W_]+is|endorse|later[\W_]+version|misrepresented"
+    r"|plainly[\W_]+marked|source[\W_]+(?:distribution|code[\W_]+form)|free[\W_]+(?:software|to[\W_]+copy)|hope[\W_]+that[\W_]+it|advertising[\W_]+materials|mpl|odbl|wtfpl|(?:released|distributed|available|published|provided|covered)[\W_]+(?:\w+[\W_]+)?under"
+    r"|fuck[\W_]+you[\W_]+want|gfdl|apache|bsd|\d[\W_]+or[\W_]+(?:any[\W_]+)?(?:later|newer)|\d[\W_]+clause)"
 )
 
 #: An SPDX tag with its licence expression. Operators in lower case count only before what looks like an identifier.
@@ -236,7 +237,7 @@ def scan_text(text: str | None) -> tuple[list[str], list[str], list[str], int]:
     joined = re.sub(r"(?i)(identifier|licen[sc]e(?:d under)?)[ \t]*:[ \t]*", r"\1 ", text)
     for a, b in sentences(joined):
         part = joined[a:b]
-        if hint.search(part):
+        if hint.search(part.lower()):
             got = identify_sentence(part)
             ids += got
             n += bool(got)
@@ -257,5 +258,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     kind = dict(docs.dtypes)[id_col]
     # a document without a hint goes on without its text, so that only the others' texts reach Python
-    hinted = F.when(F.col(text_col).rlike(HINT), F.col(text_col))
+    hinted = F.when(F.lower(text_col).rlike(HINT), F.col(text_col))
     return docs.select(F.col(id_col).alias("id"), hinted.alias("text")).transform(in_batches, work, SCHEMA.format(kind=kind)).withColumnRenamed("id", id_col)

@@ -12,15 +12,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import MARKDOWN, available_path, parent, resolve_link, stem
 from ..functions.text import GENERAL_WORDS, heading_tokens, link_targets, tokens
+from ..session import shared_path
 
 # Sources in their order, and their scores.
 SOURCES = ["markdownLink", "headingMatch", "coChange", "directoryProximity"]
 LINK_SCORE, HEADING_SCORE, DIRECTORY_SCORE = 0.8, 0.6, 0.5
+#: Rows of two paths or a path and a word that are broadcast at most.
+BROADCAST_ROWS = 300_000
 PROBES = ["", ".md", ".markdown", ".mdx"]
 
 
@@ -40,6 +43,18 @@ def two_smallest(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return smallest(df, keys, value, 2).groupBy(*keys).agg(F.min(value).alias("lo"), F.min(F.when(F.col("rank") == 2, F.col(value))).alias("lo2"))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has no more than BROADCAST_ROWS rows; df must be cheap to count."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def by_directory(base: DataFrame, files: DataFrame) -> DataFrame:
     """Files in the directory of a base file, other than that file."""
     least = two_smallest(base.select("project_id", parent(F.col("path")).alias("dir"), "path"), ["project_id", "dir"], "path")
@@ -70,36 +85,37 @@ def by_link(base: DataFrame, files: DataFrame, pairs: DataFrame | None = None) -
     return _best(link_pairs(base, files) if pairs is None else pairs, "markdownLink", LINK_SCORE, "Markdown link from ")
 
 
+def _in(words: list[str]) -> Callable[[Column], Column]:
+    return lambda x: x.isin(words)
+
+
 def by_name(base: DataFrame, files: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Markdown files that share a word of their name or headings with a base file that doesn't link them.
 
     A single match by a general word doesn't count; a base file's words count as often as they occur.
     Any word that isn't general is enough by itself. Matches by general words alone depend only on
-    how often a base file has each of them and on which of them a file has: a join on these patterns.
+    how often a base file has each of them and on which of them a file has, so the set that a file has is one more
+    word of it, and a base file has each set (of 8) in which it has two words or one twice.
     A file that n base files link needs the n + 2 first base files of a word at most: it is joined with these
     ranks, so the rows are bounded by words and links, whatever the pairs.
     """
-    pairs = link_pairs(base, files) if pairs is None else pairs
+    pairs = _kept(link_pairs(base, files) if pairs is None else pairs, "pairs")
     words = lambda text: F.concat(tokens(stem(F.col("path"))), heading_tokens(F.coalesce(text, F.lit(""))))
     general = F.array(*map(F.lit, GENERAL_WORDS))
-    linked = pairs.groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("links"))
+    sets = [[g for i, g in enumerate(GENERAL_WORDS) if n >> i & 1] for n in range(1 << len(GENERAL_WORDS))]
+    name = lambda s: F.concat(F.lit("{"), F.array_join(s, ","), F.lit("}"))
+    strong = F.array_distinct(F.array_except("w", general))
+    linked = _small(pairs.groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("links")))
     most = (linked.agg(F.max("links")).first()[0] or 0) + 2
-    src = base.select("project_id", "path", words(F.col("text")).alias("w"))
-    dst = files.where(F.col("path").rlike(MARKDOWN)).select("project_id", "path", F.array_distinct(words(F.col("text"))).alias("w"))
-    dst = dst.join(linked, ["project_id", "path"], "left").withColumn("ranks", F.sequence(F.lit(1), (F.coalesce("links", F.lit(0)) + 2).cast("int")))
-    strong = lambda w: F.array_distinct(F.array_except(w, general))
-    first = smallest(src.select("project_id", F.explode(strong(F.col("w"))).alias("word"), F.col("path").alias("src")), ["project_id", "word"], "src", most)
-    asked = dst.select("project_id", "path", F.explode(strong(F.col("w"))).alias("word"), "ranks").withColumn("rank", F.explode("ranks")).drop("ranks")
-    a = asked.join(first, ["project_id", "word", "rank"]).select("project_id", "path", "src")
-    # patterns of general words: at most 3 x 3 x 3 of base files and 8 of files
-    how_often = F.transform(general, lambda g: F.least(F.lit(2), F.size(F.filter("w", lambda x: x == g))))
-    which = F.transform(general, lambda g: F.array_contains("w", g))
-    often = src.where(F.arrays_overlap("w", general)).select("project_id", how_often.alias("often"), F.col("path").alias("src"))
-    by = dst.where(F.arrays_overlap("w", general)).select("project_id", "path", which.alias("has"), F.explode("ranks").alias("rank"))
-    matched = F.aggregate(F.zip_with("often", "has", lambda n, h: F.when(h, n).otherwise(0)), F.lit(0), lambda x, y: x + y)
-    kinds = by.select("project_id", "has").distinct().join(often.select("project_id", "often").distinct(), "project_id").where(matched >= 2)
-    b = by.join(kinds, ["project_id", "has"]).join(smallest(often, ["project_id", "often"], "src", most), ["project_id", "often", "rank"]).select("project_id", "path", "src")
-    found = a.unionByName(b).where("src <> path").distinct().join(pairs, ["project_id", "path", "src"], "left_anti")
+    src = base.select("project_id", F.col("path").alias("src"), words(F.col("text")).alias("w"))
+    enough = [F.when(F.size(F.filter("w", _in(s))) >= 2, name(F.array(*map(F.lit, s)))) for s in sets if s]
+    of_src = F.concat(strong, F.filter(F.array(*enough), lambda x: x.isNotNull()))
+    first = _small(_kept(smallest(src.select("project_id", F.explode(of_src).alias("word"), "src"), ["project_id", "word"], "src", most), "words"))
+    dst = files.where(F.col("path").rlike(MARKDOWN)).select("project_id", "path", words(F.col("text")).alias("w"))
+    of_dst = F.array_append(strong, name(F.filter(general, lambda g: F.array_contains("w", g))))
+    asked = dst.select("project_id", "path", F.explode(of_dst).alias("word")).join(linked, ["project_id", "path"], "left")
+    asked = asked.select("project_id", "path", "word", F.explode(F.sequence(F.lit(1), (F.coalesce("links", F.lit(0)) + 2).cast("int"))).alias("rank"))
+    found = asked.join(first, ["project_id", "word", "rank"]).where("src <> path").join(_small(pairs), ["project_id", "path", "src"], "left_anti")
     return _best(found, "headingMatch", HEADING_SCORE, "Filename or heading match from ")
 
 

@@ -119,7 +119,7 @@ def directory_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _headed(df: DataFrame) -> DataFrame:
     """Each line of a text as a heading."""
-    return df.withColumn("text", F.regexp_replace("text", r"(?m)^(?=.)", "# "))
+    return df.withColumn("text", F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# "))))
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ several trees are grown, so that a linked pair shares a leaf of some tree. All p
 are compared by cosine in double precision inside a task; a pair is counted in the first leaf
 that it shares, so links are exact counts without a list of pairs.
 
+The cuts of six levels are fitted at once, on a sample of some 20,000 vectors of a node, and then all vectors are dealt
+to the nodes below them in one pass; larger labels take further rounds.
+
 A cut has a margin of ``spill`` times the distance of a pair at the threshold on either side, in which
 vectors go to both sides. A pair at the threshold is parted by a cut with a probability of some 2.5 %
 among spread-out vectors, more in a cluster that a cut runs through, closer pairs far less often, and it is lost only if
@@ -14,8 +17,8 @@ tests/llm and told in the README. Where a third of a node's vectors or more lie
 (a tight cluster), the node is not cut but tried again with the next projection. What can't be cut at
 all is compared block by block, which is exact, as is a label with at most ``leaf`` distinct vectors.
 
-A vector travels once for each leaf that it is in (five trees, and by spill half as many again for each
-three levels), with the names of its earlier leaves; the projections that a level has used are dropped.
+A vector travels once for each leaf that it is in (four trees, and by spill half as many again for each
+three levels), with the names of its earlier leaves; the projections that a round has used are dropped.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component, and
 those without a label or id, link with nothing; vectors of different lengths don't link, whatever
@@ -37,11 +40,13 @@ from pyspark.sql import functions as F
 from .common import components, in_batches, join_skewed, keep, small_or
 
 COSINE = 0.93
-TREES = 5
+TREES = 4
 LEAF = 512
 #: Half the margin of a cut, as a share of the distance of a pair at the threshold.
 SPILL = 0.5
 SEED = 7
+#: Levels of a tree that are fitted at once, on a sample of about so many vectors of a node; all vectors are dealt.
+LEVELS, SAMPLE = 6, 20_000
 #: Rows that are compared with a leaf at once.
 _CHUNK = 512
 
@@ -90,30 +95,70 @@ def _leaves(reps: DataFrame, trees: int, leaf: int, margin: float) -> DataFrame:
     done = reps.join(small, ["label", "dim"], "left_semi").select("rep", F.lit(0).alias("tree"), F.xxhash64("label", "dim").alias("leaf"))
     if most <= leaf:
         return done
-    levels = math.ceil(math.log(most / leaf) / math.log(1 / 0.6)) + 2
+    rounds = math.ceil((math.log(most / leaf) / math.log(1 / 0.6) + 2) / LEVELS)
     large = small_or(groups.where(F.col("n") > leaf).select("label", "dim"))
-    now = reps.join(large, ["label", "dim"], "left_semi").select("label", "dim", "rep", "v").transform(in_batches, _projector(trees, levels), f"label {kind}, dim int, rep long, tree int, p array<float>")
-    now = keep(now.withColumn("leaf", F.xxhash64("label", "dim", "tree")).select(F.xxhash64("label", "dim").alias("root"), "rep", "tree", F.lit(0).alias("depth"), "leaf", "p"), "rp-level")
-    at, middle = F.get("p", F.lit(0)), F.col("middle")
-    for _ in range(levels):
-        q = F.percentile_approx(at, [1 / 3, 1 / 2, 2 / 3], 1000)
-        nodes = keep(now.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), q.alias("q")).where(F.col("n") > leaf), "rp-nodes")
-        if not nodes.limit(1).count():
+    now = reps.join(large, ["label", "dim"], "left_semi").select("label", "dim", "rep", "v").transform(in_batches, _projector(trees, rounds * LEVELS), f"label {kind}, dim int, rep long, tree int, p array<float>")
+    now = keep(now.select(F.xxhash64("label", "dim").alias("root"), "rep", "tree", F.xxhash64("label", "dim", "tree").alias("leaf"), F.lit(False).alias("cut"), "p"), "rp-round")
+    for _ in range(rounds):
+        sizes = keep(now.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf), "rp-nodes")
+        if not sizes.limit(1).count():
             break
-        cuts = nodes.where(F.col("q")[2] - F.col("q")[0] > 2 * margin).select("leaf", "n", F.col("q")[1].alias("middle"))
-        split = join_skewed(now, cuts, ["leaf"], "n", F.col("rep"))
-        sides = F.when(middle.isNull(), F.array(F.lit(0))).otherwise(F.filter(F.array(F.when(at <= middle + margin, 1), F.when(at >= middle - margin, 2)), lambda s: s.isNotNull()))
-        split = split.withColumn("side", F.explode(sides))
-        cut = F.col("side") > 0
+        few = join_skewed(now.select("leaf", "rep", F.slice("p", 1, LEVELS).alias("p")), sizes, ["leaf"], "n", F.col("rep"), "inner").where(F.pmod(F.xxhash64("rep", "leaf"), F.col("n")) < SAMPLE)
+        fitted = keep(few.groupBy("leaf", "n").applyInArrow(_fitter(leaf, margin), "leaf long, n long, cuts array<double>, any boolean"), "rp-cuts")
+        dealt = join_skewed(now, fitted.where("any"), ["leaf"], "n", F.col("rep"))
+        sides = F.when(F.col("any"), _nodes(margin)).otherwise(F.array(F.lit(0)))
+        dealt = dealt.withColumn("node", F.explode(sides))
         now = keep(
-            split.select("root", "rep", "tree", (F.col("depth") + cut.cast("int")).alias("depth"), F.when(cut, F.xxhash64("leaf", "side")).otherwise(F.col("leaf")).alias("leaf"), F.slice("p", 2, levels).alias("p")), "rp-level"
+            dealt.select("root", "rep", "tree", F.when(F.col("any"), F.xxhash64("leaf", "node")).otherwise(F.col("leaf")).alias("leaf"), (F.col("cut") | F.coalesce("any", F.lit(False))).alias("cut"), F.slice("p", LEVELS + 1, rounds * LEVELS).alias("p")),
+            "rp-round",
         )
     # a label that one tree has not cut is exact in that tree: no other is needed
-    whole = small_or(keep(now.where("depth = 0").groupBy("root").agg(F.min("tree").alias("only")), "rp-whole"))
+    whole = small_or(keep(now.where("not cut").groupBy("root").agg(F.min("tree").alias("only")), "rp-whole"))
     now = now.join(whole, "root", "left").where("only is null or only = tree")
     return done.unionByName(now.select("rep", "tree", "leaf"))
 
 
+def fit_cuts(p: np.ndarray, n: int, leaf: int, margin: float) -> np.ndarray:
+    """Where the nodes of a tree of LEVELS levels are cut, the root being 1 and the sides of x being 2x and 2x + 1; infinite where a node isn't.
+
+    p: projections of a sample of the n vectors, a column for each level. A node is cut at the median, with those in the
+    margin on both sides, if it is larger than a leaf and its middle third is wider than the margin.
+    """
+    cuts, here = np.full(1 << LEVELS, np.inf), {1: np.arange(len(p))}
+    for level in range(LEVELS):
+        below = {}
+        for node, rows in here.items():
+            x = p[rows, level]
+            low, middle, high = np.quantile(x, [1 / 3, 1 / 2, 2 / 3]) if len(rows) > 2 else (0, 0, 0)
+            if len(rows) * n > leaf * len(p) and high - low > 2 * margin:
+                cuts[node] = middle
+                below[2 * node], below[2 * node + 1] = rows[x <= middle + margin], rows[x >= middle - margin]
+            else:
+                below[2 * node] = rows
+        here = below
+    return cuts
+
+
+def _fitter(leaf: int, margin: float):  # noqa: ANN202
+    def fit(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("rep").to_numpy())  # the same cuts however the rows came
+        cuts = fit_cuts(_matrix(t.column("p"), LEVELS)[order], t.column("n")[0].as_py(), leaf, margin)
+        return pa.table({"leaf": t.column("leaf")[:1], "n": t.column("n")[:1], "cuts": pa.array([cuts.tolist()]), "any": pa.array([bool(np.isfinite(cuts).any())])})
+
+    return fit
+
+
+def _nodes(margin: float):  # noqa: ANN202
+    """The nodes below the cuts that a row with projections p reaches: one, or more where it is within a margin."""
+
+    def step(nodes, level):  # noqa: ANN001, ANN202
+        at = F.get("p", level)
+        cut = lambda x: F.get("cuts", x)
+        return F.flatten(F.transform(nodes, lambda x: F.filter(F.array(F.when(at <= cut(x) + margin, 2 * x), F.when(at >= cut(x) - margin, 2 * x + 1)), lambda y: y.isNotNull())))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), F.array(F.lit(1)), step)
+
+
 def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)

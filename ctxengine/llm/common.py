@@ -30,6 +30,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 HEAVY = 1000
 #: Sides of at most so many narrow rows (a key or two of 8 bytes) are broadcast.
 BROADCAST_ROWS = 300_000
+#: Rows for each task of a small kept table, and tasks that it has at least.
+TASK_ROWS, TASKS = 10_000, 8
 #: Rows of an Arrow batch on its way to a Python worker and back.
 ARROW_ROWS = 1000
 
@@ -125,39 +127,39 @@ def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], n_rows: str,
     return dealt.join(spreaded, [*keys, "_salt"], how).drop("_salt")
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most so many narrow rows, in no more tasks than these need: TASK_ROWS each, or TASKS in all if that is more.
+
+    Shuffled rows keep their partitions where there are fewer of these."""
+    return df.coalesce(max(TASKS, rows // TASK_ROWS))
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge table as (node, component), component = smallest node.
 
-    Alternates the large-star and small-star steps until nothing changes; each round is one
-    kept table. A hub's rows are pre-aggregated before every shuffle that takes the minimum,
-    and dealt over tasks by ``join_skewed`` where its minimum goes back to its rows. Only
-    nodes with an edge are returned.
+    Alternates the large-star and small-star steps until all edges are stars, which is so when
+    no node with a smaller neighbour has another one; each step is one kept table. A hub's rows
+    are pre-aggregated before every shuffle that takes the minimum, and dealt over tasks by
+    ``join_skewed`` where its minimum goes back to its rows. Only nodes with an edge are
+    returned.
     """
     now = keep(
         edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).where("a < b").distinct(), "cc"
     )
-    seen = None
+    n = now.count()  # no step makes more edges
     for _ in range(max_rounds):
         # large star: each node's larger neighbours move to its smallest neighbour
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = keep(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u")), "cc-min")
-        large = (
-            join_skewed(both.where("v > u"), low, ["u"], "n", F.col("v"), "inner").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-        )
-        large = keep(large, "cc-large")
+        low = keep(few(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), 2 * n), "cc-min")
+        lowest = F.least("m", "u")
+        if not low.where("m < u and n > 1").limit(1).count():
+            return low.select(F.col("u").alias("node"), lowest.alias("component"))
+        low = low.withColumn("m", lowest)
+        large = join_skewed(both.where("v > u"), low, ["u"], "n", F.col("v"), "inner").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        large = keep(few(large, n), "cc-large")
         # small star: each node and its smaller neighbours move to the smallest of them
-        low = keep(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n")), "cc-min")
+        low = keep(few(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n")), n), "cc-min")
         moved = join_skewed(large.select(F.col("b").alias("u"), F.col("a").alias("v")), low, ["u"], "n", F.col("v"), "inner")
-        now = keep(
-            moved.select(F.col("m").alias("a"), F.col("v").alias("b")).unionAll(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a < b").distinct(),
-            "cc",
-        )
-        # settled when the edges are stars and the same as a round before
-        sign = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        if seen == sign:
-            break
-        seen = sign
-    else:
-        raise RuntimeError("components did not settle")
-    stars = now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
-    return stars.unionAll(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+        now = moved.select(F.col("m").alias("a"), F.col("v").alias("b")).unionAll(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        now = keep(few(now.where("a < b").distinct(), n), "cc")
+    raise RuntimeError("components did not settle")

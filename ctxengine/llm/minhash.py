@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_batches, join_skewed, keep, small_or
+from .common import components, few, in_batches, join_skewed, keep, small_or
 from .words import SHINGLE, mix64, shingle_counts, word_hashes
 
 BANDS, ROWS = 64, 8
@@ -233,7 +233,7 @@ def _link(rows: DataFrame, similarity: float) -> DataFrame:
 
 def _relabel(classes: DataFrame, edges: DataFrame) -> DataFrame:
     """classes (rep, n, class) after merging along edges between classes."""
-    merged = small_or(keep(components(edges).select(F.col("node").alias("class"), F.col("component").alias("to")), "near-merged"))
+    merged = small_or(components(edges).select(F.col("node").alias("class"), F.col("component").alias("to")))
     return keep(classes.join(merged, "class", "left").select("rep", "n", F.coalesce("to", "class").alias("class")), "near-classes")
 
 
@@ -249,9 +249,7 @@ def _open_buckets(members: DataFrame) -> DataFrame:
 def _round(members: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
     """classes after comparing within the given buckets; members: (bucket, rep)."""
 
-    def dealt(kind: str) -> DataFrame | None:
-        now = keep(members.join(classes, "rep"), "near-members")
-        buckets = keep(_open_buckets(now), "near-buckets")
+    def dealt(kind: str, now: DataFrame, buckets: DataFrame) -> DataFrame | None:
         large = F.col("weight") - F.col("top_weight") > block
         if kind == "leaders":
             buckets = buckets.where(large)
@@ -273,13 +271,17 @@ def _round(members: DataFrame, classes: DataFrame, sets: DataFrame, similarity:
         part = F.when(F.col("weight") <= block, F.array(F.lit("all"))).when(F.col("class") == F.col("top"), of_top).otherwise(F.concat(with_top, with_others))
         return rows.select("bucket", F.explode(part).alias("part"), "rep", "class", F.lit(True).alias("lead"))
 
+    now = buckets = None
     for kind in ("leaders", "all"):
-        rows = dealt(kind)
+        if now is None:  # classes have changed
+            now = keep(members.join(classes, "rep"), "near-members")
+            buckets = keep(few(_open_buckets(now), now.count()), "near-buckets")
+        rows = dealt(kind, now, buckets)
         if rows is not None:
             rows = small_or(keep(rows, "near-rows"))
             edges = keep(_link(rows.join(sets.select("rep", "elements"), "rep"), similarity), "near-edges")
             if edges.limit(1).count():
-                classes = _relabel(classes, edges)
+                classes, now = _relabel(classes, edges), None
     return classes
 
 
@@ -288,12 +290,13 @@ def near_classes(
 ) -> DataFrame:
     """(id, class_id, kept) for every row; class_id is the smallest id of its class of near duplicates."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = keep(signature_table(base, bands, rows, words, weighted), "near-signatures")
+    signed = keep(signature_table(base, bands, rows, words, weighted).withColumn("row", F.monotonically_increasing_id()), "near-signatures")
     whole = signed.where("id is not null and set_hash is not null")
-    reps = keep(whole.groupBy("set_hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-reps")
-    # one row of each representative keeps its bands; further rows with the same id and set are dropped
-    firsts = whole.join(small_or(reps.where("copies > 1").select("set_hash", F.col("rep").alias("first"))), "set_hash", "left").where("first is null or first = id").drop("first")
-    keys = firsts.dropDuplicates(["id", "set_hash"]).select(F.col("id").alias("rep"), "n", F.posexplode("bands").alias("band", "bucket"))
+    reps = whole.groupBy("set_hash").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    reps = keep(few(reps.select("set_hash", F.col("first.id").alias("rep"), F.col("first.row").alias("first"), "copies"), signed.count()), "near-reps")
+    # of the rows with the same set only the first one keeps its bands
+    firsts = whole.join(small_or(reps.where("copies > 1").select("set_hash", "first")), "set_hash", "left").where("first is null or first = row")
+    keys = firsts.select(F.col("id").alias("rep"), "n", F.posexplode("bands").alias("band", "bucket"))
     keys = keep(keys, "near-keys")
     met = keep(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("bucket", "m"), "near-met")
     members = keep(join_skewed(keys, met, ["bucket"], "m", F.col("rep"), "inner").select("bucket", "band", "rep", "n"), "near-meetings")

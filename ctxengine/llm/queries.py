@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, embed_dedup, exact_dedup, filter_audit, html_text, langid, license_scan, minhash, mixing, packing, quality, warc
+from . import divergence, embed_dedup, exact_dedup, filter_audit, html_text, langid, license_scan, minhash, mixing, packing, quality, token_archive, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_archive.write_archive(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_archive.read_archive(spark, path, with_ids=False)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_token_archive": op12_token_archive,
     "op13_filter_audit": op13_filter_audit,
 }
 

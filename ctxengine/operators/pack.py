@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import parent
+from ..functions.scripts import script_stub
 from ..session import shared_path
 from ..functions.text import BYTES_PER_TOKEN, brace_stub, escape_xml, line_skeleton, longest_run, safe_fence, strip_blank_lines, strip_comments
 
@@ -132,11 +133,11 @@ def gate(rendered: DataFrame, token_limit: int) -> DataFrame:
 
 
 #: Compressors by extension; the last is for all others.
-COMPRESSORS = {"ts": line_skeleton, "tsx": line_skeleton, "js": line_skeleton, "jsx": line_skeleton, "*": brace_stub}
+COMPRESSORS = {"ts": script_stub, "tsx": script_stub, "js": script_stub, "jsx": script_stub, "*": brace_stub}
 
 
 def compress(text: Column, path: Column) -> Column:
-    """The compressor of the extension. (For scripts the line skeleton stands in for a syntax tree.)"""
+    """The compressor of the extension."""
     extension = F.lower(F.regexp_extract(path, r"\.([^./]+)\z", 1))
     out = F.when(F.lit(False), text)
     for name, f in COMPRESSORS.items():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as X
 from ..operators import search
-from ..sources.tables import code, files, table
+from ..sources.tables import code, files, scripts, table
 from .catalog import CODE, FILES, joined, query
 
 N = "chr(10)"
@@ -204,6 +204,22 @@ def line_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code(spark, sf_dir).select("code_id", X.line_skeleton(F.col("text")).alias("skeleton"))
 
 
+@query(
+    "ast_compress", "X7",
+    f"""WITH p AS (SELECT *, p_partkey % 7 AS k, ' // }} ' || p_name || {N} || ' const s = ''{{'' + "}}" + `{{${{1}}`; /* }} */ return /[{{]/.test(s); ' AS inner_text, '{{' || {N} || '  // ... existing code ...' || {N} || '}}' AS stub FROM part),
+      d AS (SELECT doc_id, translate(text, '*`\\$', '') AS clean FROM documents)
+      SELECT p_partkey::BIGINT AS code_id, CASE k WHEN 0 THEN 'function f' || p_partkey || '(a = {{ x: 1 }}) ' || stub || {N} || 'call(1);' WHEN 1 THEN 'class C' || p_partkey || ' {{ get g() {{ return 1 }} static async m(b: string): Promise<{{ y: number }}> ' || stub || ' }}'
+        WHEN 2 THEN 'const h = (a: string): void => ' || stub || ';' WHEN 3 THEN 'let a = 1' || {N} || 'export default async function () ' || stub WHEN 4 THEN 'const o = {{ a: function() {{ return 2; }}, m' || p_partkey || '() ' || stub || '}};'
+        WHEN 5 THEN 'const t = `}} ${{list.map(x => ' || stub || ')}} {{`;' ELSE 'const f = function() {{' || inner_text || 'list.forEach(y => ' || stub || ');}};' END AS skeleton FROM p
+      UNION ALL SELECT -1 - doc_id, '/* () => {{ ' || clean || ' */ function d() {{' || {N} || '  // ... existing code ...' || {N} || '}}' || {N} || '// function x() {{ y }}' FROM d""",
+)
+def ast_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compressor that a script's extension calls for, over nested bodies, strings, templates, comments and whole documents."""
+    from ..operators.pack import compress
+
+    return scripts(spark, sf_dir).select("code_id", compress(F.col("text"), F.lit("src/a.ts")).alias("skeleton"))
+
+
 @query("brace_compress", "X6", f"WITH {CODE} SELECT code_id, regexp_replace(text, '\\{{[^}}\\n]*\\n[^}}\\n]*\\n[^}}]*\\}}', '{{' || {N} || '  // ... existing code ...' || {N} || '}}', 'g') AS stub FROM code")
 def brace_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code(spark, sf_dir).select("code_id", X.brace_stub(F.col("text")).alias("stub"))

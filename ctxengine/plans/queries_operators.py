@@ -12,7 +12,7 @@ from ..sources.tables import changes, code, commits, edges, file_commits, files,
 from ..sources.tables import signals as signal_rows
 from ..session import shared_path
 from ..streaming.changes import bursts, content_changes, is_modified, refresh_snapshot
-from .catalog import BASE, COMMITS, EDGES, FILES, base_files, joined, query
+from .catalog import BASE, CODE, COMMITS, EDGES, FILES, base_files, joined, query
 
 N = "chr(10)"
 SIGNALS = """sig AS (SELECT project_id, path, size, 'rgMatch' AS reason, 0 AS ord, 35 AS w FROM files WHERE contains(lower(text), 'tion')
@@ -595,7 +595,10 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.last_per_key(changes(spark, sf_dir), ["key"], ["ts", "event_id"]).select("key", "event_id", "content")
 
 
-@query("compressed_sizes", "X5 X6 X22", None)
+@query(
+    "compressed_sizes", "X6 X7",
+    f"""WITH {CODE} SELECT code_id, (strlen(text) - strlen(regexp_extract(text, 'run\\(\\d+\\) (\\{{[^}}]*\\}})', 1)) + 30)::INTEGER AS script, strlen(regexp_replace(text, '\\{{[^}}\\n]*\\n[^}}\\n]*\\n[^}}]*\\}}', '{{' || {N} || '  // ... existing code ...' || {N} || '}}', 'g'))::INTEGER AS other FROM code""",
+)
 def compressed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code(spark, sf_dir).select("code_id", F.octet_length(pack.compress(F.col("text"), F.lit("a.ts"))).alias("script"), F.octet_length(brace_stub(F.col("text"))).alias("other"))
 

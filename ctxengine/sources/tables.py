@@ -76,6 +76,25 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code_id"), text.alias("text"))
 
 
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(code_id, text): a script for each part, of seven shapes with a body that nests others, and one for each document, in a comment and a template."""
+    c, lit = F.concat, F.lit
+    p = table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    inner = c(lit(" // } "), "p_name", lit("\n const s = '{' + \"}\" + `{${1}`; /* } */ return /[{]/.test(s); "))
+    body = c(lit("{"), inner, lit("list.forEach(y => {"), inner, lit("});}"))
+    shapes = [
+        (c(lit("function f"), key, lit("(a = { x: 1 }) ")), lit("\ncall(1);")), (c(lit("class C"), key, lit(" { get g() { return 1 } static async m(b: string): Promise<{ y: number }> ")), lit(" }")),
+        (lit("const h = (a: string): void => "), lit(";")), (lit("let a = 1\nexport default async function () "), lit("")), (c(lit("const o = { a: function() { return 2; }, m"), key, lit("() ")), lit("};")),
+        (lit("const t = `} ${list.map(x => "), lit(")} {`;")), (lit("const f = function() "), lit(";")),
+    ]
+    texts = F.array(*(c(before, body, after) for before, after in shapes))
+    of_parts = p.select(F.col("p_partkey").cast("long").alias("code_id"), F.get(texts, (F.col("p_partkey") % len(shapes)).cast("int")).alias("text"))
+    clean = F.translate("text", "*`\\$", "")
+    of_documents = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("code_id"), c(lit("/* () => { "), clean, lit(" */ function d() { return `"), clean, lit("`; }\n// function x() { y }")).alias("text"))
+    return of_parts.unionByName(of_documents)
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, text): assistant turns as replies that name a file and hold it in a fence, twice."""
     one = F.concat(F.lit("## File: src/f"), F.col("conv_id").cast("string"), F.lit(".ts\n```ts\n"), F.col("text"), F.lit("\n```\n"))

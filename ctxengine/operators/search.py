@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import any_ends_with, base_name, fold_separators, parse_extensions, resolve_import, stem
+from ..functions.paths import any_ends_with, base_name, fold_separators, parse_extensions, resolve_import
 from ..functions.text import import_targets, lines
 from .signals import REASON_WEIGHTS
 
@@ -105,10 +105,25 @@ def resolve_paths(clips: DataFrame, files: DataFrame) -> DataFrame:
     return clips.select("clip_id", "clip").distinct().join(best.select("clip_id", "clip", path.alias("path")), ["clip_id", "clip"], "left")
 
 
+# Names of test files, and where none are looked for.
+TEST_FILE, NO_TESTS = r"\.(?:spec|test|Test)\.(?:ts|tsx|js|jsx)\z", r"(?:^|/)node_modules/"
+
+
 def related_tests(changed: DataFrame, files: DataFrame) -> DataFrame:
-    """Test files whose name starts with a changed file's stem and a dot or an underscore: an equi-join on the name's stems."""
-    tests = files.where(base_name(F.col("path")).rlike(r"(?i)(?:\.|_)(?:test|spec)\.")).select("project_id", F.col("path").alias("test"), F.regexp_replace(base_name(F.col("path")), r"(?i)(?:\.|_)(?:test|spec)\..*\z", "").alias("stem"))
-    return changed.select("project_id", stem(F.col("path")).alias("stem")).distinct().join(tests, ["project_id", "stem"]).select("project_id", F.col("test").alias("path")).distinct()
+    """Test files whose name starts with a changed file's stem, or holds it before an underscore, in any case of letters.
+
+    A test is indexed under all prefixes of its name and all that ends before one of its underscores, so both are
+    one equi-join; names are short, which bounds the index.
+    """
+    name = F.lower(base_name(F.col("path")))
+    tests = files.where(F.col("path").rlike(TEST_FILE) & ~F.col("path").rlike(NO_TESTS)).select("project_id", "path", name.alias("name"))
+    places = F.sequence(F.lit(1), F.length("name"))
+    prefixes = F.concat(F.array(F.lit("")), F.transform(places, lambda n: F.substr("name", F.lit(1), n)))
+    underscores = F.filter(places, lambda at: F.substr("name", at, F.lit(1)) == "_")
+    before = F.flatten(F.transform(underscores, lambda at: F.transform(F.sequence(F.lit(1), at), lambda i: F.substr("name", i, at - i))))
+    indexed = tests.select("project_id", "path", F.explode(F.array_distinct(F.concat(prefixes, before))).alias("stem"))
+    stems = changed.select("project_id", F.regexp_replace(F.lower(base_name(F.col("path"))), r"(?<=.)\.[^.]*\z", "").alias("stem")).distinct()
+    return indexed.join(stems, ["project_id", "stem"], "left_semi").select("project_id", "path").distinct()
 
 
 def imports(files: DataFrame) -> DataFrame:

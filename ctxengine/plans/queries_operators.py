@@ -260,11 +260,22 @@ def fuzzy_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.resolve_paths(f.select(F.col("doc_id").alias("clip_id"), F.get(shapes, k).alias("clip")), f).select("clip_id", "path")
 
 
-@query("related_tests", "J18 U9", f"WITH {FILES} SELECT project_id, regexp_replace(path, '\\.md$', '.test.ts') AS path FROM files JOIN labels USING (doc_id) WHERE toxic = 1")
+#: Test files: beside the file, in another folder with more around the stem, and where none are looked for.
+TESTS = """tests AS (SELECT project_id, CASE doc_id % 3 WHEN 0 THEN regexp_replace(path, '\\.md$', '.Test.ts') WHEN 1 THEN 'tests/My_' || upper(regexp_extract(path, '([^/]*)\\.md$', 1)) || '_more.spec.js' ELSE 'node_modules/' || regexp_replace(path, '\\.md$', '.test.ts') END AS path FROM files),
+  stems AS (SELECT DISTINCT project_id, lower(regexp_extract(path, '([^/]*)\\.md$', 1)) AS stem FROM base),
+  related AS (SELECT DISTINCT t.project_id, t.path FROM tests t JOIN stems s ON s.project_id = t.project_id AND NOT starts_with(path, 'node_modules') AND (starts_with(lower(regexp_extract(path, '[^/]*$')), stem) OR contains(lower(regexp_extract(path, '[^/]*$')), stem || '_')))"""
+
+
+def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.regexp_extract("path", r"([^/]*)\.md$", 1)
+    beside = lambda end: F.regexp_replace("path", r"\.md$", end)
+    made = F.when(F.col("doc_id") % 3 == 0, beside(".Test.ts")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("tests/My_"), F.upper(name), F.lit("_more.spec.js"))).otherwise(F.concat(F.lit("node_modules/"), beside(".test.ts")))
+    return files(spark, sf_dir).select("project_id", made.alias("path"))
+
+
+@query("related_tests", "J18", f"WITH {FILES}, {BASE}, {TESTS} SELECT * FROM related")
 def related_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = files(spark, sf_dir)
-    tests = f.select("project_id", F.regexp_replace("path", r"\.md$", ".test.ts").alias("path"))
-    return search.related_tests(base_files(spark, sf_dir), tests.unionByName(f.select("project_id", "path")))
+    return search.related_tests(base_files(spark, sf_dir), _tests(spark, sf_dir).unionByName(files(spark, sf_dir).select("project_id", "path")))
 
 
 @query("diagnostics", "J9 S19", f"WITH {FILES} SELECT 'file:///ws/' || path AS uri, 'doc ' || doc_id AS message FROM files JOIN labels USING (doc_id) WHERE toxic = 1")
@@ -356,14 +367,13 @@ def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "selection_sets", "U3 U4 U9 U10",
-    f"""WITH {FILES}, {BASE}, m AS (SELECT project_id, path FROM base), t AS (SELECT project_id, regexp_replace(path, '\\.md$', '.test.ts') AS path FROM m), a AS (SELECT * FROM m UNION SELECT * FROM t UNION SELECT project_id, path FROM files WHERE ends_with(path, '5.md'))
+    f"""WITH {FILES}, {BASE}, {TESTS}, m AS (SELECT project_id, path FROM base), t AS (SELECT * FROM related), a AS (SELECT * FROM m UNION SELECT * FROM t UNION SELECT project_id, path FROM files WHERE ends_with(path, '5.md'))
       SELECT 'added' AS step, * FROM a UNION ALL SELECT 'removed', * FROM (SELECT * FROM a EXCEPT SELECT * FROM t) UNION ALL SELECT 'of_base', * FROM m""",
 )
 def selection_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modified files with their related tests and more; the tests taken out again; and what of all is a base candidate, with other separators."""
     f, base = files(spark, sf_dir).select("project_id", "path"), base_files(spark, sf_dir).select("project_id", "path")
-    tests = f.select("project_id", F.regexp_replace("path", r"\.md$", ".test.ts").alias("path"))
-    related = search.related_tests(base, tests.unionByName(f))
+    related = search.related_tests(base, _tests(spark, sf_dir).unionByName(f))
     added = selection.add(selection.add(base, related), f.where(F.endswith("path", F.lit("5.md"))))
     chosen = recommend.selected_base(added.withColumn("path", F.translate("path", "/", "\\")), base)
     steps = {"added": added, "removed": selection.remove(added, related), "of_base": chosen}

@@ -71,14 +71,16 @@ class Encoder:
         low += unit * start
         np.multiply(unit, size, out=span)
         full = np.flatnonzero(span < 1 << 32)
-        row = self.used.take(full)
-        if row.max(initial=0) >= len(self.words):
-            self.words = np.concatenate([self.words, np.zeros_like(self.words)])
-        some = low.take(full)
-        self.words.reshape(-1)[row * self.words.shape[1] + full] = some >> 32
-        self.used[full] = row + 1
-        low[full] = (some & 0xFFFFFFFF) << 16
-        span[full] <<= 16
+        while len(full):  # a very unlikely id takes two words
+            row = self.used.take(full)
+            if row.max() >= len(self.words):
+                self.words = np.concatenate([self.words, np.zeros_like(self.words)])
+            some = low.take(full)
+            self.words.reshape(-1)[row * self.words.shape[1] + full] = some >> 32
+            self.used[full] = row + 1
+            low[full] = (some & 0xFFFFFFFF) << 16
+            span[full] <<= 16
+            full = full[span.take(full) < 1 << 32]
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """(words, a column for each lane; how many of them it has)."""
@@ -111,10 +113,12 @@ class Decoder:
         value -= unit * start
         np.multiply(unit, size, out=span)
         full = np.flatnonzero(span < 1 << 32)
-        row = np.minimum(self.used.take(full), len(self.words) - 1)
-        value[full] = (value.take(full) << 16) | self.words.reshape(-1).take(row * self.words.shape[1] + full)
-        self.used[full] = row + 1
-        span[full] <<= 16
+        while len(full):
+            row = np.minimum(self.used.take(full), len(self.words) - 1)
+            value[full] = (value.take(full) << 16) | self.words.reshape(-1).take(row * self.words.shape[1] + full)
+            self.used[full] = row + 1
+            span[full] <<= 16
+            full = full[span.take(full) < 1 << 32]
 
 
 # --- model ----------------------------------------------------------------------------------

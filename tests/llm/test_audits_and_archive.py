@@ -168,6 +168,15 @@ def test_frames_round_trip(k, monkeypatch):
     assert token_archive.encode_frame(ids, 1000) and (token_archive.decode_frame(token_archive.encode_frame(ids, 1000)) == ids).all()
 
 
+def test_unlikely_ids_after_long_runs_round_trip():
+    g = np.random.default_rng(12)
+    for _ in range(20):  # weights and counts that have grown leave an id next to no room
+        ids = np.full(4096 * 3, 7, "<u4")
+        at = g.integers(0, len(ids), g.integers(1, 900))
+        ids[at] = g.integers(0, 49_408, len(at))
+        assert (token_archive.decode_frame(token_archive.encode_frame(ids)) == ids).all()
+
+
 def test_repeating_ids_are_predicted_and_skewed_ones_cost_their_entropy():
     g = np.random.default_rng(4)
     again = np.tile(g.integers(0, 49_408, 200), 400).astype("<u4")

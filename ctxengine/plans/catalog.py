@@ -48,4 +48,4 @@ def joined(c) -> F.Column:  # noqa: ANN001
     return F.array_join(c, "|")
 
 
-from . import queries_functions, queries_operators, queries_patch  # noqa: E402, F401
+from . import queries_functions, queries_operators, queries_patch, queries_streams  # noqa: E402, F401

@@ -18,39 +18,33 @@ def bursts(changes: DataFrame, gap: str = "1 second", late: str = "10 minutes")
     return out.select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", F.col("l.content").alias("last"))
 
 
-def content_changes(changes: DataFrame, order: list[Column]) -> DataFrame:
-    """F19, ST4 over a batch: the changes of a key whose content isn't that of the one before."""
-    before = F.lag("content").over(Window.partitionBy("key").orderBy(*order))
-    return changes.withColumn("before", before).where(~F.col("before").eqNullSafe(F.col("content"))).drop("before")
-
-
-def stream_content_changes(changes: DataFrame) -> DataFrame:
-    """ST4 over a stream: the last content of a key is kept as state, which never expires; late rows are taken as they come."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    kind = {f.name: f.dataType.simpleString() for f in changes.schema}
-
-    def work(key, batches, state: GroupState):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        last = state.get[0] if state.exists else None
-        first = not state.exists
-        for b in batches:
-            rows = []
-            for r in b.sort_values("ts").itertuples(index=False):
-                if first or r.content != last:
-                    rows.append((key[0], r.ts, r.content))
-                last, first = r.content, False
-            yield pd.DataFrame(rows, columns=["key", "ts", "content"])
-        state.update((last,))
-
-    schema = f"key {kind['key']}, ts {kind['ts']}, content {kind['content']}"
-    return changes.select("key", "ts", "content").groupBy("key").applyInPandasWithState(work, schema, f"content {kind['content']}", "append", GroupStateTimeout.NoTimeout)
-
-
-def write_snapshot(stream: DataFrame, path: str, checkpoint: str):  # noqa: ANN201
-    """ST5: each micro-batch replaces the snapshot that membership tests read."""
-    return stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).start()
+#: Rows of a slice of time, so that a key with many changes is not one task's.
+SLICE_ROWS = 200_000
+
+
+def content_changes(changes: DataFrame, order: list[Column], by: str = "ts", slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """F19, ST4 over a batch: the changes of a key whose content isn't that of the one before. ``by``, a timestamp, comes first in the order.
+
+    Keys are cut by slices of time with about slice_rows rows each, at quantiles of the whole table; within a slice the change before is
+    the row before, and a slice's first row looks at how the key's slices before it ended.
+    """
+    n = changes.count()
+    cuts = changes.select(F.unix_micros(by).alias("t")).approxQuantile("t", [i / (n // slice_rows + 1) for i in range(1, n // slice_rows + 1)], 0.25 / (n // slice_rows + 1)) if n > slice_rows else []
+    piece = F.lit(0)
+    for i, cut in enumerate(sorted(set(cuts))):
+        piece = F.when(F.unix_micros(by) >= int(cut), i + 1).otherwise(piece)
+    cut_up = changes.withColumn("_slice", piece).withColumn("_order", F.struct(*order))
+    in_slice = Window.partitionBy("key", "_slice").orderBy("_order")
+    rows = cut_up.withColumn("_n", F.row_number().over(in_slice)).withColumn("_before", F.lag("content").over(in_slice))
+    if not cuts:
+        first = F.col("_n") == 1
+        return rows.where(first | ~F.col("_before").eqNullSafe(F.col("content"))).drop("_slice", "_order", "_n", "_before")
+    ends = cut_up.groupBy("key", "_slice").agg(F.max_by(F.struct("content"), "_order").alias("_end"))
+    ends = ends.select(F.col("key").alias("_key"), F.col("_slice").alias("_at"), F.lag("_end").over(Window.partitionBy("key").orderBy("_slice")).alias("_end"))  # a row for each key and slice
+    joined = rows.join(ends, (F.col("_slice") == F.col("_at")) & F.col("key").eqNullSafe(F.col("_key"))).drop("_at", "_key")
+    first = F.col("_n") == 1
+    changed = F.when(first, F.col("_end").isNull() | ~F.col("_end.content").eqNullSafe(F.col("content"))).otherwise(~F.col("_before").eqNullSafe(F.col("content")))
+    return joined.where(changed).drop("_slice", "_order", "_n", "_before", "_end")
 
 
 def refresh_snapshot(modified: DataFrame, path: str) -> DataFrame:

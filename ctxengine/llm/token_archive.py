@@ -61,26 +61,27 @@ class Encoder:
 
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
-        self.used = np.zeros(lanes, np.int64)
+        self.lane, self.used, self.most = np.arange(lanes), np.zeros(lanes, np.int64), 0
         self.words = np.zeros((1024, lanes), np.uint32)
 
     def code(self, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """Narrows the first lanes to ``size`` units from ``start``."""
+        """Narrows the first lanes to ``size`` units from ``start``. A very unlikely id takes two words."""
         n = len(unit)
-        low, span = self.low[:n], self.range[:n]
+        low, span, used = self.low[:n], self.range[:n], self.used[:n]
         low += unit * start
         np.multiply(unit, size, out=span)
-        full = np.flatnonzero(span < 1 << 32)
-        while len(full):  # a very unlikely id takes two words
-            row = self.used.take(full)
-            if row.max() >= len(self.words):
-                self.words = np.concatenate([self.words, np.zeros_like(self.words)])
-            some = low.take(full)
-            self.words.reshape(-1)[row * self.words.shape[1] + full] = some >> 32
-            self.used[full] = row + 1
-            low[full] = (some & 0xFFFFFFFF) << 16
-            span[full] <<= 16
-            full = full[span.take(full) < 1 << 32]
+        full = span < 1 << 32
+        while full.any():
+            if self.most + 1 >= len(self.words):
+                self.most = int(self.used.max())
+                if self.most + 1 >= len(self.words):
+                    self.words = np.concatenate([self.words, np.zeros_like(self.words)])
+            self.words.reshape(-1)[used * self.words.shape[1] + self.lane[:n]] = low >> 32  # written again where the word isn't full yet
+            used += full
+            self.most += 1
+            low[:] = np.where(full, (low & 0xFFFFFFFF) << 16, low)
+            span[:] = np.where(full, span << 16, span)
+            full = span < 1 << 32
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """(words, a column for each lane; how many of them it has)."""
@@ -101,7 +102,7 @@ class Decoder:
         """words: a column for each lane, zeros behind its end."""
         lanes = words.shape[1]
         self.words = np.concatenate([words, np.zeros((4, lanes), words.dtype)]).astype(np.int64)
-        self.range, self.used = np.full(lanes, (1 << 48) - 1, np.int64), np.full(lanes, 3, np.int64)
+        self.range, self.used, self.lane = np.full(lanes, (1 << 48) - 1, np.int64), np.full(lanes, 3, np.int64), np.arange(lanes)
         self.value = (self.words[0] << 32) | (self.words[1] << 16) | self.words[2]
 
     def target(self, unit: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -112,13 +113,14 @@ class Decoder:
         value, span = self.value[:n], self.range[:n]
         value -= unit * start
         np.multiply(unit, size, out=span)
-        full = np.flatnonzero(span < 1 << 32)
-        while len(full):
-            row = np.minimum(self.used.take(full), len(self.words) - 1)
-            value[full] = (value.take(full) << 16) | self.words.reshape(-1).take(row * self.words.shape[1] + full)
-            self.used[full] = row + 1
-            span[full] <<= 16
-            full = full[span.take(full) < 1 << 32]
+        full = span < 1 << 32
+        while full.any():
+            used = self.used[:n]
+            more = self.words.reshape(-1).take(np.minimum(used, len(self.words) - 1) * self.words.shape[1] + self.lane[:n])
+            value[:] = np.where(full, (value << 16) | more, value)
+            used += full
+            span[:] = np.where(full, span << 16, span)
+            full = span < 1 << 32
 
 
 # --- model ----------------------------------------------------------------------------------
@@ -142,7 +144,7 @@ class Model:
         self.within = (np.cumsum(known, axis=2) - known).astype(np.uint16).reshape(-1, GROUP)
         self.total = distinct.astype(np.int64)
         self.one, self.two = np.zeros(lanes * room, np.uint16), np.zeros(lanes * SLOTS, np.uint16)
-        self.weights = [np.full(lanes * 32, w, np.int64) for w in (1, 1, 2)]  # order 2, 1, 0
+        self.weights = np.full(lanes * 32, 1 << 32 | 1 << 16 | 2, np.int64)  # of order 2, 1 and 0, sixteen bits each
         self.lane = np.arange(lanes)
         self.at_id, self.at_slot, self.at_state, self.at_group = (self.lane * n for n in (room, SLOTS, 32, groups))
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -155,11 +157,11 @@ class Model:
         one, two = self.one.take(at_one).astype(np.int64), self.two.take(at_two).astype(np.int64)
         id1, id2 = one >> 2, two >> 2
         state = self.at_state[:lanes] + ((two & 3) << 3) + ((one & 3) << 1) + (id1 == id2)
-        w2, w1, w0 = (w.take(state) for w in self.weights)
+        weights = self.weights.take(state)
+        w2, w1, w0 = weights >> 32, (weights >> 16) & 0xFFFF, weights & 0xFFFF
         n = self.total[:lanes]
-        edge2 = w2 * n
-        edge1 = edge2 + w1 * n
-        total = edge1 + w0 * n
+        named = w2 + w1
+        edge2, edge1, total = w2 * n, named * n, (named + w0) * n
         unit = _divide(coder.range[:lanes], total)
         if ids is None:
             target = coder.target(unit, total)
@@ -198,20 +200,18 @@ class Model:
         behind >>= 14
         behind &= ADD_COUNT
         below += behind
-        row_at = self.at_group[:lanes] + group
-        row = self.within.take(row_at, axis=0)
+        other = np.flatnonzero(~miss)  # of an id that was named the group's row has not been read yet, or was the same
+        row_at[other] = self.at_group.take(other) + group.take(other)
+        row[other] = self.within.take(row_at.take(other), axis=0)
         behind = inner[:, None] - self.inner_no
         behind >>= 14
         behind &= ADD_COUNT
         row += behind
         self.within[row_at] = row
         # the mixture, and what the predictors name next
-        new = [w2 + hit2 * ADD_WEIGHT, w1 + hit1 * ADD_WEIGHT, w0 + miss * ADD_WEIGHT]
-        large = np.flatnonzero(total > (WEIGHTS - ADD_WEIGHT) * (n - ADD_COUNT))
-        for kept, w in zip(self.weights, new, strict=True):
-            if len(large):
-                w[large] = (w[large] + 1) >> 1
-            kept[state] = w
+        weights += np.where(miss, ADD_WEIGHT, np.where(hit1, ADD_WEIGHT << 16, ADD_WEIGHT << 32))
+        halved = ((weights + 0x100010001) >> 1) & 0x7FFF7FFF7FFF
+        self.weights[state] = np.where(named + w0 > WEIGHTS - ADD_WEIGHT, halved, weights)
         first = (ids << 2) + 1
         self.one[at_one] = np.where(ids == id1, np.minimum(one + 1, first + 2), first)
         self.two[at_two] = np.where(ids == id2, np.minimum(two + 1, first + 2), first)

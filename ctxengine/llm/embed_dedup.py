@@ -233,7 +233,9 @@ def near_vectors(
     read = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v")).transform(in_batches, _read, f"id long, label {kinds[label_col]}, v {kinds[vector_col]}, dim int, vkey binary"
     )
     base = keep(read.withColumn("vkey", F.when(F.col("id").isNotNull() & F.col("label").isNotNull(), F.col("vkey"))), "rp-read")
-    reps = keep(base.where("vkey is not null").groupBy("label", "dim", "vkey").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "rp-reps")
+    reps = base.where("vkey is not null").groupBy("label", "dim", "vkey").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    # a representative is known by its row, as its smallest id may be another vector's too
+    reps = keep(reps.sortWithinPartitions("label", "dim", "vkey").withColumn("rep", F.monotonically_increasing_id()), "rp-reps")
     leaves = keep(_leaves(reps, trees, leaf, spill * math.sqrt(2 * (1 - cosine))), "rp-leaves")
     sizes = keep(leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "rp-sizes")
     # one row for each vector with its leaves in order, then one for each of them with those before it
@@ -258,8 +260,11 @@ def near_vectors(
     found = keep(ready.groupBy("leaf", "block").applyInArrow(work, "rep long, links long, root long").where("links > 0"), "rp-found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     whole = components(found.where("rep <> root").select(F.col("root").alias("src"), F.col("rep").alias("dst"))).withColumnRenamed("node", "rep")
-    result = reps.join(links, "rep", "left").join(whole, "rep", "left").select(
-        "label", "dim", "vkey", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+    whole = keep(whole.join(reps.select("rep", "first_id"), "rep"), "rp-classes")
+    names = keep(whole.groupBy("component").agg(F.min("first_id").alias("name"), F.count(F.lit(1)).alias("n")), "rp-names")
+    named = join_skewed(whole.select("rep", "component"), names, ["component"], "n", F.col("rep")).select("rep", "name")
+    result = reps.join(links, "rep", "left").join(named, "rep", "left").select(
+        "label", "dim", "vkey", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("name", "first_id").alias("component_id")
     )
     out = join_skewed(base.select("id", "label", "dim", "vkey"), keep(result, "rp-result"), ["label", "dim", "vkey"], "copies", F.col("id"))
     component = F.coalesce("component_id", "id")

@@ -8,15 +8,16 @@ block there is a surge point, where it falls to nothing a dive point. The text b
 is the page's content.
 
 ``article`` and ``main`` elements that hold the larger part of the page's unlinked text bound the
-content: inside them any line with a length is a surge, so what goes is what lies between a dive and
-the next surge, a run of at least ``window`` lines of links (a list of links between or after the
-paragraphs); short siblings stay too, unless most of one is links. Text outside them must
+content: all that is left inside them is text, but for a run of at least ``window`` lines of links before
+the first surge (a menu above the text). Text outside them must
 reach the threshold by itself, stand in a span with an ``h1``, or stand right next to
-one of them. Where they hold less (teaser cards beside a body in a ``div``), spans are sought over
-all lines.
+one of them. Where they hold less (teaser cards beside a body in a ``div``) or are missing, spans are sought over
+all lines, and the element that encloses a span that reaches the threshold bounds it in the same way, so headings, short paragraphs and
+lists of links in it stay.
 
 Names in class, id and role take an element out if they are made of such words and of words of layout
-alone ("site-header", "comment-list"). A name with other words in it ("menu-of-the-day") does so only
+alone ("site-header", "comment-list"); words that may stand for running text too ("related", "social") do so inside an
+article only if most of the element's text is links. A name with other words in it ("menu-of-the-day") does so only
 if most of the element's text is links. A header inside an article is its own and stays. A form or
 a marked element that wraps the page's ``main``, or its ``h1`` and most of its paragraphs, is layout (a
 column beside a sidebar, a page in a form) and stays.
@@ -31,7 +32,7 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import groupby
@@ -65,6 +66,8 @@ CONTAINERS = frozenset(("article", "main"))
 
 # Words of layout, which say nothing about what an element is.
 NEUTRAL = frozenset("area article bar blog block body bottom box buttons button card col column container content div entry fixed form global group head icons inner item items large left link links list main mobile outer page panel post posts primary reader right row secondary section site small sticky story text the thread title top user users wide wrap wrapper".split())
+# Words that mark an element inside an article only if most of its text is links, as running text may be meant by them.
+SOFT = frozenset("social share sharing related recommended widget widgets toolbar topbar pagination pager skip".split())
 #: Words that mark a page's header, but not an article's own, nor a paragraph or heading.
 _HEADERS = frozenset(("header", "masthead"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
@@ -89,7 +92,8 @@ def _mark(name: str, attributes: list[tuple[str, str]], inside: bool) -> int:
             parts = {p.lower() for p in _PART.split(word) if p}
             marks = parts & MARKED
             if marks and not (marks <= _HEADERS and (inside or name in _HEADINGS)):
-                strength = max(strength, 2 if all(p in MARKED or p in NEUTRAL or p.isdigit() for p in parts) else 1)
+                sure = all(p in MARKED or p in NEUTRAL or p.isdigit() for p in parts) and not (inside and marks <= SOFT)
+                strength = max(strength, 2 if sure else 1)
     return strength
 
 
@@ -195,15 +199,22 @@ def _linked_share(tokens: list[tuple], ends: dict[int, int]) -> Callable[[int],
     return lambda i: (linked[ends[i]] - linked[i]) / max(1, text[ends[i]] - text[i])
 
 
+#: Elements of one line; what encloses a text is sought above them, so many levels up at most.
+_LEAVES, _LEVELS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address caption figcaption".split()), 64
+
+
 class _Line:
-    __slots__ = ("text", "linked", "inside", "top")
+    """inside: the number of the container that the line stands in, 0 if none; top: whether it is an h1; at: its place; around: the block elements about it,
+    from the innermost, as (first, last place, name, those about it)."""
+
+    __slots__ = ("text", "linked", "inside", "top", "at", "around")
 
-    def __init__(self, text: str, linked: int, inside: int, top: bool = False):
-        self.text, self.linked, self.inside, self.top = text, linked, inside, top
+    def __init__(self, text: str, linked: int, inside: int, top: bool = False, at: int = 0, around: tuple | None = None):
+        self.text, self.linked, self.inside, self.top, self.at, self.around = text, linked, inside, top, at, around
 
 
 def lines_of(page: str) -> list[_Line]:
-    """Lines of the page that have text; inside: the number of the container that the line stands in, 0 if none; top: whether it is an h1."""
+    """Lines of the page that have text."""
     tokens = _tokens(page)
     ends = _ends(tokens)
     wraps, share = _wrappers(tokens, ends), _linked_share(tokens, ends)
@@ -212,12 +223,13 @@ def lines_of(page: str) -> list[_Line]:
     linked, links, inside, containers, skip_to = 0, 0, 0, 0, -1
     until: list[tuple[int, int]] = []
     top_to = -1
+    around: tuple | None = None
 
     def flush() -> None:
         nonlocal held, linked
-        text = " ".join(html.unescape("".join(held)).split())
+        text = " ".join("".join(held).split())
         if text:
-            lines.append(_Line(text, linked, inside, i <= top_to))
+            lines.append(_Line(text, linked, inside, i <= top_to, i, around))
         held, linked = [], 0
 
     i = 0
@@ -225,6 +237,7 @@ def lines_of(page: str) -> list[_Line]:
         if i <= skip_to:
             continue
         if kind == "text":
+            text = html.unescape(text)  # piece by piece, as a reference never reaches over markup
             held.append(text)
             if links:
                 linked += len(text)
@@ -245,6 +258,8 @@ def lines_of(page: str) -> list[_Line]:
                 links += i in ends
             elif name in BLOCKS:
                 flush()
+                if i in ends and name not in ("html", "body"):
+                    around = (i, ends[i], name, around)
                 if name == "h1":
                     top_to = max(top_to, ends.get(i, -1))
                 if name in CONTAINERS and i in ends and not inside:
@@ -255,6 +270,8 @@ def lines_of(page: str) -> list[_Line]:
             links = max(0, links - 1)
         elif name in BLOCKS:
             flush()
+            while around and around[1] <= i:
+                around = around[3]
             if until and until[-1][0] == i:
                 until.pop()
                 inside = 0
@@ -290,6 +307,22 @@ def surges(lengths: np.ndarray, window: int = WINDOW, threshold: int = THRESHOLD
     return spans
 
 
+def _enclosing(lines: list[_Line], long: list[int]) -> tuple[int, int] | None:
+    """Places of the innermost element that holds all these lines and is more than one line; None if that is the page."""
+    around, last = lines[long[0]].around, lines[long[-1]].at
+    for _ in range(_LEVELS):
+        if around is None or (around[1] >= last and around[2] not in _LEAVES):
+            break
+        around = around[3]
+    return around and (around[0], around[1]) if around and around[1] >= last and around[2] not in _LEAVES else None
+
+
+def _text_of(rows: list[int], lengths: np.ndarray, window: int) -> list[int]:
+    """Lines of an article's element: all but a run of at least ``window`` lines of links that stands before its text."""
+    spans = surges(lengths[rows], window, 1)
+    return rows[spans[0][0] :] if spans and spans[0][0] >= window else rows
+
+
 def content(lines: list[_Line], window: int = WINDOW, threshold: int = THRESHOLD) -> list[int]:
     """Indices of the lines that are the page's content, in order."""
     sizes, free = Counter(), Counter()
@@ -301,21 +334,24 @@ def content(lines: list[_Line], window: int = WINDOW, threshold: int = THRESHOLD
     whole = {c for c in sizes if c and sizes[c] and (free[c] > (1 - LINKED) * sizes[c] or not unlinked)}
     bounds = bool(whole) and 2 * sum(free[c] for c in whole) >= unlinked
     lengths = np.array([len(x.text) if x.top or x.linked < LINKED * len(x.text) else 0 for x in lines], np.int64)
+    places = [x.at for x in lines]
     out: set[int] = set()
     for inside, group in groupby(range(len(lines)), lambda i: bounds and lines[i].inside in whole):
         rows = list(group)
         if inside:
-            last, spans = 0, surges(lengths[rows], window, 1)
-            for a, b in [*spans, (len(rows), len(rows))]:
-                if a - last < window or not spans:  # fewer lines of links than a window are part of the text
-                    out.update(rows[last:a])
-                out.update(rows[a:b])
-                last = b
+            out.update(_text_of(rows, lengths, window))
             continue
         every, long = surges(lengths[rows], window, 1), set(surges(lengths[rows], window, threshold))
+        bound_to = -1
         for a, b in every:
             if (a, b) in long or (not long and not bounds) or any(lines[i].top for i in rows[a:b]):
                 out.update(rows[a:b])
+            if (a, b) in long and not bounds and rows[b - 1] > bound_to:  # what the text's own element holds besides
+                full = [i for i in rows[a:b] if lengths[i] >= threshold] or rows[a:b]
+                ends = _enclosing(lines, full)
+                if ends:
+                    first, bound_to = bisect_left(places, ends[0]), bisect_right(places, ends[1]) - 1
+                    out.update(_text_of(list(range(first, bound_to + 1)), lengths, window))
         if bounds:  # the text right before and after a container
             for edge in (rows if rows[0] else [], rows[::-1] if rows[-1] < len(lines) - 1 else []):
                 for i in edge:

@@ -204,27 +204,40 @@ def identify_sentence(sentence: str) -> list[str]:
 
 def _identify(sentence: str) -> list[str]:
     """Identifiers of a sentence, or of a part of one, without SPDX tags."""
-    s = re.sub(r"\s+", " ", normalise(sentence))
-    found: list[tuple[int, int, str]] = []
+    return list(_lookup(re.sub(r"\s+", " ", normalise(sentence))))
+
+
+@functools.lru_cache(maxsize=4096)
+def _lookup(s: str) -> tuple[str, ...]:
+    """Identifiers of a normalised sentence; those met last are remembered."""
+    found: list[tuple[int, str]] = []
+    covered = bytearray(len(s))  # characters of what has been found
     for ident, pattern in _known():
         for m in pattern.finditer(s):
-            if any(a < m.end() and m.start() < b for a, b, _ in found) or (ident == "licence-mention" and found):
+            a, b = m.span()
+            if covered.find(1, a, b) >= 0 or (ident == "licence-mention" and found):
                 continue
             version = next((g for g in m.groups() if g), "") if m.groups() else ""
             if version and "." not in version and "BSD" not in ident:
                 version += ".0"
-            found.append((m.start(), m.end(), ident.replace("{v}", version)))
-    return [i for _, _, i in sorted(found)]
+            found.append((a, ident.replace("{v}", version)))
+            covered[a:b] = b"\1" * (b - a)
+    return tuple(i for _, i in sorted(found))
 
 
 def match_rules(ids: list[str]) -> tuple[list[str], list[str]]:
     """(licences in order of first match, identifiers that no rule consumed)."""
     sequence, found = "".join(f" {i}" for i in ids) + " ", []
     for name, rule in _rules():
-        while m := rule.search(sequence):
+        parts, at, place = [], 0, 0
+        for m in rule.finditer(sequence):
+            place += sequence.count(" ", at, m.start())
             group = next((g for g in m.groups() if g), "") if m.groups() else ""
-            found.append((sequence.count(" ", 0, m.start()), name.replace("{1}", group)))
-            sequence = sequence[: m.start()] + " -" * m[0].count(" ") + sequence[m.end() :]
+            found.append((place, name.replace("{1}", group)))
+            n = m[0].count(" ")
+            parts += [sequence[at : m.start()], " -" * n]
+            at, place = m.end(), place + n
+        sequence = "".join(parts) + sequence[at:]
     order = list(dict.fromkeys(n for _, n in sorted(found)))
     return order, [i for i in sequence.split() if i != "-" and i not in SILENT]
 

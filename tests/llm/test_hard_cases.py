@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import time
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from ctxengine.llm import embed_dedup
+from ctxengine.llm import embed_dedup, html_text, license_scan
 
 
 def brute_vectors(rows, cosine=0.93):
@@ -39,3 +42,81 @@ def test_vectors_that_share_an_id(spark):
         in_trees = embed_dedup.near_vectors(spark.createDataFrame(some, schema), leaf=64).collect()
         links = sum(n * k for (_, n, _), k in want.items())
         assert 0.99 * links <= sum(g["n_links"] for g in in_trees) <= links
+
+
+# --- HTML ---------------------------------------------------------------------------------------
+
+P = "A running paragraph that is long enough to be the article of its page, by far, and some more words."
+LINKS = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(3))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<nav>m</nav><div class=content><h2>Small</h2><ul>{LINKS}</ul><p>{P}</p><ul>{LINKS}</ul><p>Tiny end.</p></div><div>x</div>", "Small|L|P|L|Tiny end."),
+        (f"<article><p>{P}</p><ul>{LINKS}</ul><p>End</p></article>", "P|L|End"),
+        (f"<article><p>{P}</p><ul>{LINKS}</ul></article>", "P|L"),
+        (f"<article><ul>{LINKS}</ul><p>{P}</p></article>", "P"),  # a menu above the text
+        (f"<article><p>{P}</p><section class=social><p>{P}</p></section><p class=related>{P}</p><div class=comments><p>{P}</p></div><div class=share><ul>{LINKS}</ul></div></article>", "P|P|P"),
+        (f"<article><p>{P}</p><div class=ad>Buy it, {P}</div><div class='cookie-notice'>{P}</div></article>", "P"),
+        ("<article><p>&<b>lt;</b> &lt;b&gt; &amp;lt; &am<i>p;</i></p></article>", "&lt; <b> &lt; &amp;"),
+        (f"<div id=wrap><ul>{LINKS}{LINKS}</ul><div class=body><h3>Head</h3><ul>{LINKS}</ul><p>{P}</p><p>Short</p></div><div><ul>{LINKS}</ul></div></div>", "Head|L|P|Short"),
+        (f"<table><tr><td><ul>{LINKS}</ul></td><td><h1>Top</h1>{P}<ul>{LINKS}</ul>End</td></tr></table>", "Top|P|L|End"),
+    ],
+)
+def test_html_loses_no_text_of_the_article(page, want):
+    """want: lines parted by bars; P is the paragraph and L the three links."""
+    lines = [line for w in want.split("|") for line in ({"P": [P], "L": [f"Link {i}" for i in range(3)]}.get(w) or [w])]
+    assert html_text.main_text(page).split("\n") == lines
+
+
+# --- licences -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("unit", ["gpl 2 ", "license mit ", "see mit license or gpl version 3 ", "SPDX-License-Identifier: MIT ", "permission is hereby granted ", "gpl-2.0\n\n"])
+def test_licence_scan_takes_linear_time(unit):
+    began = time.perf_counter()
+    license_scan.scan_text(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - began < 20
+
+
+def slow_match_rules(ids):
+    """Rules one match after the other, each time from the start."""
+    sequence, found = "".join(f" {i}" for i in ids) + " ", []
+    for name, p in license_scan.RULES:
+        while m := re.search(f"(?:{p})(?= )", sequence):
+            group = next((g for g in m.groups() if g), "") if m.groups() else ""
+            found.append((sequence.count(" ", 0, m.start()), name.replace("{1}", group)))
+            sequence = sequence[: m.start()] + " -" * m[0].count(" ") + sequence[m.end() :]
+    return list(dict.fromkeys(n for _, n in sorted(found))), [i for i in sequence.split() if i != "-" and i not in license_scan.SILENT]
+
+
+def test_rules_in_one_pass_equal_rules_one_match_at_a_time():
+    r = np.random.default_rng(4)
+    known = sorted({i for i, _ in license_scan.SENTENCES if "{" not in i}) + ["ref:MIT", "ref:GPL-2.0", "ref:Apache-2.0", "spdx:MIT", "ref:GPL", "or-later"]
+    for _ in range(3000):
+        ids = [known[k] for k in r.integers(0, len(known), r.integers(0, 12))]
+        assert license_scan.match_rules(ids) == slow_match_rules(ids)
+
+
+def slow_identify(sentence):
+    """Each hit against all earlier ones."""
+    s = re.sub(r"\s+", " ", license_scan.normalise(sentence))
+    found = []
+    for ident, pattern in license_scan.patterns():
+        for m in re.finditer(pattern, s):
+            if any(a < m.end() and m.start() < b for a, b, _ in found) or (ident == "licence-mention" and found):
+                continue
+            version = next((g for g in m.groups() if g), "") if m.groups() else ""
+            if version and "." not in version and "BSD" not in ident:
+                version += ".0"
+            found.append((m.start(), m.end(), ident.replace("{v}", version)))
+    return [i for _, _, i in sorted(found)]
+
+
+def test_covered_characters_equal_comparing_all_hits():
+    r = np.random.default_rng(5)
+    words = "licensed under the mit license gpl version 2 or later apache 2.0 bsd 3 clause permission is hereby granted free of charge to any person copyright as is without warranty of any kind gnu general public mozilla cc by sa 4.0 redistributions".split()
+    for _ in range(400):
+        sentence = " ".join(words[k] for k in r.integers(0, len(words), r.integers(1, 40)))
+        assert license_scan._identify(sentence) == slow_identify(sentence)

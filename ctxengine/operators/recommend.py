@@ -24,6 +24,8 @@ SOURCES = ["markdownLink", "headingMatch", "coChange", "directoryProximity"]
 LINK_SCORE, HEADING_SCORE, DIRECTORY_SCORE = 0.8, 0.6, 0.5
 #: Rows of two paths or a path and a word that are broadcast at most.
 BROADCAST_ROWS = 300_000
+#: Base files of a word that are kept together, the first by path.
+FIRST = 8
 PROBES = ["", ".md", ".markdown", ".mdx"]
 
 
@@ -96,27 +98,49 @@ def by_name(base: DataFrame, files: DataFrame, pairs: DataFrame | None = None) -
     Any word that isn't general is enough by itself. Matches by general words alone depend only on
     how often a base file has each of them and on which of them a file has, so the set that a file has is one more
     word of it, and a base file has each set (of 8) in which it has two words or one twice.
-    A file that n base files link needs the n + 2 first base files of a word at most: it is joined with these
-    ranks, so the rows are bounded by words and links, whatever the pairs.
+    Of each word the FIRST first base files are kept as an array, out of which a file takes the first that neither is nor links it:
+    a row for each word of a file. Only a file that more than FIRST - 2 base files link may need more than these; its words are
+    joined by rank with as many base files of a word as link it, and two more.
     """
     pairs = _kept(link_pairs(base, files) if pairs is None else pairs, "pairs")
     words = lambda text: F.concat(tokens(stem(F.col("path"))), heading_tokens(F.coalesce(text, F.lit(""))))
     general = F.array(*map(F.lit, GENERAL_WORDS))
     sets = [[g for i, g in enumerate(GENERAL_WORDS) if n >> i & 1] for n in range(1 << len(GENERAL_WORDS))]
     name = lambda s: F.concat(F.lit("{"), F.array_join(s, ","), F.lit("}"))
-    strong = F.array_distinct(F.array_except("w", general))
-    linked = _small(pairs.groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("links")))
-    most = (linked.agg(F.max("links")).first()[0] or 0) + 2
+    strong = F.array_except("w", general)
+    # base files by numbers in the order of their paths, so that the smallest path is the smallest number
+    numbers = base.select("project_id", F.col("path").alias("src")).distinct().repartitionByRange("project_id", "src").sortWithinPartitions("project_id", "src")
+    numbers = _small(_kept(numbers.withColumn("no", F.monotonically_increasing_id()), "numbers"))
     src = base.select("project_id", F.col("path").alias("src"), words(F.col("text")).alias("w"))
     enough = [F.when(F.size(F.filter("w", _in(s))) >= 2, name(F.array(*map(F.lit, s)))) for s in sets if s]
     of_src = F.concat(strong, F.filter(F.array(*enough), lambda x: x.isNotNull()))
-    first = _small(_kept(smallest(src.select("project_id", F.explode(of_src).alias("word"), "src"), ["project_id", "word"], "src", most), "words"))
-    dst = files.where(F.col("path").rlike(MARKDOWN)).select("project_id", "path", words(F.col("text")).alias("w"))
+    src_words = _kept(src.select("project_id", "src", F.explode(of_src).alias("word")).join(numbers, ["project_id", "src"]).select("project_id", "word", "no"), "base-words")
+    arrays = smallest(src_words, ["project_id", "word"], "no", FIRST).groupBy("project_id", "word").agg(F.sort_array(F.collect_list("no")).alias("nos"))
+    arrays = _small(_kept(arrays, "words"))
+
+    linking = _kept(pairs.join(numbers, ["project_id", "src"]).select("project_id", "path", "no"), "linking")
+    linkers = smallest(linking, ["project_id", "path"], "no", FIRST - 1).groupBy("project_id", "path").agg(F.collect_list("no").alias("linkers"))
+    linkers = _small(_kept(linkers, "linkers"))
     of_dst = F.array_append(strong, name(F.filter(general, lambda g: F.array_contains("w", g))))
-    asked = dst.select("project_id", "path", F.explode(of_dst).alias("word")).join(linked, ["project_id", "path"], "left")
-    asked = asked.select("project_id", "path", "word", F.explode(F.sequence(F.lit(1), (F.coalesce("links", F.lit(0)) + 2).cast("int"))).alias("rank"))
-    found = asked.join(first, ["project_id", "word", "rank"]).where("src <> path").join(_small(pairs), ["project_id", "path", "src"], "left_anti")
-    return _best(found, "headingMatch", HEADING_SCORE, "Filename or heading match from ")
+    dst = files.where(F.col("path").rlike(MARKDOWN)).join(linkers, ["project_id", "path"], "left").join(numbers.withColumnRenamed("src", "path").withColumnRenamed("no", "own"), ["project_id", "path"], "left").withColumn("own", F.coalesce("own", F.lit(-1)))
+    asked_of = lambda rows, *more: rows.select("project_id", "path", "own", *more, words(F.col("text")).alias("w")).select("project_id", "path", "own", *more, F.explode(of_dst).alias("word"))
+    asked = asked_of(dst.where("linkers is null or size(linkers) <= " + str(FIRST - 2)), "linkers")
+    first = F.when(F.get("nos", F.lit(0)) != F.col("own"), F.get("nos", F.lit(0))).otherwise(F.get("nos", F.lit(1)))
+    unlinked = F.get(F.filter("nos", lambda x: (x != F.col("own")) & ~F.array_contains("linkers", x)), F.lit(0))
+    picked = F.when(F.col("linkers").isNull(), first).otherwise(unlinked)
+    found = asked.join(arrays, ["project_id", "word"]).select("project_id", "path", picked.alias("no")).where("no is not null")
+
+    heavy = linkers.where(F.size("linkers") > FIRST - 2).select("project_id", "path")
+    counts = _small(_kept(linking.join(heavy, ["project_id", "path"], "left_semi").groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("links")), "links"))
+    most = counts.agg(F.max("links")).first()[0]
+    if most:
+        ranks = F.explode(F.sequence(F.lit(1), (F.col("links") + 2).cast("int")))
+        many = asked_of(dst.join(counts, ["project_id", "path"]), "links").select("project_id", "path", "own", "word", ranks.alias("rank"))
+        ranked = smallest(src_words.join(many.select("project_id", "word").distinct(), ["project_id", "word"], "left_semi"), ["project_id", "word"], "no", most + 2)
+        more = many.join(ranked, ["project_id", "word", "rank"]).where("no <> own").join(_small(linking), ["project_id", "path", "no"], "left_anti")
+        found = found.unionByName(more.select("project_id", "path", "no"))
+    least = found.groupBy("project_id", "path").agg(F.min("no").alias("no")).join(numbers, ["project_id", "no"])
+    return least.select("project_id", "path", F.lit("headingMatch").alias("source"), F.lit(HEADING_SCORE).alias("score"), F.concat(F.lit("Filename or heading match from "), "src").alias("detail"))
 
 
 def markdown(base: DataFrame, files: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ quota. The cheapest flow says how many words of each pattern are taken; then doc
 selected in seeded order until that many words are reached.
 
 Scale
-    A source that is in no overlapping pattern is a network of one arc, whose flow is a formula:
-    these stay in Spark, however many there are. Only overlapping patterns and their sources go
-    to the driver, a row each, and are solved by blocking flows, one layer of cost after the other.
+    Up to NETWORK patterns and sources, which are counted first, go to the driver, a row each, and are
+    solved by blocking flows, one layer of cost after the other. Where there are more, a source that is in no
+    overlapping pattern is left out: it is a network of one arc, whose flow is a formula that stays in Spark.
+    More overlapping patterns than that are an error.
     A pattern of n documents is dealt by hash over about sqrt(n) parts: parts before the one in which
     the quota ends are taken whole, parts after it not, and only that one is looked at document by
     document (items). So what is decided is a row for each pattern and a few items, which are
@@ -42,6 +43,8 @@ SHARE = Fraction(3, 2)
 MOST = 2
 #: Sources that are ordered in one task.
 RANGE = 1_000_000
+#: Patterns, and sources, that the driver solves as one network at most: a row of a name and a number each.
+NETWORK = 100_000
 #: Copies of a row that are made in one step.
 STEP = 1000
 ITEM = ["pattern", "id", "size", "h"]
@@ -161,24 +164,29 @@ def min_cost_flow(supply: dict, quota: dict, most: int = MOST) -> dict:
     return {k: room[x + 1] for k, x in carried.items() if room[x + 1]}
 
 
-def _wanted(totals: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+def _wanted(totals: DataFrame, sources: DataFrame, most: int, network: int = NETWORK) -> DataFrame:
     """(pattern, n, parts, base, rest), as a kept table: all rows are taken base times, and ``rest`` words once more."""
     spark = totals.sparkSession
-    single = totals.where(F.size("pattern") == 1).withColumn("s", F.get("pattern", F.lit(0)))
-    overlapping = totals.where(F.size("pattern") > 1).select("pattern", "words").collect()
-    quota = small_or(sources).select("source", "quota")
-    taken = single.join(quota, F.col("s").eqNullSafe(F.col("source"))).select("pattern", "words", "n", F.least("quota", most * F.col("words")).alias("taken"))
-    if overlapping:
-        touched = spark.createDataFrame([(s,) for s in {s for r in overlapping for s in r["pattern"]}], "t string")
-        mine = lambda df, c: df.join(F.broadcast(touched), F.col(c).eqNullSafe(F.col("t")), "left_semi")
-        supply = {tuple(r["pattern"]): int(r["words"]) for r in [*overlapping, *mine(single, "s").select("pattern", "words").collect()]}
-        flow = min_cost_flow(supply, {r["source"]: int(r["quota"]) for r in mine(sources, "source").collect()}, most)
-        solved: dict = dict.fromkeys(supply, 0)
-        for (p, _), n in flow.items():
-            solved[p] += n
-        rows = spark.createDataFrame([(list(p), n) for p, n in solved.items()], "pattern array<string>, taken long")
-        solved_rows = totals.join(F.broadcast(rows), "pattern").select("pattern", "words", "n", "taken")
-        taken = taken.join(F.broadcast(rows.select("pattern")), "pattern", "left_anti").unionByName(solved_rows)
+    patterns = totals.where(F.size("pattern") > 0)
+    if patterns.count() <= network and sources.count() <= network:
+        mine, quotas, formula = patterns, sources, None
+    else:  # a source that is in no overlapping pattern is a network of one arc
+        overlapping = patterns.where(F.size("pattern") > 1)
+        touched = keep(overlapping.select(F.explode("pattern").alias("t")).distinct(), "mix-touched")
+        if overlapping.count() > network or touched.count() > network:
+            raise ValueError(f"more than {network} overlapping patterns or sources are one network: merge rare patterns before mixing")
+        of = lambda df, c, how: df.join(F.broadcast(touched), F.col(c).eqNullSafe(F.col("t")), how)
+        single = patterns.where(F.size("pattern") == 1).withColumn("s", F.get("pattern", F.lit(0)))
+        mine, quotas = overlapping.unionByName(of(single, "s", "left_semi").drop("s")), of(sources, "source", "left_semi")
+        formula = of(single, "s", "left_anti").join(small_or(sources).select("source", "quota"), F.col("s").eqNullSafe(F.col("source")))
+        formula = formula.select("pattern", "words", "n", F.least("quota", most * F.col("words")).alias("taken"))
+    supply = {tuple(r["pattern"]): int(r["words"]) for r in mine.select("pattern", "words").collect()}
+    solved: dict = dict.fromkeys(supply, 0)
+    for (p, _), n in min_cost_flow(supply, {r["source"]: int(r["quota"]) for r in quotas.select("source", "quota").collect()}, most).items():
+        solved[p] += n
+    rows = spark.createDataFrame([(list(p), n) for p, n in solved.items()], "pattern array<string>, taken long")
+    taken = totals.join(F.broadcast(rows), "pattern").select("pattern", "words", "n", "taken")
+    taken = taken if formula is None else taken.unionByName(formula)
     base = F.when(F.col("words") > 0, F.least(F.floor(F.col("taken") / F.col("words")), F.lit(most))).otherwise(0).cast("long")
     parts = F.ceil(F.sqrt("n")).cast("long")
     return keep(taken.withColumn("base", base).select("pattern", "n", parts.alias("parts"), "base", (F.col("taken") - F.col("base") * F.col("words")).cast("long").alias("rest")), "mix-wanted")
@@ -208,7 +216,7 @@ def _place(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return join_skewed(rows, wanted, ["pattern"], "n", F.col("h")).withColumn("part", F.pmod(F.shiftright("h", 20), F.col("parts")))
 
 
-def decide(sized: DataFrame, weights: tuple | dict, share: Fraction = SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
+def decide(sized: DataFrame, weights: tuple | dict, share: Fraction = SHARE, most: int = MOST, network: int = NETWORK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sources, wanted, special), kept tables that say what is taken.
 
     wanted (pattern, n, parts, base, rest, edge, done): of a pattern, parts before edge are taken once more
@@ -217,7 +225,7 @@ def decide(sized: DataFrame, weights: tuple | dict, share: Fraction = SHARE, mos
     """
     totals = keep(sized.groupBy("pattern").agg(F.sum("size").cast("long").alias("words"), F.count(F.lit(1)).alias("n")), "mix-totals")
     sources = keep(source_rows(totals, weights, share, most), "mix-targets")
-    wanted = _wanted(totals, sources, most)
+    wanted = _wanted(totals, sources, most, network)
     asked = (F.col("rest") > 0) & (F.col("size") > 0)
     sums = _place(sized, wanted).where(asked).groupBy("pattern", "part", "rest").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # sqrt(n) rows of a pattern

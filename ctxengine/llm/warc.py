@@ -130,12 +130,39 @@ def export_warc(spark: SparkSession, archive: Archive, path: str, compression: s
     read_records(spark, archive).select(text.alias("value")).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)
 
 
+def parse_records(records: DataFrame) -> DataFrame:
+    """Fields of whole records (page_id, record), read from their bytes alone: (page_id, record_type, refers_to, payload_digest, payload).
+
+    The lengths that a record tells must be those that it has, and a response's digest must be its payload's; a revisit has no payload.
+    """
+    text = F.col("record").cast("string")
+    header = F.substring_index(text, CRLF * 2, 1)
+    http = F.substring_index(F.substring_index(text, CRLF * 2, 2), CRLF * 2, -1)
+    field = lambda of, name: F.regexp_extract(of, f"(?m)^{name}: ([^\\r\\n]*)$", 1)
+    number = lambda c: F.when(c != "", c).cast("long")
+    urn = lambda name: number(F.regexp_extract(header, f"(?m)^{name}: <urn:page:([^>\\r\\n]*)>$", 1))
+    read = records.select(
+        urn("WARC-Record-ID").alias("page_id"), field(header, "WARC-Type").alias("record_type"), urn("WARC-Refers-To").alias("refers_to"),
+        F.regexp_replace(field(header, "WARC-Payload-Digest"), "^sha1:", "").alias("told"), number(field(header, "Content-Length")).alias("length"),
+        F.octet_length(header).alias("head"), F.when(field(header, "WARC-Type") == "response", number(field(http, "Content-Length"))).alias("size"), F.octet_length(http).alias("http"), "record",
+    )
+    response = F.col("record_type") == "response"
+    fits = F.octet_length("record") == F.col("head") + 8 + F.col("length")
+    whole = F.when(response, fits & (F.col("length") == F.col("http") + 4 + F.col("size"))).otherwise(fits & (F.col("length") == 0))
+    payload = F.when(response, F.substring("record", F.col("head") + F.col("http") + 9, F.col("size").cast("int")))
+    read = read.withColumn("payload", F.when(whole, payload).otherwise(F.raise_error(F.lit("a record does not have the length that it tells")).cast("binary")))
+    same = F.when(~response | (base32_sha1(F.col("payload")) == F.col("told")), F.col("told")).otherwise(F.raise_error(F.lit("a record's digest does not match its payload")))
+    return read.select("page_id", "record_type", "refers_to", same.alias("payload_digest"), "payload")
+
+
 def summary(spark: SparkSession, archive: Archive) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) as read back from the archive."""
-    stored = read_payloads(spark, archive).select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("stored_digest"))
-    headers = keep(read_headers(spark, archive).drop("header", "url"), "warc-read")
-    counts = headers.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"))
-    sizes = keep(stored.join(counts, "sha256"), "warc-sizes")
-    joined = join_skewed(headers, sizes, ["sha256"], "n", F.col("page_id"))
-    same = F.when(F.col("payload_digest") == F.col("stored_digest"), F.col("stored_digest")).otherwise(F.raise_error(F.lit("a header's digest does not match its payload")))
-    return joined.select("page_id", "payload_bytes", same.alias("payload_digest"), "record_type", "refers_to")
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to), worked out from the rebuilt records; a revisit's length is that of the response it names."""
+    read = parse_records(read_records(spark, archive)).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    read = keep(read, "warc-read")
+    revisits = read.where("record_type <> 'response'").drop("payload_bytes")
+    counts = revisits.groupBy("refers_to", "payload_digest").agg(F.count(F.lit(1)).alias("n"))
+    responses = read.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.first("payload_bytes").alias("payload_bytes"))
+    named = keep(responses.join(counts, ["refers_to", "payload_digest"]), "warc-named")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    found = join_skewed(revisits, named, ["refers_to", "payload_digest"], "n", F.col("page_id"))
+    return read.where("record_type = 'response'").select(*columns).unionByName(found.select(*columns))

@@ -9,7 +9,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ctxengine.llm import embed_dedup, html_text, license_scan
+from pyspark.sql import functions as F
+
+from ctxengine.llm import embed_dedup, html_text, license_scan, mixing, warc
 
 
 def brute_vectors(rows, cosine=0.93):
@@ -120,3 +122,41 @@ def test_covered_characters_equal_comparing_all_hits():
     for _ in range(400):
         sentence = " ".join(words[k] for k in r.integers(0, len(words), r.integers(1, 40)))
         assert license_scan._identify(sentence) == slow_identify(sentence)
+
+
+# --- mixing ---------------------------------------------------------------------------------------
+
+
+def test_single_sources_by_flow_equal_the_formula(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, " ".join(["w"] * int(r.integers(0, 30))), None if i % 7 == 0 else f"s{int(r.integers(0, 9)) ** 2}") for i in range(400)]
+    sized = mixing.sizes_of(spark.createDataFrame(rows, "doc_id long, text string, s string"), F.array("s"))
+    taken = lambda network: {(tuple(x["pattern"]), x["base"], x["rest"]) for x in mixing.decide(sized, mixing.WEIGHTS, network=network)[1].collect()}
+    assert taken(100_000) == taken(0) and len(taken(0)) > 5
+
+
+def test_overlapping_sources_beside_single_ones_solve_alike(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, " ".join(["w"] * int(r.integers(1, 30))), [["a"], ["b"], ["a", "b"], ["b", "c"], ["d"], ["e"], ["f"]][int(r.integers(0, 7))]) for i in range(300)]
+    sized = mixing.sizes_of(spark.createDataFrame(rows, "doc_id long, text string, s array<string>"), F.col("s"))
+    weights = {x: i + 1 for i, x in enumerate("abcdef")}
+    taken = lambda network: sum(x["base"] * 1_000_000 + x["rest"] for x in mixing.decide(sized, weights, network=network)[1].collect())
+    assert taken(100_000) == taken(4)
+    with pytest.raises(ValueError, match="one network"):
+        taken(1)
+
+
+# --- archive --------------------------------------------------------------------------------------
+
+
+def test_a_summary_is_read_from_the_records(spark):
+    pages = [(1, "u", "a\r\n\r\nContent-Length: 7\r\n\r\nb é"), (2, "ü\r\nx", "a\r\n\r\nContent-Length: 7\r\n\r\nb é"), (3, None, None), (4, "u", ""), (5, "u", "\r\n\r\n"), (6, "u", "WARC-Type: revisit\r\n\r\n")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    archive = warc.write_archive(df)
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.summary(spark, archive).collect()}
+    size = len(pages[0][2].encode())
+    assert got == {1: (size, "revisit", 2), 2: (size, "response", None), 3: (0, "revisit", 4), 4: (0, "response", None), 5: (4, "response", None), 6: (len(pages[5][2]), "response", None)}
+    records = warc.read_records(spark, archive)
+    for damage in (F.concat("record", F.lit("x").cast("binary")), F.regexp_replace(F.col("record").cast("string"), "sha1:.", "sha1:1").cast("binary")):
+        with pytest.raises(Exception, match="does not"):
+            warc.parse_records(records.where("page_id = 2").withColumn("record", damage)).collect()

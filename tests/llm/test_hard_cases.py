@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import time
 from collections import Counter
@@ -11,7 +12,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from ctxengine.llm import embed_dedup, html_text, license_scan, mixing, warc
+from ctxengine.llm import embed_dedup, html_text, langid, license_scan, mixing, warc
 
 
 def brute_vectors(rows, cosine=0.93):
@@ -160,3 +161,62 @@ def test_a_summary_is_read_from_the_records(spark):
     for damage in (F.concat("record", F.lit("x").cast("binary")), F.regexp_replace(F.col("record").cast("string"), "sha1:.", "sha1:1").cast("binary")):
         with pytest.raises(Exception, match="does not"):
             warc.parse_records(records.where("page_id = 2").withColumn("record", damage)).collect()
+
+
+# --- language -------------------------------------------------------------------------------------
+
+
+def brute_vector(text):
+    """The sum over all three-letter windows of the product of their letters' vectors, each rotated by its distance from the end."""
+    letters = [c if c.isalpha() else " " for c in text.lower()]
+    runs = [" ", *(c for i, c in enumerate(letters) if c != " " or (i and letters[i - 1] != " ")), " "]
+    runs = [c for i, c in enumerate(runs) if c != " " or not i or runs[i - 1] != " "]
+    of = lambda c: langid._letter_vector(0 if c == " " else ord(c), langid.DIMENSIONS).astype(np.int64)
+    out = np.zeros(langid.DIMENSIONS, np.int64)
+    for i in range(len(runs) - 2):
+        out += np.roll(of(runs[i]), 2) * np.roll(of(runs[i + 1]), 1) * of(runs[i + 2])
+    return out
+
+
+def brute_languages(rows):
+    sums = {}
+    for _, text, lang in rows:
+        if lang is not None and any(c.isalpha() for c in text or ""):
+            sums[lang] = sums.get(lang, 0) + brute_vector(text)
+    out = {}
+    for i, text, _ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            out[i] = ("und", 0.0)
+            continue
+        v = brute_vector(text)
+        cosines = {k: round(float(v @ s / np.linalg.norm(v) / np.linalg.norm(s)), 9) for k, s in sums.items()}
+        best = max(sorted(cosines), key=lambda k: cosines[k])
+        out[i] = (best, max(0.0, cosines[best]))
+    return out
+
+
+def test_languages_by_explicit_letter_vectors(spark):
+    r = random.Random(11)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(1, 6)))
+    rows = [(i, " ".join(word(a) + r.choice(["", ",", " 12 ", "\n"]) for _ in range(r.randint(1, 40))), la) for i, (la, a) in enumerate([("x", "abcdeÄ"), ("y", "defghß"), ("z", "ijklmЖ")] * 30)]
+    rows += [(100, None, "x"), (101, "12 !", "y"), (102, "abc", None), (103, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.prototypes(df)
+    want = brute_languages(rows)
+    for x in langid.identify(df, learned).collect():
+        assert x["lang_pred"] == want[x["doc_id"]][0] and abs(x["score"] - want[x["doc_id"]][1]) < 1e-6
+
+
+def test_the_pipeline_rejects_long_texts_of_no_known_language(spark):
+    from conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(3)
+    noise = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(300))
+    odd = spark.createDataFrame([(-1, noise, None), (-2, noise[:200], None), (-3, "12 34 " * 100, None), (-4, "qzxj " * 200, None)], docs.schema)
+    learned = langid.prototypes(docs)
+    kept = {x["doc_id"] for x in langid.known_language(docs.unionByName(odd), learned).select("doc_id").collect()}
+    lost = {x["doc_id"] for x in docs.select("doc_id").collect()} - kept
+    scored = {x["doc_id"]: x for x in langid.identify(docs, learned).join(docs, "doc_id").collect()}
+    assert kept & {-1, -2, -3, -4} == {-2}  # too short to be told
+    assert all(scored[i]["lang_pred"] == "und" or (scored[i]["score"] < langid.LEAST and len(scored[i]["text"]) >= langid.SURE_FROM) for i in lost) and len(lost) < 0.01 * len(scored)

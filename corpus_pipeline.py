@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of documents.
+
+Defined results: a null, empty or letterless text goes in the first stage; of equal or nearly equal texts the document that the
+operator's docstring names stays; a null source is a source of its own; rows that repeat are copies of each other; further
+columns are carried as far as the mix; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from ctxengine.llm.queries import tokenizer_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which no learned language is recognised: those without a letter."""
+    """Drops the documents without a letter, and those of langid.SURE_FROM characters or more that are not like any learned language (score below langid.LEAST)."""
     return langid.known_language(docs, langid.prototypes(docs))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.paths import base_name
 from ..functions.text import OMISSION_MARK, all_groups, confidence_level, fences, js_trim, language_of, path_hint, path_in_context, positional_diff
+from .search import ends
 
 RESTORED = T.StructType([T.StructField("code", T.StringType()), T.StructField("diff_ratio", T.DoubleType()), T.StructField("error", T.StringType())])
 FUZZY = 0.8
@@ -55,9 +56,7 @@ def resolve_targets(hints: DataFrame, files: DataFrame, recent: DataFrame) -> Da
     h = hints.where("path_hint is not null and path_hint <> ''").select("hint_id", "path_hint", base_name(F.col("path_hint")).alias("last"), F.contains("path_hint", F.lit("/")).alias("deep"))
     f = files.select("path", "ord", base_name(F.col("path")).alias("name"))
     whole = h.join(f, F.col("last") == F.col("name"))
-    # ends of names of the lengths that hints without a slash have; a name's length is bounded by its file system
-    asked = [r[0] for r in h.where("not deep").select(F.length("last")).distinct().collect()]
-    tails = f.withColumn("tail", F.explode(F.filter(F.array(*(F.when(F.length("name") > n, F.right("name", F.lit(n))) for n in asked)), lambda x: x.isNotNull()))) if asked else f.withColumn("tail", F.lit(None).cast("string"))
+    tails = ends(f, "name", h.where("not deep"), "last")
     part = h.where("not deep").join(tails, F.col("last") == F.col("tail")).drop("tail")
     hits = whole.unionByName(part).where(F.endswith("path", "path_hint")).withColumn("base", F.when(F.col("path") == F.col("path_hint"), 80).otherwise(60))
     best = hits.groupBy("hint_id").agg(F.min(F.struct((-F.col("base")).alias("neg"), "ord", "path")).alias("b")).select("hint_id", F.col("b.path").alias("path"), (-F.col("b.neg")).alias("base"))

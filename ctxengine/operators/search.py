@@ -63,13 +63,12 @@ def by_recipe(files: DataFrame, kind: str, value: str) -> DataFrame:
     return files.where(test).select("project_id", "path", "size", F.lit(reason).alias("reason"))
 
 
-def _ends(df: DataFrame, name: str, other: DataFrame, other_name: str) -> DataFrame:
-    """df with ``tail``: the proper ends of its name that are as long as some name of other."""
-    asked = [r[0] for r in other.select(F.length(other_name)).distinct().collect()]
-    if not asked:
-        return df.where("false").withColumn("tail", F.lit(""))
-    tails = F.filter(F.array(*(F.when(F.length(name) > n, F.right(name, F.lit(n))) for n in asked)), lambda x: x.isNotNull())
-    return df.withColumn("tail", F.explode(tails))
+def ends(df: DataFrame, name: str, other: DataFrame, other_name: str) -> DataFrame:
+    """df with ``tail``: the proper ends of its name that are as long as some name of other. The lengths come as one row that is joined, an array of
+    distinct numbers, so nothing passes through the driver and the plan does not grow with them."""
+    lengths = other.where(F.col(other_name) != "").agg(F.collect_set(F.length(other_name)).alias("_lengths"))
+    longer = df.crossJoin(F.broadcast(lengths)).withColumn("_n", F.explode(F.filter("_lengths", lambda n: n < F.length(name))))
+    return longer.withColumn("tail", F.right(F.col(name), F.col("_n"))).drop("_lengths", "_n")
 
 
 def resolve_paths(clips: DataFrame, files: DataFrame) -> DataFrame:
@@ -87,7 +86,7 @@ def resolve_paths(clips: DataFrame, files: DataFrame) -> DataFrame:
     # a clip without a slash may be the end of a longer file name, and a file name the end of a clip's last segment
     # (only ends of lengths that occur on the other side; a name's length is bounded by its file system)
     single, flat = c.where("n_segments = 1 and length(last) > 0"), f.where(~F.contains("low", F.lit("/")))
-    part = _ends(f, "f_last", single, "last").join(single, F.col("last") == F.col("tail")).drop("tail").unionByName(_ends(c, "last", flat, "f_last").join(flat, F.col("tail") == F.col("f_last")).drop("tail"))
+    part = ends(f, "f_last", single, "last").join(single, F.col("last") == F.col("tail")).drop("tail").unionByName(ends(c, "last", flat, "f_last").join(flat, F.col("tail") == F.col("f_last")).drop("tail"))
     equal = F.zip_with(F.reverse(F.split("n", "/")), F.reverse(F.split("low", "/")), lambda x, y: F.coalesce(x == y, F.lit(False)))
     trailing = F.when(F.array_position(equal, False) > 0, F.array_position(equal, False) - 1).otherwise(F.size(equal))
     scored = same.unionByName(part).select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -77,6 +78,14 @@ class _Lines:
         for k, form in enumerate(self.forms):
             self.places.setdefault(form, []).append(k)
         self.marks = [_MARK.search(x.strip().lower()) is not None for x in self.lines]
+        self._exact: list[tuple[str, int]] | None = None
+
+    @property
+    def exact(self) -> list[tuple[str, int]]:
+        """The lines without white space, with the letters that each has."""
+        if self._exact is None:
+            self._exact = [(x, _letters(x)) for x in ("".join(line.split()) for line in self.lines)]
+        return self._exact
 
     def first(self, form: str, low: int, past: int | None = None) -> int | None:
         """The first place of a form from low on, before past."""
@@ -85,11 +94,26 @@ class _Lines:
         return found[i] if i < len(found) and (past is None or found[i] < past) else None
 
     def nearest(self, line: str, low: int) -> int | None:
-        """The place from low on whose line is most like a line, the first of equals, if it is like enough."""
+        """The place from low on whose line is most like a line, the first of equals, if it is like enough.
+
+        A line whose length, or whose kinds of letters, differ by more than the edits allowed is no candidate; nor is one that could only equal the best so far.
+        """
         want = "".join(line.split())
-        scored = ((_alike(want, "".join(x.split())), -k) for k, x in enumerate(self.lines[low:], low))
-        score, k = max(scored, default=(0.0, 0))
-        return -k if score >= FUZZY else None
+        letters, masks, best, place = _letters(want), _masks(want), 0.0, None
+        for k in range(low, len(self.lines)):
+            text, mine = self.exact[k]
+            n = max(len(want), len(text))
+            most = n - math.ceil(FUZZY * n - 1e-9)
+            if abs(len(want) - len(text)) > most or (letters & ~mine).bit_count() > most or (mine & ~letters).bit_count() > most:
+                continue
+            if best and (n - abs(len(want) - len(text))) / n <= best:
+                continue
+            score = (n - _edits(masks, len(want), text)) / n if n else 1.0
+            if score >= FUZZY and score > best:
+                best, place = score, k
+                if score == 1:
+                    break
+        return place
 
 
 # A comment that says that something was left out, or three dots alone.
@@ -100,22 +124,40 @@ REACH = 5
 LEAST = 4
 
 
-def _alike(a: str, b: str) -> float:
-    """1 less the edit distance over the longer length; 0 where it is below FUZZY by the lengths or on the way."""
-    n = max(len(a), len(b))
-    if not n:
-        return 1.0
-    most = int((1 - FUZZY) * n)
-    if abs(len(a) - len(b)) > most:
-        return 0.0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        above, row = row, [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
-        if min(row) > most:
-            return 0.0
-    return (n - row[-1]) / n
+def _letters(text: str) -> int:
+    """The kinds of letters of a text, in 64 classes, as bits: a class that only one of two texts has takes an edit."""
+    out = 0
+    for c in set(text):
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+def _masks(text: str) -> dict[str, int]:
+    """Where each letter of a text stands, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _edits(masks: dict[str, int], length: int, other: str) -> int:
+    """The edit distance of a text, given by its masks, to another: a column of the table of distances is two numbers, whose bits say
+    where it rises and falls, so a letter of the other text takes a few operations on whole columns."""
+    if not length:
+        return len(other)
+    every, last = (1 << length) - 1, 1 << (length - 1)
+    up, down, distance = every, 0, length
+    for c in other:
+        here = masks.get(c, 0)
+        turn = (((here & up) + up) ^ up) | here | down
+        right, left = down | ~(turn | up) & every, up & turn
+        if right & last:
+            distance += 1
+        elif left & last:
+            distance -= 1
+        right, left = right << 1 | 1, left << 1
+        up, down = (left | ~(turn | right)) & every, right & turn & every
+    return distance
 
 
 def _anchor(old: _Lines, new: _Lines, mark: int, at: int) -> tuple[int, int] | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from ctxengine.functions import paths as P
@@ -243,3 +245,37 @@ def test_scan_and_registry(spark, tmp_path):
     good, warnings = connectors.read_projects(spark, str(tmp_path / "bad.json"))
     assert (good.count(), warnings.count()) == (0, 1)
     assert connectors.read_projects(spark, str(tmp_path / "none.json"))[0].count() == 0
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_nearest_lines_by_brute_force():
+    r = random.Random(1)
+    text = lambda letters, n: "".join(r.choice(letters) for _ in range(r.randint(0, n)))
+    for _ in range(2000):
+        a, b = text("abcé", 12), text("abcé", 12)
+        assert patch._edits(patch._masks(a), len(a), b) == edits(a, b)
+        lines, line, low = [text("abc d", 11) for _ in range(12)], text("abc d", 11), r.randint(0, 5)
+        best = None
+        for k in range(low, len(lines)):
+            x, y = line.replace(" ", ""), lines[k].replace(" ", "")
+            n = max(len(x), len(y))
+            score = (n - edits(x, y)) / n if n else 1.0
+            if score >= 0.8 and (best is None or score > best[0]):
+                best = score, k
+        assert patch._Lines("\n".join(lines)).nearest(line, low) == (best and best[1])
+
+
+def test_healing_of_fuzzy_indented_and_lost_anchors():
+    old = "a {\n  first();\n  second();\n    deep(1, 2, 3);\n}\nend"
+    assert patch.heal_text(old, "a {\n// ...\ndeep(1, 2, 4);\n}\nend")[0] == old.replace("3", "4")  # like enough, with the original's indent
+    assert patch.heal_text(old, "a {\n// ...\n\tdeep(1,2,3);\n}\nend")[0] == old  # the same but for white space
+    assert patch.heal_text(old, "a {\n// ...\nxxxxxxxxxxxxxxxxxxx\n// ...\nyyyyyyyyyyyyyyyyyyyyy")[2] == "Anchor line not found: xxxxxxxxxxxxxxxxxxx"
+    assert patch.heal_text(old, "a {\n// ...\n  second();\n// ...\nend")[0] == old  # two gaps

@@ -32,7 +32,7 @@ def test_every_public_function_of_the_library_is_called(spark):
     import inspect
     import sys
 
-    modules = [importlib.import_module(f"ctxengine.{m}") for m in ("operators.pack", "operators.patch", "operators.recommend", "operators.search", "operators.selection", "operators.signals", "sources.connectors", "sources.tables", "functions.text", "functions.paths", "streaming.changes")]
+    modules = [importlib.import_module(f"ctxengine.{m}") for m in ("operators.pack", "operators.patch", "operators.recommend", "operators.search", "operators.selection", "operators.signals", "sources.connectors", "sources.tables", "functions.text", "functions.paths", "streaming.changes", "streaming.live", "sources.store")]
     wanted = {f.__code__: f"{m.__name__}.{n}" for m in modules for n, f in vars(m).items() if inspect.isfunction(f) and f.__module__ == m.__name__ and not n.startswith("_")}
     seen = set()
 
@@ -47,7 +47,7 @@ def test_every_public_function_of_the_library_is_called(spark):
     finally:
         sys.setprofile(None)
     # on tasks, over streams, or sinks of the caller's own place
-    elsewhere = {"ctxengine.operators.patch.heal_text", "ctxengine.streaming.changes.stream_content_changes", "ctxengine.streaming.changes.write_snapshot", "ctxengine.sources.connectors.write_patched", "ctxengine.operators.recommend.markdown"}
+    elsewhere = {"ctxengine.operators.patch.heal_text", "ctxengine.sources.connectors.write_patched", "ctxengine.operators.recommend.markdown", "ctxengine.streaming.live.due", "ctxengine.streaming.live.refresh", "ctxengine.streaming.live.current_snapshot", "ctxengine.sources.store.expire"}
     assert {n for c, n in wanted.items() if c not in seen} - elsewhere == set()
 
 

@@ -15,7 +15,7 @@ N = "chr(10)"
 
 
 @query(
-    "recipes", "F1 F2 F3 S17 U12",
+    "recipes", "F1 F2 F3 U12",
     f"""WITH {FILES} SELECT project_id, path, size, reason FROM (
       SELECT *, 'rgMatch' AS reason FROM files WHERE contains(lower(path), 'src1') UNION ALL
       SELECT *, 'extensionMatch' FROM files WHERE ends_with(path, '7.md') OR ends_with(path, '.txt') UNION ALL
@@ -28,7 +28,7 @@ def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "exclusions", "F4 F5 F6 F7 S2 S1",
+    "exclusions", "F4 F5 F6 F7 S2",
     f"""WITH {FILES} SELECT path, regexp_matches(path, '(^|/)src1[^/]*(/|$)') AS ignored, regexp_matches(path, '(^|/)doc_[^/]*5\\.md(/|$)') AS literal,
       regexp_matches(path, '(^|/)en/.*src1[^/]*/doc_[^/]*\\.md(/|$)') AS glob, contains(path, 'src2') AS part, path LIKE '%md' AS by_extension FROM files""",
 )
@@ -63,7 +63,7 @@ def oversize_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "path_parts", "P1 P2 P3 P4 P5 P8 P39 P41 P43",
+    "path_parts", "P1 P2 P3 P4 P5 P8 P41",
     f"""WITH {FILES} SELECT path, 'c:/Ws/' || path AS absolute, path AS relative, substr(path, 1, length(path) - length('/doc_' || doc_id || '.md')) AS parent, 'doc_' || doc_id AS stem, 'md' AS extension,
       CASE WHEN size < 1024 THEN size || ' B' ELSE round(size::DECIMAL(20,4) / 1024, 1)::DECIMAL(20,1) || ' KB' END AS label, length(text) - length(replace(text, {N}, '')) + 1 AS n_lines FROM files""",
 )
@@ -178,7 +178,7 @@ def confidence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "templates", "P31 P32 P33 P34 P40 K12 S20",
+    "templates", "P31 P32 P33 P34 P40 K12",
     """SELECT conv_id, turn, 'Use en: ' || text || ' {{tree}}' AS filled, CASE WHEN contains(text, 'the') THEN text ELSE text || ' PATCH' END AS suffixed, CASE WHEN length(text) > 50 THEN substr(text, 1, 47) || '...' ELSE text END AS summary,
       conv_id || ' of ' || turn AS message FROM conversations""",
 )
@@ -196,7 +196,7 @@ def branch_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "line_skeleton", "X5 W4 W5 X7",
+    "line_skeleton", "X5 W4 W5",
     f"""SELECT p_partkey AS code_id, 'import {{ a }} from ''./part_' || p_size || '''' || {N} || '  // ... implementation omitted' || {N} || 'class P' || p_partkey || ' {{' || {N} || '  run(' || p_size || ') {{' || {N} || '  // ... implementation omitted' || {N} || '  }}' || {N} || '}}' || {N} || 'const x = {{ y: ' || p_size || ' }};'
       || {N} || '  // ... implementation omitted' AS skeleton FROM part""",
 )

@@ -66,7 +66,7 @@ def status_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connectors.status_paths(table(spark, sf_dir, "part").select(line.alias("value")), quoted=True)
 
 
-@query("recent_commits", "S8 S9 O13", f"WITH {COMMITS} SELECT DISTINCT path FROM commits WHERE commit_id IN (SELECT commit_id FROM (SELECT DISTINCT commit_id, ts FROM commits) ORDER BY ts DESC, commit_id DESC LIMIT 100)")
+@query("recent_commits", "S8 O13", f"WITH {COMMITS} SELECT DISTINCT path FROM commits WHERE commit_id IN (SELECT commit_id FROM (SELECT DISTINCT commit_id, ts FROM commits) ORDER BY ts DESC, commit_id DESC LIMIT 100)")
 def recent_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = commits(spark, sf_dir)
     last = c.select("commit_id", "ts").distinct().orderBy(F.desc("ts"), F.desc("commit_id")).limit(100)
@@ -463,7 +463,7 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return is_modified(last.select("key"), modified, ["key"])
 
 
-@query("token_stats", "A8 A9 A16 A15", f"WITH {FILES} SELECT count(*)::BIGINT AS n_files, sum(size)::BIGINT AS size, sum(ceil(size / 4.0))::BIGINT AS file_tokens, ceil(sum(size) / 4.0)::BIGINT AS tokens, ceil(sum(size) / 4.0) > 50000 AS over_limit FROM files")
+@query("token_stats", "A8 A9 A16", f"WITH {FILES} SELECT count(*)::BIGINT AS n_files, sum(size)::BIGINT AS size, sum(ceil(size / 4.0))::BIGINT AS file_tokens, ceil(sum(size) / 4.0)::BIGINT AS tokens, ceil(sum(size) / 4.0) > 50000 AS over_limit FROM files")
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.token_stats(files(spark, sf_dir), 50_000)
 
@@ -482,7 +482,7 @@ def directory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.tree_order(out.withColumn("kind", F.lit("directory"))).drop("kind").withColumn("depth", F.col("depth").cast("long"))
 
 
-@query("selection_invert", "U3 U4 U5 U10 U15 S21 F17", f"WITH {FILES}, {BASE} SELECT project_id, path FROM files EXCEPT SELECT project_id, path FROM base")
+@query("selection_invert", "U5", f"WITH {FILES}, {BASE} SELECT project_id, path FROM files EXCEPT SELECT project_id, path FROM base")
 def selection_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.invert(base_files(spark, sf_dir), files(spark, sf_dir))
 
@@ -508,7 +508,7 @@ def _greedy_sql(order: str, room: int) -> str:
       SELECT r.project_id, r.path, g.mode FROM g JOIN r USING (project_id, rn)"""
 
 
-@query("budget_pack", "X1 W3 O8 K11 J21 X21 J3", f"WITH RECURSIVE {FILES}, {SIGNALS}, sized AS (SELECT * FROM ranked), {_greedy_sql('score DESC, path', 20000)}")
+@query("budget_pack", "X1 W3 O8 K11 J21", f"WITH RECURSIVE {FILES}, {SIGNALS}, sized AS (SELECT * FROM ranked), {_greedy_sql('score DESC, path', 20000)}")
 def budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = _candidates(spark, sf_dir).withColumn("skeleton_size", F.floor(F.col("size") / 2))
     return pack.pack_scored(sized, 5000).select("project_id", "path", "mode")
@@ -584,7 +584,7 @@ def tree_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "debounce_sessions", "ST1 ST2 ST3",
+    "debounce_sessions", "ST1 ST2",
     """WITH e AS (SELECT user_id AS key, ts, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e)
       SELECT key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*)::BIGINT AS n FROM s GROUP BY key, sid""",
 )
@@ -600,7 +600,7 @@ def last_value_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_changes(changes(spark, sf_dir), [F.col("ts"), F.col("event_id")]).select("key", "event_id", "content")
 
 
-@query("latest_state", "U13 U14 ST3 ST5", "SELECT user_id AS key, event_id, event_type AS content FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+@query("latest_state", "U13 U14", "SELECT user_id AS key, event_id, event_type AS content FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.last_per_key(changes(spark, sf_dir), ["key"], ["ts", "event_id"]).select("key", "event_id", "content")
 

@@ -66,7 +66,7 @@ def patch_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patch.resolve_targets(hints, f.select("path", F.col("doc_id").alias("ord")), recent).withColumn("confidence", F.col("confidence").cast("long"))
 
 
-@query("heal_omissions", "X10 X14 X15 K13", f"WITH {CODE} SELECT code_id, text AS patched, false AS unsafe FROM code")
+@query("heal_omissions", "X10 X14 X15", f"WITH {CODE} SELECT code_id, text AS patched, false AS unsafe FROM code")
 def heal_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text with its lines from the fourth to the eighth left out comes back whole."""
     rows = F.split("text", "\n")
@@ -92,7 +92,7 @@ def smart_patch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "patch_apply", "K9 K14",
+    "patch_apply", "K14",
     "SELECT 'src/f' || doc_id || '.md' AS path, CASE WHEN quality = 1 THEN 'new' ELSE text END AS text, CASE WHEN quality = 1 THEN 'replaced' ELSE 'kept' END AS action FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT 'made/f' || doc_id || '.md', 'new', 'created' FROM labels WHERE toxic = 1",
 )
 def patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:

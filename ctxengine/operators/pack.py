@@ -5,7 +5,8 @@ a row larger than the room left can never be taken: each round folds the next ``
 a project that still could fit (narrow rows: sizes, not texts), takes the room that is left, and drops
 what no longer fits. The horizon is below the number up to which Spark limits a window's groups in each task
 (1,000), so of a hot project each task hands on its first rows only; nothing is folded that grows with
-the project.
+the project. A project with more rows then takes all that fit in a row at once, by running sums over ranges of the order:
+the next row is too large for the room that is left, so what is left to fold fits into less than one file's room.
 """
 
 from __future__ import annotations
@@ -25,13 +26,31 @@ def limit_bytes(tokens: int) -> int:
     return tokens * BYTES_PER_TOKEN
 
 
-def greedy_pack(sized: DataFrame, room: int, order: list[Column], keys: tuple[str, ...] = ("project_id",), horizon: int = HORIZON, max_rounds: int = 1000) -> DataFrame:
+def _kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder."""
+    path = shared_path(df.sparkSession, "pack")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _run(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The first rows (keys, path, size, _o) of each key that fit into its room one after the other: ranges of the order are summed in themselves
+    and start at the sum of those before them, so no task holds a whole key."""
+    ranged = _kept(rows.repartitionByRange(*keys, "_o").withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum("size").alias("sum"))
+    before = F.coalesce(F.sum("sum").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    near = ranged.join(sums.select(*keys, "_range", before.alias("_before")), [*keys, "_range"]).where(F.col("_before") <= F.col("room"))
+    upto = F.sum("size").over(Window.partitionBy(*keys, "_range").orderBy("_o").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return near.withColumn("_upto", F.col("_before") + upto).where(F.col("_upto") <= F.col("room"))
+
+
+def greedy_pack(sized: DataFrame, room: int, order: list[Column], keys: tuple[str, ...] = ("project_id",), horizon: int = HORIZON) -> DataFrame:
     """(keys, path, mode) of sized (keys, path, size, skeleton_size): full if it fits, else skeleton if that fits, else excluded."""
     narrow = sized.select(*keys, "path", F.col("size").cast("long").alias("size"), F.col("skeleton_size").cast("long").alias("skeleton_size"), F.struct(*order, "path").alias("_o"))
     least = F.least("size", F.coalesce("skeleton_size", "size"))
     rooms = narrow.select(*keys).distinct().withColumn("room", F.lit(room).cast("long"))
     left, taken = narrow, None
-    for _ in range(max_rounds):
+    while True:
         open_rows = left.join(rooms, list(keys)).where(least <= F.col("room"))
         first = open_rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("_o"))).where(F.col("_rn") <= horizon)
         listed = first.groupBy(*keys).agg(F.first("room").alias("room"), F.array_sort(F.collect_list(F.struct("_o", "path", "size", "skeleton_size"))).alias("rows"))
@@ -45,19 +64,19 @@ def greedy_pack(sized: DataFrame, room: int, order: list[Column], keys: tuple[st
             out = F.when(mode.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(r["path"].alias("path"), mode.alias("mode"))))
             return F.struct((acc["room"] - used).alias("room"), out.alias("out"))
 
-        folded = listed.select(*keys, F.aggregate("rows", start, step).alias("f"), F.element_at("rows", -1)["_o"].alias("_last"), (F.size("rows") >= horizon).alias("_more"))
-        path = shared_path(folded.sparkSession, "pack")
-        folded.write.parquet(path)
-        folded = folded.sparkSession.read.schema(folded.schema).parquet(path)
+        folded = _kept(listed.select(*keys, F.aggregate("rows", start, step).alias("f"), F.element_at("rows", -1)["_o"].alias("_last"), (F.size("rows") >= horizon).alias("_more")))
         now = folded.select(*keys, F.explode("f.out").alias("t")).select(*keys, "t.path", "t.mode")
         taken = now if taken is None else taken.unionByName(now)
         if not folded.where("_more").limit(1).count():
             break
         rooms = folded.where("_more").select(*keys, F.col("f.room").alias("room"), "_last")
-        left = left.join(rooms.select(*keys, "_last"), list(keys)).where(F.col("_o") > F.col("_last")).drop("_last")
-        rooms = rooms.drop("_last")
-    else:
-        raise RuntimeError("the pack did not end")
+        left = left.join(rooms, list(keys)).where((F.col("_o") > F.col("_last")) & (least <= F.col("room"))).drop("_last")
+        run = _kept(_run(left, keys).select(*keys, "path", "_o", "_upto"))
+        used = run.groupBy(*keys).agg(F.max("_upto").alias("used"), F.max("_o").alias("_past"))
+        rooms = _kept(rooms.drop("_last").join(used, list(keys), "left").select(*keys, (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"), "_past"))
+        taken = taken.unionByName(run.select(*keys, "path", F.lit("full").alias("mode")))
+        left = _kept(left.drop("room").join(rooms, list(keys)).where((F.col("_past").isNull() | (F.col("_o") > F.col("_past"))) & (least <= F.col("room"))).drop("room", "_past"))
+        rooms = rooms.drop("_past")
     return sized.select(*keys, "path").join(taken, [*keys, "path"], "left").withColumn("mode", F.coalesce("mode", F.lit("excluded")))
 
 

@@ -279,3 +279,25 @@ def test_healing_of_fuzzy_indented_and_lost_anchors():
     assert patch.heal_text(old, "a {\n// ...\n\tdeep(1,2,3);\n}\nend")[0] == old  # the same but for white space
     assert patch.heal_text(old, "a {\n// ...\nxxxxxxxxxxxxxxxxxxx\n// ...\nyyyyyyyyyyyyyyyyyyyyy")[2] == "Anchor line not found: xxxxxxxxxxxxxxxxxxx"
     assert patch.heal_text(old, "a {\n// ...\n  second();\n// ...\nend")[0] == old  # two gaps
+
+
+def test_greedy_packs_that_take_runs_by_brute_force(spark):
+    r = random.Random(2)
+    for horizon, room in [(3, 500), (2, 60), (5, 3000)]:
+        rows = [(r.choice("ab"), f"p{i}", r.choice([0, 1, 5, 20, 90]), r.choice([None, 1, 3, 10]), r.randint(0, 5)) for i in range(150)]
+        df = spark.createDataFrame(rows, "project_id string, path string, size long, skeleton_size long, score int")
+        got = {(x["project_id"], x["path"]): x["mode"] for x in pack.greedy_pack(df, room, [(-F.col("score")).alias("neg")], horizon=horizon).collect()}
+        want = {}
+        for p in "ab":
+            left = room
+            for q, path, size, part, _ in sorted((x for x in rows if x[0] == p), key=lambda x: (-x[4], x[1])):
+                took = next((m for m, n in (("full", size), ("skeleton", part)) if n is not None and n <= left), "excluded")
+                left -= {"full": size, "skeleton": part}.get(took, 0)
+                want[q, path] = took
+        assert got == want
+
+
+def test_a_project_of_many_files_packs_in_few_rounds(spark):
+    files = spark.range(300_000).select(F.lit("p").alias("project_id"), F.format_string("f%07d", "id").alias("path"), (F.col("id") % 97 + 1).alias("size"), F.lit(None).cast("long").alias("skeleton_size"))
+    full = pack.greedy_pack(files, 9_000_000, [F.lit(0).alias("o")]).where("mode = 'full'").join(files, ["project_id", "path"]).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).first()
+    assert full["n"] > 180_000 and full["size"] == 9_000_000

@@ -97,7 +97,7 @@ def preview_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     "patch_write", "K9 K14",
     """WITH w AS (SELECT 'src/f' || doc_id || '.md' AS path, CASE WHEN quality = 1 THEN 'new' ELSE text END AS text, CASE WHEN quality = 1 THEN 'replaced' ELSE 'kept' END AS action FROM documents LEFT JOIN labels USING (doc_id)
       UNION ALL SELECT CASE WHEN doc_id % 2 = 0 THEN 'made/f' ELSE 'made/../../f' END || doc_id || '.md', 'new', CASE WHEN doc_id % 2 = 0 THEN 'created' ELSE 'refused' END FROM labels WHERE toxic = 1)
-      SELECT path, action, CASE WHEN action <> 'refused' THEN strlen(coalesce(text, ''))::BIGINT END AS size, CASE WHEN action <> 'refused' THEN sha256(coalesce(text, '')) END AS sha256, CASE WHEN action <> 'refused' THEN coalesce(text, '') END AS text FROM w""",
+      SELECT path, action, CASE WHEN action <> 'refused' THEN strlen(coalesce(text, '')) ELSE 0 END::BIGINT AS size, CASE WHEN action <> 'refused' THEN sha256(coalesce(text, '')) ELSE '' END AS sha256, CASE WHEN action <> 'refused' THEN coalesce(text, '') ELSE '' END AS text FROM w""",
 )
 def patch_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patched and made files are written as a version, and read back with their manifest; writing the version again changes nothing."""
@@ -111,4 +111,5 @@ def patch_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_path(spark, "patched")
     store.write_files(patched, root, 1)
     store.write_files(patched.limit(0), root, 1)  # a repeated write of a version that is there
-    return store.read_manifest(spark, root).join(store.read_files(spark, root), "path", "left")
+    read = store.read_manifest(spark, root).join(store.read_files(spark, root), "path", "left")
+    return read.select("path", "action", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("sha256", F.lit("")).alias("sha256"), F.coalesce("text", F.lit("")).alias("text"))

@@ -43,21 +43,27 @@ def file_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("project_id", run.alias("commit_id"), "path", run.alias("ts"))
 
 
-def following(files: DataFrame, values: list[str], parts: int = 64) -> DataFrame:
+#: Rows of a range of ids that one task looks through, about.
+RANGE_ROWS = 200_000
+
+
+def following(files: DataFrame, values: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """files with next_<value> of the next doc_id of the same project, null at its end.
 
-    Ranges of ids are looked through one by one, each with the first row behind it, so no project is sorted in one task.
+    Ranges of ids, as many as the rows call for, are looked through one by one, each with the first row behind it, so no project is sorted in one task.
     """
-    ids = files.where("doc_id is not null").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    ids = files.where("doc_id is not null").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if ids["lo"] is None:
         return files.select("*", *(F.lit(None).cast(dict(files.dtypes)[v]).alias(f"next_{v}") for v in values))
-    width = max(1, -(-(ids["hi"] - ids["lo"] + 1) // parts))
+    width = max(1, -(-(ids["hi"] - ids["lo"] + 1) // -(-ids["n"] // range_rows)))
     cut = files.withColumn("_r", F.floor((F.col("doc_id") - ids["lo"]) / width).cast("int"))
-    firsts = cut.groupBy("project_id", "_r").agg(F.min_by(F.struct(*values), "doc_id").alias("_first"))  # at most ``parts`` rows of a project
+    led = cut.withColumn("_next", F.lead(F.struct(*values)).over(Window.partitionBy("project_id", "_r").orderBy("doc_id")))
+    if ids["n"] <= range_rows:
+        return led.select(*files.columns, *(F.col("_next")[v].alias(f"next_{v}") for v in values))
+    firsts = cut.groupBy("project_id", "_r").agg(F.min_by(F.struct(*values), "doc_id").alias("_first"))  # a row for each project and range
     behind = firsts.withColumn("_behind", F.lead("_first").over(Window.partitionBy("project_id").orderBy("_r"))).drop("_first")
-    inside = Window.partitionBy("project_id", "_r").orderBy("doc_id")
-    led = cut.withColumn("_next", F.lead(F.struct(*values)).over(inside)).join(F.broadcast(behind), ["project_id", "_r"], "left")
-    return led.select(*files.columns, *(F.coalesce(F.col("_next"), F.col("_behind"))[v].alias(f"next_{v}") for v in values))
+    joined = led.join(behind, ["project_id", "_r"], "left")
+    return joined.select(*files.columns, *(F.coalesce(F.col("_next"), F.col("_behind"))[v].alias(f"next_{v}") for v in values))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

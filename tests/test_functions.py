@@ -217,7 +217,7 @@ def test_next_rows_across_ranges(spark):
     from ctxengine.sources.tables import following
 
     rows = [("p", i, f"f{i}") for i in (1, 5, 6, 90, 91, 300)] + [("q", 7, "g7"), ("q", 299, "g299")]
-    got = following(spark.createDataFrame(rows, "project_id string, doc_id long, path string"), ["path"], range_rows=10)
+    got = following(spark.createDataFrame(rows, "project_id string, doc_id long, path string"), ["path"], range_rows=1)
     assert {r["path"]: r["next_path"] for r in got.collect()} == {"f1": "f5", "f5": "f6", "f6": "f90", "f90": "f91", "f91": "f300", "f300": None, "g7": "g299", "g299": None}
     assert following(spark.createDataFrame([], "project_id string, doc_id long, path string"), ["path"]).count() == 0
 

@@ -98,6 +98,21 @@ def test_due_equals_a_simulated_clock_however_the_watermark_moves(seed):
     assert sorted(got) == sorted(want)
 
 
+def test_a_request_that_never_starts_cancels_nothing():
+    # 2 would end 1 at 25, but 3 comes before and takes its place until 30, so 1 is complete at 26
+    found, held, upcoming = live.due([(0, 1, 3, 0), (15, 2, 3, 0)], 19, 10, 8, 2)
+    assert found == [(1, 0, 2), (1, 1, 1)] and upcoming == 25
+    assert live.due([*held, (20, 3, 0, 0)], None, 10, 8, 2)[0] == [(1, -1, 3), (3, -1, 0)]
+    assert live.due(held, None, 10, 8, 2)[0] == [(2, 0, 2), (2, 1, 1), (2, -1, 3)]
+
+
+def test_times_of_requests_are_rounded_as_in_sql(spark, duck):
+    times = ["2024-01-01 00:00:00.000499", "2024-01-01 00:00:00.0005", "2024-01-01 00:00:00.0015", "1969-12-31 23:59:59.9995", "1969-12-31 23:59:59.9996"]
+    df = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp").alias("ts"))
+    got = [r["ms"] for r in df.select(live.nearest_ms(F.col("ts")).alias("ms")).collect()]
+    assert got == [duck.execute(f"SELECT epoch_ms(TIMESTAMP '{t}')").fetchone()[0] for t in times]
+
+
 def test_a_newer_request_cancels_the_older_one_over_a_stream(spark, tmp_path):
     rows = [(1, 0, 10, 50), (1, 500, 11, 50), (1, 3000, 12, 70), (1, 3850, 13, 5), (2, 0, 20, 0), (2, 60_000, 21, 20_000)]
     schema = "key long, ts timestamp, request_id long, paths int"

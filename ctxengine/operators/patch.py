@@ -32,19 +32,23 @@ def candidates(replies: DataFrame, keys: list[str], text_col: str = "text", arou
     """(keys, i, source, path_hint, language, content): a row for each file of a diff, else for each fence, else the whole text."""
     t = F.col(text_col)
     is_diff = t.rlike(r"(?m)^---\s+a/|^\+\+\+\s+b/|^@@\s+-\d+,\d+")
+    # the fences of a text and what stands between them are columns, so that they are looked for once and not for each fence
+    fence = r"```[^\n]*\n[\s\S]*?\n```"
+    found = replies.where(t.isNotNull() & (js_trim(t) != "")).select(*keys, t.alias("_text"), is_diff.alias("_is_diff"))
+    t = F.col("_text")
+    found = found.select("*", F.when(~F.col("_is_diff"), all_groups(t, fence, 0)).alias("_fences"), F.when(~F.col("_is_diff"), F.split(t, fence)).alias("_between"))
+
+    def fenced(f: Column, i: Column) -> Column:
+        info = F.substring_index(F.substr(f, F.lit(4)), "\n", 1)
+        body = F.substr(f, F.length(info) + 5, F.length(f) - F.length(info) - 8)
+        hint = path_hint(js_trim(info), F.right(F.get("_between", i), F.lit(around)), F.left(F.get("_between", i + 1), F.lit(around)))
+        return F.struct(F.lit("fencedCodeBlock").alias("source"), hint.alias("path_hint"), js_trim(info).alias("info"), js_trim(body).alias("content"))
+
     cut = F.filter(F.split(t, r"(?m)(?=^---\s+a/[^\n]+\n\+\+\+\s+b/)"), lambda c: c.rlike(r"^---\s+a/[^\n]+\n\+\+\+\s+b/"))
     files = F.transform(cut, lambda c: F.struct(F.lit("unifiedDiff").alias("source"), F.regexp_replace(F.regexp_extract(c, r"^---[^\n]*\n\+\+\+\s+b/([^\n]+)", 1), "^[ab]/", "").alias("path_hint"), F.lit(None).cast("string").alias("info"), js_trim(c).alias("content")))
-    fence = r"```([^\n]*)\n([\s\S]*?)\n```"
-    infos, bodies, between = all_groups(t, fence, 1), all_groups(t, fence, 2), F.split(t, r"```[^\n]*\n[\s\S]*?\n```")
-    fenced = F.transform(
-        F.arrays_zip(infos.alias("info"), bodies.alias("body")),
-        lambda z, i: F.struct(
-            F.lit("fencedCodeBlock").alias("source"), path_hint(js_trim(z["info"]), F.right(F.get(between, i), F.lit(around)), F.left(F.get(between, i + 1), F.lit(around))).alias("path_hint"), js_trim(z["info"]).alias("info"), js_trim(z["body"]).alias("content")
-        ),
-    )
     whole = lambda s: F.array(F.struct(F.lit(s).alias("source"), F.lit(None).cast("string").alias("path_hint"), F.lit(None).cast("string").alias("info"), js_trim(t).alias("content")))
-    chosen = F.when(is_diff, F.when(F.size(files) > 0, files).otherwise(whole("unifiedDiff"))).when(F.size(infos) > 0, fenced).otherwise(whole("plainCode"))
-    rows = replies.where(t.isNotNull() & (js_trim(t) != "")).select(*keys, F.posexplode(chosen).alias("i", "c")).select(*keys, "i", "c.*")
+    chosen = F.when(F.col("_is_diff"), F.when(F.size(files) > 0, files).otherwise(whole("unifiedDiff"))).when(F.size("_fences") > 0, F.transform("_fences", fenced)).otherwise(whole("plainCode"))
+    rows = found.select(*keys, F.posexplode(chosen).alias("i", "c")).select(*keys, "i", "c.*")
     return rows.withColumn("language", F.when(F.col("source") == "fencedCodeBlock", language_of(F.col("info"), F.col("path_hint"), F.col("content")))).drop("info")
 
 

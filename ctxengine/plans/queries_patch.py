@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fences, path_hint, path_in_context
 from ..operators import patch
+from ..session import kept
 from ..sources.tables import code, files, replies, table
 from .catalog import CODE, FILES, REPLIES, query
 
@@ -83,6 +84,7 @@ def heal_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def smart_patch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = patch.candidates(replies(spark, sf_dir), ["conv_id", "turn"]).withColumn("hint_id", F.concat_ws("-", "conv_id", "turn", "i"))
+    found = kept(found.select("hint_id", "conv_id", "content"), "candidates")  # which are read for the targets and for the plans
     known = found.select(F.concat(F.lit("src/f"), F.col("conv_id").cast("string"), F.lit(".ts")).alias("path")).distinct().withColumn("ord", F.lit(0))
     hints = found.select("hint_id", F.concat(F.lit("src/f"), F.col("conv_id").cast("string"), F.lit(".ts")).alias("path_hint"))
     targets = patch.resolve_targets(hints, known, known.limit(0).select("path", F.lit(0).alias("rank")))

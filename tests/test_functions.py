@@ -301,3 +301,21 @@ def test_a_project_of_many_files_packs_in_few_rounds(spark):
     files = spark.range(300_000).select(F.lit("p").alias("project_id"), F.format_string("f%07d", "id").alias("path"), (F.col("id") % 97 + 1).alias("size"), F.lit(None).cast("long").alias("skeleton_size"))
     full = pack.greedy_pack(files, 9_000_000, [F.lit(0).alias("o")]).where("mode = 'full'").join(files, ["project_id", "path"]).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).first()
     assert full["n"] > 180_000 and full["size"] == 9_000_000
+
+
+def test_diffs_and_fences_of_long_texts_take_linear_time(spark):
+    """Before, the texts were split again for each line, and what stands between the fences was looked for again for each fence."""
+    import time
+
+    n = 40_000
+    old, new = "\n".join(f"line {i}" for i in range(n)), "\n".join(f"line {i // 2 * 2}" for i in range(n + 1))
+    reply = "".join(f"see src/f{i}.ts\n```ts lib/b{i}.ts\nlet x = {i}\n\n```\n" for i in range(2_000))
+    df = spark.createDataFrame([(1, old, new, reply)], "k long, old string, new string, reply string")
+    start = time.monotonic()
+    diff = df.select(X.positional_diff(F.lit("p"), F.col("old"), F.col("new")).alias("d")).first()["d"].split("\n")
+    found = patch.candidates(df, ["k"], "reply").orderBy("i").collect()
+    assert time.monotonic() - start < 30
+    assert diff[:6] == ["--- a/p", "+++ b/p", "@@", " line 0", "- line 1", "+ line 0"] and diff[-1] == f"+ line {n}" and len(diff) == 3 + n + n // 2 + 1
+    assert [(r["i"], r["path_hint"], r["content"]) for r in found] == [(i, f"lib/b{i}.ts", f"let x = {i}") for i in range(2_000)]
+    nulls = spark.createDataFrame([("a", None), (None, "b"), (None, None)], "x string, y string").select(X.positional_diff(F.lit("p"), F.col("x"), F.col("y")).alias("d")).collect()
+    assert [r["d"] for r in nulls] == ["--- a/p\n+++ b/p\n@@\n- a", "--- a/p\n+++ b/p\n@@\n+ b", None]

@@ -319,3 +319,17 @@ def test_diffs_and_fences_of_long_texts_take_linear_time(spark):
     assert [(r["i"], r["path_hint"], r["content"]) for r in found] == [(i, f"lib/b{i}.ts", f"let x = {i}") for i in range(2_000)]
     nulls = spark.createDataFrame([("a", None), (None, "b"), (None, None)], "x string, y string").select(X.positional_diff(F.lit("p"), F.col("x"), F.col("y")).alias("d")).collect()
     assert [r["d"] for r in nulls] == ["--- a/p\n+++ b/p\n@@\n- a", "--- a/p\n+++ b/p\n@@\n+ b", None]
+
+
+def test_a_line_of_a_skeleton_is_looked_at_once(spark):
+    plan = spark.createDataFrame([("a",)], "v string").select(X.line_skeleton(F.col("v")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and plan.count("regexp_replace(") == 1
+
+
+def test_texts_made_of_parts_are_dealt_over_tasks(spark):
+    from conftest import SF
+
+    from ctxengine.plans import catalog
+
+    for name in ("line_skeleton", "compressed_sizes", "brace_compress", "ast_compress"):
+        assert "RepartitionByExpression [p_partkey" in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString(), name

@@ -333,3 +333,32 @@ def test_texts_made_of_parts_are_dealt_over_tasks(spark):
 
     for name in ("line_skeleton", "compressed_sizes", "brace_compress", "ast_compress"):
         assert "RepartitionByExpression [p_partkey" in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_names_over_first_base_files_and_the_rest_by_brute_force(spark, monkeypatch):
+    """However many base files come first, and however little may be broadcast."""
+    r = random.Random(9)
+    vocabulary = ["api", "design", "test", *(f"w{i:02}" for i in range(25))]
+    made = [(p, f"d{r.randint(0, 1)}/{i}.md", "# " + " ".join(r.choices(vocabulary, k=r.randint(1, 3))) + "".join(f"\n[l](../d{r.randint(0, 1)}/{r.randint(0, 29)}.md)" for _ in range(r.randint(0, 5)))) for p in "pq" for i in range(30)]
+    files = spark.createDataFrame(made, "project_id string, path string, text string").cache()
+    base = files.where("crc32(concat(project_id, path)) % 2 = 0").cache()
+    links = {(x["project_id"], x["src"], x["path"]) for x in recommend.link_pairs(base, files).collect()}
+    heads = {(p, path): t.split("\n")[0][2:].split() for p, path, t in made}
+    want = {}
+    for project, s in sorted((x["project_id"], x["path"]) for x in base.collect()):
+        for p, path in heads:
+            hits = [w for w in heads[project, s] if w in heads[p, path]]
+            if p == project and s != path and (p, s, path) not in links and hits and (len(hits) > 1 or hits[0] not in ("api", "design", "test")):
+                want.setdefault((p, path), s)
+    assert len(want) > 30
+    for first, rows in ((1, 300_000), (3, 10), (16, 300_000)):
+        monkeypatch.setattr(recommend, "HEADS", first)
+        monkeypatch.setattr(recommend, "BROADCAST_ROWS", rows)
+        got = {(x["project_id"], x["path"]): x["detail"].removeprefix("Filename or heading match from ") for x in recommend.by_name(base, files).collect()}
+        assert got == want, (first, rows)
+
+
+def test_words_of_files_that_match_a_first_base_file_are_not_joined_with_all_words(spark):
+    files = spark.createDataFrame([("p", f"d/{i}.md", f"# common own{i}") for i in range(40)], "project_id string, path string, text string")
+    found = recommend.by_name(files.where("path < 'd/2'"), files)
+    assert found.count() == 40 and "word" not in found._jdf.queryExecution().executedPlan().toString()

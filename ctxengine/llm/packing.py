@@ -15,9 +15,11 @@ result.
 
 from __future__ import annotations
 
+import codecs
 import functools
-import re
+import string
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,8 +33,10 @@ from .common import in_batches, keep
 
 ROOM = 4096
 END_ID = 1
-#: Words whose ids a worker remembers; beyond that it starts anew.
+#: Chunks whose ids a worker remembers before they become the older ones; as many older ones are kept, and what is met again is taken over.
 REMEMBERED = 100_000
+#: Marks that may end a word; an apostrophe may be part of a piece.
+ENDS = string.punctuation.replace("'", "")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -41,46 +45,58 @@ class WordIds(dict):
     """Ids of a white-space-free chunk of text as little-endian bytes, worked out once for each chunk.
 
     The tokenizer never joins characters across white space, so the ids of a text are those
-    of its chunks. Chunks in Latin-1 skip the tokenizer's text pipeline: lower case, its
+    of its chunks; nor does it join letters and the marks behind them, so a word with such an end has the ids of both.
+    Chunks in Latin-1 skip the tokenizer's text pipeline: lower case, its
     pre-tokenizer pattern and its byte alphabet are applied here and only its BPE model is called.
     A text with the string of a special token goes to the tokenizer whole, which gives that
     token's id.
     """
 
+    remembered = REMEMBERED
+
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         # The pre-tokenizer's pattern.
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
-        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.alphabet = "".join(alphabet[b] for b in range(256))
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # these, and characters that are white space to Python but not to the tokenizer
-        self.whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, special)])).search
+        self.marks = ["\x1c", "\x1d", "\x1e", "\x1f", *special]
 
     def __missing__(self, chunk: str) -> bytes:
+        out = self.older.get(chunk)
+        if out is None:
+            word = chunk.rstrip(ENDS)
+            out = self[word] + self[chunk[len(word) :]] if word != chunk and word.isalpha() and ord(word[-1]) < 256 else self._ids(chunk)
+        if len(self) >= self.remembered:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = out
+        return out
+
+    def _ids(self, chunk: str) -> bytes:
         try:
             chunk.encode("latin-1")
         except UnicodeEncodeError:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        else:
-            ids, lower = [], chunk.lower()
-            for part in [lower] if lower.isascii() and lower.isalpha() else self.parts(lower):
-                word = part if part.isascii() and part.isprintable() else "".join(map(self.alphabet.__getitem__, part.encode()))
-                ids += [t.id for t in self.model.tokenize(word)]
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[chunk] = np.array(ids, "<u4").tobytes()
-        return out
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        ids, lower = [], chunk.lower()
+        for part in [lower] if lower.isalpha() else self.parts(lower):
+            word = part if part.isascii() and part.isprintable() else codecs.charmap_decode(part.encode(), "strict", self.alphabet)[0]
+            ids += [t.id for t in self.model.tokenize(word)]
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.whole(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if any(mark in text for mark in self.marks):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:

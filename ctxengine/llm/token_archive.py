@@ -300,24 +300,9 @@ def decode_frame(data: bytes) -> np.ndarray:
 
 
 class _Remembering(WordIds):
-    """Remembers more chunks, and takes those that end in a full stop or comma apart."""
+    """Remembers more chunks."""
 
-    remembered = 400_000
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.unknown = WordIds(path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        word = chunk.rstrip(".,;:")
-        if word and word != chunk and word[-1].isalnum() and ord(word[-1]) < 256:
-            out = self[word] + self[chunk[len(word) :]]
-        else:
-            out = self.unknown[chunk]
-        if len(self) >= self.remembered:
-            self.clear()
-        self[chunk] = out
-        return out
+    remembered = 200_000
 
 
 @functools.lru_cache(maxsize=1)

@@ -233,6 +233,25 @@ def test_token_ids_of_odd_texts():
     assert np.frombuffer(w.encode("a<|endoftext|>B"), "<u4").tolist() == t.encode("a<|endoftext|>B", add_special_tokens=False).ids
 
 
+def test_ids_are_remembered_for_words_and_their_ends(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, r = queries.tokenizer_path(), random.Random(3)
+    t, w = Tokenizer.from_file(path), packing.WordIds(path)
+    calls = []
+    one = w.tokenizer.model.tokenize
+    w.model = type("Model", (), {"tokenize": staticmethod(lambda x: calls.append(x) or one(x))})
+    w.encode("Grundlé grundlé, grundlé. (grundlé) grundlé$$$")
+    assert len(calls) == 7  # the word, three ends, and the three parts of the chunk in brackets
+
+    w = packing.WordIds(path)
+    w.remembered = 5  # what is older is forgotten, the ids stay right
+    for _ in range(600):
+        s = " ".join("".join(r.choice("abé's1.,!$-…ª²") for _ in range(r.randint(1, 4))) for _ in range(12))
+        assert np.frombuffer(w.encode(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, s
+        assert len(w) <= 6 and len(w.older) <= 6
+
+
 def optimum(sizes, room):
     """The least number of bins, by search over sets of pieces."""
     best = [len(sizes)]

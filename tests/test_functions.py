@@ -362,3 +362,18 @@ def test_words_of_files_that_match_a_first_base_file_are_not_joined_with_all_wor
     files = spark.createDataFrame([("p", f"d/{i}.md", f"# common own{i}") for i in range(40)], "project_id string, path string, text string")
     found = recommend.by_name(files.where("path < 'd/2'"), files)
     assert found.count() == 40 and "word" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_not_shuffled_for_base_files(spark):
+    from conftest import SF
+
+    from ctxengine.plans.catalog import base_files
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as if the labels' files were large
+    try:
+        plan = base_files(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

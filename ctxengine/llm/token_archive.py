@@ -5,19 +5,20 @@ archive is a frame: whole documents (``doc_ids``, ``lengths``) and their ids, cu
 ``BLOCK`` ids. Every block is reset and can be decoded by itself; its checksum is verified. ``part``
 and ``frame`` number the frames in ascending order of document ids.
 
-A block starts with its alphabet, the ascending distinct ids as differences. Each id is then coded
+A block starts with its alphabet, the ascending distinct ids as differences, and how often each occurs. Each id is then coded
 under a mixture of three predictions: order 2 and order 1 each name one id, the last that followed the
-two (the one) before it, and order 0 is the distribution of the block's ids so far. The weights of the
+two (the one) before it, and order 0 is the distribution of the block's ids. The weights of the
 mixture are learned with each id, apart for each state of confidence of the two named ids, and
-drive a range coder of 48 bits that emits 16 bits at a time. Its arithmetic is in
-integers, so any machine decodes what another one wrote.
+drive a range coder of 48 bits that emits 16 bits at a time. Weights and distributions sum to powers of two, so
+nothing is divided but a decoder's value. What is coded is worked out in integers, so any machine decodes what another one wrote.
 
 The blocks of a frame are coded in lockstep, up to ``LANES`` of them at once, id by id: a numpy operation
 works on one id of each block.
 
 Data of a frame (little-endian): "CMIX", version, number of blocks, crc32 of the table; the table, five
 numbers of 32 bits for each block (ids, distinct ids, bytes of the alphabet, words, crc32 of the ids); all alphabets; all
-words. Differences in the alphabet take seven bits a byte, lowest first, the highest bit saying that more follow.
+words. An alphabet is twice the difference for each id, one more if the id occurs more than once, then how often each of these occurs,
+less two. Its numbers take seven bits a byte, lowest first, the highest bit saying that more follow, and are deflated (zlib).
 
 Defined results: a null or empty text is the single end id; rows without an id come first; rows that repeat an id
 follow each other in an order set by their texts; an empty table gives an empty archive; further columns are not read; a
@@ -41,16 +42,11 @@ from .packing import WordIds
 END_ID = 1
 #: Ids in a block, blocks coded at once, ids in a frame (it ends with the document that reaches them).
 BLOCK, LANES, FRAME_IDS = 4096, 2048, 1 << 23
-MAGIC, VERSION = b"CMIX", 1
-#: Ids in a group of the order-0 counts; slots of the order-2 contexts.
-GROUP, SLOTS = 16, 4096
-#: What an id adds to the order-0 counts, and a right predictor to its weight; weights are halved when their sum is above the limit.
-ADD_COUNT, ADD_WEIGHT, WEIGHTS = 2, 24, 2048
-
-
-def _divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Quotients of numbers that are not negative."""
-    return np.floor_divide(a.view(np.uint64), b.view(np.uint64)).view(np.int64)
+MAGIC, VERSION = b"CMIX", 2
+#: Slots of the order-2 contexts; bits of the order-0 distribution's sum, which bounds a block, and of the weights' sum.
+SLOTS, ORDER_0, WEIGHTS = 4096, 12, 11
+#: The weights of orders 2 and 1 go a part of 2**LEARN of their way to 0, or to NAMED, which leaves something to order 0.
+LEARN, NAMED = 5, (1 << WEIGHTS) - 64
 
 
 # --- range coder, one lane for each block ---------------------------------------------------
@@ -105,8 +101,11 @@ class Decoder:
         self.range, self.used, self.lane = np.full(lanes, (1 << 48) - 1, np.int64), np.full(lanes, 3, np.int64), np.arange(lanes)
         self.value = (self.words[0] << 32) | (self.words[1] << 16) | self.words[2]
 
-    def target(self, unit: np.ndarray, total: np.ndarray) -> np.ndarray:
-        return np.minimum(_divide(self.value[: len(unit)], unit), total - 1)
+    def target(self, unit: np.ndarray, most: int) -> np.ndarray:
+        value = self.value[: len(unit)]
+        out = (value / unit).astype(np.int64)  # numbers of 48 bits: right, or rounded up to the next whole number
+        out -= out * unit > value
+        return np.minimum(out, most)
 
     def code(self, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         n = len(unit)
@@ -129,92 +128,60 @@ class Decoder:
 class Model:
     """What each lane has learned. ``step`` codes one id of each of the first ``lanes`` lanes, or decodes it.
 
-    An id that a predictor names is kept as 4 * id + sureness, 0 for none. The order-0 counts are in groups: ``below``
-    is what the groups before one count, ``within`` what the ids of its group before one do; with at most 4,096 ids of a block
-    all of them are below 2**15.
+    An id that a predictor names is kept as 4 * id + sureness, 0 for none. The order-0 distribution has 2**ORDER_0 slots: ``first``
+    is the first slot of an id, ``held`` the id of a slot (for decoding).
     """
 
-    def __init__(self, distinct: np.ndarray):
-        lanes, groups = len(distinct), max(1, -(-int(distinct.max(initial=1)) // GROUP))
-        room = groups * GROUP
-        known = (np.arange(room) < distinct[:, None]).astype(np.uint16).reshape(lanes, groups, GROUP)
-        sums = known.sum(axis=2)
-        self.counts = known.reshape(-1)
-        self.below = np.ascontiguousarray((np.cumsum(sums, axis=1) - sums).T.astype(np.uint16))
-        self.within = (np.cumsum(known, axis=2) - known).astype(np.uint16).reshape(-1, GROUP)
-        self.total = distinct.astype(np.int64)
+    def __init__(self, sizes: np.ndarray, distinct: np.ndarray, counts: np.ndarray, decodes: bool):
+        """Ids and distinct ids of each lane; how often each distinct id occurs, lane by lane."""
+        lanes, room = len(distinct), int(distinct.max(initial=0)) + 1
+        lane, ends = np.repeat(np.arange(lanes), distinct), np.cumsum(distinct)
+        no = np.arange(len(counts)) - (ends - distinct)[lane]
+        past = np.cumsum(counts) - (np.cumsum(sizes) - sizes)[lane]
+        first = np.zeros((lanes, room), np.uint16)
+        first[lane, no + 1] = -(-(past << ORDER_0) // sizes[lane])
+        self.first = first.reshape(-1)
+        self.held = np.repeat(no.astype(np.uint16), first[lane, no + 1] - first[lane, no]) if decodes else None
         self.one, self.two = np.zeros(lanes * room, np.uint16), np.zeros(lanes * SLOTS, np.uint16)
-        self.weights = np.full(lanes * 32, 1 << 32 | 1 << 16 | 2, np.int64)  # of order 2, 1 and 0, sixteen bits each
-        self.lane = np.arange(lanes)
-        self.at_id, self.at_slot, self.at_state, self.at_group = (self.lane * n for n in (room, SLOTS, 32, groups))
+        self.weights = np.full(lanes * 32, 1 << WEIGHTS - 2 + 16 | 1 << WEIGHTS - 2, np.int64)  # of order 2 and 1, sixteen bits each
+        self.at_id, self.at_slot, self.at_state, self.at_held = (np.arange(lanes) * n for n in (room, SLOTS, 32, 1 << ORDER_0))
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.group_no, self.inner_no = np.arange(groups, dtype=np.uint16)[:, None], np.arange(GROUP, dtype=np.uint16)
 
     def step(self, lanes: int, coder: Encoder | Decoder, ids: np.ndarray | None = None) -> np.ndarray:
-        last, lane, below, width = self.last[:lanes], self.lane[:lanes], self.below[:, :lanes], self.below.shape[1]
-        at_one = self.at_id[:lanes] + last
+        last, at_id = self.last[:lanes], self.at_id[:lanes]
+        at_one = at_id + last
         at_two = self.at_slot[:lanes] + ((self.before[:lanes] * 2531 + last * 1031) & (SLOTS - 1))
         one, two = self.one.take(at_one).astype(np.int64), self.two.take(at_two).astype(np.int64)
         id1, id2 = one >> 2, two >> 2
         state = self.at_state[:lanes] + ((two & 3) << 3) + ((one & 3) << 1) + (id1 == id2)
         weights = self.weights.take(state)
-        w2, w1, w0 = weights >> 32, (weights >> 16) & 0xFFFF, weights & 0xFFFF
-        n = self.total[:lanes]
+        w2, w1 = weights >> 16, weights & 0xFFFF
         named = w2 + w1
-        edge2, edge1, total = w2 * n, named * n, (named + w0) * n
-        unit = _divide(coder.range[:lanes], total)
+        w0 = (1 << WEIGHTS) - named
+        edge2, edge1 = w2 << ORDER_0, named << ORDER_0
+        unit = coder.range[:lanes] >> WEIGHTS + ORDER_0
         if ids is None:
-            target = coder.target(unit, total)
+            target = coder.target(unit, (1 << WEIGHTS + ORDER_0) - 1)
             hit2 = target < edge2
             miss = target >= edge1
             hit1 = ~(hit2 | miss)
-            rest = _divide(np.where(miss, target - edge1, 0), w0)
-            group = ((below <= rest.astype(np.uint16)).view(np.uint8).sum(axis=0, dtype=np.uint8) - np.uint8(1)).astype(np.int64)
+            rest = np.maximum((target - edge1) / w0, 0).astype(np.int64)  # exact: numbers of 23 and 11 bits
+            ids = np.where(miss, self.held.take(self.at_held[:lanes] + rest), np.where(hit1, id1, id2))
         else:
             hit2 = (ids == id2) & (two > 0)
             hit1 = (ids == id1) & (one > 0) & ~hit2
             miss = ~(hit2 | hit1)
-            group = ids >> 4
-        base = self.below.reshape(-1).take(group * width + lane).astype(np.int64)
-        row_at = self.at_group[:lanes] + group
-        row = self.within.take(row_at, axis=0)
-        if ids is None:
-            # the last id of the group that starts at or before the target
-            inner = np.bitwise_count((row <= (rest - base).astype(np.uint16)[:, None]).view(np.uint64)).sum(axis=1, dtype=np.int64) - 1
-            ids = np.where(miss, (group << 4) + inner, np.where(hit1, id1, id2))
-            at_count = self.at_id[:lanes] + ids
-            size0 = self.counts.take(self.at_id[:lanes] + (group << 4) + inner)
-        else:
-            inner = ids & (GROUP - 1)
-            at_count = self.at_id[:lanes] + ids
-            size0 = self.counts.take(at_count)
-        start0 = base + row.reshape(-1).take((lane << 4) + inner)
-        start = np.where(miss, edge1 + w0 * start0, edge2 * hit1)
-        size = np.where(miss, w0 * size0, np.where(hit1, w1, w2) * n)
-        coder.code(unit, start, size)
-        # the counts: one id more, and what lies behind it in its group, and the groups behind that
-        self.counts[at_count] += ADD_COUNT
-        n += ADD_COUNT
-        group, inner = (ids >> 4).astype(np.uint16), (ids & (GROUP - 1)).astype(np.uint16)
-        behind = group - self.group_no  # below 0, that is at least 2**15, behind the group
-        behind >>= 14
-        behind &= ADD_COUNT
-        below += behind
-        other = np.flatnonzero(~miss)  # of an id that was named the group's row has not been read yet, or was the same
-        row_at[other] = self.at_group.take(other) + group.take(other)
-        row[other] = self.within.take(row_at.take(other), axis=0)
-        behind = inner[:, None] - self.inner_no
-        behind >>= 14
-        behind &= ADD_COUNT
-        row += behind
-        self.within[row_at] = row
+        at = at_id + ids
+        first = self.first.take(at).astype(np.int64)
+        slots = self.first.take(at + 1) - first
+        coder.code(unit, np.where(miss, edge1 + w0 * first, edge2 * hit1), np.where(miss, w0 * slots, np.where(hit1, w1, w2) << ORDER_0))
         # the mixture, and what the predictors name next
-        weights += np.where(miss, ADD_WEIGHT, np.where(hit1, ADD_WEIGHT << 16, ADD_WEIGHT << 32))
-        halved = ((weights + 0x100010001) >> 1) & 0x7FFF7FFF7FFF
-        self.weights[state] = np.where(named + w0 > WEIGHTS - ADD_WEIGHT, halved, weights)
-        first = (ids << 2) + 1
-        self.one[at_one] = np.where(ids == id1, np.minimum(one + 1, first + 2), first)
-        self.two[at_two] = np.where(ids == id2, np.minimum(two + 1, first + 2), first)
+        w2 += (NAMED * hit2 - w2) >> LEARN
+        w1 += (NAMED * hit1 - w1) >> LEARN
+        self.weights[state] = (np.maximum(w2, 1) << 16) | np.maximum(w1, 1)
+        sure = (ids << 2) + 1
+        self.one[at_one] = np.where(ids == id1, np.minimum(one + 1, sure + 2), sure)
+        self.two[at_two] = np.where(ids == id2, np.minimum(two + 1, sure + 2), sure)
         self.before[:lanes] = last
         self.last[:lanes] = ids
         return ids
@@ -223,44 +190,79 @@ class Model:
 # --- frames ---------------------------------------------------------------------------------
 
 
-def _differences(ids: np.ndarray) -> bytes:
-    """The ascending ids as differences, seven bits a byte."""
-    d = np.diff(ids.astype(np.int64), prepend=0)
-    sevens = 1 + sum((d >= 1 << s).astype(np.int64) for s in (7, 14, 21, 28))
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers of at most 35 bits, seven bits a byte."""
+    sevens = 1 + sum((numbers >= 1 << s).astype(np.int64) for s in (7, 14, 21, 28))
     out, at = np.zeros(int(sevens.sum()), np.uint8), np.cumsum(sevens) - sevens
-    for k in range(5):
+    for k in range(int(sevens.max(initial=0))):
         has = sevens > k
-        out[at[has] + k] = ((d[has] >> (7 * k)) & 127) | np.where(sevens[has] > k + 1, 128, 0)
+        out[at[has] + k] = ((numbers[has] >> (7 * k)) & 127) | np.where(sevens[has] > k + 1, 128, 0)
     return out.tobytes()
 
 
-def _ascending(data: bytes) -> np.ndarray:
+def _unpacked(data: bytes) -> np.ndarray:
     b = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(b < 128)
     first = np.concatenate(([0], ends[:-1] + 1))
-    place = np.arange(len(b)) - np.repeat(first, ends - first + 1)
-    return np.cumsum(np.add.reduceat((b & 127).astype(np.int64) << (7 * place), first)) if len(ends) else np.zeros(0, np.int64)
+    place = np.minimum(np.arange(ends[-1] + 1 if len(ends) else 0) - np.repeat(first, ends - first + 1), 5) if len(ends) else ends
+    return np.add.reduceat((b[: len(place)] & 127).astype(np.int64) << (7 * place), first) if len(ends) else np.zeros(0, np.int64)
+
+
+def _alphabet(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    again = counts > 1
+    return zlib.compress(_packed(np.concatenate(((np.diff(ids.astype(np.int64), prepend=0) << 1) + again, counts[again] - 2))), 1)
+
+
+def _read_alphabet(data: bytes, size: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how often each occurs)."""
+    try:
+        numbers = _unpacked(zlib.decompress(data))
+    except zlib.error as e:
+        raise ValueError("a block's alphabet is damaged") from e
+    counts, again = np.ones(distinct, np.int64), (numbers[:distinct] & 1).astype(bool)
+    if len(numbers) != distinct + again.sum() or len(again) != distinct:
+        raise ValueError("a block's alphabet is damaged")
+    counts[again] = numbers[distinct:] + 2
+    if counts.sum() != size:
+        raise ValueError("a block's alphabet is damaged")
+    return np.cumsum(numbers[:distinct] >> 1), counts
+
+
+def _distinct(part: np.ndarray, no: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending distinct ids, number of each id among them, how often each occurs); no: room for 2**16 numbers."""
+    if part.max() >= len(no):
+        return np.unique(part, return_inverse=True, return_counts=True)
+    ordered = np.sort(part.astype(np.uint16))
+    first = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
+    ids = ordered[first]
+    no[ids] = np.arange(len(ids))
+    return ids, no[part], np.diff(first, append=len(part))
 
 
 def encode_frame(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """ids (unsigned 32-bit) as the data of a frame."""
+    if not 0 < block <= 1 << ORDER_0:
+        raise ValueError(f"a block has at most {1 << ORDER_0} ids")
     cut = [ids[at : at + block] for at in range(0, len(ids), block)]
-    table, alphabets, payloads = np.zeros((len(cut), 5), "<u4"), [], []
+    table, alphabets, payloads, no = np.zeros((len(cut), 5), "<u4"), [], [], np.zeros(1 << 16, np.uint16)
     for low in range(0, len(cut), LANES):
         some = cut[low : low + LANES]  # only the last block of a frame is shorter
-        symbols = np.zeros((block, len(some)), np.int64)
+        symbols, counts = np.zeros((len(some), block), np.uint16), []
         for lane, part in enumerate(some):
-            alphabet, symbols[: len(part), lane] = np.unique(part, return_inverse=True)
-            alphabets.append(_differences(alphabet))
+            alphabet, symbols[lane, : len(part)], often = _distinct(part, no)
+            counts.append(often)
+            alphabets.append(_alphabet(alphabet, often))
             table[low + lane] = len(part), len(alphabet), len(alphabets[-1]), 0, zlib.crc32(part.astype("<u4").tobytes())
-        sizes = table[low : low + len(some), 0]
-        coder, model = Encoder(len(some)), Model(table[low : low + len(some), 1].astype(np.int64))
+        symbols = np.ascontiguousarray(symbols.T)
+        sizes, distinct = table[low : low + len(some), :2].astype(np.int64).T
+        coder, model = Encoder(len(some)), Model(sizes, distinct, np.concatenate(counts), False)
         for t in range(int(sizes[0])):
             lanes = len(some) if t < sizes[-1] else len(some) - 1
-            model.step(lanes, coder, symbols[t, :lanes])
+            model.step(lanes, coder, symbols[t, :lanes].astype(np.int64))
         words, used = coder.finish()
         table[low : low + len(some), 3] = used
-        payloads += [words[:n, lane].tobytes() for lane, n in enumerate(used)]
+        words = np.ascontiguousarray(words.T)
+        payloads += [words[lane, :n].tobytes() for lane, n in enumerate(used)]
     head = MAGIC + np.array([VERSION, len(cut), zlib.crc32(table.tobytes())], "<u4").tobytes()
     return b"".join([head, table.tobytes(), *alphabets, *payloads])
 
@@ -278,18 +280,19 @@ def decode_frame(data: bytes) -> np.ndarray:
     out = []
     for low in range(0, int(n), LANES):
         some = table[low : low + LANES]
-        words = np.zeros((int(some[:, 3].max()), len(some)), np.uint16)
-        for lane, used in enumerate(some[:, 3]):
-            words[:used, lane] = np.frombuffer(data, "<u2", int(used), int(words_at[low + lane]))
-        coder, model = Decoder(words), Model(some[:, 1])
-        symbols = np.zeros((int(some[0, 0]), len(some)), np.int64)
+        words, alphabets = np.zeros((len(some), int(some[:, 3].max())), np.uint16), []
+        for lane, (size, distinct, length, used, _) in enumerate(some.tolist()):
+            words[lane, :used] = np.frombuffer(data, "<u2", used, int(words_at[low + lane]))
+            at = int(alphabet_at[low + lane])
+            alphabets.append(_read_alphabet(data[at : at + length], size, distinct))
+        coder, model = Decoder(np.ascontiguousarray(words.T)), Model(some[:, 0], some[:, 1], np.concatenate([counts for _, counts in alphabets]), True)
+        symbols = np.zeros((int(some[0, 0]), len(some)), np.uint16)
         for t in range(int(some[0, 0])):
             lanes = len(some) if t < some[-1, 0] else len(some) - 1
             symbols[t, :lanes] = model.step(lanes, coder)
-        for lane, (size, distinct, length, _, crc) in enumerate(some.tolist()):
-            at = int(alphabet_at[low + lane])
-            ids = _ascending(data[at : at + length])
-            part = ids[np.minimum(symbols[:size, lane], distinct - 1)].astype("<u4")
+        symbols = np.ascontiguousarray(symbols.T)
+        for lane, (size, distinct, _, _, crc) in enumerate(some.tolist()):
+            part = alphabets[lane][0][np.minimum(symbols[lane, :size], distinct - 1)].astype("<u4")
             if zlib.crc32(part.tobytes()) != crc:
                 raise ValueError("a block of token ids does not match its checksum")
             out.append(part)

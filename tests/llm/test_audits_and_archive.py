@@ -201,6 +201,21 @@ def test_blocks_are_independent_and_damage_is_found():
             token_archive.decode_frame(bytes(broken))
 
 
+def test_alphabets_hold_how_often_each_id_occurs():
+    g = np.random.default_rng(8)
+    for part in (np.array([2**32 - 1, 0, 7, 7], "<u4"), g.integers(0, 2**32, 4096).astype("<u4"), (g.zipf(1.3, 4096) % 49_408).astype("<u4"), np.full(4096, 9, "<u4")):
+        ids, no, counts = token_archive._distinct(part, np.zeros(1 << 16, np.uint16))
+        assert (ids[no] == part).all()
+        data = token_archive._alphabet(ids, counts)
+        got = token_archive._read_alphabet(data, len(part), len(ids))
+        assert (got[0] == ids).all() and (got[1] == counts).all()
+        for wrong in ((data, len(part) + 1, len(ids)), (data[:-1], len(part), len(ids)), (data, len(part), len(ids) + 1)):
+            with pytest.raises(ValueError):
+                token_archive._read_alphabet(*wrong)
+    with pytest.raises(ValueError):
+        token_archive.encode_frame(np.zeros(5000, "<u4"), 5000)
+
+
 def brute_ids(rows):
     from tokenizers import Tokenizer
 

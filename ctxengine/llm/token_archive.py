@@ -9,7 +9,7 @@ A block starts with its alphabet, the ascending distinct ids as differences, and
 under a mixture of three predictions: order 2 and order 1 each name one id, the last that followed the
 two (the one) before it, and order 0 is the distribution of the block's ids. The weights of the
 mixture are learned with each id, apart for each state of confidence of the two named ids, and
-drive a range coder of 48 bits that emits 16 bits at a time. Weights and distributions sum to powers of two, so
+drive a range coder of 64 bits that emits 32 bits at a time. Weights and distributions sum to powers of two, so
 nothing is divided but a decoder's value. What is coded is worked out in integers, so any machine decodes what another one wrote.
 
 The blocks of a frame are coded in lockstep, up to ``LANES`` of them at once, id by id: a numpy operation
@@ -27,6 +27,7 @@ damaged block is an error.
 
 from __future__ import annotations
 
+import copy
 import functools
 import zlib
 from collections.abc import Iterator
@@ -42,197 +43,260 @@ from .packing import WordIds
 END_ID = 1
 #: Ids in a block, blocks coded at once, ids in a frame (it ends with the document that reaches them).
 BLOCK, LANES, FRAME_IDS = 4096, 2048, 1 << 23
-MAGIC, VERSION = b"CMIX", 2
-#: Slots of the order-2 contexts; bits of the order-0 distribution's sum, which bounds a block, and of the weights' sum.
-SLOTS, ORDER_0, WEIGHTS = 4096, 12, 11
-#: The weights of orders 2 and 1 go a part of 2**LEARN of their way to 0, or to NAMED, which leaves something to order 0.
-LEARN, NAMED = 5, (1 << WEIGHTS) - 64
+MAGIC, VERSION = b"CMIX", 3
+#: Bits of the number of order-2 contexts; bits of the order-0 distribution's sum, which bounds a block, and of the weights' sum.
+SLOT_BITS, ORDER_0, WEIGHTS = 12, 12, 11
+SLOTS = 1 << SLOT_BITS
+#: The weights of orders 2 and 1 go a part of 2**LEARN of their way to 0, or to NAMED, which leaves something to order 0; they are kept with FINE more bits.
+LEARN, NAMED, FINE = 5, (1 << WEIGHTS) - 64, 4
+GAIN, LEARN_MASK = NAMED << FINE >> LEARN, (0x7FFF >> LEARN) * 0x10001
 
 
 # --- range coder, one lane for each block ---------------------------------------------------
 
 
 class Encoder:
-    """Low and range of each lane, of 48 bits; emitted words may hold a carry until ``finish`` hands it on."""
+    """Low and range of each lane, of 64 bits, and the words it has emitted, a row for each lane."""
 
-    def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
-        self.lane, self.used, self.most = np.arange(lanes), np.zeros(lanes, np.int64), 0
-        self.words = np.zeros((1024, lanes), np.uint32)
+    def __init__(self, lanes: int, steps: int):
+        """steps: ids of a lane at most; each emits a word at most."""
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+        self.words = np.zeros((lanes, steps + 2), np.uint32)
+        self.flat, self.first = self.words.reshape(-1), np.arange(lanes) * (steps + 2)
+        self.at = self.first.copy()
+
+    def narrow(self, lanes: int) -> Encoder:
+        """The first lanes alone, which share their state with this one."""
+        out = copy.copy(self)
+        out.low, out.range, out.at = self.low[:lanes], self.range[:lanes], self.at[:lanes]
+        return out
 
     def code(self, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """Narrows the first lanes to ``size`` units from ``start``. A very unlikely id takes two words."""
-        n = len(unit)
-        low, span, used = self.low[:n], self.range[:n], self.used[:n]
-        low += unit * start
-        np.multiply(unit, size, out=span)
-        full = span < 1 << 32
-        while full.any():
-            if self.most + 1 >= len(self.words):
-                self.most = int(self.used.max())
-                if self.most + 1 >= len(self.words):
-                    self.words = np.concatenate([self.words, np.zeros_like(self.words)])
-            self.words.reshape(-1)[used * self.words.shape[1] + self.lane[:n]] = low >> 32  # written again where the word isn't full yet
-            used += full
-            self.most += 1
-            low[:] = np.where(full, (low & 0xFFFFFFFF) << 16, low)
-            span[:] = np.where(full, span << 16, span)
-            full = span < 1 << 32
+        """Narrows each lane to ``size`` units from ``start``."""
+        past = unit * start
+        self.low += past
+        carried = (self.low < past).nonzero()[0]
+        if len(carried):
+            at = self.at.take(carried)
+            while len(at):  # further back only where a word was full of ones
+                at = at - 1
+                words = self.flat.take(at) + np.uint32(1)
+                self.flat[at] = words
+                at = at[words == 0]
+        np.multiply(unit, size, out=self.range)
+        full = (self.range < 1 << 32).nonzero()[0]
+        if len(full):
+            at, low = self.at.take(full), self.low.take(full)
+            self.flat[at] = low >> 32
+            self.at[full] = at + 1
+            self.low[full] = low << 32
+            self.range[full] = self.range.take(full) << 32
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
-        """(words, a column for each lane; how many of them it has)."""
-        self.words = np.concatenate([self.words, np.zeros((3, len(self.low)), np.uint32)])
-        lanes = np.arange(len(self.low))
-        for down, mask in ((32, 0x1FFFF), (16, 0xFFFF), (0, 0xFFFF)):
-            self.words[self.used, lanes] = (self.low >> down) & mask
-            self.used += 1
-        words = self.words[: self.used.max(initial=0)]
-        for k in range(len(words) - 1, 0, -1):
-            words[k - 1] += words[k] >> 16
-            words[k] &= 0xFFFF
-        return words.astype("<u2"), self.used
+        """(words, a row for each lane; how many of them it has)."""
+        self.flat[self.at] = self.low >> 32
+        self.flat[self.at + 1] = self.low & 0xFFFFFFFF
+        return self.words, self.at + 2 - self.first
 
 
 class Decoder:
     def __init__(self, words: np.ndarray):
-        """words: a column for each lane, zeros behind its end."""
-        lanes = words.shape[1]
-        self.words = np.concatenate([words, np.zeros((4, lanes), words.dtype)]).astype(np.int64)
-        self.range, self.used, self.lane = np.full(lanes, (1 << 48) - 1, np.int64), np.full(lanes, 3, np.int64), np.arange(lanes)
-        self.value = (self.words[0] << 32) | (self.words[1] << 16) | self.words[2]
+        """words: a row for each lane, zeros behind its end."""
+        lanes, most = words.shape
+        self.words = words.reshape(-1).astype(np.uint64)
+        self.range, self.at = np.full(lanes, (1 << 64) - 1, np.uint64), np.arange(lanes) * most + 2
+        self.value = (self.words[self.at - 2] << 32) | self.words[self.at - 1]
+
+    def narrow(self, lanes: int) -> Decoder:
+        out = copy.copy(self)
+        out.value, out.range, out.at = self.value[:lanes], self.range[:lanes], self.at[:lanes]
+        return out
 
     def target(self, unit: np.ndarray, most: int) -> np.ndarray:
-        value = self.value[: len(unit)]
-        out = (value / unit).astype(np.int64)  # numbers of 48 bits: right, or rounded up to the next whole number
-        out -= out * unit > value
-        return np.minimum(out, most)
+        return np.minimum(self.value // unit, most).astype(np.int32)
 
     def code(self, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        n = len(unit)
-        value, span = self.value[:n], self.range[:n]
-        value -= unit * start
-        np.multiply(unit, size, out=span)
-        full = span < 1 << 32
-        while full.any():
-            used = self.used[:n]
-            more = self.words.reshape(-1).take(np.minimum(used, len(self.words) - 1) * self.words.shape[1] + self.lane[:n])
-            value[:] = np.where(full, (value << 16) | more, value)
-            used += full
-            span[:] = np.where(full, span << 16, span)
-            full = span < 1 << 32
+        self.value -= unit * start
+        np.multiply(unit, size, out=self.range)
+        full = (self.range < 1 << 32).nonzero()[0]
+        if len(full):
+            at = self.at.take(full)
+            self.value[full] = (self.value.take(full) << 32) | self.words.take(at, mode="clip")  # clipped in damaged blocks only
+            self.at[full] = at + 1
+            self.range[full] = self.range.take(full) << 32
 
 
 # --- model ----------------------------------------------------------------------------------
 
 
+def _slots(sizes: np.ndarray, distinct: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first slot, slots) of each distinct id in its lane's order-0 distribution of 2**ORDER_0 slots; counts lane by lane."""
+    lane = np.repeat(np.arange(len(distinct)), distinct)
+    past = np.cumsum(counts) - (np.cumsum(sizes) - sizes)[lane]
+    ends = -(-(past << ORDER_0) // sizes[lane])
+    first = np.concatenate(([0], ends[:-1]))
+    first[np.cumsum(distinct) - distinct] = 0
+    return first, ends - first
+
+
 class Model:
-    """What each lane has learned. ``step`` codes one id of each of the first ``lanes`` lanes, or decodes it.
+    """What each lane has learned. ``encode`` codes one id of each lane, ``decode`` decodes it.
 
-    An id that a predictor names is kept as 4 * id + sureness, 0 for none. The order-0 distribution has 2**ORDER_0 slots: ``first``
-    is the first slot of an id, ``held`` the id of a slot (for decoding).
+    An id that a predictor names is kept as 4 * id + sureness; none is id 0 with sureness 0. A pair of weights, of order 2 and 1, is kept
+    in halves of a number, with FINE more bits than are used.
     """
 
-    def __init__(self, sizes: np.ndarray, distinct: np.ndarray, counts: np.ndarray, decodes: bool):
-        """Ids and distinct ids of each lane; how often each distinct id occurs, lane by lane."""
-        lanes, room = len(distinct), int(distinct.max(initial=0)) + 1
-        lane, ends = np.repeat(np.arange(lanes), distinct), np.cumsum(distinct)
-        no = np.arange(len(counts)) - (ends - distinct)[lane]
-        past = np.cumsum(counts) - (np.cumsum(sizes) - sizes)[lane]
-        first = np.zeros((lanes, room), np.uint16)
-        first[lane, no + 1] = -(-(past << ORDER_0) // sizes[lane])
-        self.first = first.reshape(-1)
-        self.held = np.repeat(no.astype(np.uint16), first[lane, no + 1] - first[lane, no]) if decodes else None
+    def __init__(self, distinct: np.ndarray):
+        lanes, room = len(distinct), int(distinct.max(initial=1))
         self.one, self.two = np.zeros(lanes * room, np.uint16), np.zeros(lanes * SLOTS, np.uint16)
-        self.weights = np.full(lanes * 32, 1 << WEIGHTS - 2 + 16 | 1 << WEIGHTS - 2, np.int64)  # of order 2 and 1, sixteen bits each
+        self.weights = np.full(lanes * 32, (1 << WEIGHTS - 2 + FINE) * 0x10001, np.int32)
         self.at_id, self.at_slot, self.at_state, self.at_held = (np.arange(lanes) * n for n in (room, SLOTS, 32, 1 << ORDER_0))
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def step(self, lanes: int, coder: Encoder | Decoder, ids: np.ndarray | None = None) -> np.ndarray:
-        last, at_id = self.last[:lanes], self.at_id[:lanes]
-        at_one = at_id + last
-        at_two = self.at_slot[:lanes] + ((self.before[:lanes] * 2531 + last * 1031) & (SLOTS - 1))
-        one, two = self.one.take(at_one).astype(np.int64), self.two.take(at_two).astype(np.int64)
+        self.at_one, self.last, self.hash = self.at_id.copy(), np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint16)
+
+    def distribution(self, distinct: np.ndarray, first: np.ndarray, slots: np.ndarray) -> None:
+        """For decoding: slots of an id, ids of a slot."""
+        lane = np.repeat(np.arange(len(distinct)), distinct)
+        no = np.arange(len(lane)) - (np.cumsum(distinct) - distinct)[lane]
+        self.slots, self.held = np.zeros(len(self.one), np.int32), np.repeat(no.astype(np.uint16), slots)
+        self.slots[self.at_id[lane] + no] = first << 16 | slots
+
+    def narrow(self, lanes: int) -> Model:
+        out = copy.copy(self)
+        for name in ("at_id", "at_slot", "at_state", "at_held", "at_one", "last", "hash"):
+            setattr(out, name, getattr(self, name)[:lanes])
+        return out
+
+    def _predicted(self) -> tuple[np.ndarray, ...]:
+        """Places and contents of what orders 1 and 2 name, place and pair of the weights, weights as they are used."""
+        at_two = self.at_slot + ((self.hash + self.last * np.uint16(1031)) >> 16 - SLOT_BITS)
+        one, two = self.one.take(self.at_one), self.two.take(at_two)
         id1, id2 = one >> 2, two >> 2
-        state = self.at_state[:lanes] + ((two & 3) << 3) + ((one & 3) << 1) + (id1 == id2)
-        weights = self.weights.take(state)
-        w2, w1 = weights >> 16, weights & 0xFFFF
-        named = w2 + w1
+        state = self.at_state + (((two & 3) << 3) | ((one & 3) << 1) | (id1 == id2))
+        pair = self.weights.take(state)
+        w2, w1 = pair >> 16 + FINE, (pair >> FINE) & (1 << WEIGHTS) - 1
+        return at_two, one, two, id1, id2, state, pair, w2, w1, w2 + w1
+
+    def _learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, same1: np.ndarray, at: np.ndarray, at_two: np.ndarray, one: np.ndarray, two: np.ndarray, state: np.ndarray, pair: np.ndarray) -> None:
+        """The mixture, and what the predictors name next. hit1: order 1 names it and order 2 does not, same1: order 1 names it."""
+        self.weights[state] = pair - ((pair >> LEARN) & LEARN_MASK) + (hit2 * np.int32(GAIN << 16) + hit1 * np.int32(GAIN))
+        base = ids << 2
+        new, most = base + np.uint16(1), base + np.uint16(3)
+        self.one[self.at_one] = np.where(same1, np.minimum(one + np.uint16(1), most), new)
+        self.two[at_two] = np.where(hit2, np.minimum(two + np.uint16(1), most), new)
+        np.multiply(self.last, np.uint16(2531), out=self.hash)
+        self.last[:] = ids
+        self.at_one[:] = at
+
+    def encode(self, coder: Encoder, ids: np.ndarray, slots: np.ndarray) -> None:
+        """slots: of each id the first one, and in the lower 16 bits how many it has."""
+        at_two, one, two, id1, id2, state, pair, w2, w1, named = self._predicted()
+        hit2, same1 = ids == id2, ids == id1
+        hit1 = same1 > hit2
+        w0 = (1 << WEIGHTS) - named
+        by_name = hit2 | hit1
+        start = np.where(by_name, hit1 * (w2 << ORDER_0), (named << ORDER_0) + w0 * (slots >> 16))
+        size = np.where(by_name, np.where(hit2, w2, w1) << ORDER_0, w0 * (slots & 0xFFFF))
+        coder.code(coder.range >> WEIGHTS + ORDER_0, start.astype(np.uint64), size.astype(np.uint64))
+        self._learn(ids, hit2, hit1, same1, self.at_id + ids, at_two, one, two, state, pair)
+
+    def decode(self, coder: Decoder) -> np.ndarray:
+        at_two, one, two, id1, id2, state, pair, w2, w1, named = self._predicted()
         w0 = (1 << WEIGHTS) - named
         edge2, edge1 = w2 << ORDER_0, named << ORDER_0
-        unit = coder.range[:lanes] >> WEIGHTS + ORDER_0
-        if ids is None:
-            target = coder.target(unit, (1 << WEIGHTS + ORDER_0) - 1)
-            hit2 = target < edge2
-            miss = target >= edge1
-            hit1 = ~(hit2 | miss)
-            rest = np.maximum((target - edge1) / w0, 0).astype(np.int64)  # exact: numbers of 23 and 11 bits
-            ids = np.where(miss, self.held.take(self.at_held[:lanes] + rest), np.where(hit1, id1, id2))
-        else:
-            hit2 = (ids == id2) & (two > 0)
-            hit1 = (ids == id1) & (one > 0) & ~hit2
-            miss = ~(hit2 | hit1)
-        at = at_id + ids
-        first = self.first.take(at).astype(np.int64)
-        slots = self.first.take(at + 1) - first
-        coder.code(unit, np.where(miss, edge1 + w0 * first, edge2 * hit1), np.where(miss, w0 * slots, np.where(hit1, w1, w2) << ORDER_0))
-        # the mixture, and what the predictors name next
-        w2 += (NAMED * hit2 - w2) >> LEARN
-        w1 += (NAMED * hit1 - w1) >> LEARN
-        self.weights[state] = (np.maximum(w2, 1) << 16) | np.maximum(w1, 1)
-        sure = (ids << 2) + 1
-        self.one[at_one] = np.where(ids == id1, np.minimum(one + 1, sure + 2), sure)
-        self.two[at_two] = np.where(ids == id2, np.minimum(two + 1, sure + 2), sure)
-        self.before[:lanes] = last
-        self.last[:lanes] = ids
+        unit = coder.range >> WEIGHTS + ORDER_0
+        target = coder.target(unit, (1 << WEIGHTS + ORDER_0) - 1)
+        hit2, miss = target < edge2, target >= edge1
+        rest = ((target - edge1) / w0).astype(np.int64) & (1 << ORDER_0) - 1  # exact where it is used: numbers of 23 and 11 bits
+        ids = np.where(miss, self.held.take(self.at_held + rest), np.where(hit2, id2, id1))
+        at = self.at_id + ids
+        slots = self.slots.take(at, mode="clip")
+        hit1 = ~(hit2 | miss)
+        start = np.where(miss, edge1 + w0 * (slots >> 16), hit1 * edge2)
+        size = np.where(miss, w0 * (slots & 0xFFFF), np.where(hit2, w2, w1) << ORDER_0)
+        coder.code(unit, start.astype(np.uint64), size.astype(np.uint64))
+        self._learn(ids, hit2, hit1, ids == id1, at, at_two, one, two, state, pair)
         return ids
 
 
 # --- frames ---------------------------------------------------------------------------------
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Numbers of at most 35 bits, seven bits a byte."""
-    sevens = 1 + sum((numbers >= 1 << s).astype(np.int64) for s in (7, 14, 21, 28))
-    out, at = np.zeros(int(sevens.sum()), np.uint8), np.cumsum(sevens) - sevens
-    for k in range(int(sevens.max(initial=0))):
-        has = sevens > k
-        out[at[has] + k] = ((numbers[has] >> (7 * k)) & 127) | np.where(sevens[has] > k + 1, 128, 0)
-    return out.tobytes()
+def _packed(numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Numbers of at most 35 bits, seven bits a byte; where the bytes of each end."""
+    sevens = np.ones(len(numbers), np.int64)
+    for s in (7, 14, 21, 28):
+        sevens += numbers >= 1 << s
+    ends = np.cumsum(sevens)
+    out, at = np.zeros(int(sevens.sum()), np.uint8), ends - sevens
+    out[at] = (numbers & 127) | (sevens > 1) * 128
+    for k in range(1, int(sevens.max(initial=0))):
+        has = np.flatnonzero(sevens > k)
+        out[at[has] + k] = ((numbers[has] >> (7 * k)) & 127) | (sevens[has] > k + 1) * 128
+    return out.tobytes(), ends
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    b = np.frombuffer(data, np.uint8)
+def _unpacked(b: np.ndarray) -> np.ndarray:
+    """The numbers of bytes, the last of which ends one."""
     ends = np.flatnonzero(b < 128)
     first = np.concatenate(([0], ends[:-1] + 1))
-    place = np.minimum(np.arange(ends[-1] + 1 if len(ends) else 0) - np.repeat(first, ends - first + 1), 5) if len(ends) else ends
-    return np.add.reduceat((b[: len(place)] & 127).astype(np.int64) << (7 * place), first) if len(ends) else np.zeros(0, np.int64)
+    place = np.minimum(np.arange(len(b)) - np.repeat(first, ends - first + 1), 5)
+    return np.add.reduceat((b & 127).astype(np.int64) << (7 * place), first)
+
+
+def _alphabets(ids: np.ndarray, counts: np.ndarray, distinct: np.ndarray) -> list[bytes]:
+    """Ids and how often each occurs, block by block, of which each has at least one."""
+    starts = np.cumsum(distinct) - distinct
+    steps, again = np.diff(ids.astype(np.int64), prepend=0), counts > 1
+    steps[starts] = ids[starts]
+    more = np.add.reduceat(again.astype(np.int64), starts)
+    at = np.arange(len(ids)) + np.repeat(np.cumsum(more) - more, distinct)
+    numbers, is_step = np.zeros(len(ids) + int(more.sum()), np.int64), np.zeros(len(ids) + int(more.sum()), bool)
+    is_step[at], numbers[at] = True, (steps << 1) + again
+    numbers[~is_step] = counts[again] - 2
+    data, ends = _packed(numbers)
+    cuts = [0, *ends[np.cumsum(distinct + more) - 1].tolist()]
+    return [zlib.compress(data[a:z], 1) for a, z in zip(cuts, cuts[1:], strict=False)]
+
+
+def _read_alphabets(data: list[bytes], sizes: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how often each occurs), block by block."""
+    try:
+        plain = [zlib.decompress(d) for d in data]
+    except zlib.error as e:
+        raise ValueError("a block's alphabet is damaged") from e
+    if not all(p and p[-1] < 128 for p in plain) or distinct.min() < 1:
+        raise ValueError("a block's alphabet is damaged")
+    b, lengths = np.frombuffer(b"".join(plain), np.uint8), np.array([len(p) for p in plain])
+    numbers, n = _unpacked(b), np.add.reduceat((b < 128).astype(np.int64), np.cumsum(lengths) - lengths)
+    if (n < distinct).any():
+        raise ValueError("a block's alphabet is damaged")
+    starts = np.cumsum(distinct) - distinct
+    at = np.arange(int(distinct.sum())) + np.repeat(np.cumsum(n) - n - starts, distinct)
+    steps, is_more = numbers[at], np.ones(len(numbers), bool)
+    is_more[at], again = False, (steps & 1).astype(bool)
+    if (n != distinct + np.add.reduceat(again.astype(np.int64), starts)).any():
+        raise ValueError("a block's alphabet is damaged")
+    counts = np.ones(len(steps), np.int64)
+    counts[again] = numbers[is_more] + 2
+    if (np.add.reduceat(counts, starts) != sizes).any():
+        raise ValueError("a block's alphabet is damaged")
+    ids = np.cumsum(steps >> 1)
+    return ids - np.repeat(ids[starts] - (steps[starts] >> 1), distinct), counts
 
 
 def _alphabet(ids: np.ndarray, counts: np.ndarray) -> bytes:
-    again = counts > 1
-    return zlib.compress(_packed(np.concatenate(((np.diff(ids.astype(np.int64), prepend=0) << 1) + again, counts[again] - 2))), 1)
+    return _alphabets(ids, counts, np.array([len(ids)]))[0]
 
 
 def _read_alphabet(data: bytes, size: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, how often each occurs)."""
-    try:
-        numbers = _unpacked(zlib.decompress(data))
-    except zlib.error as e:
-        raise ValueError("a block's alphabet is damaged") from e
-    counts, again = np.ones(distinct, np.int64), (numbers[:distinct] & 1).astype(bool)
-    if len(numbers) != distinct + again.sum() or len(again) != distinct:
-        raise ValueError("a block's alphabet is damaged")
-    counts[again] = numbers[distinct:] + 2
-    if counts.sum() != size:
-        raise ValueError("a block's alphabet is damaged")
-    return np.cumsum(numbers[:distinct] >> 1), counts
+    return _read_alphabets([data], np.array([size]), np.array([distinct]))
 
 
 def _distinct(part: np.ndarray, no: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ascending distinct ids, number of each id among them, how often each occurs); no: room for 2**16 numbers."""
     if part.max() >= len(no):
         return np.unique(part, return_inverse=True, return_counts=True)
-    ordered = np.sort(part.astype(np.uint16))
+    ordered = np.sort(part.astype(np.uint16), kind="stable")  # by digits
     first = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
     ids = ordered[first]
     no[ids] = np.arange(len(ids))
@@ -243,26 +307,34 @@ def encode_frame(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """ids (unsigned 32-bit) as the data of a frame."""
     if not 0 < block <= 1 << ORDER_0:
         raise ValueError(f"a block has at most {1 << ORDER_0} ids")
+    ids = np.ascontiguousarray(ids, "<u4")
     cut = [ids[at : at + block] for at in range(0, len(ids), block)]
     table, alphabets, payloads, no = np.zeros((len(cut), 5), "<u4"), [], [], np.zeros(1 << 16, np.uint16)
     for low in range(0, len(cut), LANES):
         some = cut[low : low + LANES]  # only the last block of a frame is shorter
-        symbols, counts = np.zeros((len(some), block), np.uint16), []
+        symbols, alphabet, counts = np.zeros((len(some), len(some[0])), np.uint16), [], []
         for lane, part in enumerate(some):
-            alphabet, symbols[lane, : len(part)], often = _distinct(part, no)
+            held, symbols[lane, : len(part)], often = _distinct(part, no)
+            alphabet.append(held)
             counts.append(often)
-            alphabets.append(_alphabet(alphabet, often))
-            table[low + lane] = len(part), len(alphabet), len(alphabets[-1]), 0, zlib.crc32(part.astype("<u4").tobytes())
-        symbols = np.ascontiguousarray(symbols.T)
+            table[low + lane, [0, 1, 4]] = len(part), len(held), zlib.crc32(part)
         sizes, distinct = table[low : low + len(some), :2].astype(np.int64).T
-        coder, model = Encoder(len(some)), Model(sizes, distinct, np.concatenate(counts), False)
-        for t in range(int(sizes[0])):
-            lanes = len(some) if t < sizes[-1] else len(some) - 1
-            model.step(lanes, coder, symbols[t, :lanes].astype(np.int64))
-        words, used = coder.finish()
+        often, ends = np.concatenate(counts), np.cumsum(distinct)
+        alphabets += _alphabets(np.concatenate(alphabet), often, distinct)
+        table[low : low + len(some), 2] = [len(a) for a in alphabets[low:]]
+        first, slots = _slots(sizes, distinct, often)
+        held = (first << 16 | slots).astype(np.int32)
+        slots = np.stack([held[end - n : end].take(row, mode="clip") for end, n, row in zip(ends, distinct, symbols, strict=True)])
+        whole = coder, model = Encoder(len(some), symbols.shape[1]), Model(distinct)
+        for at in range(0, symbols.shape[1], 64):
+            for t, ids_t, slots_t in zip(range(at, at + 64), np.ascontiguousarray(symbols[:, at : at + 64].T), np.ascontiguousarray(slots[:, at : at + 64].T), strict=False):
+                if t == sizes[-1]:
+                    coder, model = (x.narrow(len(some) - 1) for x in whole)
+                n = len(model.at_id)
+                model.encode(coder, ids_t[:n], slots_t[:n])
+        words, used = whole[0].finish()
         table[low : low + len(some), 3] = used
-        words = np.ascontiguousarray(words.T)
-        payloads += [words[lane, :n].tobytes() for lane, n in enumerate(used)]
+        payloads += [words[lane, :n].astype("<u4").tobytes() for lane, n in enumerate(used)]
     head = MAGIC + np.array([VERSION, len(cut), zlib.crc32(table.tobytes())], "<u4").tobytes()
     return b"".join([head, table.tobytes(), *alphabets, *payloads])
 
@@ -276,24 +348,30 @@ def decode_frame(data: bytes) -> np.ndarray:
     if zlib.crc32(data[16 : 16 + 20 * int(n)]) != crc:
         raise ValueError("a frame's table is damaged")
     alphabet_at = 16 + 20 * int(n) + np.concatenate(([0], np.cumsum(table[:, 2])))
-    words_at = alphabet_at[-1] + 2 * np.concatenate(([0], np.cumsum(table[:, 3])))
+    words_at = alphabet_at[-1] + 4 * np.concatenate(([0], np.cumsum(table[:, 3])))
     out = []
     for low in range(0, int(n), LANES):
         some = table[low : low + LANES]
-        words, alphabets = np.zeros((len(some), int(some[:, 3].max())), np.uint16), []
-        for lane, (size, distinct, length, used, _) in enumerate(some.tolist()):
-            words[lane, :used] = np.frombuffer(data, "<u2", used, int(words_at[low + lane]))
-            at = int(alphabet_at[low + lane])
-            alphabets.append(_read_alphabet(data[at : at + length], size, distinct))
-        coder, model = Decoder(np.ascontiguousarray(words.T)), Model(some[:, 0], some[:, 1], np.concatenate([counts for _, counts in alphabets]), True)
-        symbols = np.zeros((int(some[0, 0]), len(some)), np.uint16)
-        for t in range(int(some[0, 0])):
-            lanes = len(some) if t < some[-1, 0] else len(some) - 1
-            symbols[t, :lanes] = model.step(lanes, coder)
-        symbols = np.ascontiguousarray(symbols.T)
-        for lane, (size, distinct, _, _, crc) in enumerate(some.tolist()):
-            part = alphabets[lane][0][np.minimum(symbols[lane, :size], distinct - 1)].astype("<u4")
-            if zlib.crc32(part.tobytes()) != crc:
+        words = np.zeros((len(some), max(2, int(some[:, 3].max()))), np.uint32)
+        for lane, used in enumerate(some[:, 3].tolist()):
+            words[lane, :used] = np.frombuffer(data, "<u4", used, int(words_at[low + lane]))
+        cuts = alphabet_at[low : low + len(some) + 1].tolist()
+        sizes, distinct = some[:, 0], some[:, 1]
+        alphabet, counts = _read_alphabets([data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)], sizes, distinct)
+        whole = coder, model = Decoder(words), Model(distinct)
+        model.distribution(distinct, *_slots(sizes, distinct, counts))
+        symbols = np.zeros((len(some), int(sizes[0])), np.uint16)
+        for at in range(0, symbols.shape[1], 64):
+            some_ids = np.zeros((min(64, symbols.shape[1] - at), len(some)), np.uint16)
+            for t, ids_t in enumerate(some_ids, at):
+                if t == sizes[-1]:
+                    coder, model = (x.narrow(len(some) - 1) for x in whole)
+                ids_t[: len(model.at_id)] = model.decode(coder)
+            symbols[:, at : at + 64] = some_ids.T
+        alphabet, ends = alphabet.astype("<u4"), np.cumsum(distinct)
+        for row, size, n, end, crc in zip(symbols, sizes, distinct, ends, some[:, 4], strict=True):
+            part = alphabet[end - n : end].take(row[:size], mode="clip")
+            if zlib.crc32(part) != crc:
                 raise ValueError("a block of token ids does not match its checksum")
             out.append(part)
     return np.concatenate(out) if out else np.zeros(0, "<u4")

@@ -201,6 +201,31 @@ def test_blocks_are_independent_and_damage_is_found():
             token_archive.decode_frame(bytes(broken))
 
 
+def test_a_carry_goes_back_over_full_words():
+    coder = token_archive.Encoder(2, 9)
+    coder.words[0, :4] = 5, 2**32 - 1, 2**32 - 1, 2**32 - 1
+    coder.at += 4
+    coder.low[:] = 2**64 - 1, 7
+    coder.code(np.full(2, 1 << 40, np.uint64), np.ones(2, np.uint64), np.ones(2, np.uint64))
+    assert coder.words[0, :4].tolist() == [6, 0, 0, 0] and not coder.words[1].any() and coder.low[0] == (1 << 40) - 1
+
+
+def test_alphabets_of_many_blocks_are_those_of_each():
+    g = np.random.default_rng(9)
+    parts = [np.unique(g.integers(0, 2**32, n), return_counts=True) for n in (1, 40, 4096)] + [np.unique(g.zipf(1.3, 4096) % 49_408, return_counts=True)]
+    ids, counts, distinct = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.array([len(p[0]) for p in parts])
+    data = token_archive._alphabets(ids, counts, distinct)
+    assert data == [token_archive._alphabet(*p) for p in parts]
+    sizes = np.array([p[1].sum() for p in parts])
+    got = token_archive._read_alphabets(data, sizes, distinct)
+    assert (got[0] == ids).all() and (got[1] == counts).all()
+    for k in range(4):
+        with pytest.raises(ValueError):
+            token_archive._read_alphabets(data, sizes + (np.arange(4) == k), distinct)
+        with pytest.raises(ValueError):
+            token_archive._read_alphabets([d[:-1] if i == k else d for i, d in enumerate(data)], sizes, distinct)
+
+
 def test_alphabets_hold_how_often_each_id_occurs():
     g = np.random.default_rng(8)
     for part in (np.array([2**32 - 1, 0, 7, 7], "<u4"), g.integers(0, 2**32, 4096).astype("<u4"), (g.zipf(1.3, 4096) % 49_408).astype("<u4"), np.full(4096, 9, "<u4")):

@@ -27,22 +27,28 @@ damaged block is an error.
 
 from __future__ import annotations
 
+import codecs
 import copy
 import functools
+import itertools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches, new_path, small_or
-from .packing import WordIds
+from .packing import ENDS, WordIds
 
 END_ID = 1
 #: Ids in a block, blocks coded at once, ids in a frame (it ends with the document that reaches them).
 BLOCK, LANES, FRAME_IDS = 4096, 2048, 1 << 23
+#: Bytes of text that are tokenised at once; parts of chunks that a worker remembers, and bytes of the longest of them.
+TEXT_BYTES, REMEMBERED_PARTS, LONGEST_PART = 1 << 25, 1_000_000, 64
 MAGIC, VERSION = b"CMIX", 3
 #: Bits of the number of order-2 contexts; bits of the order-0 distribution's sum, which bounds a block, and of the weights' sum.
 SLOT_BITS, ORDER_0, WEIGHTS = 12, 12, 11
@@ -380,15 +386,126 @@ def decode_frame(data: bytes) -> np.ndarray:
 # --- archive --------------------------------------------------------------------------------
 
 
-class _Remembering(WordIds):
-    """Remembers more chunks."""
+def _ranges(ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, of which each ends before one of the ends."""
+    after = np.cumsum(sizes)
+    return np.arange(after[-1] if len(after) else 0) + np.repeat(ends - after, sizes)
 
-    remembered = 200_000
+
+def _gathered(ids: np.ndarray, ends: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of these lists one after the other, where each ends); ends: where each list ends in ids."""
+    sizes = np.diff(ends, prepend=0).take(lists)
+    return ids.take(_ranges(ends.take(lists), sizes)), np.cumsum(sizes)
+
+
+def _strings(texts: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """Where texts start and end, and their bytes."""
+    return np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset), texts.buffers()[2] or pa.py_buffer(b"")
+
+
+def _parts(chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Lower-case word and marks of each chunk in Latin-1 that is a word with marks behind it; any other chunk is a word."""
+    latin = pc.invert(pc.match_substring_regex(chunks, r"[^\x{0}-\x{ff}]"))
+    chunks = pc.if_else(latin, pc.utf8_lower(chunks), chunks)
+    words = pc.utf8_rtrim(chunks, ENDS)
+    words = pc.if_else(pc.and_(latin, pc.utf8_is_alpha(words)), words, chunks)
+    at, data = _strings(chunks)
+    sizes = np.diff(at) - pc.binary_length(words).to_numpy()
+    marks = np.frombuffer(data, np.uint8).take(_ranges(at[1:], sizes))
+    return words, pa.StringArray.from_buffers(len(chunks), pa.py_buffer(np.cumsum(np.insert(sizes, 0, 0), dtype=np.int32)), pa.py_buffer(marks))
+
+
+class TextIds:
+    """Ids of many texts at once.
+
+    Arrow cuts the texts into chunks at white space, numbers the distinct ones, and cuts these into a word and the marks behind it
+    (see ``WordIds``); the tokenizer's model is called only for those parts that are not remembered.
+    ``known`` are the remembered parts, ``ids`` theirs, and ``ends`` where the ids of each one end.
+    """
+
+    def __init__(self, path: str, remembered: int = REMEMBERED_PARTS):
+        self.words, self.remembered = WordIds(path), remembered
+        self.known, self.ids, self.ends = pa.array([""]), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _call(self, parts: list[str]) -> None:
+        """Appends what the tokenizer gives for new parts."""
+        flat, sizes, tokenize, alphabet = [], [], self.words.model.tokenize, self.words.alphabet
+        for part in parts:
+            if part.isalpha() and part.isascii():
+                ids = [t.id for t in tokenize(part)]
+            elif part.isalpha() and max(part) < "\u0100":
+                ids = [t.id for t in tokenize(codecs.charmap_decode(part.encode(), "strict", alphabet)[0])]
+            else:
+                ids = array("I", self.words._ids(part))
+            flat += ids
+            sizes.append(len(ids))
+        self.ids = np.concatenate((self.ids, np.array(flat, "<u4")))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)))
+
+    def _remember(self, parts: pa.Array, often: np.ndarray) -> None:
+        """Forgets long parts, and all but the most frequent half where there are too many."""
+        self.known, short = parts, pc.binary_length(parts).to_numpy() <= LONGEST_PART
+        if len(parts) > self.remembered or not short.all():
+            kept = np.flatnonzero(short)
+            if len(parts) > self.remembered:
+                kept = np.union1d(0, kept[np.argsort(-often[kept], kind="stable")[: self.remembered // 2]])
+            self.known, (self.ids, self.ends) = parts.take(pa.array(kept)), _gathered(self.ids, self.ends, kept)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id; how many each has)."""
+        whole, texts = {}, pc.fill_null(texts, "")
+        at, data = _strings(texts)
+        data = data[int(at[0]) : int(at[-1])].to_pybytes()
+        if any(mark.encode() in data for mark in self.words.marks):
+            whole = {i: text for i, text in enumerate(texts.to_pylist()) if any(mark in text for mark in self.words.marks)}
+            texts = pa.array(["" if i in whole else text for i, text in enumerate(texts.to_pylist())])
+        cut = pc.utf8_split_whitespace(texts)
+        chunks = cut.flatten().dictionary_encode()
+        words, marks = _parts(chunks.dictionary)
+        _, word, mark = (numbered := pa.chunked_array([self.known, words, marks]).dictionary_encode()).chunks
+        fresh = mark.dictionary.slice(len(self.known))
+        if len(fresh):
+            self._call(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(fresh)], pa.int32()), fresh), "\n")[0].as_py().split("\n"))
+        word, mark = word.indices.to_numpy(), mark.indices.to_numpy()
+        ids, ends = _gathered(self.ids, self.ends, np.stack((word, mark), 1).reshape(-1))
+        text_ends, no = np.cumsum(pc.list_value_length(cut).to_numpy()), chunks.indices.to_numpy()
+        often = np.bincount(no, minlength=len(word))
+        self._remember(numbered.chunk(2).dictionary, np.bincount(word, often, len(self.ends)) + np.bincount(mark, often, len(self.ends)))
+        # the end id is one chunk more, behind each text
+        ids, ends = _gathered(np.append(ids, np.uint32(end_id)), np.append(ends[1::2], len(ids) + 1), np.insert(no, text_ends, len(word)))
+        sizes = np.diff(ends[text_ends + np.arange(len(text_ends))], prepend=0)
+        if whole:
+            each = np.split(ids, np.cumsum(sizes)[:-1])
+            for i, text in whole.items():
+                each[i] = np.append(np.frombuffer(self.words.encode(text), "<u4"), np.uint32(end_id))
+            ids, sizes = np.concatenate(each), np.array([len(e) for e in each])
+        return ids, sizes
 
 
 @functools.lru_cache(maxsize=1)
-def _words(path: str) -> _Remembering:
-    return _Remembering(path)
+def _texts(path: str) -> TextIds:
+    return TextIds(path)
+
+
+def _by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most that many bytes of the column, or of one row."""
+    held, room = [], most
+    for b in batches:
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy()), 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = int(np.searchsorted(ends, before + room, side="right"))
+            if to == at and not held:
+                to += 1
+            if to > at:
+                held.append(b.slice(at, to - at))
+                room -= int(ends[to - 1]) - before
+            if to < b.num_rows:
+                yield pa.concat_batches(held)
+                held, room = [], most
+            at = to
+    if held:
+        yield pa.concat_batches(held)
 
 
 def write_archive(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", frame_ids: int = FRAME_IDS) -> str:
@@ -396,20 +513,24 @@ def write_archive(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id
     spark = docs.sparkSession
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _words(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        texts = _texts(tokenizer_path)
         names, lengths, held, size, part, frame = [], [], [], 0, 0, 0
 
         def row() -> pa.RecordBatch:
-            data = encode_frame(np.frombuffer(b"".join(held), "<u4"))
-            columns = [pa.array([part], pa.int32()), pa.array([frame], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([data], pa.binary())]
+            data = encode_frame(np.concatenate(held))
+            columns = [pa.array([part], pa.int32()), pa.array([frame], pa.int32()), pa.array([list(itertools.chain(*names))], pa.list_(pa.int64())), pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([data], pa.binary())]
             return pa.record_batch(columns, names=["part", "frame", "doc_ids", "lengths", "n_ids", "data"])
 
-        for b in batches:
-            for part, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):  # noqa: B007
-                held.append(words.encode(text.as_py() or "") + end)
-                names.append(doc)
-                lengths.append(len(held[-1]) // 4)
-                size += lengths[-1]
+        for b in _by_bytes(batches, "text", TEXT_BYTES):
+            part, docs = b.column("part")[0].as_py(), b.column("doc_id").to_pylist()
+            ids, each = texts.encode(b.column("text"), end_id)
+            ends, at, id_at = np.cumsum(each), 0, 0
+            while at < len(docs):
+                to = min(int(np.searchsorted(ends, id_at + frame_ids - size)) + 1, len(docs))
+                names.append(docs[at:to])
+                lengths.append(each[at:to])
+                held.append(ids[id_at : int(ends[to - 1])])
+                size, at, id_at = size + len(held[-1]), to, int(ends[to - 1])
                 if size >= frame_ids:
                     yield row()
                     names, lengths, held, size, frame = [], [], [], 0, frame + 1

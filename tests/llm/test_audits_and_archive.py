@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from test_operators import WORD, odd_documents
@@ -248,6 +249,46 @@ def brute_ids(rows):
     return [(i, np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4")) for i, x in rows]
 
 
+ODD_TEXTS = [
+    None, "", " ", "Thing, thing. THING!? thing's don't, 'tis", "\t a\x85b\xa0c\u2028d\x0b", "Àéÿ, ÀÉß! µ, ª; ñ\u0303, \xadx\xad",
+    "\u212aelvin, İs, e\u0301, thing, ÀB, 漢字, ж, a\u0338, a=\u0338 Thing,", "12,345 a1, ,a, ... #x# <| |>", "x<|endoftext|>y thing", "a\x1cb\x1fc, thing", "thing," * 3000, "end \U0001f600, thing",
+]
+
+
+def test_texts_at_once_have_the_ids_of_the_tokenizer():
+    texts = token_archive.TextIds(queries.tokenizer_path())
+    want = [i.tolist() for _, i in brute_ids(enumerate(ODD_TEXTS))]
+    for rows in (range(12), range(11, -1, -1), [5, 3, 5], [8], [0, 2, 0], [1, 6]):
+        ids, each = texts.encode(pa.array([ODD_TEXTS[k] for k in rows], pa.string()), 1)
+        assert [i.tolist() for i in np.split(ids, np.cumsum(each)[:-1])] == [want[k] for k in rows]
+    cut = pa.array(["no", *ODD_TEXTS, "no"], pa.string()).slice(1, len(ODD_TEXTS))
+    assert texts.encode(cut, 1)[0].tolist() == list(itertools.chain(*want))
+
+
+def test_known_words_are_not_tokenised_again(monkeypatch):
+    texts, called = token_archive.TextIds(queries.tokenizer_path(), 60), []
+    call = texts._call
+    monkeypatch.setattr(texts, "_call", lambda parts: (called.extend(parts), call(parts)))
+    ids, each = texts.encode(pa.array(["Thing, thing THING! thing", "(thing) other,"]), 1)
+    assert sorted(called) == ["!", "(thing)", ",", "other", "thing"] and each.tolist() == [7, 6] and len(ids) == 13
+    texts.encode(pa.array(["other! Thing,"]), 1)
+    assert len(called) == 5
+    want = dict(brute_ids(enumerate(" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}q" for k in range(at, at + 40)) + " thing thing" for at in range(0, 400, 20))))
+    for k, more in want.items():  # forgets, but not what occurs most
+        text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(20 * k, 20 * k + 40)) + " thing thing"
+        assert texts.encode(pa.array([text]), 1)[0].tolist() == more.tolist() and len(texts.known) <= 60
+    assert called.count("thing") == 1
+    texts.encode(pa.array(["q" * 65]), 1)
+    assert "q" * 65 not in texts.known.to_pylist()
+
+
+def test_rows_are_joined_and_cut_by_bytes():
+    sizes = [3, 0, None, 5, 20, 1, 1, 9, 10, 2]
+    rows = pa.record_batch([pa.array(range(10)), pa.array([n if n is None else "x" * n for n in sizes])], names=["id", "text"])
+    got = list(token_archive._by_bytes(iter([rows.slice(0, 2), rows.slice(2, 0), rows.slice(2, 6), rows.slice(8)]), "text", 10))
+    assert [b.column("id").to_pylist() for b in got] == [[0, 1, 2, 3], [4], [5, 6], [7], [8], [9]]
+
+
 def check_archive(docs, rows, got):
     at, want = 0, []
     for i, ids in brute_ids(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))):

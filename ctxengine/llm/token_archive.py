@@ -56,6 +56,8 @@ SLOTS = 1 << SLOT_BITS
 #: The weights of orders 2 and 1 go a part of 2**LEARN of their way to 0, or to NAMED, which leaves something to order 0; they are kept with FINE more bits.
 LEARN, NAMED, FINE = 5, (1 << WEIGHTS) - 64, 4
 GAIN, LEARN_MASK = NAMED << FINE >> LEARN, (0x7FFF >> LEARN) * 0x10001
+#: A pair of weights at first.
+EVEN = (1 << WEIGHTS - 2 + FINE) * 0x10001
 
 
 # --- range coder, one lane for each block ---------------------------------------------------
@@ -146,7 +148,7 @@ def _slots(sizes: np.ndarray, distinct: np.ndarray, counts: np.ndarray) -> tuple
 
 
 class Model:
-    """What each lane has learned. ``encode`` codes one id of each lane, ``decode`` decodes it.
+    """What each lane of a decoder has learned (``_keys`` and ``_code`` work out the same for a coder, which has all ids); ``decode`` decodes one id of each lane.
 
     An id that a predictor names is kept as 4 * id + sureness; none is id 0 with sureness 0. A pair of weights, of order 2 and 1, is kept
     in halves of a number, with FINE more bits than are used.
@@ -155,7 +157,7 @@ class Model:
     def __init__(self, distinct: np.ndarray):
         lanes, room = len(distinct), int(distinct.max(initial=1))
         self.one, self.two = np.zeros(lanes * room, np.uint16), np.zeros(lanes * SLOTS, np.uint16)
-        self.weights = np.full(lanes * 32, (1 << WEIGHTS - 2 + FINE) * 0x10001, np.int32)
+        self.weights = np.full(lanes * 32, EVEN, np.int32)
         self.at_id, self.at_slot, self.at_state, self.at_held = (np.arange(lanes) * n for n in (room, SLOTS, 32, 1 << ORDER_0))
         self.at_one, self.last, self.hash = self.at_id.copy(), np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint16)
 
@@ -193,18 +195,6 @@ class Model:
         self.last[:] = ids
         self.at_one[:] = at
 
-    def encode(self, coder: Encoder, ids: np.ndarray, slots: np.ndarray) -> None:
-        """slots: of each id the first one, and in the lower 16 bits how many it has."""
-        at_two, one, two, id1, id2, state, pair, w2, w1, named = self._predicted()
-        hit2, same1 = ids == id2, ids == id1
-        hit1 = same1 > hit2
-        w0 = (1 << WEIGHTS) - named
-        by_name = hit2 | hit1
-        start = np.where(by_name, hit1 * (w2 << ORDER_0), (named << ORDER_0) + w0 * (slots >> 16))
-        size = np.where(by_name, np.where(hit2, w2, w1) << ORDER_0, w0 * (slots & 0xFFFF))
-        coder.code(coder.range >> WEIGHTS + ORDER_0, start.astype(np.uint64), size.astype(np.uint64))
-        self._learn(ids, hit2, hit1, same1, self.at_id + ids, at_two, one, two, state, pair)
-
     def decode(self, coder: Decoder) -> np.ndarray:
         at_two, one, two, id1, id2, state, pair, w2, w1, named = self._predicted()
         w0 = (1 << WEIGHTS) - named
@@ -224,6 +214,62 @@ class Model:
         return ids
 
 
+def _entries(contexts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """What a predictor has for the context of each id when it comes, a row for each lane (see ``Model``)."""
+    order = np.argsort(contexts, axis=1, kind="stable")  # by digits
+    order += np.arange(len(ids))[:, None] * ids.shape[1]
+    c, v = contexts.take(order), ids.take(order) << np.uint16(2)
+    met = c[:, 1:] == c[:, :-1]
+    again = np.zeros(ids.shape, bool)
+    np.logical_and(met, v[:, 1:] == v[:, :-1], out=again[:, 1:])
+    v += np.uint16(1)
+    v += again
+    v[:, 1:] += again[:, 1:] & again[:, :-1]
+    out = np.zeros(ids.shape, np.uint16)
+    out.reshape(-1)[order[:, 1:]] = v[:, :-1] * met
+    return out
+
+
+def _keys(ids: np.ndarray) -> np.ndarray:
+    """For coding: of each id the state of the weights, and how it is predicted: 32 by order 2, 64 by order 1 and not by order 2."""
+    out = np.empty(ids.shape, np.uint8)
+    for lane in range(0, len(ids), 32):  # little enough for a processor's memory
+        some = ids[lane : lane + 32]
+        last = np.zeros(some.shape, np.uint16)
+        last[:, 1:] = some[:, :-1]
+        slot = last * np.uint16(1031)
+        slot[:, 1:] += last[:, :-1] * np.uint16(2531)
+        one, two = _entries(last, some), _entries(slot >> np.uint16(16 - SLOT_BITS), some)
+        id1, id2 = one >> 2, two >> 2
+        hit2 = some == id2
+        out[lane : lane + 32] = ((two & 3) << 3) | ((one & 3) << 1) | (id1 == id2) | (hit2 * np.uint16(32)) | (((some == id1) > hit2) * np.uint16(64))
+    return out
+
+
+def _code(ids: np.ndarray, slots: np.ndarray, last_size: int) -> Encoder:
+    """Codes all ids, a row for each lane, of which the last one may be shorter. slots: of each id the first one, and in the lower 16 bits how many it has."""
+    lanes, keys = len(ids), _keys(ids)
+    whole = coder = Encoder(lanes, ids.shape[1])
+    weights, at_state, gains = np.full(lanes * 32, EVEN, np.int32), np.arange(lanes) * 32, np.array([0, GAIN << 16, GAIN], np.int32)
+    for at in range(0, ids.shape[1], 64):
+        key, slot = np.ascontiguousarray(keys[:, at : at + 64].T), np.ascontiguousarray(slots[:, at : at + 64].T)
+        state, gain, pairs = (key & 31) + at_state, gains.take(key >> 5), np.empty(key.shape, np.int32)
+        for pair, state_t, gain_t in zip(pairs, state, gain, strict=True):
+            weights.take(state_t, out=pair, mode="clip")
+            weights[state_t] = pair - ((pair >> LEARN) & LEARN_MASK) + gain_t
+        w2, w1 = pairs >> 16 + FINE, (pairs >> FINE) & (1 << WEIGHTS) - 1
+        named, hit2, hit1 = w2 + w1, (key & 32).astype(bool), (key & 64).astype(bool)
+        w0 = (1 << WEIGHTS) - named
+        start = np.where(hit2 | hit1, hit1 * (w2 << ORDER_0), (named << ORDER_0) + w0 * (slot >> 16)).astype(np.uint64)
+        size = np.where(hit2, w2 << ORDER_0, np.where(hit1, w1 << ORDER_0, w0 * (slot & 0xFFFF))).astype(np.uint64)
+        for t, start_t, size_t in zip(range(at, at + 64), start, size, strict=False):
+            if t == last_size:
+                coder = whole.narrow(lanes - 1)
+            n = len(coder.at)
+            coder.code(coder.range >> WEIGHTS + ORDER_0, start_t[:n], size_t[:n])
+    return whole
+
+
 # --- frames ---------------------------------------------------------------------------------
 
 
@@ -331,14 +377,7 @@ def encode_frame(ids: np.ndarray, block: int = BLOCK) -> bytes:
         first, slots = _slots(sizes, distinct, often)
         held = (first << 16 | slots).astype(np.int32)
         slots = np.stack([held[end - n : end].take(row, mode="clip") for end, n, row in zip(ends, distinct, symbols, strict=True)])
-        whole = coder, model = Encoder(len(some), symbols.shape[1]), Model(distinct)
-        for at in range(0, symbols.shape[1], 64):
-            for t, ids_t, slots_t in zip(range(at, at + 64), np.ascontiguousarray(symbols[:, at : at + 64].T), np.ascontiguousarray(slots[:, at : at + 64].T), strict=False):
-                if t == sizes[-1]:
-                    coder, model = (x.narrow(len(some) - 1) for x in whole)
-                n = len(model.at_id)
-                model.encode(coder, ids_t[:n], slots_t[:n])
-        words, used = whole[0].finish()
+        words, used = _code(symbols, slots, int(sizes[-1])).finish()
         table[low : low + len(some), 3] = used
         payloads += [words[lane, :n].astype("<u4").tobytes() for lane, n in enumerate(used)]
     head = MAGIC + np.array([VERSION, len(cut), zlib.crc32(table.tobytes())], "<u4").tobytes()

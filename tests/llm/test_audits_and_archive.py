@@ -202,6 +202,20 @@ def test_blocks_are_independent_and_damage_is_found():
             token_archive.decode_frame(bytes(broken))
 
 
+def test_what_orders_1_and_2_name_is_worked_out_for_all_ids_at_once():
+    g = np.random.default_rng(11)
+    ids = np.concatenate([np.minimum(g.geometric(0.3, (40, 300)), 9), g.integers(0, 4096, (2, 300)), np.tile(g.integers(0, 9, 6), (1, 50))]).astype(np.uint16)
+    keys = token_archive._keys(ids)
+    for row, got in zip(ids.tolist(), keys.tolist(), strict=True):
+        one, two, before = {}, {}, (0, 0)
+        for x, key in zip(row, got, strict=True):
+            c1, c2 = before[1], (before[1] * 1031 + before[0] * 2531) % 65536 >> 4
+            (id1, sure1), (id2, sure2) = one.get(c1, (0, 0)), two.get(c2, (0, 0))
+            assert key == 8 * sure2 + 2 * sure1 + (id1 == id2) + (32 if x == id2 else 64 if x == id1 else 0)
+            one[c1], two[c2] = (x, min(3, sure1 + 1) if x == id1 else 1), (x, min(3, sure2 + 1) if x == id2 else 1)
+            before = before[1], x
+
+
 def test_a_carry_goes_back_over_full_words():
     coder = token_archive.Encoder(2, 9)
     coder.words[0, :4] = 5, 2**32 - 1, 2**32 - 1, 2**32 - 1

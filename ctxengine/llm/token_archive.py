@@ -56,6 +56,8 @@ SLOTS = 1 << SLOT_BITS
 #: The weights of orders 2 and 1 go a part of 2**LEARN of their way to 0, or to NAMED, which leaves something to order 0; they are kept with FINE more bits.
 LEARN, NAMED, FINE = 5, (1 << WEIGHTS) - 64, 4
 GAIN, LEARN_MASK = NAMED << FINE >> LEARN, (0x7FFF >> LEARN) * 0x10001
+#: Factors of the hash of an order-2 context, and what it is shifted by. Arrays, as numpy is slower with numbers of Python.
+M1, M2, TO_SLOT, U1, U2, U3 = (np.array(n, np.uint16) for n in (1031, 2531, 16 - SLOT_BITS, 1, 2, 3))
 #: A pair of weights at first.
 EVEN = (1 << WEIGHTS - 2 + FINE) * 0x10001
 
@@ -176,22 +178,22 @@ class Model:
 
     def _predicted(self) -> tuple[np.ndarray, ...]:
         """Places and contents of what orders 1 and 2 name, place and pair of the weights, weights as they are used."""
-        at_two = self.at_slot + ((self.hash + self.last * np.uint16(1031)) >> 16 - SLOT_BITS)
-        one, two = self.one.take(self.at_one), self.two.take(at_two)
-        id1, id2 = one >> 2, two >> 2
-        state = self.at_state + (((two & 3) << 3) | ((one & 3) << 1) | (id1 == id2))
-        pair = self.weights.take(state)
+        at_two = self.at_slot + ((self.hash + self.last * M1) >> TO_SLOT)
+        one, two = self.one.take(self.at_one, mode="clip"), self.two.take(at_two, mode="clip")
+        id1, id2 = one >> U2, two >> U2
+        state = self.at_state + (((two & U3) << U3) | ((one & U3) << U1) | (id1 == id2))
+        pair = self.weights.take(state, mode="clip")
         w2, w1 = pair >> 16 + FINE, (pair >> FINE) & (1 << WEIGHTS) - 1
         return at_two, one, two, id1, id2, state, pair, w2, w1, w2 + w1
 
     def _learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, same1: np.ndarray, at: np.ndarray, at_two: np.ndarray, one: np.ndarray, two: np.ndarray, state: np.ndarray, pair: np.ndarray) -> None:
         """The mixture, and what the predictors name next. hit1: order 1 names it and order 2 does not, same1: order 1 names it."""
         self.weights[state] = pair - ((pair >> LEARN) & LEARN_MASK) + (hit2 * np.int32(GAIN << 16) + hit1 * np.int32(GAIN))
-        base = ids << 2
-        new, most = base + np.uint16(1), base + np.uint16(3)
-        self.one[self.at_one] = np.where(same1, np.minimum(one + np.uint16(1), most), new)
-        self.two[at_two] = np.where(hit2, np.minimum(two + np.uint16(1), most), new)
-        np.multiply(self.last, np.uint16(2531), out=self.hash)
+        base = ids << U2
+        new, most = base + U1, base + U3
+        self.one[self.at_one] = np.where(same1, np.minimum(one + U1, most), new)
+        self.two[at_two] = np.where(hit2, np.minimum(two + U1, most), new)
+        np.multiply(self.last, M2, out=self.hash)
         self.last[:] = ids
         self.at_one[:] = at
 
@@ -203,7 +205,7 @@ class Model:
         target = coder.target(unit, (1 << WEIGHTS + ORDER_0) - 1)
         hit2, miss = target < edge2, target >= edge1
         rest = ((target - edge1) / w0).astype(np.int64) & (1 << ORDER_0) - 1  # exact where it is used: numbers of 23 and 11 bits
-        ids = np.where(miss, self.held.take(self.at_held + rest), np.where(hit2, id2, id1))
+        ids = np.where(miss, self.held.take(self.at_held + rest, mode="clip"), np.where(hit2, id2, id1))
         at = self.at_id + ids
         slots = self.slots.take(at, mode="clip")
         hit1 = ~(hit2 | miss)
@@ -237,9 +239,9 @@ def _keys(ids: np.ndarray) -> np.ndarray:
         some = ids[lane : lane + 32]
         last = np.zeros(some.shape, np.uint16)
         last[:, 1:] = some[:, :-1]
-        slot = last * np.uint16(1031)
-        slot[:, 1:] += last[:, :-1] * np.uint16(2531)
-        one, two = _entries(last, some), _entries(slot >> np.uint16(16 - SLOT_BITS), some)
+        slot = last * M1
+        slot[:, 1:] += last[:, :-1] * M2
+        one, two = _entries(last, some), _entries(slot >> TO_SLOT, some)
         id1, id2 = one >> 2, two >> 2
         hit2 = some == id2
         out[lane : lane + 32] = ((two & 3) << 3) | ((one & 3) << 1) | (id1 == id2) | (hit2 * np.uint16(32)) | (((some == id1) > hit2) * np.uint16(64))
@@ -433,8 +435,8 @@ def _ranges(ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _gathered(ids: np.ndarray, ends: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids of these lists one after the other, where each ends); ends: where each list ends in ids."""
-    sizes = np.diff(ends, prepend=0).take(lists)
-    return ids.take(_ranges(ends.take(lists), sizes)), np.cumsum(sizes)
+    got = pa.ListArray.from_arrays(pa.array(np.insert(ends, 0, 0).astype(np.int32)), pa.array(ids)).take(pa.array(lists))
+    return got.values.to_numpy(), got.offsets.to_numpy()[1:].astype(np.int64)
 
 
 def _strings(texts: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
@@ -470,13 +472,11 @@ class TextIds:
         """Appends what the tokenizer gives for new parts."""
         flat, sizes, tokenize, alphabet = [], [], self.words.model.tokenize, self.words.alphabet
         for part in parts:
-            if part.isalpha() and part.isascii():
-                ids = [t.id for t in tokenize(part)]
-            elif part.isalpha() and max(part) < "\u0100":
-                ids = [t.id for t in tokenize(codecs.charmap_decode(part.encode(), "strict", alphabet)[0])]
+            if part.isalpha() and (part.isascii() or max(part) < "\u0100"):
+                ids = tokenize(part if part.isascii() else codecs.charmap_decode(part.encode(), "strict", alphabet)[0])
+                flat += [t.id for t in ids]
             else:
-                ids = array("I", self.words._ids(part))
-            flat += ids
+                flat += (ids := array("I", self.words._ids(part)))
             sizes.append(len(ids))
         self.ids = np.concatenate((self.ids, np.array(flat, "<u4")))
         self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)))
@@ -498,7 +498,8 @@ class TextIds:
         if any(mark.encode() in data for mark in self.words.marks):
             whole = {i: text for i, text in enumerate(texts.to_pylist()) if any(mark in text for mark in self.words.marks)}
             texts = pa.array(["" if i in whole else text for i, text in enumerate(texts.to_pylist())])
-        cut = pc.utf8_split_whitespace(texts)
+        plain = np.frombuffer(data, np.uint8).max(initial=0) <= 0xC3 and (b"\xc2" not in data or b"\xc2\x85" not in data and b"\xc2\xa0" not in data)  # white space in ASCII only
+        cut = (pc.ascii_split_whitespace if plain else pc.utf8_split_whitespace)(texts)
         chunks = cut.flatten().dictionary_encode()
         words, marks = _parts(chunks.dictionary)
         _, word, mark = (numbered := pa.chunked_array([self.known, words, marks]).dictionary_encode()).chunks

@@ -492,7 +492,7 @@ class TextIds:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; how many each has)."""
-        whole, texts = {}, pc.fill_null(texts, "")
+        whole, texts = {}, pc.fill_null(texts.cast(pa.string()), "")
         at, data = _strings(texts)
         data = data[int(at[0]) : int(at[-1])].to_pybytes()
         if any(mark.encode() in data for mark in self.words.marks):
